@@ -1,14 +1,20 @@
 """The registered queries of this subpackage and their SQL, by name."""
 
+from .lcp import op1_fingerprints
 from .licenses import op10_licenses
 from .mixing import OP4_SQL, op4_mix
+from .quality import op9_quality
 from .sharding import OP5_SQL, op5_shards
 from .urlfilter import OP8_SQL, op8_url_filter
+from .warc import op7_warc_revisits
 
 QUERIES = {
+    "op1_lcp_fingerprints": op1_fingerprints,
     "op4_systematic_mix": op4_mix,
     "op5_extendible_shards": op5_shards,
+    "op7_warc_revisits": op7_warc_revisits,
     "op8_url_filter": op8_url_filter,
+    "op9_pu_quality": op9_quality,
     "op10_license_scan": op10_licenses,
 }
 SQL = {
