@@ -3,6 +3,7 @@
 from .lcp import op1_fingerprints
 from .licenses import op10_licenses
 from .mixing import OP4_SQL, op4_mix
+from .neardup import op2_near_duplicates
 from .quality import op9_quality
 from .sharding import OP5_SQL, op5_shards
 from .urlfilter import OP8_SQL, op8_url_filter
@@ -10,6 +11,7 @@ from .warc import op7_warc_revisits
 
 QUERIES = {
     "op1_lcp_fingerprints": op1_fingerprints,
+    "op2_jaccard_groups": op2_near_duplicates,
     "op4_systematic_mix": op4_mix,
     "op5_extendible_shards": op5_shards,
     "op7_warc_revisits": op7_warc_revisits,
