@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and their SQL, by name."""
 
+from .decontaminate import op3_decontaminate
 from .lcp import op1_fingerprints
 from .licenses import op10_licenses
 from .mixing import OP4_SQL, op4_mix
@@ -12,6 +13,7 @@ from .warc import op7_warc_revisits
 QUERIES = {
     "op1_lcp_fingerprints": op1_fingerprints,
     "op2_jaccard_groups": op2_near_duplicates,
+    "op3_bm25_decontaminate": op3_decontaminate,
     "op4_systematic_mix": op4_mix,
     "op5_extendible_shards": op5_shards,
     "op7_warc_revisits": op7_warc_revisits,
