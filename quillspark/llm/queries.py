@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their SQL, by name."""
 
 from .decontaminate import op3_decontaminate
+from .extract import op6_extract
 from .lcp import op1_fingerprints
 from .licenses import op10_licenses
 from .mixing import OP4_SQL, op4_mix
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_bm25_decontaminate": op3_decontaminate,
     "op4_systematic_mix": op4_mix,
     "op5_extendible_shards": op5_shards,
+    "op6_host_consensus_extract": op6_extract,
     "op7_warc_revisits": op7_warc_revisits,
     "op8_url_filter": op8_url_filter,
     "op9_pu_quality": op9_quality,
