@@ -2,6 +2,7 @@
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -38,12 +39,12 @@ def lcs_bound(a: str, b: str) -> int:
     return common
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def indel_at_least(a: pd.Series, b: pd.Series, threshold: pd.Series) -> pd.Series:
     """Is the similarity at least ``threshold``? Hopeless pairs end at the letter counts."""
     out = []

@@ -5,6 +5,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(c) -> Column:
@@ -24,7 +25,7 @@ def collapse(c) -> Column:
     return strip(F.regexp_replace(_c(c), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_unescape(s: pd.Series) -> pd.Series:
     """HTML5 character references; no built-in knows the full table."""
     return s.map(html.unescape, na_action="ignore")

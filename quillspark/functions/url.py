@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import strip
 
@@ -13,7 +14,7 @@ TRACKING_PREFIXES = ["utm_", "mc_"]
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def idna_host(h: pd.Series) -> pd.Series:
     """Punycode of hosts that are not ASCII; what cannot be encoded stays."""
 
