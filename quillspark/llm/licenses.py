@@ -128,7 +128,7 @@ def rules() -> list[dict]:
     for label, name, versions in NAMED:
         key = name.rsplit(" ", 1)[-1]
         for v in versions:
-            add(f"{label}-{v}", f"{name} licen[sc]e(?: version| v)? {_version(v)}", key, 5)
+            add(f"{label}-{v}", f"{name} licen[sc]e(?: version| v)? v?{_version(v)}", key, 5)
             add(f"{label}-{v}", f"{name}(?: version)? v?{_version(v)} licen[sc]e", key, 5)
         add(label, f"{name} licen[sc]e", f"{key} licen", 4 if label not in BASE_PHRASES.values() else 2)
     for label, short, versions in SHORT:
