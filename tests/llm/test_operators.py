@@ -1,0 +1,296 @@
+"""The other operators against brute force, round trips and held-out accuracy."""
+
+import base64
+import hashlib
+import os
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm import decontaminate, extract, lcp, licenses, mixing, quality, sharding, urlfilter, warc
+from quillspark.llm.queries import QUERIES, SQL
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, source string"
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql(spark, name):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    show = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    df = QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    rel = con.sql(SQL[name])
+    assert sorted(rel.columns) == cols
+    at = [rel.columns.index(c) for c in cols]
+    assert sorted(tuple(show(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(show(r[i]) for i in at) for r in rel.fetchall())
+
+
+# ---------------------------------------------------------------- fingerprints
+
+
+def words(rnd, n, size=4):
+    return " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(1, size + 3))) for _ in range(n))
+
+
+def test_equal_substrings_parse_alike():
+    rnd = random.Random(1)
+    shared = words(rnd, 400).encode()
+    for head in (b"", b"x", b"some other beginning "):
+        phrases = []
+        for text in (shared, head + shared):
+            names, owner = np.frombuffer(text, dtype=np.uint8).astype(np.uint64), np.zeros(len(text), dtype=np.int64)
+            for _ in range(3):
+                names, owner = lcp.parse_level(names, owner)
+            phrases.append(set(names.tolist()))
+        assert len(phrases[0] & phrases[1]) >= 0.9 * len(phrases[0])
+
+
+def test_neighbours(spark):
+    rnd = random.Random(2)
+    rows = [(i * 3, words(rnd, rnd.choice([1, 5, 40, 300]))) for i in range(60)] + [(7, None), (8, ""), (9, "é😀" * 40), (10, "a" * 3000), (None, "no id"), (11, "same"), (11, "same")]
+    got = lcp.compare_neighbours(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), range_rows=9).collect()
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = sorted((str(i), len(t), hashlib.sha256(lcp.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == want
+    assert all(0 <= r["near_next"] <= 1 and abs(r["near_edited"] - lcp.likeness(r["fingerprint"], r["edited_fingerprint"])) < 1e-9 for r in got)
+    long = [r for r in got if r["n_chars"] > 800 and r["doc_id"] not in (9, 10)]
+    assert np.mean([r["near_edited"] for r in long]) > 0.3 > 10 * np.mean([r["near_next"] for r in long]) / 2
+    assert lcp.compare_neighbours(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    one = lcp.compare_neighbours(spark.createDataFrame([(1, "abc")], "doc_id long, text string")).collect()
+    assert len(one) == 1 and one[0]["near_next"] == 1.0
+    fp = {r["text"]: r["fingerprint"] for r in lcp.fingerprint(spark.createDataFrame([("a",), ("a",), (None,), ("",)], "text string")).collect()}
+    assert fp[None] == fp[""] != fp["a"]
+
+
+# ---------------------------------------------------------------- decontamination
+
+
+def test_leaks(spark):
+    rnd = random.Random(3)
+    items = [(i, words(rnd, rnd.randrange(20, 50))) for i in range(30)] + [(90, None), (91, ""), (92, "a b")]
+    docs, want = [], set()
+    for d in range(120):
+        text = words(rnd, rnd.randrange(0, 300)).split()
+        if d % 4 == 0:
+            i = rnd.randrange(30)
+            leak = items[i][1].split()
+            if d % 8 == 0:
+                leak[rnd.randrange(len(leak))] = "changed"
+            at = rnd.randrange(len(text) + 1)
+            text[at:at] = [w.upper() + "," for w in leak]
+            want.add((d, i))
+        docs.append((d, " ".join(text)))
+    docs += [(500, None), (501, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, bench).collect()} == want
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, bench, shard_items=7).collect()} == want
+    assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0
+
+
+def test_bounds_lose_nothing():
+    """Pruned retrieval finds what scoring every passage against every item finds."""
+    rnd = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(25))) for i in range(40)]
+    index = decontaminate.Index(items)
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(300)).encode() for _ in range(20)] + [items[3][1].encode()]
+    got = index.search(texts)
+    for t, text in enumerate(texts):
+        w, _ = decontaminate.hashed_words([text], decontaminate.MARKS)
+        for i in range(len(items)):
+            best = None
+            for lo in range(0, len(w), index.stride):
+                passage = w[lo : lo + 2 * index.stride]
+                score = index.weights[i][np.isin(index.terms[i], passage)].sum()
+                grams = decontaminate._grams_all(passage, decontaminate.NGRAM)
+                shares = [np.isin(p, grams).mean() for p in index.parts[i]]
+                if score >= index.threshold[i] * (1 - 1e-9) and min(shares) >= decontaminate.OVERLAP:
+                    best = max(best or (0,), (score, *shares, lo))
+            assert ((t, i) in got) == (best is not None)
+            if best:
+                assert got[t, i] == pytest.approx(best)
+
+
+@pytest.mark.parametrize("text,answer", [("What is it? Forty two", "Forty two"), ("Q one two\nAnswer: three", "three"), ("a b c d e f", "e f")])
+def test_split(text, answer):
+    assert decontaminate.split_item(text)[1].strip() == answer
+
+
+# ---------------------------------------------------------------- mixing, shards
+
+
+def test_mix(spark):
+    rnd = random.Random(5)
+    rows = [(i, words(rnd, rnd.choice([0, 3, 50, 90])), rnd.choice(["a"] * 6 + ["b", "c", "é", None])) for i in range(800)]
+    rows += [(9000, None, "a"), (9001, "x y", "empty"), (rows[3])]
+    df = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(df, cell_rows=20).collect()
+    assert len(got) == len(rows) and got and sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(df, cell_rows=20).collect()), key=str)
+    assert all(0 <= r["copies"] <= 3 for r in got)
+    for s in {r["source"] for r in got}:
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["copies"] * r["size"] for r in mine) - mine[0]["target"]) <= 2 * max(r["size"] for r in mine)
+    sizes = {s: next(r["source_size"] for r in got if r["source"] == s) for s in {r["source"] for r in got}}
+    order = sorted([s for s in sizes if s is not None]) + [None]
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    target, left, free = {}, float(sum(sizes.values())), set(order)
+    while True:  # the sharing rule, round by round
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * sizes[s]}
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+        free -= over
+    for r in got:
+        assert r["target"] == pytest.approx(target[r["source"]])
+    assert mixing.mix(df.limit(0)).count() == 0
+    taken = mixing.mixed_documents(df, cell_rows=20)
+    assert taken.columns == df.columns and taken.count() == sum(r["copies"] for r in got)
+
+
+def test_shards(spark):
+    rnd = random.Random(6)
+    rows = [(i, "é" * rnd.randrange(200), "s") for i in range(500)] + [(9000, None, "s"), (9001, "x" * 3000, "s"), (None, "n", "s"), (7, "again", "s"), (7, "again", "s")]
+    df = spark.createDataFrame(rows, DOCS).withColumn("depth", F.lit("clash"))
+    got = sharding.shard(df, limit=2000).collect()
+    assert len(got) == len(rows)
+    held = {}
+    for r in got:
+        assert len(r["shard"]) == r["depth"]
+        held[r["shard"]] = held.get(r["shard"], 0) + r["bytes"]
+    assert all(held[r["shard"]] == r["shard_bytes"] for r in got)
+    assert [s for s, b in held.items() if b > 2000] == [next(r["shard"] for r in got if r["doc_id"] == 9001)]
+    names = sorted(held)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:]))  # no shard lies inside another
+    for s in names:  # every split was needed
+        if s and len(s) < sharding.BITS:
+            assert sum(b for n, b in held.items() if n.startswith(s[:-1])) > 2000
+    assert sharding.shard(df.limit(0)).count() == 0
+    assert {r["shard"] for r in sharding.shard(df, limit=1 << 30).collect()} == {""}
+
+
+# ---------------------------------------------------------------- pages
+
+
+PAGE = ('<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><a href=x>menu</a></nav><div class="wrap{n}"><div class="sidebar"><p>side</p></div>'
+        '<div class="post-{n} content"><h2>Title &eacute;</h2><p>One <a href=x>two</a>\n three &lt;b&gt;<p>Four&nbsp;five<ul><li>a<li>b</ul><div class="ad-slot">AD</div><form>f</form>'
+        '<section class=comments><p>c1</p></section>tail < text</div></div><div class="cookie-notice">ok</div><footer>foot</footer><script>var a="<p>no</p>"</script>')
+TEXT = "Title é\nOne two three <b>\nFour five\na\nb\ntail < text"
+
+
+def test_extract(spark):
+    rows = [(i, f"http://h{i % 2}.com/{i}", PAGE.replace("{n}", str(i))) for i in range(6)]
+    rows += [(10, None, None), (11, "http://h0.com/", ""), (12, "nonsense", "<p>only"), (13, "http://h0.com/x", "plain text"), rows[0]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = extract.extract(df).collect()
+    assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
+    text = {r["page_id"]: r["text"] for r in got}
+    assert all(text[i] == TEXT for i in range(6))
+    assert [text[i] for i in (10, 11, 12, 13)] == ["", "", "only", "plain text"]
+    assert extract.extract(df.limit(0)).count() == 0
+
+
+def test_host_consensus_beats_the_page(spark):
+    """A teaser box that is longer than one short article does not win on its host."""
+    long = "<body><article><p>" + "words " * 60 + "</p></article><div class='box'><p>" + "teaser " * 5 + "</p></div>"
+    short = "<body><article><p>brief story here, in full</p></article><div class='box'><p>" + "teaser " * 6 + "</p></div>"
+    rows = [(i, "http://h.com/", long) for i in range(5)] + [(9, "http://h.com/", short)]
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == "brief story here, in full"
+
+
+@pytest.mark.parametrize("page", ["<p a='x", "<!-- open", "<script>x", "&am", "<<>>", "</p></div>", "<b>x</p>y", "<p " + "x='" * 2000])
+def test_broken_markup(page):
+    extract.article(*extract.parse(page), None)
+
+
+def test_warc(spark, tmp_path):
+    rows = [(1, "http://a/", "<p>é</p>\r\n\r\nWARC/1.1 fake"), (2, "http://b/ c\nd", "same"), (5, None, "same"), (3, "u", "same"), (7, "u", None), (8, "u", ""), (None, "u", "lone"), (9, "u", "tiny"), (10, "u", "tiny"), (9, "u", "tiny")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warc.write_archive(df, f"{tmp_path}/crawl")
+    read = warc.read_archive(spark, f"{tmp_path}/crawl").collect()
+    assert sorted((str(r["page_id"]), r["payload"]) for r in read) == sorted((str(p), h or "") for p, _, h in rows)
+    warc.deduplicate_archive(spark, f"{tmp_path}/crawl", f"{tmp_path}/fresh")
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.resolve_revisits(spark, f"{tmp_path}/fresh").collect())
+    digest = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
+    one = lambda p, s, to=None: (str(p), len(s.encode()), digest(s), "revisit" if to else "response", to)
+    assert got == sorted([one(1, rows[0][2]), one(2, "same", 5), one(5, "same"), one(3, "same", 5), one(7, "", 8), one(8, ""), one(None, "lone"), one(9, "tiny", 10), one(9, "tiny", 10), one(10, "tiny")])
+    warc.deduplicate_archive(spark, f"{tmp_path}/crawl", f"{tmp_path}/large", min_bytes=5)
+    assert {r["record_type"] for r in warc.resolve_revisits(spark, f"{tmp_path}/large").collect()} == {"response"}
+    warc.write_archive(df.limit(0), f"{tmp_path}/none")
+    assert warc.read_archive(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_url_rules(spark):
+    urls = {"http://A.Example.NET/en/1": ("a.example.net", "/en/1", "example.net/en/", "allow"), "https://x.net/y?z": ("x.net", "/y", "net/", "block"), "https://x.net": ("x.net", "", None, "allow"),
+            "http://example.com/de/#x": ("example.com", "/de/", "example.com/de/", "block"), "ftp://w.org/fr/a/b": ("w.org", "/fr/a/b", "org/fr/", "allow"), "http://notexample.com/de/": ("notexample.com", "/de/", None, "allow"),
+            None: ("", "", None, "allow"), "no scheme": ("", "", None, "allow"), "": ("", "", None, "allow"), "x://": ("", "", None, "allow"), "http://net/": ("net", "/", "net/", "block"), "http://a.net/" + "d/" * 5000: ("a.net", "/" + "d/" * 5000, "net/", "block")}
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: tuple(r)[1:] for r in urlfilter.filter_urls(df, urlfilter.rule_table(spark, urlfilter.CONTRACT_RULES), "url", "page_id").collect()}
+    assert got == dict(enumerate(urls.values()))
+    more = [("block", "e.com/a"), ("allow", "e.com"), ("allow", "s.e.com/ab"), ("block", "s.e.com/ab")]
+    one = spark.createDataFrame([(1, "http://e.com/abc"), (2, "http://e.com/x"), (3, "http://s.e.com/abc")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.filter_urls(one, urlfilter.rule_table(spark, more), "url", "page_id").collect()}
+    assert got == {1: ("e.com/a", "block"), 2: ("e.com", "allow"), 3: ("s.e.com/ab", "block")}
+    assert urlfilter.filter_urls(one, urlfilter.rule_table(spark, more).limit(0), "url", "page_id").count() == 3
+
+
+# ---------------------------------------------------------------- texts
+
+
+def test_quality(spark):
+    rnd = random.Random(7)
+    good = [(i, words(rnd, 80).capitalize() + ".") for i in range(400)]
+    bad = [(1000 + i, " | ".join(words(rnd, 80).upper().split()) + "!!") for i in range(80)]
+    docs = spark.createDataFrame(good + bad + [(5000, None), (5001, ""), good[0]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in good[:200]] + [(i, 0) for i, _ in bad[:40]], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    rows = quality.score_quality(docs.withColumn("score", F.lit("clash")), model).withColumn("held", quality.held_out("doc_id")).collect()
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    assert all(r["held"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    held = [r for r in rows if r["held"] and r["doc_id"] < 2000]
+    assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] < 1000) for r in held]) > 0.97
+    assert len({r["score"] for r in rows if not r["text"]}) == 1
+    assert quality.fit(docs, labels.limit(0)) is None and quality.fit(docs.limit(0), labels) is None
+    assert {r["score"] for r in quality.score_quality(docs, None).collect()} == {0.5}
+
+
+LICENSES = {
+    "CC BY cc by-SA 4.0! CC-by": (9, 3, 0, 7, "cc-by"), "é ALL rights\nreserved. all   rights reserved GENERAL Public license": (10, 3, 1, 7, "gpl,reserved"),
+    "\u212acc by cc, by cc  by": (6, 2, 2, 4, "cc-by"), "": (0, 0, None, None, ""), None: (0, 0, None, None, ""), "general public licenses": (3, 0, None, None, ""), "plain words": (2, 0, None, None, ""),
+}
+
+
+def test_licenses(spark):
+    df = spark.createDataFrame([(t,) for t in LICENSES] + [("all rights reserved " * 300,)], "text string").withColumn("labels", F.lit("clash"))
+    got = {r["text"]: r for r in licenses.scan_licenses(df).collect()}
+    for t, want in LICENSES.items():
+        r = got[t]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == want, t
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    assert got["all rights reserved " * 300]["n_base"] == 300
+
+
+def test_license_rules_and_suppression(spark):
+    table = licenses.rules()
+    assert len(table) >= 200
+    for r in table:
+        re.compile(r["pattern"])
+    text = "Licensed under CC BY-NC 4.0, the Apache License, Version 2.0 and the GNU Lesser General Public License v2.1"
+    labels = licenses.scan_licenses(spark.createDataFrame([(text,)], "text string")).first()["labels"].split(",")
+    assert {"cc-by-nc-4.0", "apache-2.0", "lgpl-2.1", "cc-by", "gpl"} <= set(labels)
+    assert not {"cc-by-nc", "lgpl", "apache", "copyright"} & set(labels)
