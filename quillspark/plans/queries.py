@@ -143,12 +143,12 @@ def _(b):
 
 
 @query("external_ids", """SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN 'id' || doc_id ELSE '' END, ''), nullif(CASE WHEN doc_id % 3 = 1 THEN 'https://e.com/' || doc_id ELSE '' END, ''),
- sha256(substr(text, 1, 40) || '|' || lang)) AS external_id FROM documents""", body=True)
+ sha256(text || '|' || lang)) AS external_id FROM documents""", body=True)
 def _(b):
     d = F.col("doc_id")
     a = F.when(d % 3 == 0, F.concat(F.lit("id"), d.cast("string"))).otherwise("")
     l = F.when(d % 3 == 1, F.concat(F.lit("https://e.com/"), d.cast("string"))).otherwise("")  # noqa: E741
-    return b["table"]("documents").select("doc_id", F.coalesce(F.nullif(a, F.lit("")), F.nullif(l, F.lit("")), F.sha2(F.concat_ws("|", F.left("text", F.lit(40)), "lang"), 256)).alias("external_id"))
+    return b["table"]("documents").select("doc_id", F.coalesce(F.nullif(a, F.lit("")), F.nullif(l, F.lit("")), F.sha2(F.concat_ws("|", "text", "lang"), 256)).alias("external_id"))
 
 
 @query("cursor_strict", """SELECT event_id, floor(epoch(ts))::BIGINT AS created, (SELECT greatest(1704800000, max(floor(epoch(ts))::BIGINT)) FROM events) AS new_cursor FROM events WHERE floor(epoch(ts))::BIGINT > 1704800000""", body=True)
@@ -163,10 +163,10 @@ def _(b):
     return b["table"]("events").filter(F.col("event_type") != "signup").select("event_id", F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("external_id"))
 
 
-@query("watermark_boundary", """WITH e AS (SELECT event_id, user_id, epoch(date_trunc('day', ts))::BIGINT AS day FROM events WHERE event_id % 11 <> 0)
+@query("watermark_boundary", """WITH e AS (SELECT event_id, user_id, epoch(date_trunc('day', ts))::BIGINT AS day FROM events)
 SELECT event_id, user_id, day FROM e WHERE day > 1706227200 OR (day = 1706227200 AND user_id NOT IN (1, 2, 3))""", body=True)
 def _(b):
-    e = b["table"]("events").filter("event_id % 11 <> 0").select("event_id", "user_id", secs(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("day"))
+    e = b["table"]("events").select("event_id", "user_id", secs(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("day"))
     return relational.after_watermark(e, "day", "user_id", 1706227200, [1, 2, 3])
 
 
@@ -202,10 +202,10 @@ def _(b):
 # ------------------------------------------------------------------ projections
 
 
-@query("build_item", r"""SELECT page_id, url, coalesce(nullif(trim(title), ''), '(untitled)') AS title, CASE WHEN raw <> url THEN raw END AS original_url, substr(title || ' ' || raw, 1, 60) AS summary FROM items""")
+@query("build_item", r"""SELECT page_id, url, coalesce(nullif(trim(title), ''), '(untitled)') AS title, CASE WHEN raw <> url THEN raw END AS original_url, substr(title || ' ' || raw, 1, 4000) AS summary FROM items""")
 def _(b):
     return b["items"].select("page_id", "url", F.coalesce(text.blank_to_null("title"), F.lit("(untitled)")).alias("title"), F.when(F.col("raw") != F.col("url"), F.col("raw")).alias("original_url"),
-                             F.left(F.concat_ws(" ", "title", "raw"), F.lit(60)).alias("summary"))
+                             F.left(F.concat_ws(" ", "title", "raw"), F.lit(4000)).alias("summary"))
 
 
 @query("published_at", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN floor(epoch(ts))::BIGINT WHEN 1 THEN floor(epoch(ts))::BIGINT + 60 WHEN 2 THEN floor(epoch(ts))::BIGINT + 60 ELSE NULL END AS published FROM events""", body=True)
@@ -364,10 +364,10 @@ def _(b):
     return b["table"]("customer").select(F.col("c_custkey").alias("source_name")).join(b["runs"].select("source_name"), "source_name", "left_anti")
 
 
-@query("insert_or_ignore", """SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE event_id % 3 = 0 AND (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE event_id % 50 = 1) GROUP BY 1, 2""", body=True)
+@query("insert_or_ignore", """SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE value > 150) GROUP BY 1, 2""", body=True)
 def _(b):
-    e = b["table"]("events").select("user_id", "event_type", "event_id")
-    return store.insert_new(e.filter("event_id % 3 = 0"), e.filter("event_id % 50 = 1"), ["user_id", "event_type"], [F.col("event_id")])
+    e = b["table"]("events").select("user_id", "event_type", "event_id", "value")
+    return store.insert_new(e.drop("value"), e.filter("value > 150"), ["user_id", "event_type"], [F.col("event_id")])
 
 
 @query("upsert_latest", "SELECT user_id, max_by(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1", body=True)
@@ -558,11 +558,11 @@ def _(b):
     return b["cls"].groupBy("canonical_hash").agg(F.max("id").alias("id"), F.max_by("topic", "id").alias("topic"))
 
 
-@query("supersession_roots", """WITH RECURSIVE e AS (SELECT o_orderkey AS loser, o_orderkey // 2 AS winner FROM orders WHERE o_orderkey BETWEEN 2 AND 1000 AND o_orderkey % 5 <> 0),
+@query("supersession_roots", """WITH RECURSIVE e AS (SELECT o_orderkey AS loser, o_orderkey // 2 AS winner FROM orders WHERE o_orderkey >= 2 AND o_orderstatus <> 'P'),
 r AS (SELECT loser, winner AS root FROM e UNION ALL SELECT r.loser, e.winner FROM r JOIN e ON e.loser = r.root) SELECT loser, min(root) AS root FROM r GROUP BY loser""", body=True)
 def _(b):
     k = F.col("o_orderkey")
-    e = b["table"]("orders").filter(k.between(2, 1000) & (k % 5 != 0)).select(k.alias("loser"), F.expr("o_orderkey div 2").alias("winner"), F.lit(1).alias("seq"))
+    e = b["table"]("orders").filter((k >= 2) & (F.col("o_orderstatus") != "P")).select(k.alias("loser"), F.expr("o_orderkey div 2").alias("winner"), F.lit(1).alias("seq"))
     from ..session import shared_dir
 
     shared_dir(e.sparkSession)
@@ -613,9 +613,9 @@ def _(b):
     return b["table"]("nation").select("n_nationkey", text.safe_source_name("n_name").alias("safe"))
 
 
-@query("markdown_cells", r"SELECT doc_id, trim(replace(replace(substr(text, 1, 200), '|', '\|'), chr(10), ' ')) AS cell FROM documents", body=True)
+@query("markdown_cells", r"SELECT doc_id, trim(replace(replace(text, '|', '\|'), chr(10), ' ')) AS cell FROM documents", body=True)
 def _(b):
-    return b["table"]("documents").select("doc_id", text.markdown_cell(F.left("text", F.lit(200))).alias("cell"))
+    return b["table"]("documents").select("doc_id", text.markdown_cell("text").alias("cell"))
 
 
 @query("secondary_suffix", "SELECT id, ' · also ' || array_to_string(list_sort(secondary_topics), ', ') AS suffix FROM cls")
@@ -648,11 +648,11 @@ def _(b):
     return b["table"]("events").select("event_id", secs(dates.week_start(F.col("ts").cast("timestamp"))).alias("monday"))
 
 
-@query("close_in_time", """WITH e AS (SELECT event_id, ts, lead(ts) OVER (ORDER BY event_id) AS nx FROM events WHERE event_id < 1000)
+@query("close_in_time", """WITH e AS (SELECT event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS nx FROM events)
 SELECT event_id, (event_id % 10 = 0 OR nx IS NULL OR abs(epoch_us(ts) - epoch_us(nx)) <= 3600000000) AS close FROM e""", body=True)
 def _(b):
-    e = b["table"]("events").filter("event_id < 1000").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    e = e.withColumn("nx", F.lead("ts").over(Window.partitionBy().orderBy("event_id")))
+    e = b["table"]("events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    e = e.withColumn("nx", F.lead("ts").over(Window.partitionBy("user_id").orderBy("event_id")))
     return e.select("event_id", dates.close_in_time(F.when(F.col("event_id") % 10 != 0, F.col("ts")), F.col("nx"), 1).alias("close"))
 
 
