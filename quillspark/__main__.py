@@ -5,6 +5,7 @@ import sys
 from datetime import UTC, datetime
 from pathlib import Path
 
+from .operators.providers import make_agent, make_classifier
 from .operators.store import Store
 from .plans import pipeline, reports
 from .session import build_session
@@ -68,6 +69,7 @@ def main(argv=None, spark=None, client=None, provider=None, agent_provider=None,
     if args.command == "synthesize" and not Path(args.db).exists():
         out(f"error: no store at {args.db}")
         return 2
+    agent_provider = agent_provider or (make_agent() if args.command == "synthesize" else None)
     if args.command == "synthesize" and agent_provider is None:
         out("no synthesis provider: skipped")
         return 0
@@ -78,6 +80,7 @@ def main(argv=None, spark=None, client=None, provider=None, agent_provider=None,
             out(f"{s.name}: fetched {s.fetched}, new {s.new}, entities {s.entities}, skipped {s.skipped}" + (f", error {s.error}" if s.error else ""))
         out(f"total new: {result.stored_new}")
         if config is not None:
+            provider = provider or (make_classifier(store.spark, config.provider, config.model) if config.provider != "anthropic" else None)
             out(str(pipeline.post_process(store, config, provider, now, args.vault or config.vault_path)))
         return int(args.fail_on_error and result.any_error)
     if args.command == "status":
