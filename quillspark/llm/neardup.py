@@ -12,7 +12,7 @@ likeness of their shingle sets reaches a threshold.
    their rarest shingles (the prefix that any partner must meet).
 4. Similar sets are partitioned into clusters: min-hash bands propose one hub per
    band value, exact likeness decides, links join sets into clusters.
-5. Clusters are cut into groups of like size; the matrix holds each group's token
+5. Clusters are cut into groups of equal size; the matrix holds each group's token
    union. A set whose prefix meets a group of another cluster is bounded by its
    overlap with the group's union, and only qualifying groups are opened, where
    members are compared exactly. No pair inside a cluster is enumerated.
@@ -29,7 +29,7 @@ from .components import components
 
 #: Characters of text in a batch of documents, shingles counted by one task,
 #: and members of a group, on average.
-BATCH_CHARS, COUNT_TOKENS, GROUP_MEMBERS = 3_000_000, 3_000_000, 32
+BATCH_CHARS, COUNT_TOKENS, GROUP_MEMBERS = 2_000_000, 2_000_000, 32
 BANDS, BAND_ROWS = 8, 3
 
 
@@ -201,18 +201,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, batch_cha
     cluster = components(near)
     placed = linkable.select("rep", "n", "shared", "prefix").join(cluster, F.col("rep") == F.col("node"), "left").withColumn("cluster", F.coalesce("root", "rep")).drop("node", "root")
     sizes = placed.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(GROUP_MEMBERS)).alias("salts"))
-    like_size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.03)))
     own = F.floor(F.lit(40) * (F.col("n") - F.col("shared")) / F.col("n"))
     placed = materialize(
-        placed.join(sizes, "cluster").withColumn("part", F.xxhash64(like_size, own, F.pmod(F.xxhash64("rep"), "salts"))).drop("salts"), "neardup-groups")
+        placed.join(sizes, "cluster").withColumn("part", F.xxhash64("n", own, F.pmod(F.xxhash64("rep"), "salts"))).drop("salts"), "neardup-groups")
 
-    # the matrix restricted to prefixes: tokens that meet more than one cluster
-    postings = placed.select("rep", "n", "shared", "cluster", "part", F.explode("prefix").alias("token"))
+    # the matrix restricted to prefixes: tokens that meet more than one cluster. A
+    # token's position counts the set's own shingles too, which come first in order
+    postings = placed.select("rep", "n", "shared", "cluster", "part", F.posexplode("prefix").alias("k", "token")).withColumn("pos", F.col("n") - F.col("shared") + F.col("k"))
     meeting = postings.groupBy("token").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo < hi").select("token")
     postings = postings.join(meeting, "token")
-    matrix = postings.groupBy("token", F.col("cluster").alias("gc"), F.col("part").alias("gp")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("shared").alias("gs"))
+    matrix = postings.groupBy("token", F.col("cluster").alias("gc"), F.col("part").alias("gp")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("shared").alias("gs"), F.min("pos").alias("gpos"))
+    # sets of sizes n and m need so many shingles in common, hence one among the first n - need + 1
+    need = F.ceil(percent * (F.col("q.n") + F.col("g.lo")) / F.lit(100 + percent) - 1e-9)
     met = postings.alias("q").join(matrix.alias("g"), (F.col("q.token") == F.col("g.token")) & (F.col("q.cluster") < F.col("g.gc"))
         & (100 * F.col("q.n") >= percent * F.col("g.lo")) & (100 * F.col("g.hi") >= percent * F.col("q.n"))
+        & (F.col("q.pos") + need <= F.col("q.n")) & (F.col("g.gpos") + need <= F.col("g.hi"))
         & _possible(F.col("q.n"), F.col("q.shared"), F.col("g.lo"), F.col("g.gs"), percent))
     candidates = met.select("rep", "q.n", "q.shared", "gc", "gp").distinct().checkpoint()
     members = placed.select(F.col("rep").alias("m"), F.col("n").alias("mn"), F.col("shared").alias("ms"), F.col("cluster").alias("gc"), F.col("part").alias("gp"))
