@@ -9,14 +9,14 @@ lengths that lose no pair; the greedy choice is a fixpoint over the pairs.
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import close_in_time
 from ..functions.similarity import indel_at_least
 from ..functions.text import strip
 from ..session import shared_dir
-from .relational import strong_overlap
+from .relational import row_numbers, strong_overlap
 
 
 def ranked(candidates: DataFrame) -> DataFrame:
@@ -94,4 +94,4 @@ def find_duplicates(candidates: DataFrame, max_pool: int | None = None, **option
 
 def batches(df: DataFrame, size: int, order: list) -> DataFrame:
     """Adds ``batch``: consecutive groups of ``size`` rows in order."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy().orderBy(*order)) - 1) / size))
+    return row_numbers(df, order, "batch").withColumn("batch", F.floor((F.col("batch") - 1) / size))

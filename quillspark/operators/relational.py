@@ -4,6 +4,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import age_days
+from ..session import materialize
+
+def row_numbers(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds ``name``: 1, 2, ... over the whole table in ``order``.
+
+    Rows are dealt by range and numbered inside each range; a range starts after
+    the counts of those before it, so no task sees the whole table.
+    """
+    dealt = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    starts = dealt.groupBy("_range").agg(F.count("*").alias("_rows")).withColumn("_start", F.sum("_rows").over(before) - F.col("_rows"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn(name, inside).join(starts, "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_rows", "_start")
+
 
 # ---------------------------------------------------------------- selections
 

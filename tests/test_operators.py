@@ -163,3 +163,14 @@ def test_keyword_provider_is_deterministic():
     one = p.classify("", [{"id": "1", "title": "MCP agent mcp", "summary": None}], 0)
     assert one["1"]["topic"] == "a" and one["1"]["secondary_topics"] == ["b"]
     assert classifier_version("p", "m") == classifier_version("p", "m") != classifier_version("p", "n")
+
+
+def test_row_numbers_over_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(i, (i * 7919) % 501) for i in range(1000)]
+        got = relational.row_numbers(spark.createDataFrame(rows, "id int, k int"), [F.desc("k"), F.col("id")], "n").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert {r["id"]: r["n"] for r in got} == {i: n for n, (i, _) in enumerate(order, 1)}
