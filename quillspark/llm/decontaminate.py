@@ -19,6 +19,9 @@ K1, B = 1.2, 0.75
 #: Share of an item's own score that retrieves a passage; share of a part's
 #: n-grams that the passage must hold; words of an n-gram; least words of an item.
 RETRIEVE, OVERLAP, NGRAM, MIN_ITEM_WORDS = 0.6, 0.6, 3, 4
+#: Share of an item's own score that may lie with terms that open no posting list:
+#: the more it is, the fewer terms are pivots and the looser are the bounds.
+UNOPENED = 0.35
 BLOCK_ITEMS, SHARD_ITEMS = 16, 20_000
 #: Words are runs of letters and digits, so punctuation does not hide a leak.
 MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
@@ -74,7 +77,7 @@ class Index:
             self.weights.append(w)
             self.threshold[i] = RETRIEVE * w.sum()
             order = np.argsort(w, kind="stable")
-            low = np.cumsum(w[order]) < self.threshold[i] * 0.999  # together still too little: not pivots
+            low = np.cumsum(w[order]) <= min(UNOPENED, RETRIEVE * 0.999) * w.sum()  # together still too little: not pivots
             self.rest[i] = w[order][low].sum()
             postings += [(term, i, weight) for term, weight in zip(t[order][~low], w[order][~low])]
         self.pivots = np.unique(np.array([p[0] for p in postings], dtype=np.uint64))
