@@ -18,7 +18,7 @@ from .common import chunks, hashed_words, shingles, span_hashes, table, text_or_
 K1, B = 1.2, 0.75
 #: Share of an item's own score that retrieves a passage; share of a part's
 #: n-grams that the passage must hold; words of an n-gram; least words of an item.
-RETRIEVE, OVERLAP, NGRAM, MIN_ITEM_WORDS = 0.6, 0.6, 3, 4
+RETRIEVE, OVERLAP, NGRAM, MIN_ITEM_WORDS = 0.6, 0.6, 2, 4
 #: Share of an item's own score that may lie with terms that open no posting list:
 #: the more it is, the fewer terms are pivots and the looser are the bounds.
 UNOPENED = 0.35
