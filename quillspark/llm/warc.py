@@ -56,10 +56,11 @@ def _record(kind: Column, record_id: Column, page_id: Column, uri: Column, diges
     return F.concat(head, F.lit("\r\n\r\n"), block)
 
 
-def _write(records: DataFrame, key: str, total_bytes: int, path: str) -> None:
-    """Archives of about ARCHIVE_BYTES; ``records`` has ``value`` and ``key``."""
-    files = max(1, -(-int(total_bytes) // ARCHIVE_BYTES))
-    records.repartition(files, key).select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+def _write(values: DataFrame, records: int, total_bytes: int, path: str) -> None:
+    """Archives of about ARCHIVE_BYTES from rows of ``value``, written where the
+    rows are: a file is closed after as many records as make that size on average."""
+    each = max(1, int(ARCHIVE_BYTES * records / max(1, total_bytes)))
+    values.select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
 
 
 def write_archive(pages: DataFrame, path: str) -> None:
@@ -71,9 +72,9 @@ def write_archive(pages: DataFrame, path: str) -> None:
     """
     uri = F.regexp_replace(F.regexp_replace(text_or_empty("url"), r"[\r\n\t\x0B\x0C\x00]", "%0A"), " ", "%20")
     rows = pages.select("page_id", uri.alias("uri"), text_or_empty("html").alias("payload"), F.expr("uuid()").alias("id"))
-    total = pages.agg(F.sum(F.octet_length(text_or_empty("html")) + 600)).first()[0] or 0
+    n, total = pages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_or_empty("html")) + 600), F.lit(0))).first()
     value = _record(F.lit("response"), F.col("id"), F.col("page_id"), F.col("uri"), base32_sha1(F.col("payload")), F.lit(None), F.lit(None), F.col("payload"))
-    _write(rows.select("id", value.alias("value")), "id", total, path)
+    _write(rows.select(value.alias("value")), n, total, path)
 
 
 def parse_archive(data: bytes):
@@ -127,11 +128,11 @@ def deduplicate_archive(spark, source: str, target: str, min_bytes: int = 0) ->
     revisits = heads.join(best, ["payload_digest", "payload_bytes"]).filter(F.col("record_id") != F.col("best.record_id")).select(
         F.col("record_id").alias("_id"), F.col("best.record_id").alias("to_id"), F.col("best.uri").alias("to_uri")
     )
-    total = heads.agg(F.sum(F.col("payload_bytes") + 600)).first()[0] or 0
+    n, total = heads.agg(F.count("*"), F.coalesce(F.sum(F.col("payload_bytes") + 600), F.lit(0))).first()
     rows = records.join(revisits, F.col("record_id") == F.col("_id"), "left")
     kind = F.when(F.col("to_id").isNull(), "response").otherwise("revisit")
     value = _record(kind, F.col("record_id"), F.col("page_id"), F.col("uri"), F.col("payload_digest"), F.col("to_id"), F.col("to_uri"), F.col("payload"))
-    _write(rows.select("record_id", value.alias("value")), "record_id", total, target)
+    _write(rows.select(value.alias("value")), n, total, target)
 
 
 def resolve_revisits(spark, path: str) -> DataFrame:
