@@ -41,24 +41,40 @@ MARKERS = set(
     "menu breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments disqus respond responses replies login search hidden skip "
     "complementary contentinfo dialog".split()
 )
+#: Beginnings of further such words (``commentlist``, ``cookiebar``).
+STEMS = ("comment", "cookie", "sidebar", "advert", "sponsor", "newsletter", "breadcrumb", "footer", "disqus", "navbar", "popup")
+#: Words of class names that describe a page's layout, not what an element holds.
+LAYOUT = set("with has no layout".split())
 #: A host's path is not taken where it finds less than this share of the page's own best text.
 LEAST_SHARE = 0.4
+#: Elements open at once; a deeper one takes the place of the deepest (as browsers do).
+DEEPEST = 512
 
 
 def _marks(attrs: str):
-    """(is marked as something else than the article, first class without digits)."""
+    """(is hidden, is named as something else than the article, is named as a
+    header, first class without digits)."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
     if not found:
-        return False, ""
+        return False, False, False, ""
     names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
     words = {w.lower() for w in _WORD.findall(names)}
     style = found.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
+    named = not words & LAYOUT and (bool(words & MARKERS) or any(w.startswith(STEMS) for w in words))
+    header = "header" in words and (bool(words & {"site", "page", "top", "main"}) or "header" in names.split())
     first = (found.get("class") or found.get("id") or "").split()
-    return hidden or bool(words & MARKERS), re.sub(r"\d+", "", first[0]).strip("-_").lower() if first else ""
+    return hidden, named, header, re.sub(r"\d+", "", first[0]).strip("-_").lower() if first else ""
 
 
 def parse(page: str):
+    """(blocks, containers) of a page; names of classes are not heeded where they
+    would leave nothing of it."""
+    blocks, containers = _parse(page, True)
+    return (blocks, containers) if blocks else _parse(page, False)
+
+
+def _parse(page: str, heed: bool):
     """(blocks, containers) of a page.
 
     A block is (text, share of it in links, indexes of the open containers); a
@@ -122,9 +138,11 @@ def parse(page: str):
                 pop()  # a block ends an open paragraph and what is open inside it
             if tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
                 pop()
-        marked, name = _marks(m["attrs"])
+        if len(stack) >= DEEPEST:
+            pop()
+        hidden, named, header, name = _marks(m["attrs"])
         article = any(s[0] in ("article", "main") for s in stack)
-        skipped = tag not in ("html", "body", "article", "main") and (tag in SKIPPED or marked or (tag == "header" and not article))
+        skipped = tag not in ("html", "body", "article", "main") and (tag in SKIPPED or hidden or (heed and named) or ((tag == "header" or (heed and header)) and not article))
         path = f"{stack[-1][3] if stack else ''}/{tag}{'.' + name if name else ''}"
         container = None
         if tag in CONTAINERS:

@@ -213,7 +213,7 @@ def test_host_consensus_beats_the_page(spark):
     assert got[9] == "brief story here, in full"
 
 
-@pytest.mark.parametrize("page", ["<p a='x", "<!-- open", "<script>x", "&am", "<<>>", "</p></div>", "<b>x</p>y", "<p " + "x='" * 2000])
+@pytest.mark.parametrize("page", ["<p a='x", "<!-- open", "<script>x", "&am", "<<>>", "</p></div>", "<b>x</p>y", "<p " + "x='" * 2000, "<div>a" * 5000, "<b>" * 5000])
 def test_broken_markup(page):
     extract.article(*extract.parse(page), None)
 
