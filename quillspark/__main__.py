@@ -1,6 +1,8 @@
 """Command line: collect, status, validate-config, synthesize."""
 
 import argparse
+import hashlib
+import os
 import sys
 from datetime import UTC, datetime
 from pathlib import Path
@@ -44,6 +46,26 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _production() -> bool:
+    """In production logs are public: names and messages are replaced by digests."""
+    return os.environ.get("QUILL_LOG_MODE") == "production"
+
+
+def _shown(name: str) -> str:
+    return f"src#{hashlib.sha256(name.encode()).hexdigest()[:8]}" if _production() else name
+
+
+def guarded(argv=None) -> int:
+    """:func:`main`; in production an unexpected error shows its class and a digest only."""
+    try:
+        return main(argv)
+    except Exception as e:
+        if not _production():
+            raise
+        print(f"fatal: {pipeline.error_text(e, True)}", file=sys.stderr)
+        return 1
+
+
 def main(argv=None, spark=None, client=None, provider=None, agent_provider=None, now=None, out=print) -> int:
     """Exit status: 0 done, 1 a gate failed, 2 a configuration or date is wrong."""
     args = _parser().parse_args(argv)
@@ -75,9 +97,9 @@ def main(argv=None, spark=None, client=None, provider=None, agent_provider=None,
         return 0
     store = Store(spark or build_session(), args.db if "://" in args.db else f"file://{Path(args.db).resolve()}")
     if args.command == "collect":
-        result = pipeline.collect(store, configs, client or PoliteClient(), now, since, until, config.tracking if config else (), args.source)
+        result = pipeline.collect(store, configs, client or PoliteClient(), now, since, until, config.tracking if config else (), args.source, _production())
         for s in result.sources:
-            out(f"{s.name}: fetched {s.fetched}, new {s.new}, entities {s.entities}, skipped {s.skipped}" + (f", error {s.error}" if s.error else ""))
+            out(f"{_shown(s.name)}: fetched {s.fetched}, new {s.new}, entities {s.entities}, skipped {s.skipped}" + (f", error {s.error}" if s.error else ""))
         out(f"total new: {result.stored_new}")
         if config is not None:
             provider = provider or (make_classifier(store.spark, config.provider, config.model) if config.provider != "anthropic" else None)
@@ -90,7 +112,7 @@ def main(argv=None, spark=None, client=None, provider=None, agent_provider=None,
             names = []
         table, failing = pipeline.status(store.spark, store.source_runs(), names, now, args.stale_days, args.fail_after)
         for r in table.collect():
-            out(f"{r['source_name']}: {r['health']}")
+            out(f"{_shown(r['source_name'])}: {r['health']}")
         return int(failing)
     span = reports.trailing(now, args.days) if args.days else reports.between(since, now) if since else reports.trailing(now, 7)
     done = pipeline.synthesize(store, agent_provider, client or PoliteClient(), span, now, args.vault or config.vault_path, max_turns=args.max_turns)
@@ -99,4 +121,4 @@ def main(argv=None, spark=None, client=None, provider=None, agent_provider=None,
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    sys.exit(guarded())

@@ -1,5 +1,6 @@
 """The three jobs: collect, synthesize, status."""
 
+import hashlib
 import json
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
@@ -19,7 +20,30 @@ from .agent import Tools, run_agent
 from .reports import Span, collection_report, synthesis_report, write_atomically
 
 RAW = "source_name string, source_type string, external_id string, payload string, fetched_at timestamp"
-PROMPT = "Classify each item into one topic.\n\nTopics:\n{taxonomy}\n\nFocus:\n{focus}\n\nReply with a JSON array of objects with id, topic, score (0-10), rationale, secondary_topics."
+PROMPT = """Classify each item into one topic.
+
+Topics:
+[[taxonomy]]
+
+Focus:
+[[focus]]
+
+Reply with a JSON array of objects {"id", "topic", "score" (0-10), "rationale", "secondary_topics"}."""
+
+
+def system_prompt(config, folder=None, name: str = "classify") -> str:
+    """The template (``name``.md in ``folder``, else the built-in one), filled in.
+
+    Marks are replaced as text, so braces of JSON examples stay as they are."""
+    template = (Path(folder) / f"{name}.md").read_text(encoding="utf-8") if folder else PROMPT
+    return template.replace("[[taxonomy]]", config.render_taxonomy()).replace("[[focus]]", config.research_focus or "(none given)")
+
+
+def error_text(error: Exception, production: bool) -> str:
+    """What a log may say: in production only the class and a digest of the message,
+    because messages name private hosts."""
+    text = f"{type(error).__name__}: {error}"
+    return f"{type(error).__name__}: msg#{hashlib.sha256(text.encode()).hexdigest()[:8]}" if production else text
 
 
 @dataclass
@@ -71,7 +95,7 @@ def ingest(store: Store, raw: DataFrame, now: datetime, since=None, until=None,
     return counts
 
 
-def collect(store: Store, configs: list[dict], client, now: datetime, since=None, until=None, tracking=(), only=()) -> CollectResult:
+def collect(store: Store, configs: list[dict], client, now: datetime, since=None, until=None, tracking=(), only=(), production: bool = False) -> CollectResult:
     """Fetch every source, store what is new, then move the cursors.
 
     A failing source is recorded and the others go on. Cursors move only after
@@ -88,7 +112,7 @@ def collect(store: Store, configs: list[dict], client, now: datetime, since=None
             rows += [(c["name"], c["type"], key, payload, now) for key, payload in found]
             state[c["name"]] = (cursor, unchanged, None)
         except Exception as e:
-            state[c["name"]] = (json.loads(old.get("cursor") or "{}"), False, f"{type(e).__name__}: {e}")
+            state[c["name"]] = (json.loads(old.get("cursor") or "{}"), False, error_text(e, production))
     counts = ingest(store, spark.createDataFrame(rows, RAW), now, since, until, tracking) if rows else {}
     runs, seq = [], store.next_seq("source_runs")
     for c in configs:
@@ -128,11 +152,11 @@ def report_entries(store: Store, day: datetime) -> DataFrame:
     return inside.join(names, "canonical_hash", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
 
 
-def post_process(store: Store, config, provider, now: datetime, vault=None) -> dict:
+def post_process(store: Store, config, provider, now: datetime, vault=None, prompts=None) -> dict:
     """Classify, deduplicate, render. Without a provider nothing of it runs."""
     if provider is None:
         return {"skipped": "no provider"}
-    prompt = PROMPT.format(taxonomy=config.render_taxonomy(), focus=config.research_focus or "")
+    prompt = system_prompt(config, prompts)
     superseded = store.supersessions().withColumnRenamed("loser", "canonical_hash")
     pending = with_first_source(unclassified(store.items().drop("current_classification_id"), store.active(), superseded, config.max_items_per_run), store.read("item_sources")).orderBy("ingested_at", "canonical_hash")
     rows, outcome = classify_pending(pending, provider, prompt, config.slugs, batch_size=config.batch_size, token_budget=config.token_budget)

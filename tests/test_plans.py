@@ -215,3 +215,27 @@ def test_command_line(spark, tmp_path):
     assert run("collect", "--source", "feed", "--fail-on-error") == 0
     assert run("status", "--fail-after", "1") == 1
     assert run("synthesize") == 0
+
+
+def test_golden_and_prompts(spark, tmp_path):
+    from quillspark.plans.golden import accuracy, load_golden
+
+    rows = [{"title": f"mcp {i}", "url": f"u{i}", "topic": "mcp", "score": 5} for i in range(3)] + [{"title": "else", "url": "x", "topic": "mcp", "score": 1}]
+    (tmp_path / "golden.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n\n")
+    share, missed = accuracy(load_golden(spark, str(tmp_path / "golden.jsonl")), KeywordProvider({"mcp": ["mcp"]}), "p")
+    assert share == 0.75 and [r["title"] for r in missed.collect()] == ["else"]
+    _, config = configs(tmp_path)
+    (tmp_path / "classify.md").write_text('{"a": 1} [[taxonomy]] / [[focus]]')
+    assert pipeline.system_prompt(config, tmp_path) == '{"a": 1} - mcp: MCP (e.g. a, b)\n- other: rest / (none given)'
+    assert "- other: rest" in pipeline.system_prompt(config)
+
+
+def test_production_hides_names(monkeypatch):
+    from quillspark import __main__ as cli
+
+    secret = OSError("https://private.example/feed")
+    assert "private" in pipeline.error_text(secret, False) and "private" not in pipeline.error_text(secret, True)
+    monkeypatch.setenv("QUILL_LOG_MODE", "production")
+    assert cli._shown("feed").startswith("src#")
+    monkeypatch.setattr(cli, "main", lambda argv: (_ for _ in ()).throw(secret))
+    assert cli.guarded([]) == 1
