@@ -22,8 +22,9 @@ BINS, LEVELS, TOSSES = 64, 3, 4
 #: Phrases that a level must have, in both texts, to be the one compared.
 ENOUGH = 24
 EMPTY = 0xFFFF
-#: Rows that one range of ids holds on average.
-RANGE_ROWS = 2_000
+#: Rows that one range of ids holds on average, and the most ranges there are: their
+#: cuts stand on the driver. A range is walked as a stream, so its size costs no memory.
+RANGE_ROWS, MAX_RANGES = 2_000, 20_000
 _LOW = np.array([(i & -i).bit_length() - 1 if i else 0 for i in range(256)], dtype=np.uint8)
 
 
@@ -179,7 +180,7 @@ def compare_neighbours(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFra
     n = ids.count()
     if n == 0:
         return docs.sparkSession.createDataFrame([], PAIRS)
-    ranges = max(1, -(-n // range_rows))
+    ranges = min(MAX_RANGES, max(1, -(-n // range_rows)))
     cuts = np.unique(np.array(ids.approxQuantile("_k", [i / ranges for i in range(1, ranges)], 0.2 / ranges), dtype=np.float64)).astype(np.int64) if ranges > 1 else np.array([], dtype=np.int64)
 
     # range 0 has the largest ids
