@@ -29,7 +29,7 @@ from .components import components
 
 #: Characters of text in a batch of documents, shingles counted by one task,
 #: and members of a group, on average.
-BATCH_CHARS, COUNT_TOKENS, GROUP_MEMBERS = 2_000_000, 2_000_000, 32
+BATCH_CHARS, COUNT_TOKENS, GROUP_MEMBERS = 1_500_000, 1_500_000, 32
 BANDS, BAND_ROWS = 8, 3
 
 
@@ -109,7 +109,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, batch_cha
 
     prof = materialize(source.mapInPandas(profile, "doc_id long, chars long, n long, k1 long, k2 long"), "neardup-profile")
     class_of = ["n", "k1", "k2"]
-    classes = prof.filter("n > 0").groupBy(*class_of).agg(F.min("doc_id").alias("rep"))
+    # written, so that the final join deals its classes anew and a hot class can be split there
+    classes = materialize(prof.filter("n > 0").groupBy(*class_of).agg(F.min("doc_id").alias("rep")), "neardup-classes")
     totals = prof.agg(F.sum("chars").alias("c"), F.sum("n").alias("n")).first()
     # a pair of different sets needs at least so many shingles on the larger side
     smallest = next(m for m in range(1, 202) if 100 * m >= percent * (m + 1)) if percent < 100 else 1 << 62
