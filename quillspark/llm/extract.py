@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import table, text_or_empty
 from .urlfilter import url_parts
 
@@ -49,6 +50,9 @@ LAYOUT = set("with has no layout".split())
 LEAST_SHARE = 0.4
 #: Elements open at once; a deeper one takes the place of the deepest (as browsers do).
 DEEPEST = 512
+#: Bytes of hosts and paths up to which the winners are broadcast; beyond, they are
+#: joined by host, with large hosts split at run time.
+BROADCAST_BYTES = 16 << 20
 
 
 def _marks(attrs: str):
@@ -216,7 +220,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     def read(page: pd.Series, path: pd.Series) -> pd.Series:
         return pd.Series([article(*parse(p), None if w is None or w != w else w) for p, w in zip(page, path)], dtype=object)
 
-    placed = keyed.join(winners, "_host", "left")
+    winners = materialize(winners, "host-paths")
+    size = winners.agg(F.coalesce(F.sum(F.octet_length("_host") + F.octet_length("_path") + 32), F.lit(0))).first()[0]
+    placed = keyed.join(F.broadcast(winners) if size <= BROADCAST_BYTES else winners, "_host", "left")
     return placed.select(*names, read("_html", "_path").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
