@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a test item go."""
-    leaks = find_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    leaks = find_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), short_items=True)
     return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -8,6 +8,9 @@ items, and the survivors are scored exactly. A retrieved pair counts as a leak
 if question and answer both overlap with the passage, word order included.
 """
 
+import re
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +20,8 @@ from .common import chunks, hashed_words, shingles, span_hashes, table, text_or_
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that retrieves a passage; share of a part's
-#: n-grams that the passage must hold; words of an n-gram; least words of an item.
+#: n-grams that the passage must hold; words of an n-gram; words from which an item
+#: is retrieved by score (a shorter one is matched word for word).
 RETRIEVE, OVERLAP, NGRAM, MIN_ITEM_WORDS = 0.6, 0.6, 2, 4
 #: Share of an item's own score that may lie with terms that open no posting list:
 #: the more it is, the fewer terms are pivots and the looser are the bounds.
@@ -25,6 +29,23 @@ UNOPENED = 0.35
 BLOCK_ITEMS, SHARD_ITEMS = 16, 20_000
 #: Words are runs of letters and digits, so punctuation does not hide a leak.
 MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+#: Punctuation and spaces outside ASCII cut words too.
+_CUTS = re.compile("[\u200b" + "".join(re.escape(chr(c)) for c in range(0x80, 0x20000) if unicodedata.category(chr(c))[0] in "PZ") + "]")
+#: Scripts written without spaces (Thai to Tibetan, Burmese, Khmer, Tai, kana, Han): every code point is a word.
+_ALONE = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aad\ua9e0-\ua9fe\uaa60-\uaadf\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3031-\u3035\u303b\u303c"
+                    "\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
+
+
+def plain(text: str) -> str:
+    """The text with its words set apart by ASCII marks in every script."""
+    if text.isascii():
+        return text
+    text = _CUTS.sub(" ", text.replace("\uff1f", "?").replace("\u061f", "?").replace("\uff1a", ":"))
+    return _ALONE.sub(r" \g<0> ", text) if max(text) >= "\u0e00" else text
+
+
+def _encoded(text: str) -> bytes:
+    return plain(text).encode("utf-8", "surrogatepass")
 
 
 def _grams(words, k: int = NGRAM):
@@ -56,10 +77,10 @@ class Index:
         self.ids, self.terms, self.weights, self.parts = [], [], [], []
         words_of = []
         for item, text in sorted(items):
-            words, _ = hashed_words([text.encode("utf-8", "surrogatepass")], MARKS)
+            words, _ = hashed_words([_encoded(text)], MARKS)
             if len(words) < MIN_ITEM_WORDS:
                 continue
-            question, answer = (hashed_words([p.encode("utf-8", "surrogatepass")], MARKS)[0] for p in split_item(text))
+            question, answer = (hashed_words([_encoded(p)], MARKS)[0] for p in split_item(plain(text)))
             self.ids.append(item)
             self.parts.append((_grams(question), _grams(answer)))
             words_of.append(words)
@@ -167,6 +188,36 @@ class Index:
         return best
 
 
+class ShortItems:
+    """Items of fewer than MIN_ITEM_WORDS words, found where all their words stand
+    in a row; ``bm25`` of such a match is the number of words."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.lists = {}
+        for item, text in sorted(items):
+            words, _ = hashed_words([_encoded(text)], MARKS)
+            if 0 < len(words) < MIN_ITEM_WORDS:
+                self.lists.setdefault(len(words), []).append((int(shingles(words, np.zeros(len(words), dtype=np.int64), len(words))[0][0]), item))
+        self.lists = {k: (np.array([h for h, _ in sorted(v)], dtype=np.uint64), [i for _, i in sorted(v)]) for k, v in self.lists.items()}
+
+    def search(self, texts: list[bytes]):
+        """(text, item id) -> (words, 1, 1, first word of the first match)."""
+        found = {}
+        if not self.lists:
+            return found
+        words, owner = hashed_words(texts, MARKS)
+        first = np.searchsorted(owner, np.arange(len(texts) + 1))
+        for k, (hashes, ids) in self.lists.items():
+            runs, _ = shingles(words, owner, k)
+            at = np.flatnonzero(owner[: max(0, len(words) - k + 1)] == owner[k - 1 :])
+            lo, hi = np.searchsorted(hashes, runs), np.searchsorted(hashes, runs, side="right")
+            for r in np.flatnonzero(hi > lo).tolist():
+                text = int(owner[at[r]])
+                for i in range(lo[r], hi[r]):
+                    found.setdefault((text, ids[i]), (float(k), 1.0, 1.0, int(at[r] - first[text])))
+        return found
+
+
 def _grams_all(words, k: int):
     """All runs of k words, named as :func:`_grams` names them (and as whole sequences)."""
     if len(words) < k:
@@ -179,15 +230,16 @@ def _grams_all(words, k: int):
 LEAKS = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double, first_word long"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_ITEMS, short_items: bool = False) -> DataFrame:
     """(doc_id, item_id, bm25, question_overlap, answer_overlap, first_word) of
     every document that leaks a test item; one row per row of ``docs`` and item.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns
     are ignored. All passages of all texts are searched, whatever their length.
-    Null and empty texts leak nothing; items that are null or have fewer than
-    MIN_ITEM_WORDS words are too short to be recognised and match nothing. The
-    index of at most ``shard_items`` items is broadcast; a larger benchmark is
+    Null and empty texts leak nothing, null and wordless items match nothing.
+    With ``short_items``, as in the query and the pipeline, items of fewer than
+    MIN_ITEM_WORDS words leak where all their words stand in a row; without it
+    they match nothing. The index of at most ``shard_items`` items is broadcast; a larger benchmark is
     searched shard by shard.
     """
     spark = docs.sparkSession
@@ -197,15 +249,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_I
     out = None
     for k in range(shards):
         mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect()
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in mine]))
+        mine = [(r["item_id"], r["text"]) for r in mine]
+        index = spark.sparkContext.broadcast((Index(mine), ShortItems(mine if short_items else [])))
 
         def search(batches, index=index):
+            scored, short = index.value
             for batch in batches:
                 ids = batch["doc_id"].astype("Int64").tolist()
-                raw = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
+                raw = [_encoded(t) for t in batch["text"]]
                 for lo, hi in chunks([len(r) + 1 for r in raw]):
-                    found = index.value.search(raw[lo:hi])
-                    rows = [(ids[lo + t], index.value.ids[i], *v) for (t, i), v in found.items()]
+                    rows = [(ids[lo + t], scored.ids[i], *v) for (t, i), v in scored.search(raw[lo:hi]).items()]
+                    rows += [(ids[lo + t], item, *v) for (t, item), v in short.search(raw[lo:hi]).items()]
                     yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEAKS.split(", ")])
 
         part = docs.select("doc_id", text_or_empty("text").alias("text")).mapInPandas(search, LEAKS)
@@ -214,4 +268,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_I
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True)

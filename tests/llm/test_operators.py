@@ -98,6 +98,16 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_short_items_and_of_scripts_without_spaces(spark):
+    chinese, thai = "水在标准大气压下的沸点是多少？一百摄氏度。", "เมืองหลวงของประเทศไทยคือกรุงเทพมหานคร"
+    items = [(1, chinese), (2, thai), (3, "2+2? 4"), (4, "Quagga"), (5, "？！"), (6, "第二次世界大战于哪一年结束？一九四五年。"), (7, "quagga")]
+    docs = [(1, "前文「" + chinese + "」后文"), (2, "ดู" + thai + "ครับ"), (3, "so 2 + 2 = 4, he said"), (4, "a QUAGGA, seen"), (5, "2 and 2 is 4; quaggas"), (6, "？！"), (7, "今天天气很好，我们去公园散步。" * 9)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 1), (2, 2), (3, 3), (4, 4), (4, 7)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, bench, short_items=True).collect()} == want
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, bench, shard_items=2, short_items=True).collect()} == want
+
+
 def test_bounds_lose_nothing():
     """Pruned retrieval finds what scoring every passage against every item finds."""
     rnd = random.Random(4)
