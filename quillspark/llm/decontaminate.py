@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import chunks, hashed_words, shingles, span_hashes, table, text_or_empty
 
 K1, B = 1.2, 0.75
@@ -27,6 +28,8 @@ RETRIEVE, OVERLAP, NGRAM, MIN_ITEM_WORDS = 0.6, 0.6, 2, 4
 #: the more it is, the fewer terms are pivots and the looser are the bounds.
 UNOPENED = 0.35
 BLOCK_ITEMS, SHARD_ITEMS = 16, 20_000
+#: Least words from one passage to the next.
+STRIDE = 64
 #: Words are runs of letters and digits, so punctuation does not hide a leak.
 MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 #: Punctuation and spaces outside ASCII cut words too.
@@ -70,10 +73,36 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
+def _width(n: int) -> int:
+    """Words of the window in which an item of ``n`` words is confirmed."""
+    return max(STRIDE + 1, 2 * n)
+
+
+def indexes(items: list[tuple[int, str]], stats=None) -> list["Index"]:
+    """Items by the power of two that their window needs as a stride, so that a
+    long item lengthens no other item's passages; weights are those of all items."""
+    classes, words_of = {}, []
+    for item, text in items:
+        words, _ = hashed_words([_encoded(text)], MARKS)
+        if len(words) >= MIN_ITEM_WORDS:
+            words_of.append(words)
+            classes.setdefault((_width(len(words)) - 2).bit_length(), []).append((item, text))
+    stats = stats or statistics(words_of)
+    return [Index(mine, stats) for _, mine in sorted(classes.items())]
+
+
+def statistics(words_of: list):
+    """(items, mean words, sorted terms, items that have each term)."""
+    distinct = [np.unique(w) for w in words_of]
+    terms, df = np.unique(np.concatenate(distinct), return_counts=True) if distinct else (np.array([], dtype=np.uint64), np.array([]))
+    return len(words_of), sum(map(len, words_of)) / max(1, len(words_of)), terms, df
+
+
 class Index:
-    """BM25 postings of test items, with maxima per block of items."""
+    """BM25 postings of test items, with maxima per block of items. ``stats`` are
+    the :func:`statistics` of all items; without them those of ``items``."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], stats=None):
         self.ids, self.terms, self.weights, self.parts = [], [], [], []
         words_of = []
         for item, text in sorted(items):
@@ -85,11 +114,12 @@ class Index:
             self.parts.append((_grams(question), _grams(answer)))
             words_of.append(words)
         n = len(self.ids)
-        self.stride = max([64, *(len(w) for w in words_of)])
-        mean = sum(map(len, words_of)) / max(1, n)
+        self.widths = [_width(len(w)) for w in words_of]
+        # a window of any item lies whole in some passage of two strides
+        self.stride = max([STRIDE, *(w - 1 for w in self.widths)])
         distinct = [np.unique(w, return_counts=True) for w in words_of]
-        vocabulary, df = np.unique(np.concatenate([t for t, _ in distinct]), return_counts=True) if n else (np.array([], dtype=np.uint64), np.array([]))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        total, mean, vocabulary, df = stats or statistics(words_of)
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
         self.threshold, self.rest = np.zeros(n), np.zeros(n)
         postings = []
         for i, (t, tf) in enumerate(distinct):
@@ -134,13 +164,14 @@ class Index:
         key, at = np.unique(query * width + target, return_inverse=True)
         return key // width, key % width, np.bincount(at, weights=weight)
 
-    def search(self, texts: list[bytes]):
+    def search(self, texts: list[bytes], hashed=None):
         """(text, item, score, question overlap, answer overlap, first word of the
-        passage) of every leak; the best passage of each pair."""
+        window) of every leak; the best window of each pair. ``hashed`` are the
+        texts' words, where they are known."""
         best = {}
         if not self.ids:
             return best
-        words, owner = hashed_words(texts, MARKS)
+        words, owner = hashed or hashed_words(texts, MARKS)
         if not len(words):
             return best
         first = np.searchsorted(owner, np.arange(len(texts) + 1))
@@ -182,11 +213,49 @@ class Index:
                 if grams is None:
                     grams = {k: _grams_all(passage, k) for k in range(1, NGRAM + 1)}
                 shares.append(max(float(np.isin(part, grams[k]).mean()) for k in (range(1, NGRAM + 1) if len(part) == 1 else [NGRAM])))
-            if min(shares) >= OVERLAP:
-                found = (score, shares[0], shares[1], int(start))
+            if min(shares) >= OVERLAP and (window_ := self._window(passage, i, grams)):
+                found = (*window_[:3], int(start + window_[3]))
                 best[(text, i)] = max(best.get((text, i), found), found)
         return best
 
+    def _window(self, passage, i: int, grams):
+        """(score, question overlap, answer overlap, first word) of the passage's
+        best window for item ``i`` that reaches all three bounds, or None."""
+        size, width = len(passage), self.widths[i]
+        at = np.minimum(np.searchsorted(self.terms[i], passage), len(self.terms[i]) - 1)
+        hit = np.flatnonzero(self.terms[i][at] == passage)
+        score = _sliding(hit, at[hit], self.weights[i][at[hit]], width - 1, size)
+        shares = []
+        for part in self.parts[i]:
+            share = np.zeros(size) if len(part) else np.ones(size)
+            for k in (range(1, NGRAM + 1) if len(part) == 1 else [NGRAM]) if len(part) else ():
+                run = grams[k]
+                j = np.minimum(np.searchsorted(part, run), len(part) - 1)
+                on = np.flatnonzero(part[j] == run)
+                place = on % max(1, len(run) // 2)  # grams of either name, position by position
+                share = np.maximum(share, _sliding(place, j[on], np.ones(len(on)), width - k, size) / len(part))
+            shares.append(share)
+        ok = np.flatnonzero((score >= self.threshold[i] * (1 - 1e-9)) & (np.minimum(*shares) >= OVERLAP - 1e-9))
+        if not len(ok):
+            return None
+        s = int(ok[np.lexsort((ok, -shares[1][ok].round(9), -shares[0][ok].round(9), -score[ok].round(9)))[0]])
+        held = np.isin(self.terms[i], passage[s : s + width])
+        return float(self.weights[i][held].sum()), float(shares[0][s].round(12)), float(shares[1][s].round(12)), s
+
+
+def _sliding(place, key, value, reach: int, size: int):
+    """For every start s below ``size``: the sum of ``value`` over the distinct
+    keys that have a place in s .. s + reach."""
+    order = np.lexsort((place, key))
+    place, key, value = place[order], key[order], value[order]
+    before = np.full(len(place), -1)
+    same = np.flatnonzero(key[1:] == key[:-1]) + 1
+    before[same] = place[same - 1]
+    # a key counts by its first place in the window
+    begin = np.maximum(np.maximum(before + 1, place - reach), 0)
+    change = np.bincount(begin, weights=value, minlength=size + 1) - np.bincount(place + 1, weights=value, minlength=size + 1)
+    return np.cumsum(change)[:size]
+
 
 class ShortItems:
     """Items of fewer than MIN_ITEM_WORDS words, found where all their words stand
@@ -200,12 +269,12 @@ class ShortItems:
                 self.lists.setdefault(len(words), []).append((int(shingles(words, np.zeros(len(words), dtype=np.int64), len(words))[0][0]), item))
         self.lists = {k: (np.array([h for h, _ in sorted(v)], dtype=np.uint64), [i for _, i in sorted(v)]) for k, v in self.lists.items()}
 
-    def search(self, texts: list[bytes]):
+    def search(self, texts: list[bytes], hashed=None):
         """(text, item id) -> (words, 1, 1, first word of the first match)."""
         found = {}
         if not self.lists:
             return found
-        words, owner = hashed_words(texts, MARKS)
+        words, owner = hashed or hashed_words(texts, MARKS)
         first = np.searchsorted(owner, np.arange(len(texts) + 1))
         for k, (hashes, ids) in self.lists.items():
             runs, _ = shingles(words, owner, k)
@@ -227,6 +296,14 @@ def _grams_all(words, k: int):
     return np.concatenate((whole, shingles(words, np.zeros(len(words), dtype=np.int64), k)[0]))
 
 
+def _item_terms(batches):
+    """Words and distinct terms of the items that are retrieved by score."""
+    for batch in batches:
+        words_of = [hashed_words([_encoded(t)], MARKS)[0] for t in batch["text"]]
+        rows = [(s, len(w), np.unique(w).view(np.int64).tolist()) for s, w in zip(batch["shard"], words_of) if len(w) >= MIN_ITEM_WORDS]
+        yield pd.DataFrame(rows, columns=["shard", "n_words", "terms"])
+
+
 LEAKS = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double, first_word long"
 
 
@@ -240,17 +317,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_I
     With ``short_items``, as in the query and the pipeline, items of fewer than
     MIN_ITEM_WORDS words leak where all their words stand in a row; without it
     they match nothing. The index of at most ``shard_items`` items is broadcast; a larger benchmark is
-    searched shard by shard.
+    searched shard by shard, with the term frequencies and mean length of all its
+    items. An item is confirmed in a window of twice its own words, or of
+    STRIDE + 1 where that is more.
     """
     spark = docs.sparkSession
     items = benchmark.filter("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").distinct()
     n = items.count()
     shards = max(1, -(-n // shard_items))
+    if shards > 1:
+        items = materialize(items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards))), "leak-items")
+        counted = materialize(items.mapInPandas(_item_terms, "shard long, n_words long, terms array<long>"), "leak-terms")
+        total, mean = counted.agg(F.count("*"), F.avg("n_words")).first()
+        terms = counted.select("shard", F.explode("terms").alias("term"))
+        frequency = materialize(terms.groupBy("term").agg(F.count("*").alias("df"), F.collect_set("shard").alias("shards")), "leak-frequencies")
     out = None
     for k in range(shards):
-        mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect()
-        mine = [(r["item_id"], r["text"]) for r in mine]
-        index = spark.sparkContext.broadcast((Index(mine), ShortItems(mine if short_items else [])))
+        stats = None
+        if shards > 1:
+            known = frequency.filter(F.array_contains("shards", k)).select("term", "df").toPandas()
+            term = known["term"].to_numpy(dtype=np.int64).view(np.uint64)
+            order = np.argsort(term)
+            stats = total, mean or 0.0, term[order], known["df"].to_numpy(dtype=np.int64)[order]
+        mine = [(r["item_id"], r["text"]) for r in (items.filter(F.col("shard") == k) if shards > 1 else items).collect()]
+        index = spark.sparkContext.broadcast((indexes(mine, stats), ShortItems(mine if short_items else [])))
 
         def search(batches, index=index):
             scored, short = index.value
@@ -258,8 +348,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_I
                 ids = batch["doc_id"].astype("Int64").tolist()
                 raw = [_encoded(t) for t in batch["text"]]
                 for lo, hi in chunks([len(r) + 1 for r in raw]):
-                    rows = [(ids[lo + t], scored.ids[i], *v) for (t, i), v in scored.search(raw[lo:hi]).items()]
-                    rows += [(ids[lo + t], item, *v) for (t, item), v in short.search(raw[lo:hi]).items()]
+                    hashed = hashed_words(raw[lo:hi], MARKS)
+                    rows = [(ids[lo + t], one.ids[i], *v) for one in scored for (t, i), v in one.search(raw[lo:hi], hashed).items()]
+                    rows += [(ids[lo + t], item, *v) for (t, item), v in short.search(raw[lo:hi], hashed).items()]
                     yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEAKS.split(", ")])
 
         part = docs.select("doc_id", text_or_empty("text").alias("text")).mapInPandas(search, LEAKS)

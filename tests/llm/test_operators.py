@@ -108,6 +108,21 @@ def test_leaks_of_short_items_and_of_scripts_without_spaces(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, bench, shard_items=2, short_items=True).collect()} == want
 
 
+def test_leaks_depend_on_no_other_item(spark):
+    """A long item makes no scattered words a leak, and shards score as one index."""
+    rnd = random.Random(8)
+    fill = lambda n: " ".join(f"f{rnd.randrange(10**6)}" for _ in range(n))
+    long = " ".join(f"z{i}" for i in range(2000))
+    items = [(1, "which river crosses the old town? Danube"), (2, long)] + [(3 + i, words(rnd, 20 + i)) for i in range(20)]
+    scattered = f"which river crosses {fill(500)} crosses the old town {fill(500)} Danube {fill(900)}"
+    docs = [(1, scattered), (2, fill(300) + " " + items[0][1] + " " + fill(300)), (3, fill(70) + " " + long + " " + fill(70)), (4, fill(99) + " " + items[9][1])]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_leaks(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(2, 1), (3, 2), (4, items[9][0])}
+    show = lambda rows: sorted((*r[:2], *(round(x, 9) for x in r[2:])) for r in rows)
+    assert show(decontaminate.find_leaks(df, bench, shard_items=4).collect()) == show(got)
+
+
 def test_bounds_lose_nothing():
     """Pruned retrieval finds what scoring every passage against every item finds."""
     rnd = random.Random(4)
