@@ -19,11 +19,15 @@ from .urlfilter import url_parts
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|title|svg|math|object|canvas)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?:svg|math)(?=[\s/])(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+/>"
+    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|title|svg|math|object|canvas)(?=[\s/>])[^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[a-zA-Z/!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements whose text is never read; an unclosed one takes what follows only if it holds code.
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template iframe textarea title svg math object canvas".split()}
+CODE = {"script", "style"}
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -31,7 +35,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CONTAINERS = set("body main article section div td".split())
-SKIPPED = set("head nav footer aside form button select menu dialog audio video fieldset".split())
+SKIPPED = set("head nav footer aside button select menu dialog audio video fieldset".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end an open one of the same group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -48,6 +52,8 @@ STEMS = ("comment", "cookie", "sidebar", "advert", "sponsor", "newsletter", "bre
 LAYOUT = set("with has no layout".split())
 #: A host's path is not taken where it finds less than this share of the page's own best text.
 LEAST_SHARE = 0.4
+#: A form is read where less than this share of its text stands outside of it.
+FORM_SHARE = 0.1
 #: Elements open at once; a deeper one takes the place of the deepest (as browsers do).
 DEEPEST = 512
 #: Bytes of hosts and paths up to which the winners are broadcast; beyond, they are
@@ -73,22 +79,38 @@ def _marks(attrs: str):
 
 def parse(page: str):
     """(blocks, containers) of a page; names of classes are not heeded where they
-    would leave nothing of it."""
-    blocks, containers = _parse(page, True)
-    return (blocks, containers) if blocks else _parse(page, False)
+    would leave nothing of it. Forms are skipped but where they hold all the
+    page's text, or all but a trifle."""
+    blocks, formed, containers = _parse(page, True)
+    outside = _without(blocks, formed)
+    if outside:
+        return outside, containers
+    if not any(not f for f in formed):
+        others, their_formed, their_containers = _parse(page, False)
+        outside = _without(others, their_formed)
+        if outside or not blocks:
+            return outside or others, their_containers
+    return blocks, containers
+
+
+def _without(blocks, formed):
+    """The blocks outside of forms, none if they are a trifle against those inside."""
+    outside = [b for b, f in zip(blocks, formed) if not f]
+    size = lambda some: sum(len(t) for t, _, _ in some)
+    return outside if len(outside) == len(blocks) or size(outside) >= FORM_SHARE * (size(blocks) - size(outside)) else []
 
 
 def _parse(page: str, heed: bool):
-    """(blocks, containers) of a page.
+    """(blocks, is each inside a form, containers) of a page.
 
     A block is (text, share of it in links, indexes of the open containers); a
     container is its generalised path. What is marked as menu, header, footer,
-    sidebar, notice, advert, form, script, style or comment yields no block.
+    sidebar, notice, advert, script, style or comment yields no block.
     """
-    blocks, containers = [], []
+    blocks, formed, containers = [], [], []
     stack = []  # (tag, skipped, container or None, path)
     run, linked = [], 0
-    skipping, links = 0, 0
+    skipping, links, forms = 0, 0, 0
 
     def close_block():
         nonlocal linked
@@ -96,12 +118,14 @@ def _parse(page: str, heed: bool):
             text = " ".join("".join(run).split())
             if text:
                 blocks.append((text, linked, [s[2] for s in stack if s[2] is not None]))
+                formed.append(forms > 0)
             run.clear()
         linked = 0
 
     def pop():
-        nonlocal skipping, links
+        nonlocal skipping, links, forms
         tag, skipped, _, _ = stack.pop()
+        forms -= tag == "form"
         skipping -= skipped
         links -= tag == "a"
 
@@ -112,10 +136,20 @@ def _parse(page: str, heed: bool):
             if links:
                 linked += len(part)
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, unclosed = 0, set()
+    while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
+        if raw := m["raw"]:
+            raw = raw.lower()
+            end = None if raw in unclosed else _RAW_END[raw].search(page, at)
+            if end:
+                at = end.end()
+            elif raw in CODE:
+                at = len(page)
+            else:
+                unclosed.add(raw)
+            continue
         tag = m["tag"]
         if tag is None:
             continue
@@ -153,11 +187,12 @@ def _parse(page: str, heed: bool):
             container = len(containers)
             containers.append(path)
         stack.append((tag, skipped, container, path))
+        forms += tag == "form"
         skipping += skipped
         links += tag == "a"
     text(page[at:])
     close_block()
-    return blocks, containers
+    return blocks, formed, containers
 
 
 def _score(text: str, linked: int) -> float:

@@ -238,6 +238,27 @@ def test_host_consensus_beats_the_page(spark):
     assert got[9] == "brief story here, in full"
 
 
+BODY = "<article><p>before the mark</p>{}<p>after the mark</p></article>"
+
+
+@pytest.mark.parametrize("mark", ["<svg class='i'/>", "<math/>", "<svg-icon name=x></svg-icon>", "<object-card></object-card>", "<title-bar></title-bar>", "<object data=x>", "<svg a='1>0' />", "<canvas>", "<iframe src=/a/></iframe>", "<SVG><text>no</text></svg>"])
+def test_text_after_raw_elements_stays(mark):
+    assert extract.article(*extract.parse(BODY.format(mark)), None) == "before the mark\nafter the mark"
+
+
+def test_unclosed_code_is_not_read():
+    assert extract.article(*extract.parse(BODY.format("<script>var a = 1;")), None) == "before the mark"
+
+
+def test_form_around_the_page():
+    inner = "<div class=nav>menu</div><div class=main-text><h1>Title</h1><p>" + "words " * 20 + "</p></div>"
+    want = "Title\n" + ("words " * 20).strip()
+    for page in ("<body><form id=aspnetForm>" + inner + "</form></body>", "<body><p>(c)</p><form>" + inner + "</form></body>"):
+        assert extract.article(*extract.parse(page), None).endswith(want) and "menu" not in extract.article(*extract.parse(page), None)
+    assert extract.article(*extract.parse("<body class=x><div class=popup>all is in here</div><form>Go</form>"), None) == "all is in here"
+    assert extract.article(*extract.parse("<body><p>" + "story " * 9 + "</p><form>your mail</form>"), None) == ("story " * 9).strip()
+
+
 @pytest.mark.parametrize("page", ["<p a='x", "<!-- open", "<script>x", "&am", "<<>>", "</p></div>", "<b>x</p>y", "<p " + "x='" * 2000, "<div>a" * 5000, "<b>" * 5000])
 def test_broken_markup(page):
     extract.article(*extract.parse(page), None)
