@@ -3,7 +3,8 @@
 Each page's containers are scored by the text of their own blocks; Spark sums the
 scores of generalised tag-class paths per host; the winning path of the host is
 where every page of the host is read again. A page without that container, or
-with far more text elsewhere, keeps its own best one.
+with far more text elsewhere, keeps its own best one. Either is widened to the
+article around it.
 """
 
 import html as entities
@@ -211,13 +212,70 @@ def candidates(blocks, containers) -> list[tuple[str, float, int]]:
     return [(p, s, i) for i, (p, s) in enumerate(zip(containers, score)) if s > 0]
 
 
+def _widened(blocks, containers, chosen: set[int]) -> list[bool]:
+    """For every block: does it belong to the article that a chosen container is in?
+
+    That is the nearest article or main, and a main whose only article this is.
+    Without one, containers are left outwards up to the body as long as what
+    comes in is not mostly links. Of the body itself come in its own headings
+    and paragraphs and, beside a section, other sections.
+    """
+    chain, chars, linked_chars, articles = {}, {}, {}, {}
+    kind_of = [p.rsplit("/", 1)[-1].split(".", 1)[0] for p in containers]
+    for text, linked, open_ in blocks:
+        for k, c in enumerate(open_):
+            chain.setdefault(c, open_[: k + 1] if c in chosen else None)
+            chars[c] = chars.get(c, 0) + len(text)
+            linked_chars[c] = linked_chars.get(c, 0) + linked
+            if kind_of[c] == "article":
+                for outer in open_[:k]:
+                    if kind_of[outer] == "main":
+                        articles.setdefault(outer, set()).add(c)
+
+    def adds(inner, outer):
+        return 2 * (linked_chars[outer] - linked_chars[inner]) <= chars[outer] - chars[inner]
+
+    whole, bodies = set(), {}
+    for c in chosen & chain.keys():
+        around = chain[c][::-1]
+        kinds = [kind_of[a] for a in around]
+        at = next((k for k, kind in enumerate(kinds) if kind in ("article", "main")), None)
+        if at is not None:
+            c = around[at]
+            for outer, kind in zip(around[at + 1 :], kinds[at + 1 :]):
+                if kind == "main" and len(articles[outer]) == 1 and adds(c, outer):
+                    c = outer
+        else:
+            last = c
+            for outer, kind in zip(around[1:], kinds[1:]):
+                if kind == "body":
+                    bodies[outer] = bodies.get(outer, False) or kind_of[last] == "section"
+                    break
+                if not adds(last, outer):
+                    break
+                last = outer
+            c = last
+        whole.add(c)
+
+    def belongs(text, linked, open_):
+        if whole.intersection(open_):
+            return True
+        if not open_ or 2 * linked > len(text):
+            return False
+        # the body's own text, and sections that stand in it
+        return open_[-1] in bodies or any(bodies.get(o) and kind_of[i] == "section" for o, i in zip(open_, open_[1:]))
+
+    return [belongs(*b) for b in blocks]
+
+
 def article(blocks, containers, path: str | None) -> str:
-    """The text below the containers at ``path``, else below the page's best one."""
+    """The text of the article around the containers at ``path``, else around the
+    page's best one."""
     found = candidates(blocks, containers)
     if not found:
         return "\n".join(t for t, _, _ in blocks)
     own = max(found, key=lambda c: (c[1], -c[2]))[2]
-    pick = lambda chosen: [t for t, _, open_ in blocks if chosen.intersection(open_)]
+    pick = lambda chosen: [t for (t, _, _), keep in zip(blocks, _widened(blocks, containers, chosen)) if keep]
     best = pick({own})
     if path is not None:
         agreed = pick({i for i, p in enumerate(containers) if p == path})

@@ -250,6 +250,23 @@ def test_unclosed_code_is_not_read():
     assert extract.article(*extract.parse(BODY.format("<script>var a = 1;")), None) == "before the mark"
 
 
+def test_article_around_its_longest_part(spark):
+    lead, story, tail = "lead " * 60, "story " * 500, "tail " * 40
+    parts = [f"<h1>Title</h1><p>{lead}</p>", f"<div class='story'><p>{story}</p></div>", f"<p>{tail}</p>"]
+    want = "\n".join(["Title", lead.strip(), story.strip(), tail.strip()])
+    menu = "<div class=x><a href=/>" + "link " * 90 + "</a></div>"
+    pages = [f"<body>{menu}<article>{''.join(parts)}</article></body>",
+             f"<body>{menu}<main>{parts[0]}<article>{parts[1]}{parts[2]}</article></main></body>",
+             f"<body><div class=page>{menu}<div class=content>{''.join(parts)}</div></div></body>",
+             f"<body>{menu}{''.join(parts)}</body>",
+             f"<body>{menu}<section class=a>{parts[0]}</section><section class=b>{story}</section><section class=c>{tail}</section></body>"]
+    for page in pages:
+        assert extract.article(*extract.parse(page), None) == want
+    rows = [(k, f"http://h{k}.com/{n}", page) for k, page in enumerate(pages) for n in range(3)]
+    got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {want}
+
+
 def test_form_around_the_page():
     inner = "<div class=nav>menu</div><div class=main-text><h1>Title</h1><p>" + "words " * 20 + "</p></div>"
     want = "Title\n" + ("words " * 20).strip()
