@@ -3,7 +3,8 @@
 Exact components of the graph in which two texts are linked when the Jaccard
 likeness of their shingle sets reaches a threshold.
 
-1. Texts with equal sets form a class; only its first document goes on.
+1. Texts with equal sets form a class with a number of its own; one of its rows
+   goes on. Numbers become doc_ids only when all links are known.
 2. Frequencies of all shingles over all classes, counted batch by batch: a batch
    of documents asks once for each of its distinct shingles, so a shingle that a
    third of all texts share costs one entry per batch.
@@ -99,18 +100,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, batch_cha
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    source = docs.select("doc_id", text_or_empty("text").alias("text"))
+    # a row is found again by its id (or, without one, the text's hash) and the text's hash
+    source = docs.select("doc_id", text_or_empty("text").alias("text")).withColumn("th", F.xxhash64("text")).select(
+        F.col("doc_id").isNull().alias("lone"), F.coalesce("doc_id", "th").alias("key"), "th", "text")
 
     def profile(batches):
         for batch in batches:
             sets = shingle_sets(batch["text"].tolist(), k)
             keys = [_set_key(s) for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "chars": batch["text"].str.len(), "n": [len(s) for s in sets], "k1": [a for a, _ in keys], "k2": [b for _, b in keys]})
+            yield pd.DataFrame({"lone": batch["lone"], "key": batch["key"], "th": batch["th"], "chars": batch["text"].str.len(), "n": [len(s) for s in sets], "k1": [a for a, _ in keys], "k2": [b for _, b in keys]})
 
-    prof = materialize(source.mapInPandas(profile, "doc_id long, chars long, n long, k1 long, k2 long"), "neardup-profile")
+    prof = materialize(source.mapInPandas(profile, "lone boolean, key long, th long, chars long, n long, k1 long, k2 long"), "neardup-profile")
+    prof = prof.withColumn("doc_id", F.when(~F.col("lone"), F.col("key")))
     class_of = ["n", "k1", "k2"]
     # written, so that the final join deals its classes anew and a hot class can be split there
-    classes = materialize(prof.filter("n > 0").groupBy(*class_of).agg(F.min("doc_id").alias("rep")), "neardup-classes")
+    classes = materialize(prof.filter("n > 0").groupBy(*class_of).agg(
+        F.min("doc_id").alias("least"), F.min(F.struct("lone", "key", "th")).alias("r")
+    ).select(*class_of, "least", "r.key", "r.th", F.monotonically_increasing_id().alias("rep")), "neardup-classes")
     totals = prof.agg(F.sum("chars").alias("c"), F.sum("n").alias("n")).first()
     # a pair of different sets needs at least so many shingles on the larger side
     smallest = next(m for m in range(1, 202) if 100 * m >= percent * (m + 1)) if percent < 100 else 1 << 62
@@ -118,16 +124,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, batch_cha
     parts = max(1, -(-int(totals["n"] or 0) // count_tokens))
 
     batch_of = lambda c: F.pmod(F.xxhash64(c), F.lit(batches_n)).cast("long")
-    texts = source.filter("doc_id IS NOT NULL").withColumn("b", batch_of("doc_id"))
-    reps = classes.filter(F.col("rep").isNotNull() & (F.col("n") >= smallest)).select("rep", "n").distinct().withColumn("b", batch_of("rep"))
+    # copies without an id are folded before they meet in a batch
+    texts = source.filter("NOT lone").unionByName(source.filter("lone").distinct()).drop("lone").withColumn("b", batch_of("key"))
+    reps = classes.filter(F.col("n") >= smallest).select("rep", "n", "k1", "k2", "key", "th").withColumn("b", batch_of("key"))
 
     def pick(docs_pd, wanted):
-        """Sets of the batch's documents that stand for a class."""
-        sizes = set(zip(wanted["rep"].tolist(), wanted["n"].astype("int64").tolist()))
-        ids = {r for r, _ in sizes}
-        mine = docs_pd[docs_pd["doc_id"].isin(ids)].drop_duplicates("doc_id")
-        sets = shingle_sets(mine["text"].tolist(), k)
-        return [(i, s) for i, s in zip(mine["doc_id"].tolist(), sets) if (i, len(s)) in sizes]
+        """(class, set) of the batch's rows that stand for a class."""
+        left = {(n, a, b): rep for n, a, b, rep in zip(*(wanted[c].tolist() for c in ("n", "k1", "k2", "rep")))}
+        mine = docs_pd[docs_pd["key"].isin(wanted["key"]) & docs_pd["th"].isin(wanted["th"])].drop_duplicates(["key", "th"])
+        named = [((len(s), *_set_key(s)), s) for s in shingle_sets(mine["text"].tolist(), k)]
+        return [(left.pop(name), s) for name, s in named if name in left]
 
     def ask(docs_pd, wanted):
         """A batch's distinct shingles with their counts, for each counting task."""
@@ -162,13 +168,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, batch_cha
 
     asked = texts.groupBy("b").cogroup(reps.groupBy("b")).applyInPandas(ask, "p long, b long, tokens binary, counts binary")
     answered = asked.groupBy("p").applyInPandas(answer, "b long, p long, tokens binary, df binary")
-    replies = answered.withColumns({"rep": F.lit(None).cast("long"), "n": F.lit(None).cast("long")}).unionByName(
-        reps.select("b", F.lit(None).cast("long").alias("p"), F.lit(None).cast("binary").alias("tokens"), F.lit(None).cast("binary").alias("df"), "rep", "n")
+    # no nulls among the numbers: they would come as floats
+    replies = answered.withColumns({c: F.lit(-1).cast("long") for c in ("rep", "n", "k1", "k2", "key", "th")}).unionByName(
+        reps.select("b", F.lit(-1).cast("long").alias("p"), F.lit(None).cast("binary").alias("tokens"), F.lit(None).cast("binary").alias("df"), "rep", "n", "k1", "k2", "key", "th")
     )
 
     def sketch(docs_pd, told):
         """Sets that may have a partner: size, shared shingles, prefix, bands."""
-        wanted, got = told[told["rep"].notna()], told[told["p"].notna()]
+        wanted, got = told[told["rep"] >= 0], told[told["p"] >= 0]
         rows = []
         if len(got) and len(wanted) and len(docs_pd):
             slots = np.concatenate([np.frombuffer(t, dtype=np.uint32).astype(np.uint64) | np.uint64(int(p) << 32) for p, t in zip(got["p"], got["tokens"])])
@@ -240,12 +247,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, batch_cha
     joined = components(near.unionByName(across))
 
     # one doc_id with several texts: its classes are one document
-    labelled = prof.join(classes, class_of, "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
-    clashing = labelled.filter("doc_id IS NOT NULL AND rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
+    labelled = prof.select("doc_id", "n", "k1", "k2").join(classes.select(*class_of, "least", "rep"), class_of, "left").select("doc_id", F.col("n").alias("n_shingles"), "least", "rep")
+    clashing = labelled.filter("doc_id IS NOT NULL AND rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("doc_id", "a")
     if not clashing.isEmpty():
-        several = labelled.filter("doc_id IS NOT NULL AND rep IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        several = labelled.filter("rep IS NOT NULL").select("doc_id", F.col("rep").alias("b")).join(clashing, "doc_id").select("a", "b")
         joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(several))
-    return labelled.join(joined, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    # classes of a component take its least doc_id
+    joined = joined.checkpoint()
+    least = joined.join(classes.select("rep", "least"), F.col("node") == F.col("rep")).groupBy("root").agg(F.min("least").alias("found"))
+    named = joined.join(least, "root").select("node", "found")
+    return labelled.join(named, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("found", "least", "doc_id").alias("component_id"))
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:

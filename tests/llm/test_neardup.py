@@ -74,6 +74,24 @@ def test_edges(spark):
     assert {r["component_id"] for r in jaccard_components(extra).collect()} == {1}
 
 
+def test_every_class_links_by_its_own_set(spark):
+    """Repeated ids with different texts, and classes without any id, link and bridge."""
+    base = [f"w{i}" for i in range(60)]
+    one, two, three = list(base), list(base), list(base)
+    one[3] = two[3] = three[3] = "x1"
+    two[30] = three[30] = "x2"
+    three[50] = "x3"
+    other = [f"v{i}" for i in range(60)]
+    near = other[:59] + ["end"]
+    big = 2**60 + 1
+    rows = [(1, " ".join(base[::-1])), (1, " ".join(other)), (5, " ".join(other)), (9, " ".join(near)),
+            (20, " ".join(one)), (None, " ".join(two)), (None, " ".join(two)), (30, " ".join(three)), (big, " ".join(base[::-1][:59]))]
+    for order in (rows, rows[::-1]):
+        got = Counter(map(tuple, jaccard_components(spark.createDataFrame(order, DDL).repartition(3), 5, 80, batch_chars=900, count_tokens=90).collect()))
+        assert got == brute(order, 5, 80)
+    assert {c for i, _, c in got if i in (5, 9)} == {1} and {c for i, _, c in got if i in (20, 30)} == {20}
+
+
 def test_components(spark):
     shared_dir(spark)
     rnd = random.Random(4)
