@@ -24,15 +24,17 @@ def build_session(app: str = "quillspark", master: str | None = None, **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one named by ``spark.checkpoint.dir``; a temporary folder is used
-    only where that setting is absent (single-machine tests).
+    It is the one named by ``spark.checkpoint.dir``, else the one the session's
+    owner gave to ``setCheckpointDir``. Where neither is set, a temporary folder is
+    made on a local master; on a cluster that is an error, as no folder of one
+    machine is seen by the others.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_quillspark_dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = getattr(spark, "_quillspark_dir", None)
-        if base is None:
-            base = spark._quillspark_dir = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-            spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = spark._quillspark_dir = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        spark.sparkContext.setCheckpointDir(base)
     return base
 
 
