@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 #: The word pattern of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes up to which a written table may be broadcast (beyond, it is joined by key).
+BROADCAST_BYTES = 16 << 20
 #: Bytes of text that a vectorised step holds at once (a longer text is one step).
 CHUNK_BYTES = 1 << 20
 
@@ -18,6 +20,21 @@ def text_or_empty(c) -> Column:
     return F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(""))
 
 
+def small(written: DataFrame, row_bytes: int) -> DataFrame:
+    """``written`` with a broadcast hint if its rows of about ``row_bytes`` fit
+    BROADCAST_BYTES; else as it is, for a join by key. The rows joined are the
+    same either way."""
+    return F.broadcast(written) if written.count() * row_bytes <= BROADCAST_BYTES else written
+
+
+def unused(name: str, *columns) -> str:
+    """``name``, lengthened until no column has it (whatever its case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of ``WORD`` runs, by the JVM: every run becomes one letter, then
     what is left of the white space is taken off."""

@@ -2,29 +2,39 @@
 
 Records are written by Spark's text sink (the record separator is its line
 separator) and read as whole binary files, so both sides use only Spark's own
-file systems. Deduplication shuffles headers by payload digest, decides which
-record stays the response, and writes fresh archives in which all others are
-revisits; resolution joins the revisits to their originals.
+file systems. Deduplication reads every archive's headers once into a table,
+shuffles them by payload digest to decide which record stays the response, and
+writes fresh archives in which all others are revisits; resolution joins the
+revisits to their originals. Payloads are never shuffled.
+
+Records of like size share a folder, so a bound on records bounds a file's bytes.
 """
 
 import base64
 import gzip
 import hashlib
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-from .common import table, text_or_empty
+from ..session import materialize, scratch_path
+from .common import small, table, text_or_empty
 
-#: Bytes of records in one archive file (a reader holds one file).
+#: Bytes of records in one archive file on average. A reader holds one file, which has
+#: at most four times as many bytes, or one record.
 ARCHIVE_BYTES = 16 << 20
+#: Largest payload of the first folder; each further one holds payloads up to four times as large.
+SMALL_BYTES = 16 << 10
+#: Bytes of payloads that a reader hands on at once.
+BATCH_BYTES = 8 << 20
+HEADER_BYTES = 600
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-DATE = "2024-01-01T00:00:00Z"
-RECORD = "record_id string, record_type string, page_id long, uri string, payload_digest string, payload_bytes long, refers_to_id string, payload string"
+HEADS = "folder string, record_id string, record_type string, page_id long, uri string, date string, payload_digest string, payload_bytes long, refers_to_id string, refers_to_uri string, refers_to_date string"
+RECORD = HEADS + ", payload string"
 
 
 def base32_sha1(data: Column) -> Column:
@@ -35,46 +45,65 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*[letter(group(i), shift) for i in range(8) for shift in (15, 10, 5, 0)])
 
 
-def _record(kind: Column, record_id: Column, page_id: Column, uri: Column, digest: Column, refers_to: Column, refers_uri: Column, payload: Column) -> Column:
-    response = kind == "response"
-    block = F.when(response, F.concat(F.lit(HTTP_HEAD), payload)).otherwise(F.lit(HTTP_HEAD))
+def _record(record_id: Column, page_id: Column, uri: Column, date: Column, digest: Column, payload: Column, original: Column | None = None) -> Column:
+    """A record as text; ``original`` (id, uri, date) makes it a revisit where it is not null."""
+    size = F.octet_length(payload) + len(HTTP_HEAD)
+    block = F.concat(F.lit(HTTP_HEAD), payload)
+    revisit = ()
+    kind = F.lit("response")
+    if original is not None:
+        again = original.isNotNull()
+        kind = F.when(again, "revisit").otherwise("response")
+        size, block = F.when(again, len(HTTP_HEAD)).otherwise(size), F.when(again, HTTP_HEAD).otherwise(block)
+        revisit = (
+            F.when(again, f"WARC-Profile: {PROFILE}"),
+            F.when(again, F.concat(F.lit("WARC-Refers-To: <urn:uuid:"), original["id"], F.lit(">"))),
+            F.when(again, F.concat(F.lit("WARC-Refers-To-Target-URI: "), original["uri"])),
+            F.when(again, F.concat(F.lit("WARC-Refers-To-Date: "), original["date"])),
+        )
     head = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), kind),
         F.concat(F.lit("WARC-Record-ID: <urn:uuid:"), record_id, F.lit(">")),
         F.concat(F.lit("WARC-Target-URI: "), uri),
-        F.lit(f"WARC-Date: {DATE}"),
+        F.concat(F.lit("WARC-Date: "), date),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), digest),
         F.concat(F.lit("X-Page-Id: "), page_id.cast("string")),
-        F.when(~response, F.lit(f"WARC-Profile: {PROFILE}")),
-        F.when(~response, F.concat(F.lit("WARC-Refers-To: <urn:uuid:"), refers_to, F.lit(">"))),
-        F.when(~response, F.concat(F.lit("WARC-Refers-To-Target-URI: "), refers_uri)),
+        *revisit,
         F.lit("Content-Type: application/http; msgtype=response"),
-        F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
+        F.concat(F.lit("Content-Length: "), size.cast("string")),
     )
     return F.concat(head, F.lit("\r\n\r\n"), block)
 
 
-def _write(values: DataFrame, records: int, total_bytes: int, path: str) -> None:
-    """Archives of about ARCHIVE_BYTES from rows of ``value``, written where the
-    rows are: a file is closed after as many records as make that size on average."""
-    each = max(1, int(ARCHIVE_BYTES * records / max(1, total_bytes)))
-    values.select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+def _write(values: DataFrame, records: int, total: int, largest: int, path: str) -> None:
+    """Archives from rows of ``value``, written where the rows are. A file is closed
+    after as many records as make ARCHIVE_BYTES on average; the ``largest`` payload
+    bounds what an unlucky run of records can make of that."""
+    bound = 4 * ARCHIVE_BYTES // (largest + HEADER_BYTES)
+    each = max(1, min(bound, ARCHIVE_BYTES * records // (total + HEADER_BYTES * records + 1)))
+    values.select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", each).text(path)
 
 
-def write_archive(pages: DataFrame, path: str) -> None:
+def write_archive(pages: DataFrame, path: str, date: str | None = None) -> None:
     """One response record per row of ``pages`` (page_id, url, html).
 
     Null html is an empty payload, a null url an empty target; white space in a
     url is percent-encoded so that it stays on its header line. Record ids are
-    drawn anew at each writing.
+    drawn anew at each writing; ``date`` is the time of capture (now, if not given).
+    Repeated rows are a record each; other columns are ignored; an empty table
+    gives an archive without records.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     uri = F.regexp_replace(F.regexp_replace(text_or_empty("url"), r"[\r\n\t\x0B\x0C\x00]", "%0A"), " ", "%20")
-    rows = pages.select("page_id", uri.alias("uri"), text_or_empty("html").alias("payload"), F.expr("uuid()").alias("id"))
-    n, total = pages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_or_empty("html")) + 600), F.lit(0))).first()
-    value = _record(F.lit("response"), F.col("id"), F.col("page_id"), F.col("uri"), base32_sha1(F.col("payload")), F.lit(None), F.lit(None), F.col("payload"))
-    _write(rows.select(value.alias("value")), n, total, path)
+    rows = pages.select("page_id", uri.alias("uri"), text_or_empty("html").alias("payload"))
+    size = F.octet_length("payload").cast("long")
+    kind = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1)) / SMALL_BYTES) / 2)).cast("int")
+    found = rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(size).alias("total"), F.max(size).alias("largest")).collect()
+    for k, n, total, largest in found or [(0, 0, 0, 0)]:
+        value = _record(F.expr("uuid()"), F.col("page_id"), F.col("uri"), F.lit(date), base32_sha1(F.col("payload")), F.col("payload"))
+        _write((rows if len(found) < 2 else rows.filter(kind == k)).select(value.alias("value")), n, total, largest, f"{path}/size-{k}")
 
 
 def parse_archive(data: bytes):
@@ -94,58 +123,88 @@ def parse_archive(data: bytes):
         at = end
 
 
-def read_archive(spark, path: str) -> DataFrame:
-    """A row per record. Digest and size of responses are computed from the
-    payload read; revisits carry the digest of their header and no payload."""
+def read_archive(spark, path: str, payloads: bool = True) -> DataFrame:
+    """A row per response and revisit record below ``path``; other records are left out.
+
+    Size of a response is that of the payload read. With ``payloads`` rows have the
+    payload and the digest that the header states; without, the digest is computed
+    from the payload. Revisits have the digest of their header and no payload.
+    ``folder`` is where the record's file stands.
+    """
+    ddl = RECORD if payloads else HEADS
+    names = [c.split()[0] for c in ddl.split(", ")]
+
+    def frame(rows):
+        return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "payload_bytes": "Int64"})
 
     def parse(batches):
+        bare = lambda x: x and x.removeprefix("<urn:uuid:").removesuffix(">")
         for batch in batches:
-            for data in batch["content"]:
-                rows = []
+            for file, data in zip(batch["path"], batch["content"]):
+                rows, held, folder = [], 0, file.rsplit("/", 1)[0]
                 for head, block in parse_archive(bytes(data)):
-                    kind = head["warc-type"]
-                    payload = block.split(b"\r\n\r\n", 1)[1] if kind == "response" else None
-                    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if payload is not None else head["warc-payload-digest"].partition(":")[2]
+                    kind = head.get("warc-type")
+                    if kind not in ("response", "revisit"):
+                        continue
+                    payload = block[block.index(b"\r\n\r\n") + 4 :] if kind == "response" else None
+                    stated = head.get("warc-payload-digest", "").partition(":")[2]
+                    digest = stated if payload is None or (payloads and stated) else base64.b32encode(hashlib.sha1(payload).digest()).decode()
                     page = head.get("x-page-id")
-                    bare = lambda x: x and x.removeprefix("<urn:uuid:").removesuffix(">")
-                    rows.append((bare(head["warc-record-id"]), kind, int(page) if page else None, head.get("warc-target-uri", ""), digest, len(payload) if payload is not None else None, bare(head.get("warc-refers-to")), payload.decode("utf-8") if payload is not None else None))
-                for k in range(0, len(rows), 500):
-                    out = pd.DataFrame(rows[k : k + 500], columns=[c.split()[0] for c in RECORD.split(", ")])
-                    yield out.astype({"page_id": "Int64", "payload_bytes": "Int64"})
+                    row = (folder, bare(head["warc-record-id"]), kind, int(page) if page else None, head.get("warc-target-uri", ""), head.get("warc-date"), digest, None if payload is None else len(payload),
+                           bare(head.get("warc-refers-to")), head.get("warc-refers-to-target-uri"), head.get("warc-refers-to-date"))
+                    rows.append((*row, None if payload is None else payload.decode("utf-8")) if payloads else row)
+                    held += len(payload or b"") if payloads else 1
+                    if held >= BATCH_BYTES or len(rows) >= 2000:
+                        yield frame(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield frame(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, RECORD)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(parse, ddl)
 
 
 def deduplicate_archive(spark, source: str, target: str, min_bytes: int = 0) -> None:
     """Write the records of ``source`` anew, each payload of at least ``min_bytes``
     once: the record with the largest page_id (then record id; null ids last)
-    stays a response, the others revisit it."""
-    records = read_archive(spark, source)
-    heads = records.select("record_id", "page_id", "uri", "payload_digest", "payload_bytes")
-    best = heads.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(
-        F.max(F.struct("page_id", "record_id", "uri")).alias("best"), F.count("*").alias("n")
-    ).filter("n > 1").select("payload_digest", "payload_bytes", "best")
-    revisits = heads.join(best, ["payload_digest", "payload_bytes"]).filter(F.col("record_id") != F.col("best.record_id")).select(
-        F.col("record_id").alias("_id"), F.col("best.record_id").alias("to_id"), F.col("best.uri").alias("to_uri")
-    )
-    n, total = heads.agg(F.count("*"), F.coalesce(F.sum(F.col("payload_bytes") + 600), F.lit(0))).first()
-    rows = records.join(revisits, F.col("record_id") == F.col("_id"), "left")
-    kind = F.when(F.col("to_id").isNull(), "response").otherwise("revisit")
-    value = _record(kind, F.col("record_id"), F.col("page_id"), F.col("uri"), F.col("payload_digest"), F.col("to_id"), F.col("to_uri"), F.col("payload"))
-    _write(rows.select(value.alias("value")), n, total, target)
+    stays a response, the others revisit it. Revisits of the source keep their
+    original, or what that revisits now. All records get new ids."""
+    heads = materialize(read_archive(spark, source, payloads=False), "warc-heads")
+    best = materialize(heads.filter((F.col("payload_bytes") >= min_bytes) & (F.col("record_type") == "response")).groupBy("payload_digest", "payload_bytes").agg(
+        F.max(F.struct("page_id", "record_id", "uri", "date")).alias("best"), F.count("*").alias("n")
+    ).filter("n > 1").select("payload_digest", "payload_bytes", "best"), "warc-best")
+    fresh = lambda c: F.regexp_replace(F.md5(F.concat_ws(" ", c, F.lit(target))), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
+    again = heads.filter("record_type = 'response'").join(small(best, 300), ["payload_digest", "payload_bytes"]).filter(F.col("record_id") != F.col("best.record_id")).select(
+        F.col("record_id").alias("_id"), F.col("best.record_id").alias("to"), F.struct(fresh(F.col("best.record_id")).alias("id"), F.col("best.uri").alias("uri"), F.col("best.date").alias("date")).alias("original"))
+    again = materialize(again, "warc-revisits")
+    folders = heads.groupBy("folder").agg(F.count("*").alias("n"), F.sum(F.coalesce("payload_bytes", F.lit(0))).alias("total"), F.coalesce(F.max("payload_bytes"), F.lit(0)).alias("largest"), F.count_if(F.col("record_type") == "revisit").alias("old")).collect()
+    if any(f["old"] for f in folders):
+        moved = again.select(F.col("_id").alias("refers_to_id"), "original")
+        kept = F.struct(fresh(F.col("refers_to_id")).alias("id"), F.col("refers_to_uri").alias("uri"), F.col("refers_to_date").alias("date"))
+        again = again.select("_id", "original").unionByName(heads.filter("record_type = 'revisit'").join(moved, "refers_to_id", "left").select(
+            F.col("record_id").alias("_id"), F.coalesce("original", kept).alias("original")))
+        again = materialize(again, "warc-revisits")
+    for folder, n, total, largest, _ in folders or [(None, 0, 0, 0, 0)]:
+        rows = read_archive(spark, folder or source).join(small(again.select("_id", "original"), 300), F.col("record_id") == F.col("_id"), "left")
+        value = _record(fresh(F.col("record_id")), F.col("page_id"), F.col("uri"), F.col("date"), F.col("payload_digest"), F.col("payload"), F.col("original"))
+        _write(rows.select(value.alias("value")), n, total, largest, f"{target}/{folder.rsplit('/', 1)[1] if folder else 'size-0'}")
 
 
 def resolve_revisits(spark, path: str) -> DataFrame:
     """Every record with its full payload's size and digest and, for revisits,
     ``refers_to``: the page_id of the response that holds the payload."""
-    records = read_archive(spark, path).drop("payload")
-    originals = records.filter("record_type = 'response'").select(F.col("record_id").alias("_o"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"))
-    return records.join(originals, F.col("refers_to_id") == F.col("_o"), "left").select(
+    heads = materialize(read_archive(spark, path, payloads=False), "warc-resolved")
+    asked = heads.filter("record_type = 'revisit'").select(F.col("refers_to_id").alias("record_id")).distinct()
+    originals = materialize(heads.filter("record_type = 'response'").join(asked, "record_id", "left_semi").select(
+        F.col("record_id").alias("_o"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes")), "warc-originals")
+    return heads.join(small(originals, 100), F.col("refers_to_id") == F.col("_o"), "left").select(
         "page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "record_id", "uri"
     )
 
 
 def op7_warc_revisits(spark, sf_dir: str) -> DataFrame:
+    """Writes ``pages`` as an archive, deduplicates it and resolves what it reads
+    back: one row per row of ``pages``. Null html is the empty payload; rows
+    that repeat, and null page_ids, are records of their own."""
     crawl, fresh = scratch_path(spark, "warc-crawl"), scratch_path(spark, "warc-dedup")
     write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), crawl)
     deduplicate_archive(spark, crawl, fresh, min_bytes=0)
