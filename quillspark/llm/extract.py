@@ -7,6 +7,7 @@ with far more text elsewhere, keeps its own best one. Either is widened to the
 article around it.
 """
 
+import hashlib
 import html as entities
 import re
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import table, text_or_empty
+from .common import BROADCAST_BYTES, table, text_or_empty
 from .urlfilter import url_parts
 
 _TOKEN = re.compile(
@@ -37,7 +38,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CONTAINERS = set("body main article section div td".split())
 SKIPPED = set("head nav footer aside button select menu dialog audio video fieldset".split())
-HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements that no main stands in: one that is open around it was left open.
+NEVER_AROUND_MAIN = set("head nav header footer aside".split())
 #: Elements that end an open one of the same group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words of class, id and role that mark what is not the article.
@@ -49,31 +51,52 @@ MARKERS = set(
 )
 #: Beginnings of further such words (``commentlist``, ``cookiebar``).
 STEMS = ("comment", "cookie", "sidebar", "advert", "sponsor", "newsletter", "breadcrumb", "footer", "disqus", "navbar", "popup")
+#: Words with such a beginning that name the article's own text.
+OWN_WORDS = ("commentar", "commented")
+#: Words that mark inside an article too, whatever stands beside them.
+STRONG = set("ad ads adv advert adverts advertisement sponsored comment comments commentlist disqus sidebar newsletter breadcrumb breadcrumbs navbar paywall gdpr".split())
+#: Words that say nothing of what an element holds. Inside an article any
+#: other word beside a marker makes a name of the article's own (``social-science``).
+NEUTRAL = set(
+    "area articles bar block bottom box button buttons card cards center container count elements float form group head header holder icons inline inner item items layer left line links list "
+    "main message more now outer page panel placeholder popover post posts print region right row section site slot stories story strip tag tools top unit wrap wrapper".split()
+)
 #: Words of class names that describe a page's layout, not what an element holds.
 LAYOUT = set("with has no layout".split())
 #: A host's path is not taken where it finds less than this share of the page's own best text.
 LEAST_SHARE = 0.4
 #: A form is read where less than this share of its text stands outside of it.
 FORM_SHARE = 0.1
-#: Elements open at once; a deeper one takes the place of the deepest (as browsers do).
+#: Containers open at once; an element deeper inside belongs to the deepest of them.
 DEEPEST = 512
-#: Bytes of hosts and paths up to which the winners are broadcast; beyond, they are
-#: joined by host, with large hosts split at run time.
-BROADCAST_BYTES = 16 << 20
+#: Letters from which a path is abridged.
+LONG_PATH = 2000
+
+
+def _named(token: str, inside: bool) -> bool:
+    """Does a class, id or role name something else than the article? ``inside`` an
+    article it must name nothing of the article's own beside."""
+    words = {w.lower() for w in _WORD.findall(token)}
+    if not words or words & LAYOUT:
+        return False
+    marked = {w for w in words if w in MARKERS or (w.startswith(STEMS) and not w.startswith(OWN_WORDS))}
+    if not marked or not inside:
+        return bool(marked)
+    return bool(words & STRONG) or (words - marked <= NEUTRAL and words != {"responses"})
 
 
-def _marks(attrs: str):
+def _marks(attrs: str, inside: bool):
     """(is hidden, is named as something else than the article, is named as a
     header, first class without digits)."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
     if not found:
         return False, False, False, ""
     names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-    words = {w.lower() for w in _WORD.findall(names)}
     style = found.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
-    named = not words & LAYOUT and (bool(words & MARKERS) or any(w.startswith(STEMS) for w in words))
-    header = "header" in words and (bool(words & {"site", "page", "top", "main"}) or "header" in names.split())
+    named = any(_named(t, inside) for t in names.split())
+    words = {w.lower() for w in _WORD.findall(names)} if "eader" in names or "EADER" in names else set()
+    header = "header" in words and not words & LAYOUT and (bool(words & {"site", "page", "top", "main"}) or "header" in names.split())
     first = (found.get("class") or found.get("id") or "").split()
     return hidden, named, header, re.sub(r"\d+", "", first[0]).strip("-_").lower() if first else ""
 
@@ -110,28 +133,41 @@ def _parse(page: str, heed: bool):
     """
     blocks, formed, containers = [], [], []
     stack = []  # (tag, skipped, container or None, path)
+    inner, paragraphs = [], []  # places in the stack of open containers and paragraphs
     run, linked = [], 0
-    skipping, links, forms = 0, 0, 0
+    skipping, links, forms, own, heads, bodies = 0, 0, 0, 0, 0, 0
 
     def close_block():
         nonlocal linked
         if run:
             text = " ".join("".join(run).split())
             if text:
-                blocks.append((text, linked, [s[2] for s in stack if s[2] is not None]))
+                blocks.append((text, linked, [stack[k][2] for k in inner]))
                 formed.append(forms > 0)
             run.clear()
         linked = 0
 
-    def pop():
-        nonlocal skipping, links, forms
-        tag, skipped, _, _ = stack.pop()
-        forms -= tag == "form"
-        skipping -= skipped
-        links -= tag == "a"
+    def pop_to(depth):
+        nonlocal skipping, links, forms, own, heads
+        while len(stack) > depth:
+            tag, skipped, container, _ = stack.pop()
+            if container is not None:
+                inner.pop()
+            if tag == "p":
+                paragraphs.pop()
+            forms -= tag == "form"
+            own -= tag in ("article", "main")
+            heads -= tag == "head"
+            skipping -= skipped
+            links -= tag == "a"
+
+    def outermost(tags):
+        return next((k for k, s in enumerate(stack) if s[0] in tags), len(stack))
 
     def text(part):
         nonlocal linked
+        if heads and part and not part.isspace():
+            pop_to(outermost({"head"}))  # text ends a head that was left open
         if part and not skipping:
             run.append(part := entities.unescape(part))
             if links:
@@ -164,31 +200,42 @@ def _parse(page: str, heed: bool):
             continue
         if m["end"]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is None or (tag in INLINE and any(s[2] is not None for s in stack[depth:])):
+            if depth is None or (tag in INLINE and inner and inner[-1] >= depth):
                 continue
             if tag not in INLINE:
                 close_block()
-            while len(stack) > depth:
-                pop()
+            pop_to(depth)
             continue
         if tag not in INLINE:
             close_block()
-            while stack and any(s[0] == "p" for s in stack) and not any(s[2] is not None for s in stack[max(k for k, s in enumerate(stack) if s[0] == "p") :]):
-                pop()  # a block ends an open paragraph and what is open inside it
+            if paragraphs and (not inner or inner[-1] < paragraphs[-1]):
+                pop_to(paragraphs[-1])  # a block ends an open paragraph and what is open inside it
             if tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
-                pop()
-        if len(stack) >= DEEPEST:
-            pop()
-        hidden, named, header, name = _marks(m["attrs"])
-        article = any(s[0] in ("article", "main") for s in stack)
-        skipped = tag not in ("html", "body", "article", "main") and (tag in SKIPPED or hidden or (heed and named) or ((tag == "header" or (heed and header)) and not article))
+                pop_to(len(stack) - 1)
+        if heads:
+            pop_to(outermost({"head"}))  # and so does any element that no head can hold
+        if tag == "body":
+            bodies += 1
+            if bodies == 1:
+                pop_to(1 if stack and stack[0][0] == "html" else 0)
+        elif tag == "main":
+            pop_to(outermost(NEVER_AROUND_MAIN))
+        hidden, named, header, name = _marks(m["attrs"], own > 0)
+        skipped = tag not in ("html", "body", "article", "main") and (tag in SKIPPED or hidden or (heed and named) or ((tag == "header" or (heed and header)) and not own))
         path = f"{stack[-1][3] if stack else ''}/{tag}{'.' + name if name else ''}"
+        if len(path) > LONG_PATH:  # a long way is told apart by its digest
+            path = "/" + hashlib.md5(path.encode("utf-8", "surrogatepass")).hexdigest() + path[path.rindex("/") :]
         container = None
-        if tag in CONTAINERS:
+        if tag in CONTAINERS and len(inner) < DEEPEST:
             container = len(containers)
             containers.append(path)
+            inner.append(len(stack))
+        if tag == "p":
+            paragraphs.append(len(stack))
         stack.append((tag, skipped, container, path))
         forms += tag == "form"
+        own += tag in ("article", "main")
+        heads += tag == "head"
         skipping += skipped
         links += tag == "a"
     text(page[at:])
@@ -285,39 +332,44 @@ def article(blocks, containers, path: str | None) -> str:
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Adds ``text`` and ``n_chars`` to ``pages``; columns of these names are replaced.
+    """Adds ``text`` and ``n_chars`` to ``pages``; columns of these names are
+    replaced, all others are kept, whatever their names.
 
     Blocks stand in page order, joined by one line feed; white space inside a
     block is one space; character references are decoded. Null or empty html
     gives the empty text. Pages without a host are read by their own best
     container. Of paths with equal votes the smaller text wins. Every host is
-    decided by sums of votes; no host's pages are gathered.
+    decided by sums of votes; no host's pages are gathered. Repeated rows vote and
+    are read each for itself; an empty table gives no rows. Pages are read whole;
+    beyond DEEPEST containers inside each other a block belongs to the last of them.
     """
-    names = [c for c in pages.columns if c not in ("text", "n_chars")]
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("text", "n_chars")]
     host, _ = url_parts(F.col(url))
-    keyed = pages.select(*names).withColumns({"_host": host, "_html": text_or_empty(F.col(html))})
+    keyed = pages.select(F.struct(*kept).alias("row"), host.alias("host"), text_or_empty(F.col(html)).alias("html"))
 
     def vote(batches):
         for batch in batches:
             sums = {}
-            for h, page in zip(batch["_host"], batch["_html"]):
+            for h, page in zip(batch["host"], batch["html"]):
                 for path, score in {p: s for p, s, _ in sorted(candidates(*parse(page)), key=lambda c: c[1])}.items():
                     sums[h, path] = sums.get((h, path), 0.0) + score
-            yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["_host", "path", "score"])
+            yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["host", "path", "score"])
 
-    votes = keyed.filter("_host <> ''").select("_host", "_html").mapInPandas(vote, "_host string, path string, score double")
-    winners = votes.groupBy("_host", "path").agg(F.round(F.sum("score")).alias("score")).groupBy("_host").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), F.length("path").alias("n"), "path"))["path"].alias("_path"))
+    votes = keyed.filter("host <> ''").select("host", "html").mapInPandas(vote, "host string, path string, score double")
+    winners = votes.groupBy("host", "path").agg(F.round(F.sum("score")).alias("score")).groupBy("host").agg(
+        F.min(F.struct((-F.col("score")).alias("s"), F.length("path").alias("n"), "path"))["path"].alias("path"))
 
     @F.pandas_udf("string")
     def read(page: pd.Series, path: pd.Series) -> pd.Series:
         return pd.Series([article(*parse(p), None if w is None or w != w else w) for p, w in zip(page, path)], dtype=object)
 
     winners = materialize(winners, "host-paths")
-    size = winners.agg(F.coalesce(F.sum(F.octet_length("_host") + F.octet_length("_path") + 32), F.lit(0))).first()[0]
-    placed = keyed.join(F.broadcast(winners) if size <= BROADCAST_BYTES else winners, "_host", "left")
-    return placed.select(*names, read("_html", "_path").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    size = winners.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 32), F.lit(0))).first()[0]
+    placed = keyed.join(F.broadcast(winners) if size <= BROADCAST_BYTES else winners, "host", "left")
+    return placed.select("row.*", read("html", "path").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6_extract(spark, sf_dir: str) -> DataFrame:
+    """The main text of every row of ``pages``; see :func:`extract` for nulls,
+    empty and repeated rows."""
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")

@@ -267,6 +267,42 @@ def test_article_around_its_longest_part(spark):
     assert {r["text"] for r in got} == {want}
 
 
+def test_pages_that_leave_elements_open():
+    read = lambda page: extract.article(*extract.parse(page), None)
+    assert read("<html><head><title>t</title><meta a=b><body><article><p>a story</p></article>") == "a story"
+    assert read("<html><head><title>t</title><p>a story") == "a story"
+    assert read("<head><title>t</title>\n a story") == "a story"
+    assert read("<body><nav><a href=x>menu</a><main><p>a story</p></main>") == "a story"
+    assert read("<div>" * 2000 + "<nav>menu</nav>a story") == "a story"
+    assert read("<body><nav><p>menu</p></nav><p>a story</p>") == "a story"
+
+
+def test_markers_are_whole_names_inside_an_article():
+    own = ["social-science", "search-results", "alert-word", "responses", "commentary", "has-sidebar", "popular-culture"]
+    other = ["main-comment layout", "share-buttons", "related-posts", "comment-body", "ad", "newsletter-box", "cookie-notice"]
+    page = "<body><article><p>lead</p>" + "".join(f"<div class='{c}'>{c.split()[0]} text</div>" for c in own + other) + "</article>"
+    assert extract.article(*extract.parse(page), None).split("\n") == ["lead"] + [f"{c} text" for c in own]
+    page = "<body><div class=content><p>a story</p></div><div class='main-comment layout'>a longer comment than the story</div>"
+    assert extract.article(*extract.parse(page), None) == "a story"
+
+
+def test_extract_against_plain_votes(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    df = spark.read.parquet(f"{SF}/pages.parquet").withColumns({"host": F.lit("h"), "path": F.lit("p"), "row": F.lit(1), "_host": F.lit("x")})
+    rows = df.collect()
+    host = lambda u: re.match(r"(?:.*?://([^/?#]*))?", u or "", re.S)[1] or ""
+    votes = {}
+    for r in rows:
+        for path, score in {p: s for p, s, _ in sorted(extract.candidates(*extract.parse(r["html"] or "")), key=lambda c: c[1])}.items():
+            mine = votes.setdefault(host(r["url"]).lower(), {})
+            mine[path] = mine.get(path, 0) + score
+    won = {h: min(v, key=lambda p: (-round(v[p]), len(p), p)) for h, v in votes.items() if h and v}
+    want = {r["page_id"]: extract.article(*extract.parse(r["html"] or ""), won.get(host(r["url"]).lower())) for r in rows}
+    got = extract.extract(df).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want and len(got) == len(rows) and {(r["host"], r["path"], r["row"], r["_host"]) for r in got} == {("h", "p", 1, "x")}
+
+
 def test_form_around_the_page():
     inner = "<div class=nav>menu</div><div class=main-text><h1>Title</h1><p>" + "words " * 20 + "</p></div>"
     want = "Title\n" + ("words " * 20).strip()
