@@ -6,8 +6,6 @@ occurs are run. Overlapping detections are settled by priority and by interval
 containment. One projection, no shuffle: a row needs nothing but itself.
 """
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +19,8 @@ BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights r
 #: Certainty of a detection by priority.
 CERTAINTY = {1: 0.3, 2: 0.6, 3: 0.8, 4: 0.9, 5: 0.98}
 BASE_PRIORITY = 3
+#: A detection, and the detections that one piece of a long list holds.
+HIT, RUN = "struct<start:int,end:int,priority:int,base:boolean,label:string>", 256
 
 #: License names: label, words of the name, versions.
 NAMED = [
@@ -140,22 +140,89 @@ def rules() -> list[dict]:
     return out
 
 
+def gate_pattern(words) -> str:
+    """A pattern that matches where any of ``words`` begins: common beginnings are
+    tried once, so a text's word fails at its first letter that no keyword has."""
+    tree = {}
+    for word in words:
+        at = tree
+        for letter in word:
+            at = at.setdefault(letter, {})
+        at[""] = {}
+
+    def shown(node):
+        if "" in node:  # longer words with this beginning match here too
+            return ""
+        parts = [letter + shown(rest) for letter, rest in sorted(node.items())]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return shown(tree)
+
+
 def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" ")))
 
 
-def _places(words: Column, rule: Column) -> Column:
-    """Intervals [start, end) in words of a rule's matches in ``words``."""
-    pattern = F.concat(F.lit("(?<= )(?:"), rule["pattern"], F.lit(")(?= )"))
-    found, gaps = F.regexp_extract_all(words, pattern, F.lit(0)), F.split(words, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+def _running(items: Column, state: Column, step, kind: str) -> Column:
+    """``step(state, item) -> (state, result)`` over an array: the results in order,
+    as array<``kind``>. Pieces of RUN items are collected apart, so the cost of a
+    long array is not that of its square."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def piece(state, i):
+        def one(acc, item):
+            after, result = step(acc["state"], item)
+            return F.struct(after.alias("state"), F.concat(acc["out"], F.array(result)).alias("out"))
+
+        return F.aggregate(F.slice(items, i + 1, F.lit(RUN)), F.struct(state.alias("state"), none.alias("out")), one)
+
+    first = F.array(F.struct(state.alias("state"), none.alias("out")))
+    pieces = F.aggregate(F.sequence(F.lit(0), F.size(items) - 1, F.lit(RUN)), first, lambda acc, i: F.concat(acc, F.array(piece(F.element_at(acc, -1)["state"], i))))
+    return F.when(F.size(items) > 0, F.flatten(F.transform(pieces, lambda p: p["out"]))).otherwise(none)
+
+
+def _matches(words: str, listed: list[dict]) -> Column:
+    """What every rule finds in the column ``words`` and what stands between. Patterns
+    are constants, and run only where their keyword begins a word. (One SQL text: so
+    many rules are slow to build call by call. Patterns hold no quotes.)"""
+    groups = {}
+    for rule in listed:
+        groups.setdefault(rule["keyword"], []).append(rule)
+
+    def found(rule):
+        pattern = f"r'(?<= )(?:{rule['pattern']})(?= )'"
+        return (f"IF({words} RLIKE {pattern}, named_struct('found', regexp_extract_all({words}, {pattern}, 0), 'gaps', split({words}, {pattern}, -1), "
+                f"'priority', {rule['priority']}, 'base', {str(rule['base']).lower()}, 'label', '{rule['label']}'), NULL)")
+
+    each = [f"IF(contains({words}, ' {keyword}'), array({', '.join(map(found, mine))}), array())" for keyword, mine in groups.items()]
+    return F.expr(f"filter(flatten(array({', '.join(each)})), m -> m IS NOT NULL)")
+
+
+def _places(match: Column) -> Column:
+    """Intervals of words [start, end) of one rule's matches, with the rule."""
+    def step(at, i):
+        begin = at + _spaces(F.get(match["gaps"], i))
+        end = begin + _spaces(F.get(match["found"], i))
+        return end, F.struct((begin - 1).alias("start"), end.alias("end"), match["priority"].alias("priority"), match["base"].alias("base"), match["label"].alias("label"))
+
+    return _running(F.sequence(F.lit(0), F.size(match["found"]) - 1), F.lit(0), step, HIT)
+
+
+def _settled(hits: Column) -> Column:
+    """The detections that stay, by one sweep over the places in order: the state
+    holds, for every priority, how far its detections reach so far."""
+    ordered = F.array_sort(F.transform(hits, lambda d: F.struct(
+        d["start"].alias("start"), (-d["end"]).alias("back"), (-d["priority"]).alias("mild"), d["label"].alias("label"), d["base"].alias("base"))))
+    levels = sorted(CERTAINTY)
 
-    def step(state, i):
-        at = state["at"] + _spaces(F.get(gaps, i))
-        end = at + _spaces(F.get(found, i))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct((at - 1).alias("start"), end.alias("end")))).alias("out"))
+    def step(reach, d):
+        end, priority = -d["back"], -d["mild"]
+        beaten = F.exists(F.sequence(priority, F.lit(levels[-1])), lambda p: F.element_at(reach, p) >= end)
+        after = F.transform(reach, lambda r, i: F.when(i + 1 == priority, F.greatest(r, end)).otherwise(r))
+        return after, F.struct(d["start"].alias("start"), end.alias("end"), priority.alias("priority"), d["base"].alias("base"), d["label"].alias("label"), (d["base"] | ~beaten).alias("stays"))
 
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step)["out"]).otherwise(zero["out"])
+    swept = _running(ordered, F.array(*[F.lit(-1) for _ in levels]), step, HIT[:-1] + ",stays:boolean>")
+    return F.transform(F.filter(swept, lambda d: d["stays"]), lambda d: d.dropFields("stays"))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -166,48 +233,33 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     same priority that is longer (of equals: the smaller label stays). Base
     detections always stay. Null and empty texts have 0 words, no labels, score
     0 and null places. Score is the certainty of the best detection kept.
-    Columns of ``docs`` with these names are replaced; others are kept; repeated
-    rows are each scanned.
+    Columns of ``docs`` with these names are replaced; all others are kept,
+    whatever their names; repeated rows are each scanned; an empty table gives no
+    rows. Texts are scanned whole, in time that grows with their length and the
+    number of detections, not with its square.
     """
     made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
-    table_ = rules()
-    listed = F.from_json(F.lit(json.dumps(table_)), "array<struct<label:string,pattern:string,keyword:string,priority:int,base:boolean>>")
-    gate = "|".join(sorted({r["keyword"] for r in table_}))
-    docs = docs.drop(*made)
-    keep = [F.col(f"`{c}`") for c in docs.columns]
-    plain = docs.select(*keep, F.concat(F.lit(" "), F.trim(F.regexp_replace(text_or_empty(F.col(text)), GAP, " ")), F.lit(" ")).alias("_w"))
+    listed = rules()
+    gate = gate_pattern({r["keyword"] for r in listed})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])
+    plain = docs.select(row.alias("row"), F.concat(F.lit(" "), F.trim(F.regexp_replace(text_or_empty(F.col(text)), GAP, " ")), F.lit(" ")).alias("words"))
     gated = plain.select(
-        *keep,
-        F.when(F.col("_w") == "  ", 0).otherwise(_spaces(F.col("_w")) - 1).cast("long").alias("n_words"),
-        F.when(F.col("_w").rlike(f"(?i) (?:{gate})"), F.translate("_w", UPPER, LOWER)).alias("_w"),
+        "row",
+        F.when(F.col("words") == "  ", 0).otherwise(_spaces(F.col("words")) - 1).cast("long").alias("n_words"),
+        F.when(F.col("words").rlike(f"(?i) {gate}"), F.translate("words", UPPER, LOWER)).alias("words"),
     )
-    hits = F.flatten(F.transform(
-        F.filter(listed, lambda r: F.contains(F.col("_w"), r["keyword"])),
-        lambda r: F.transform(_places(F.col("_w"), r), lambda p: F.struct(
-            p["start"].alias("start"), p["end"].alias("end"), r["priority"].alias("priority"), r["base"].alias("base"), r["label"].alias("label"))),
-    ))
-    empty = F.array().cast("array<struct<start:int,end:int,priority:int,base:boolean,label:string>>")
-    scanned = gated.select(*keep, "n_words", F.when(F.col("_w").isNotNull(), F.array_sort(hits)).otherwise(empty).alias("_hits"))
-
-    def beaten(d):
-        def by(e):
-            inside = (e["start"] <= d["start"]) & (e["end"] >= d["end"])
-            longer = (e["end"] - e["start"]) > (d["end"] - d["start"])
-            same = (e["end"] - e["start"]) == (d["end"] - d["start"])
-            return inside & ((e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (longer | (same & (e["label"] < d["label"])))))
-        return by
-
-    kept = F.filter("_hits", lambda d: d["base"] | ~F.exists("_hits", beaten(d)))
-    settled = scanned.select(*keep, "n_words", F.filter("_hits", lambda d: d["base"]).alias("_base"), kept.alias("detections"))
+    empty = F.array().cast(f"array<{HIT}>")
+    scanned = gated.select("row", "n_words", F.when(F.col("words").isNotNull(), F.flatten(F.transform(_matches("words", listed), _places))).otherwise(empty).alias("hits"))
+    settled = scanned.select("row", "n_words", F.filter("hits", lambda d: d["base"]).alias("base"), F.when(F.size("hits") > 0, _settled(F.col("hits"))).otherwise(empty).alias("detections"))
     certainty = F.create_map(*[F.lit(x) for kv in CERTAINTY.items() for x in kv])
     names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda d: d["label"]))), ",")
     return settled.select(
-        *keep,
+        "row.*",
         "n_words",
-        F.size("_base").cast("long").alias("n_base"),
-        F.array_min(F.transform("_base", lambda d: d["start"])).cast("long").alias("first_word"),
-        F.array_max(F.transform("_base", lambda d: d["start"])).cast("long").alias("last_word"),
-        names("_base").alias("base_labels"),
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.transform("base", lambda d: d["start"])).cast("long").alias("first_word"),
+        F.array_max(F.transform("base", lambda d: d["start"])).cast("long").alias("last_word"),
+        names("base").alias("base_labels"),
         names("detections").alias("labels"),
         F.coalesce(F.array_max(F.transform("detections", lambda d: F.element_at(certainty, d["priority"]))), F.lit(0.0)).alias("score"),
         "detections",
@@ -215,5 +267,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op10_licenses(spark, sf_dir: str) -> DataFrame:
+    """The scan of every row of ``documents``; see :func:`scan_licenses` for nulls,
+    empty texts and repeated rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_licenses(docs).drop("text", "detections")

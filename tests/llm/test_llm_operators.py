@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -393,3 +394,44 @@ def test_license_rules_and_suppression(spark):
     labels = licenses.scan_licenses(spark.createDataFrame([(text,)], "text string")).first()["labels"].split(",")
     assert {"cc-by-nc-4.0", "apache-2.0", "lgpl-2.1", "cc-by", "gpl"} <= set(labels)
     assert not {"cc-by-nc", "lgpl", "apache", "copyright"} & set(labels)
+
+
+def plain_scan(text):
+    """Detections by one pattern after the other and every pair compared."""
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), " " + " ".join(re.findall("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+", text or "")) + " ")
+    hits = []
+    for r in licenses.rules():
+        for m in re.finditer(f"(?<= )(?:{r['pattern']})(?= )", w):
+            start = w[: m.start()].count(" ") - 1
+            hits.append((start, start + m[0].count(" ") + 1, r["priority"], r["base"], r["label"]))
+
+    def beats(e, d):
+        inside, longer = e[0] <= d[0] and e[1] >= d[1], e[1] - e[0] - d[1] + d[0]
+        return inside and (e[2] > d[2] or (e[2] == d[2] and (longer > 0 or (longer == 0 and e[4] < d[4]))))
+
+    base = [d for d in hits if d[3]]
+    kept = {d for d in hits if d[3] or not any(beats(e, d) for e in hits)}
+    return (len(w.split()), len(base), min((d[0] for d in base), default=None), max((d[0] for d in base), default=None), ",".join(sorted({d[4] for d in base})), ",".join(sorted({d[4] for d in kept})),
+            max((licenses.CERTAINTY[d[2]] for d in kept), default=0.0)), kept
+
+
+def test_licenses_against_plain_loops(spark):
+    rnd = random.Random(9)
+    pieces = ["cc by", "CC-BY-SA 4.0", "all rights reserved", "GNU General Public License", "version 2.0", "the Apache License, Version 2.0", "licensed under", "copyright 2020", "MIT license", "BSD", "3-clause BSD",
+              "creative commons attribution share-alike 3.0 unported", "lgpl v2.1 or later", "public domain", "terms of use", "word", "é", "mozilla public license", "for personal use only"]
+    texts = [" ".join(rnd.choice(pieces) for _ in range(rnd.randrange(40))) for _ in range(150)] + ["cc by " * 900, None, ""]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, row int, words int")
+    for r in licenses.scan_licenses(df).collect():
+        want, kept = plain_scan(r["text"])
+        assert tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")) == want and (r["row"], r["words"]) == (1, 2)
+        assert {(d["start"], d["end"], d["priority"], d["base"], d["label"]) for d in r["detections"]} == kept
+
+
+def test_license_scan_of_dense_text_is_not_quadratic(spark):
+    began, took = 0, []
+    for n in (5_000, 50_000):
+        df = spark.createDataFrame([("copyright x " * n,)], "text string")
+        began = time.time()
+        assert licenses.scan_licenses(df).select(F.size("detections").alias("n")).first()["n"] == n
+        took.append(time.time() - began)
+    assert took[1] < 20 * max(1.0, took[0])
