@@ -14,9 +14,10 @@ inside a cell, so a source with a third of all rows is dealt over many tasks.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, word_count
+from ..session import materialize
+from .common import small, table, text_or_empty, word_count
 
-#: Most rows ranked by one task on average: fuller cells are salted.
+#: Most rows ranked by one task on average: fuller cells are salted by a digest of the id.
 CELL_ROWS = 20_000
 SEED = "mix-1"
 
@@ -52,57 +53,75 @@ def targets(sources: DataFrame, weights=(1, 2, 3), cap: float = 3.0) -> DataFram
     return s.select("source", "source_size", F.least("top", F.coalesce(F.col("level") * F.col("w"), F.col("top"))).alias("target"))
 
 
+def _sized(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n): rows of ``docs`` (text, keys) with their sizes, equal ones counted.
+    Written once: the words of a text are counted once."""
+    sized = docs.select(*[k for k in keys if k != "size"], word_count(text_or_empty("text")).alias("size"))
+    return materialize(sized.groupBy(*keys).agg(F.count("*").alias("n")), "mix-sizes")
+
+
+def _sampled(sized: DataFrame, more: list[str], weights, cap: float, seed: str, cell_rows: int) -> DataFrame:
+    """``sized`` (doc_id, source, size, ``more``, n) with source_size, target, and
+    what the sample is read off: ``u``, ``rate`` and ``start``, the rows before."""
+    cells = materialize(sized.groupBy("source", "size").agg(F.sum("n").alias("rows")), "mix-cells")
+    per_source = targets(cells.groupBy("source").agg(F.sum(F.col("rows") * F.col("size")).cast("long").alias("source_size")), weights, cap)
+    # fuller cells are dealt over salts; how many is a function of the cell's rows alone
+    fuller = cells.filter(F.col("rows") > cell_rows).select(F.col("source").alias("s2"), F.col("size").alias("z2"), F.ceil(F.col("rows") / F.lit(float(cell_rows))).cast("long").alias("salts"))
+    salt = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), *[F.col(m).cast("string") for m in more], F.lit(""))), 1, 8), 16, 10).cast("long"), F.coalesce("salts", F.lit(1)))
+    spread = sized.join(small(fuller, 60), F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")), "left").withColumn("salt", salt).drop("s2", "z2", "salts")
+    starts = spread.groupBy("source", "size", "salt").agg(F.sum("n").alias("rows")).withColumn(
+        "first", F.sum("rows").over(Window.partitionBy("source").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows"))
+    inside = Window.partitionBy("source", "size", "salt").orderBy("doc_id", *more).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = spread.withColumn("last", F.sum("n").over(inside))
+    a, b, c = ranked.alias("a"), starts.alias("b"), per_source.alias("c")
+    joined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.salt") == F.col("b.salt"))).join(
+        c, F.col("a.source").eqNullSafe(F.col("c.source")))
+    return joined.select(
+        "a.doc_id", "a.source", "a.size", *[f"a.{m}" for m in more], "a.n", "c.source_size", "c.target", offset(F.col("a.source"), seed).alias("u"),
+        F.when(F.col("c.source_size") > 0, F.col("c.target") / F.col("c.source_size")).otherwise(0.0).alias("rate"), (F.col("b.first") + F.col("a.last") - F.col("a.n")).alias("start"))
+
+
+def _crossed(upto: Column, since: Column) -> Column:
+    """Integer boundaries that the running sum crosses between two places."""
+    return (F.floor(F.col("u") + F.col("rate") * upto) - F.floor(F.col("u") + F.col("rate") * since)).cast("long")
+
+
 def mix(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, seed: str = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of every row of ``docs``.
 
     ``docs`` needs doc_id, text and source; other columns are ignored. Null text
     has size 0. A null source is a source of its own, after all others. Rows of a
-    source of size 0 get 0 copies. Repeated rows (same id, same text) are ranked
-    one after another: together they get the same number of copies on every run.
-    An empty table gives no rows. At most ceil(cap) copies of a row are taken.
+    source of size 0 get 0 copies. Rows without an id, and repeated rows (same id
+    and size), stand side by side and are counted as one entry until the end: which
+    of them gets a copy does not show. An empty table gives no rows. At most
+    ceil(cap) copies of a row are taken. Reruns agree.
     """
-    sized = docs.select("doc_id", "source", word_count(text_or_empty("text")).alias("size"))
-    cells = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
-    per_source = targets(
-        cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("source_size")), weights, cap
-    )
-    # salts(size) is a function of the number of rows in the cell alone
-    salts = F.ceil(F.col("n") / F.lit(float(cell_rows))).cast("long")
-    spread = sized.join(cells.withColumn("salts", salts).select(F.col("source").alias("s2"), F.col("size").alias("z2"), "salts"),
-                        F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2"))).drop("s2", "z2")
-    spread = spread.withColumn("salt", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"), F.col("salts")))
-    starts = spread.groupBy("source", "size", "salt").agg(F.count("*").alias("n")).withColumn(
-        "start", F.sum("n").over(Window.partitionBy("source").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    )
-    ranked = spread.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("doc_id")))
-    a, b, c = ranked.alias("a"), starts.alias("b"), per_source.alias("c")
-    joined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.salt") == F.col("b.salt"))).join(
-        c, F.col("a.source").eqNullSafe(F.col("c.source"))
-    )
-    rate = F.when(F.col("c.source_size") > 0, F.col("c.target") / F.col("c.source_size")).otherwise(0.0)
-    last = F.col("b.start") + F.col("a.rank")
-    u = offset(F.col("a.source"), seed)
-    copies = F.floor(u + rate * last) - F.floor(u + rate * (last - 1))
-    return joined.select("a.doc_id", "a.source", "a.size", "c.source_size", "c.target", copies.cast("long").alias("copies"))
+    sampled = _sampled(_sized(docs, ["doc_id", "source", "size"]), [], weights, cap, seed, cell_rows)
+    each = sampled.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return each.select("doc_id", "source", "size", "source_size", "target", _crossed(F.col("start") + F.col("k"), F.col("start") + F.col("k") - 1).alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, seed: str = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
-    Copies are joined on (doc_id, source): rows that repeat both share their
-    copies evenly (the sum over the repeats is kept).
+    Rows are told apart by 128 hash bits of all their columns, whatever their names;
+    ids may be null or repeat. Rows equal in every column are one entry of the mix
+    with all their copies. Nulls, sizes, sources and empty tables: see :func:`mix`.
     """
-    names = docs.columns
-    keyed = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(F.xxhash64("text"))))
-    taken = mix(docs, **options).filter("copies > 0").select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "copies",
-        F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("size", "copies")).alias("_n"),
-    )
-    out = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_nth") == F.col("_n")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*names)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.col("doc_id"), F.col("source"), F.col("text"), F.xxhash64(row).alias("h1"), F.xxhash64(F.lit(1), row).alias("h2"))
+    sized = _sized(keyed, ["doc_id", "source", "size", "h1", "h2"])
+    sampled = _sampled(sized, ["h1", "h2"], weights, cap, seed, cell_rows)
+    taken = materialize(sampled.select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), "n", _crossed(F.col("start") + F.col("n"), F.col("start")).alias("copies")).filter("copies > 0"), "mix-taken")
+    found = keyed.join(small(taken, 40), (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")))
+    # of equal rows one stands for all
+    once = found.filter("n > 1").groupBy("h1", "h2").agg(F.first("row").alias("row"), F.first("copies").alias("copies"))
+    out = found.filter("n = 1").select("row", "copies").unionByName(once.select("row", "copies"))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op4_mix(spark, sf_dir: str) -> DataFrame:
+    """The mix of every row of ``documents``; see :func:`mix` for nulls and repeats."""
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )
@@ -126,7 +145,7 @@ tgt AS (
   SELECT source, source_size, least(top, coalesce((SELECT level FROM lev) * w, top)) AS target FROM o),
 cells AS (SELECT source, size, ceil(count(*) / {float(CELL_ROWS)})::BIGINT AS salts FROM sized GROUP BY source, size),
 salted AS (
-  SELECT s.*, coalesce(doc_id, 0) % salts AS salt FROM sized s JOIN cells c ON s.source IS NOT DISTINCT FROM c.source AND s.size = c.size),
+  SELECT s.*, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % salts AS salt FROM sized s JOIN cells c ON s.source IS NOT DISTINCT FROM c.source AND s.size = c.size),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, salt, doc_id) AS last,
          ('0x' || substr(md5('{SEED}:' || coalesce('s' || source, 'n')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM salted),

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .common import hash_bits, table, text_or_empty
 
 BITS = 60
@@ -65,26 +66,25 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id") -> Dat
     (a text beyond the limit, or repeats of a key): such a key gets a shard of
     its own at the full depth, and ``shard_bytes`` shows it. A null key hashes as
     the empty string; null text has 0 bytes; an empty table gives no rows.
-    Columns of ``docs`` with the names added here are replaced.
+    Columns of ``docs`` with the names added here are replaced, all others are
+    kept, whatever their names. Repeated rows share a shard.
     """
-    from ..session import shared_dir
-
     shared_dir(docs.sparkSession)
-    docs = docs.drop("shard", "depth", "bytes", "shard_bytes")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "depth", "bytes", "shard_bytes")]
     size = F.octet_length(text_or_empty("text")).cast("long")
     h = hash_bits(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    rows = docs.select(F.struct(*kept).alias("row"), h.alias("h"), size.alias("bytes"))
     levels = directory(docs.select(h.alias("h"), size.alias("bytes")), limit)
-    rows = docs.withColumns({"bytes": size, "_h": h})
     for k, (bits, leaves) in enumerate(levels):
         lone = bits == BITS
         leaf = leaves.filter("depth IS NOT NULL") if not lone else leaves.withColumns(
             {"shard_bytes": F.coalesce("shard_bytes", "bytes"), "depth": F.coalesce("depth", F.lit(BITS))})
-        leaf = leaf.select(F.col("cell").alias(f"_c{k}"), F.col("depth").alias(f"_d{k}"), F.col("shard_bytes").alias(f"_b{k}"))
-        rows = rows.join(leaf, prefix(F.col("_h"), bits) == F.col(f"_c{k}"), "left")
+        leaf = leaf.select(F.col("cell").alias(f"c{k}"), F.col("depth").alias(f"d{k}"), F.col("shard_bytes").alias(f"b{k}"))
+        rows = rows.join(leaf, prefix(F.col("h"), bits) == F.col(f"c{k}"), "left")
     ks = range(len(levels))
-    rows = rows.withColumns({"depth": F.coalesce(*[F.col(f"_d{k}") for k in ks]).cast("int"), "shard_bytes": F.coalesce(*[F.col(f"_b{k}") for k in ks])})
-    name = F.substring(F.lpad(F.conv(F.col("_h").cast("string"), 10, 2), BITS, "0"), F.lit(1), F.col("depth"))
-    return rows.withColumn("shard", name).select(*docs.columns, "shard", "depth", "bytes", "shard_bytes")
+    rows = rows.withColumns({"depth": F.coalesce(*[F.col(f"d{k}") for k in ks]).cast("int"), "shard_bytes": F.coalesce(*[F.col(f"b{k}") for k in ks])})
+    name = F.substring(F.lpad(F.conv(F.col("h").cast("string"), 10, 2), BITS, "0"), F.lit(1), F.col("depth"))
+    return rows.select("row.*", name.alias("shard"), "depth", "bytes", "shard_bytes")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
@@ -93,6 +93,8 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 def op5_shards(spark, sf_dir: str) -> DataFrame:
+    """The shard of every row of ``documents``; see :func:`shard` for nulls, ties
+    and keys beyond the limit."""
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES).select("doc_id", "shard", "depth", "bytes", "shard_bytes")
 
 
