@@ -1,14 +1,15 @@
 """The training-corpus pipeline: five stages over ``documents``.
 
 Every stage works on all that its predecessor kept and returns the columns of
-``documents`` (the last adds the shard). Each is written as Parquet and read
+``documents`` (the last adds the shard), whatever other columns there are. An empty
+table passes through all of them. Each is written as Parquet and read
 again before the next one starts, so a lost executor costs one stage at most.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import WORD, identified, small, table
 from quillspark.llm.decontaminate import find_leaks
 from quillspark.llm.mixing import mixed_documents
 from quillspark.llm.neardup import jaccard_components
@@ -21,35 +22,55 @@ QUALITY = 0.5
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the positive-unlabelled classifier accepts."""
+    """Keeps the documents that the positive-unlabelled classifier accepts.
+
+    Null texts are judged as empty ones; rows that repeat are judged alike; an id
+    plays no part but for choosing rows with labels. No label, or no row: all stay
+    (every score is then 0.5).
+    """
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).filter(F.col("score") >= QUALITY).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    return score_quality(rows, model).filter(F.col("score") >= QUALITY).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (five-word shingles,
-    Jaccard likeness of at least 0.8): the one with the smallest doc_id. Rows
-    that repeat a doc_id count as one document; rows without an id stay."""
-    groups = jaccard_components(docs.select("doc_id", "text"), k=5, percent=80)
-    stay = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    kept = docs.join(stay, F.col("doc_id") == F.col("_id"))
-    once = kept.filter("_n = 1").unionByName(kept.filter("_n > 1").dropDuplicates(["doc_id"]))
-    return once.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    Jaccard likeness of at least 0.8): the one with the smallest doc_id.
+
+    Rows that share a doc_id or have none are documents of their own: each is
+    linked by its text, and one with a doc_id of its own is preferred to stay. Rows
+    equal in every column are exact copies. Texts without words are like nothing
+    and all stay, rows without text as well.
+    """
+    rows = identified(docs)
+    groups = jaccard_components(rows.select(F.col("id").alias("doc_id"), "text"), k=5, percent=80)
+    gone = materialize(groups.filter("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "copies")
+    kept = rows.join(small(gone, 16), "id", "left_anti")
+    copied = F.col("made") & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    once = kept.filter(copied).groupBy("id").agg(F.first("row").alias("row"))
+    return kept.filter(~copied).select("row.*").unionByName(once.select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a test item go."""
-    leaks = find_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), short_items=True)
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that leak a test item go, whatever their ids: a null or repeated
+    doc_id takes no other row along. Null and empty texts leak nothing and stay."""
+    rows = identified(docs)
+    leaks = find_leaks(rows.select(F.col("id").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), short_items=True)
+    gone = materialize(leaks.select(F.col("doc_id").alias("id")).distinct(), "leaks")
+    return rows.join(small(gone, 16), "id", "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as systematic sampling takes it."""
+    """Every document as often as systematic sampling takes it. Null texts have no
+    words, a null source is one of its own, rows are told apart by all their
+    columns; see :func:`quillspark.llm.mixing.mixed_documents`."""
     return mixed_documents(docs)
 
 
 def make_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the shard of every row by extendible hashing."""
+    """Adds shard, depth, bytes and shard_bytes to every row by extendible hashing of
+    the doc_id; copies of a document share a shard, null ids share one (it may be
+    over the limit, as ``shard_bytes`` shows), null texts have 0 bytes."""
     return shard(docs, SHARD_BYTES)
 
 
