@@ -4,6 +4,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: The word pattern of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes up to which a written table may be broadcast (beyond, it is joined by key).
@@ -27,12 +29,19 @@ def small(written: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(written) if written.count() * row_bytes <= BROADCAST_BYTES else written
 
 
-def unused(name: str, *columns) -> str:
-    """``name``, lengthened until no column has it (whatever its case)."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def identified(docs: DataFrame) -> DataFrame:
+    """(row, id, made, text) of every row of ``docs``; ``row`` holds its columns.
+
+    ``id`` is the doc_id where no other row has it. A null or repeated doc_id gives
+    way to hash bits of all columns, from 2^62 up (``made``): rows of one doc_id
+    with different texts are told apart, rows equal in every column are not.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    shared = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("shared")), "shared-ids")
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(small(shared, 20), F.col("doc_id") == F.col("shared"), "left")
+    made = F.col("doc_id").isNull() | F.col("shared").isNotNull()
+    own = F.xxhash64("row").bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
+    return rows.select("row", F.when(made, own).otherwise(F.col("doc_id")).alias("id"), made.alias("made"), "text")
 
 
 def word_count(text: Column) -> Column:

@@ -27,7 +27,9 @@ RETRIEVE, OVERLAP, NGRAM, MIN_ITEM_WORDS = 0.6, 0.6, 2, 4
 #: Share of an item's own score that may lie with terms that open no posting list:
 #: the more it is, the fewer terms are pivots and the looser are the bounds.
 UNOPENED = 0.35
-BLOCK_ITEMS, SHARD_ITEMS = 16, 20_000
+BLOCK_ITEMS = 16
+#: Bytes of item texts in one shard, on average: its index is broadcast.
+SHARD_BYTES = 8 << 20
 #: Least words from one passage to the next.
 STRIDE = 64
 #: Words are runs of letters and digits, so punctuation does not hide a leak.
@@ -307,56 +309,70 @@ def _item_terms(batches):
 LEAKS = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double, first_word long"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_ITEMS, short_items: bool = False) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, shard_items: int | None = None, short_items: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, item_id, bm25, question_overlap, answer_overlap, first_word) of
     every document that leaks a test item; one row per row of ``docs`` and item.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns
     are ignored. All passages of all texts are searched, whatever their length.
-    Null and empty texts leak nothing, null and wordless items match nothing.
-    With ``short_items``, as in the query and the pipeline, items of fewer than
+    Null and empty texts leak nothing, null and wordless items match nothing;
+    repeated items count once, repeated documents are each searched. With
+    ``short_items``, as in the query and the pipeline, items of fewer than
     MIN_ITEM_WORDS words leak where all their words stand in a row; without it
-    they match nothing. The index of at most ``shard_items`` items is broadcast; a larger benchmark is
-    searched shard by shard, with the term frequencies and mean length of all its
-    items. An item is confirmed in a window of twice its own words, or of
-    STRIDE + 1 where that is more.
+    they match nothing.
+
+    The index of items with at most ``shard_bytes`` of text (or ``shard_items``
+    items) is broadcast; a larger benchmark is searched shard by shard, one shard
+    at a time on the driver, with the term frequencies and mean length of all its
+    items: the rows are the same. An item is confirmed in a window of twice its own
+    words, or of STRIDE + 1 where that is more.
     """
     spark = docs.sparkSession
     items = benchmark.filter("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").distinct()
-    n = items.count()
-    shards = max(1, -(-n // shard_items))
-    if shards > 1:
-        items = materialize(items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards))), "leak-items")
-        counted = materialize(items.mapInPandas(_item_terms, "shard long, n_words long, terms array<long>"), "leak-terms")
-        total, mean = counted.agg(F.count("*"), F.avg("n_words")).first()
-        terms = counted.select("shard", F.explode("terms").alias("term"))
-        frequency = materialize(terms.groupBy("term").agg(F.count("*").alias("df"), F.collect_set("shard").alias("shards")), "leak-frequencies")
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(1, -(-size // shard_bytes), -(-n // shard_items) if shard_items else 1)
+    texts = docs.select("doc_id", text_or_empty("text").alias("text"))
+    if shards == 1:
+        return _search(texts, items, None, short_items)[0]
+    items = materialize(items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards))), "leak-items")
+    counted = materialize(items.mapInPandas(_item_terms, "shard long, n_words long, terms array<long>"), "leak-terms")
+    total, mean = counted.agg(F.count("*"), F.avg("n_words")).first()
+    terms = counted.select("shard", F.explode("terms").alias("term"))
+    frequency = terms.groupBy("term").agg(F.count("*").alias("df"))
+    known_by = materialize(terms.distinct().join(frequency, "term"), "leak-frequencies")
     out = None
     for k in range(shards):
-        stats = None
-        if shards > 1:
-            known = frequency.filter(F.array_contains("shards", k)).select("term", "df").toPandas()
-            term = known["term"].to_numpy(dtype=np.int64).view(np.uint64)
-            order = np.argsort(term)
-            stats = total, mean or 0.0, term[order], known["df"].to_numpy(dtype=np.int64)[order]
-        mine = [(r["item_id"], r["text"]) for r in (items.filter(F.col("shard") == k) if shards > 1 else items).collect()]
-        index = spark.sparkContext.broadcast((indexes(mine, stats), ShortItems(mine if short_items else [])))
-
-        def search(batches, index=index):
-            scored, short = index.value
-            for batch in batches:
-                ids = batch["doc_id"].astype("Int64").tolist()
-                raw = [_encoded(t) for t in batch["text"]]
-                for lo, hi in chunks([len(r) + 1 for r in raw]):
-                    hashed = hashed_words(raw[lo:hi], MARKS)
-                    rows = [(ids[lo + t], one.ids[i], *v) for one in scored for (t, i), v in one.search(raw[lo:hi], hashed).items()]
-                    rows += [(ids[lo + t], item, *v) for (t, item), v in short.search(raw[lo:hi], hashed).items()]
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEAKS.split(", ")])
-
-        part = docs.select("doc_id", text_or_empty("text").alias("text")).mapInPandas(search, LEAKS)
-        out = part if out is None else out.unionByName(part)
+        known = known_by.filter(F.col("shard") == k).select("term", "df").toPandas()
+        term = known["term"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.argsort(term)
+        stats = total, mean or 0.0, term[order], known["df"].to_numpy(dtype=np.int64)[order]
+        found, index = _search(texts, items.filter(F.col("shard") == k), stats, short_items)
+        found = materialize(found, f"leaks-{k}")
+        index.destroy()
+        out = found if out is None else out.unionByName(found)
     return out
 
 
+def _search(texts: DataFrame, items: DataFrame, stats, short_items: bool):
+    """(leaks of ``items``, the broadcast index)."""
+    mine = [(r["item_id"], r["text"]) for r in items.collect()]
+    index = texts.sparkSession.sparkContext.broadcast((indexes(mine, stats), ShortItems(mine if short_items else [])))
+
+    def search(batches):
+        scored, short = index.value
+        for batch in batches:
+            ids = batch["doc_id"].astype("Int64").tolist()
+            raw = [_encoded(t) for t in batch["text"]]
+            for lo, hi in chunks([len(r) + 1 for r in raw]):
+                hashed = hashed_words(raw[lo:hi], MARKS)
+                rows = [(ids[lo + t], one.ids[i], *v) for one in scored for (t, i), v in one.search(raw[lo:hi], hashed).items()]
+                rows += [(ids[lo + t], item, *v) for (t, item), v in short.search(raw[lo:hi], hashed).items()]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEAKS.split(", ")])
+
+    return texts.mapInPandas(search, LEAKS), index
+
+
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Every leak of every row of ``documents``, short items included; see
+    :func:`find_leaks` for nulls, empty texts and repeats."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import chunks, mix64, span_hashes, table, text_or_empty
 
 BINS, LEVELS, TOSSES = 64, 3, 4
-#: Phrases that a level must have, in both texts, to be the one compared.
+#: Phrases of a level, in both texts, with which it counts half.
 ENOUGH = 24
 EMPTY = 0xFFFF
 #: Rows that one range of ids holds on average, and the most ranges there are: their
@@ -104,15 +104,22 @@ class Sketches:
 
 
 def _likeness(ca, ba, cb, bb) -> float:
-    level = next((k for k in reversed(range(LEVELS)) if min(ca[k], cb[k]) >= ENOUGH), 0)
-    x, y = ba[level], bb[level]
-    either = (x != EMPTY) | (y != EMPTY)
-    return float(((x == y) & either).sum() / max(1, either.sum()))
+    """Agreement of the bins, mostly on the highest level that both texts fill: a
+    level counts by how many phrases it has, what it leaves goes to the one below."""
+    total, left = 0.0, 1.0
+    for level in reversed(range(LEVELS)):
+        x, y = ba[level], bb[level]
+        either = (x != EMPTY) | (y != EMPTY)
+        phrases = float(min(ca[level], cb[level])) ** 2
+        share = left * phrases / (phrases + ENOUGH**2) if level else left
+        total += share * float(((x == y) & either).sum() / max(1, either.sum()))
+        left -= share
+    return total
 
 
 def likeness(a: str, b: str) -> float:
     """Estimated share of phrases in common (0 to 1) of two fingerprint strings,
-    on the highest level that both texts fill; equal fingerprints: 1."""
+    mostly on the highest level that both texts fill; equal fingerprints: 1."""
     if a == b:
         return 1.0
     parts = []
@@ -222,4 +229,6 @@ def compare_neighbours(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFra
 
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` against its edited text and the next document; see
+    :func:`compare_neighbours` for nulls, ties and lone rows."""
     return compare_neighbours(table(spark, sf_dir, "documents"))

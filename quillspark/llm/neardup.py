@@ -63,6 +63,14 @@ def _slots(s: np.ndarray, parts: int) -> np.ndarray:
     return (part << np.uint64(32)) | (s & np.uint64(0xFFFFFFFF))
 
 
+def _occupied(slots: np.ndarray) -> list[tuple[int, int, int]]:
+    """(counting task, begin, end) of every task that has some of the sorted slots;
+    tasks without any cost nothing."""
+    part = slots >> np.uint64(32)
+    begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    return list(zip(part[begin].tolist(), begin.tolist(), np.append(begin[1:], len(slots)).tolist()))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets reach the threshold exactly."""
     left = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa"))
@@ -141,9 +149,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, batch_cha
         if not picked:
             return pd.DataFrame({"p": [], "b": [], "tokens": [], "counts": []})
         slots, counts = np.unique(_slots(np.concatenate([s for _, s in picked]), parts), return_counts=True)
-        edges = np.searchsorted(slots, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
         rows = [(p, int(docs_pd["b"].iloc[0]), (slots[lo:hi] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), np.minimum(counts[lo:hi], 65535).astype(np.uint16).tobytes())
-                for p, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if hi > lo]
+                for p, lo, hi in _occupied(slots)]
         return pd.DataFrame(rows, columns=["p", "b", "tokens", "counts"])
 
     def answer(asked):
