@@ -369,6 +369,45 @@ def test_quality(spark):
     assert {r["score"] for r in quality.score_quality(docs, None).collect()} == {0.5}
 
 
+def test_risk_against_a_plain_loop():
+    """Value by the definition, row by row; gradient by differences."""
+    rng = np.random.default_rng(1)
+    for shift in (0.0, 3.0):  # with and without a negative estimate
+        xp, xu = rng.normal(2, 1, (30, quality.N_FEATURES)), rng.normal(shift, 1, (50, quality.N_FEATURES))
+        d, k = quality.N_FEATURES, quality.HIDDEN
+        m = {"mean": np.zeros(d), "scale": np.ones(d), "w1": rng.normal(0, 0.3, (d, k)), "b1": rng.normal(size=k), "w2": rng.normal(size=k), "b2": 0.3}
+        if shift:
+            m["w2"] = m["w2"] - 0.5
+
+        def terms(model, prior=0.7):
+            def loss(x, sign):
+                out = 0.0
+                for row in x:
+                    g = sum(np.tanh(sum(row[i] * model["w1"][i, j] for i in range(d)) + model["b1"][j]) * model["w2"][j] for j in range(k)) + model["b2"]
+                    out += np.log1p(np.exp(-sign * g)) if sign * g > -30 else -sign * g
+                return out / len(x)
+            return prior * loss(xp, 1), loss(xu, -1) - prior * loss(xp, -1)
+
+        got, grads = quality.risk(m, quality._positive_parts(m, xp), (*quality._parts(m, xu, -1.0), len(xu)), 0.7)
+        good, bad = terms(m)
+        assert got == pytest.approx(good + max(0.0, bad))
+        aim = (lambda model: sum(terms(model))) if bad >= 0 else (lambda model: -terms(model)[1])
+        for name, at in (("w1", (3, 2)), ("b1", (5,)), ("w2", (7,)), ("b2", ())):
+            up, down = ({**m, name: np.array(m[name], dtype=float)} for _ in range(2))
+            up[name][at] += 1e-5
+            down[name][at] -= 1e-5
+            assert np.asarray(grads[name])[at] == pytest.approx((aim(up) - aim(down)) / 2e-5, abs=1e-5)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.9])
+def test_prior_is_estimated_from_texts_alone(share):
+    rng = np.random.default_rng(2)
+    good, bad = (lambda n: rng.normal(0, 1, (n, 5))), (lambda n: rng.normal(2.5, 1, (n, 5)))
+    mixed = np.vstack([good(int(6000 * share)), bad(6000 - int(6000 * share))])
+    rng.shuffle(mixed)
+    assert abs(quality.estimate_prior(good(2000), mixed, mixed.mean(0), mixed.std(0)) - share) < 0.06
+
+
 LICENSES = {
     "CC BY cc by-SA 4.0! CC-by": (9, 3, 0, 7, "cc-by"), "é ALL rights\nreserved. all   rights reserved GENERAL Public license": (10, 3, 1, 7, "gpl,reserved"),
     "\u212acc by cc, by cc  by": (6, 2, 2, 4, "cc-by"), "": (0, 0, None, None, ""), None: (0, 0, None, None, ""), "general public licenses": (3, 0, None, None, ""), "plain words": (2, 0, None, None, ""),
