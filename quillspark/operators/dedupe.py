@@ -3,21 +3,27 @@
 Two items are duplicates if they were published close enough together and their
 titles are similar enough; sharing a strong entity lowers the bar. Winners are
 chosen greedily in rank order and claim their direct duplicates (stars, not
-chains). Candidate pairs come from equi-joins on time buckets and title
-lengths that lose no pair; the greedy choice is a fixpoint over the pairs.
+chains). Similar titles meet on their rarest letter grams, by a prefix bound that
+loses no pair, and are compared once each; rows with such titles meet by time
+buckets. The greedy choice is made per group of linked items.
 """
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import close_in_time
-from ..functions.similarity import indel_at_least
+from ..functions.similarity import indel_at_least, indel_ratio
 from ..functions.text import strip
-from ..session import shared_dir
+from ..session import materialize
+from .components import components
 from .relational import row_numbers, strong_overlap
 
+#: Letters of a gram; pairs of a group of linked items that one task decides.
+GRAM, LOCAL_PAIRS = 3, 50_000
+
 
 def ranked(candidates: DataFrame) -> DataFrame:
     """Adds ``rank``, a struct that sorts by score down, published up (null last), hash up."""
@@ -30,56 +36,126 @@ def length_bucket(n: Column, low: float) -> Column:
     return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / -math.log(low))
 
 
+def _grams(t: Column) -> Column:
+    n = F.length(t)
+    return F.array_distinct(F.when(n >= GRAM, F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(t, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>")))
+
+
+def _lost(n: Column, bar: float) -> Column:
+    """Grams of a title of ``n`` letters that a partner can lack: a letter taken out
+    breaks GRAM of them, one put in GRAM - 1, and x of the former with y of the
+    latter keep the similarity only if x (2 - bar) + y bar <= 2 (1 - bar) n."""
+    each = max(GRAM / (2 - bar), (GRAM - 1) / bar)
+    return F.floor(2 * (1 - bar) * each * n + 1e-9)
+
+
+def _prefixes(titles: DataFrame, bar: float, keys: list[str]) -> DataFrame:
+    """(keys, t, n, token): the rarest grams of every title, enough that two similar
+    titles share one if one of them must; of a title that may share none, all."""
+    grams = titles.select("t", _grams(F.col("t")).alias("grams")).distinct()
+    frequency = materialize(grams.select(F.explode("grams").alias("token")).groupBy("token").agg(F.count("*").alias("df")), "title-grams")
+    ordered = grams.select("t", F.size("grams").alias("size"), F.explode("grams").alias("token")).join(frequency, "token").groupBy("t", "size").agg(
+        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("grams"))
+    kept = (_lost(F.length("t"), bar) + 1).cast("int")
+    rare = ordered.select("t", F.explode(F.transform(F.slice("grams", F.lit(1), F.least("size", kept)), lambda g: g["token"])).alias("token"))
+    return titles.select(*keys, "t", F.length("t").alias("n")).distinct().join(rare, "t")
+
+
+def _similar(titles: DataFrame, bar: float, keys: list[str]) -> DataFrame:
+    """Candidates (x, y), x < y, among titles that agree in ``keys``: every pair of
+    different titles that reach ``bar``, and some that do not."""
+    fits = lambda a, z: F.greatest(a, z) * (bar / (2 - bar)) <= F.least(a, z) + 1e-9
+    tokens = materialize(_prefixes(titles, bar, keys), "title-prefixes")
+    on = lambda more: [F.col(f"a.{k}") == F.col(f"z.{k}") for k in [*keys, *more]]
+    met = tokens.alias("a").join(tokens.alias("z"), on(["token"])).filter((F.col("a.t") < F.col("z.t")) & fits(F.col("a.n"), F.col("z.n")))
+    # titles that may share no gram: very short, or of few different letters
+    plain = titles.select(*keys, "t", F.length("t").alias("n"), (F.size(_grams(F.col("t"))) <= _lost(F.length("t"), bar)).alias("loose")).distinct().filter("loose")
+    ratio = max(bar / (2 - bar), 1e-6)
+    left = plain.withColumn("lb", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: length_bucket(F.col("n"), ratio) + k)))
+    right = plain.withColumn("lb", length_bucket(F.col("n"), ratio))
+    loose = left.alias("a").join(right.alias("z"), on(["lb"])).filter((F.col("a.t") < F.col("z.t")) & fits(F.col("a.n"), F.col("z.n")))
+    pick = lambda df: df.select(F.col("a.t").alias("x"), F.col("z.t").alias("y"))
+    return pick(met).unionByName(pick(loose)).distinct()
+
+
 def duplicate_pairs(candidates: DataFrame, title: float = 0.92, entity_title: float = 0.85, hours: int = 48, strong_kinds=("cve",)) -> DataFrame:
-    """(better, worse) of all duplicate pairs, each once.
+    """(better, worse, better_rank) of all duplicate pairs, each once.
 
     ``candidates``: canonical_hash, title, published_at, score, entities. A row
-    without a date is close to every row.
+    without a date is close to every row. Titles are compared once, however many
+    rows have them: pairs above ``title`` among all, pairs above ``entity_title``
+    among those that share a strong entity. Rows without a title are left out.
     """
-    low = min(title, entity_title)
-    ratio = max(low / (2 - low), 1e-6)  # shortest to longest title that can reach ``low``
     width = max(1, hours * 3600)
-    c = ranked(candidates).withColumn("t", F.lower(strip("title"))).withColumn("n", F.length("t"))
-    c = c.select("canonical_hash", "t", "n", "published_at", "entities", "rank", F.floor(F.unix_micros("published_at") / (width * 1_000_000)).alias("b"), length_bucket(F.col("n"), ratio).alias("lb"))
-    near = lambda x: F.explode(F.array(x - 1, x, x + 1))
-    a, z = c.alias("a"), c.alias("z")
-    # dated with dated: time bucket and length bucket both within one
-    left = c.filter("b IS NOT NULL").withColumn("jb", near(F.col("b"))).withColumn("jl", near(F.col("lb"))).alias("a")
-    right = c.filter("b IS NOT NULL").alias("z")
-    dated = left.join(right, (F.col("a.jb") == F.col("z.b")) & (F.col("a.jl") == F.col("z.lb")))
-    # undated with all: length bucket alone
-    loose = c.filter("b IS NULL").withColumn("jl", near(F.col("lb"))).alias("a")
-    undated = loose.join(z, (F.col("a.jl") == F.col("z.lb")) & (F.col("z.b").isNotNull() | (F.col("a.rank") < F.col("z.rank"))))
-    cols = ["canonical_hash", "t", "n", "published_at", "entities", "rank"]
-    both = [F.col(f"{s}.{x}").alias(f"{s}_{x}") for s in ("a", "z") for x in cols]
-    pairs = dated.filter(F.col("a.rank") < F.col("z.rank")).select(*both).unionByName(undated.select(*both))
-    bar = F.when(strong_overlap(F.col("a_entities"), F.col("z_entities"), strong_kinds), entity_title if entity_title < title else title).otherwise(title)
-    pairs = pairs.withColumn("bar", bar).filter(
-        (F.col("a_canonical_hash") != F.col("z_canonical_hash")) & close_in_time(F.col("a_published_at"), F.col("z_published_at"), hours)
-        & (F.greatest("a_n", "z_n") * (F.col("bar") / (2 - F.col("bar"))) <= F.least("a_n", "z_n") + 1e-9))
-    same = pairs.filter(indel_at_least("a_t", "z_t", "bar"))
+    rows = materialize(ranked(candidates).withColumn("t", F.lower(strip("title"))).filter("t IS NOT NULL").select(
+        "canonical_hash", "t", "published_at", "entities", "rank", F.floor(F.unix_micros("published_at") / (width * 1_000_000)).alias("b")), "dedupe-rows")
+    found = _similar(rows.select("t"), title, [])
+    low = min(title, entity_title)
+    if low < title:
+        strong = rows.select("t", F.explode(F.filter("entities", lambda e: e["kind"].isin(*strong_kinds))).alias("e")).select("t", F.concat_ws(":", "e.kind", "e.value").alias("entity"))
+        found = found.unionByName(_similar(strong, low, ["entity"])).distinct()
+    alike = found.withColumn("bar", F.lit(float(low))).filter(indel_at_least("x", "y", "bar")).select("x", "y", indel_ratio("x", "y").alias("likeness"))
+    both = materialize(alike.unionByName(alike.select(F.col("y").alias("x"), F.col("x").alias("y"), "likeness")), "title-pairs").unionByName(
+        rows.select(F.col("t").alias("x"), F.col("t").alias("y"), F.lit(1.0).alias("likeness")).distinct())
+
+    def side(df, name, *more):
+        return df.select(*[F.col(c).alias(f"{name}_{c}") for c in ("canonical_hash", "t", "published_at", "entities", "rank")], *more)
+
+    near = F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("jb")
+    dated = side(rows.filter("b IS NOT NULL"), "z", F.col("b").alias("jb"))
+    left = side(rows.filter("b IS NOT NULL"), "a", near)
+    pairs = left.join(both, F.col("a_t") == F.col("x")).join(dated, (F.col("y") == F.col("z_t")) & (left["jb"] == dated["jb"])).drop("jb")
+    undated = side(rows.filter("b IS NULL"), "a").join(both, F.col("a_t") == F.col("x")).join(side(rows, "z", F.col("b").isNotNull().alias("dated")), F.col("y") == F.col("z_t"))
+    pairs = pairs.withColumn("dated", F.lit(False)).unionByName(undated)
+    bar = F.when(strong_overlap(F.col("a_entities"), F.col("z_entities"), strong_kinds), low).otherwise(title)
     first = F.col("a_rank") < F.col("z_rank")
-    side = lambda yes, no: F.when(first, F.col(yes)).otherwise(F.col(no))
-    return same.select(side("a_canonical_hash", "z_canonical_hash").alias("better"), side("z_canonical_hash", "a_canonical_hash").alias("worse"),
-                       side("a_rank", "z_rank").alias("better_rank")).distinct()
+    # two dated or two undated rows meet from both sides; the better one's is taken
+    same = pairs.filter((first | F.col("dated")) & (F.col("a_canonical_hash") != F.col("z_canonical_hash")) & (F.col("likeness") >= bar)
+                        & close_in_time(F.col("a_published_at"), F.col("z_published_at"), hours))
+    choose = lambda yes, no: F.when(first, F.col(yes)).otherwise(F.col(no))
+    return same.select(choose("a_canonical_hash", "z_canonical_hash").alias("better"), choose("z_canonical_hash", "a_canonical_hash").alias("worse"), choose("a_rank", "z_rank").alias("better_rank")).distinct()
 
 
 def star_winners(pairs: DataFrame) -> DataFrame:
     """(loser, winner) of the greedy choice over (better, worse, better_rank).
 
-    A node loses once a better neighbour has won, and wins once all its better
-    neighbours have lost; rounds go on until all are decided. A loser belongs to
-    its best-ranked winning neighbour.
+    Linked items are decided together: a component of at most LOCAL_PAIRS pairs by
+    one walk in rank order, a larger one by rounds over all of its pairs.
     """
-    shared_dir(pairs.sparkSession)
-    edges = pairs.select("better", "worse", "better_rank").checkpoint()
+    edges = materialize(pairs.select("better", "worse", "better_rank"), "duplicate-pairs")
+    roots = components(edges.select(F.col("better").alias("a"), F.col("worse").alias("b")))
+    placed = materialize(edges.join(roots, F.col("better") == F.col("node")).drop("node"), "placed-pairs")
+    large = materialize(placed.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > LOCAL_PAIRS).select("root"), "large-components")
+
+    def walk(rows):
+        claimed, out = set(), []
+        by = {}
+        for better, worse, rank in zip(rows["better"], rows["worse"], rows["better_rank"]):
+            by.setdefault((rank["s"], rank["p"], rank["h"], better), []).append(worse)
+        for key in sorted(by):
+            if key[3] not in claimed:
+                taken = [w for w in by[key] if w not in claimed]
+                claimed.update(taken)
+                out += [(w, key[3]) for w in taken]
+        return pd.DataFrame(out, columns=["loser", "winner"])
+
+    done = placed.join(large, "root", "left_anti").groupBy("root").applyInPandas(walk, "loser string, winner string")
+    if large.isEmpty():
+        return done
+    return done.unionByName(_by_rounds(materialize(placed.join(large, "root", "left_semi"), "large-pairs")))
+
+
+def _by_rounds(edges: DataFrame) -> DataFrame:
+    """A node loses once a better neighbour has won, and wins once all its better
+    neighbours have lost; rounds go on until all are decided. A loser belongs to
+    its best-ranked winning neighbour."""
     nodes = edges.select(F.col("better").alias("node")).union(edges.select("worse")).distinct()
-    state = nodes.withColumn("state", F.lit("?")).checkpoint()
+    state = materialize(nodes.withColumn("state", F.lit("?")), "star-state")
     while not state.filter("state = '?'").isEmpty():
         seen = edges.join(state.select(F.col("node").alias("better"), F.col("state").alias("bs")), "better").groupBy(F.col("worse").alias("node")).agg(
             F.bool_or(F.col("bs") == "W").alias("lost"), F.bool_and(F.col("bs") == "L").alias("clear"))
         decide = F.when(F.col("state") != "?", F.col("state")).when(F.coalesce("lost", F.lit(False)), "L").when(F.coalesce("clear", F.lit(True)), "W").otherwise("?")
-        state = state.join(seen, "node", "left").select("node", decide.alias("state")).checkpoint()
+        state = materialize(state.join(seen, "node", "left").select("node", decide.alias("state")), "star-state")
     winners = edges.join(state.filter("state = 'W'").select(F.col("node").alias("better")), "better", "left_semi")
     losers = winners.join(state.filter("state = 'L'").select(F.col("node").alias("worse")), "worse", "left_semi")
     return losers.groupBy(F.col("worse").alias("loser")).agg(F.min(F.struct("better_rank", "better"))["better"].alias("winner"))

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize, shared_dir
+from .relational import row_numbers
+
 SCHEMAS = {
     "items": "canonical_hash string, url string, title string, summary string, published_at timestamp, ingested_at timestamp, metadata string, canonicalization_version int",
     "item_bodies": "canonical_hash string, body string, fetched_from_url string, fetched_at timestamp, seq long",
@@ -58,17 +61,23 @@ def cascade(children: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
 
 def resolve_roots(edges: DataFrame) -> DataFrame:
     """(loser, root) of a supersession log (loser, winner, seq): latest entry per
-    loser, chains followed by pointer doubling. A cycle ends at its least member."""
-    now = edges.groupBy("loser").agg(F.max_by("winner", "seq").alias("root")).filter("loser <> root").checkpoint()
-    steps = 0
-    while True:
-        nxt = now.select(F.col("loser").alias("_l"), F.col("root").alias("_r"))
-        jumped = now.join(nxt, F.col("root") == F.col("_l"), "left").select(
-            "loser", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")).checkpoint()
-        now = jumped.select("loser", "root")
-        steps += 1
-        if jumped.filter("moved AND root <> loser").isEmpty() or steps > 62:
-            return now.filter("loser <> root")
+    loser, chains followed by pointer doubling. A cycle, and whatever leads into it,
+    ends at its least member.
+
+    After as many doublings as the table's size has bits every path has left its
+    chain. Whoever still has a next one then stands on a cycle, has gone all around
+    it, and knows its least member.
+    """
+    now = materialize(edges.groupBy("loser").agg(F.max_by("winner", "seq").alias("root")).filter("loser <> root").select("loser", "root", F.least("loser", "root").alias("least")), "roots")
+    for _ in range(now.count().bit_length()):
+        nxt = now.select(F.col("loser").alias("_l"), F.col("root").alias("_r"), F.col("least").alias("_m"))
+        jumped = materialize(now.join(nxt, F.col("root") == F.col("_l"), "left").select(
+            "loser", F.coalesce("_r", "root").alias("root"), F.least("least", "_m").alias("least"), F.col("_r").isNotNull().alias("moved")), "roots")
+        now = jumped.drop("moved")
+        if jumped.filter("moved").isEmpty():
+            return now.select("loser", "root")
+    around = now.select(F.col("loser").alias("_l"), F.col("least").alias("_m"))
+    return now.join(around, F.col("root") == F.col("_l"), "left").select("loser", F.coalesce("_m", "root").alias("root")).filter("loser <> root")
 
 
 class Store:
@@ -76,8 +85,6 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        from ..session import shared_dir
-
         shared_dir(spark)
 
     def _schema(self, name: str) -> T.StructType:
@@ -158,8 +165,7 @@ class Store:
         known, unknown = admit(batch, self.items(True), "canonical_hash")
         start = self.next_seq("classifications", "id") - 1
         seq = self.next_seq("activations")
-        order = Window.partitionBy().orderBy("canonical_hash", "classified_at")
-        rows = known.filter(F.col("score").between(0, 10)).withColumn("id", F.lit(start) + F.row_number().over(order)).checkpoint()
+        rows = materialize(row_numbers(known.filter(F.col("score").between(0, 10)), [F.col("canonical_hash"), F.col("classified_at")], "id").withColumn("id", F.lit(start) + F.col("id")), "classified")
         self.append("classifications", rows)
         self.append("activations", rows.groupBy("canonical_hash").agg(F.max("id").alias("classification_id")).withColumn("seq", F.lit(seq)))
         return unknown.count()
@@ -181,8 +187,8 @@ class Store:
         if not bad.isEmpty():
             raise ValueError(f"action must be one of {ACTIONS}")
         start = self.next_seq("followups", "id") - 1
-        order = Window.partitionBy().orderBy("created_at", "item_hash", "action")
-        self.append("followups", rows.withColumn("id", F.lit(start) + F.row_number().over(order)))
+        numbered = row_numbers(rows, [F.col("created_at"), F.col("item_hash"), F.col("action")], "id")
+        self.append("followups", numbered.withColumn("id", F.lit(start) + F.col("id")))
 
     def complete_followup(self, followup_id: int) -> None:
         self.append("followups_done", self.spark.createDataFrame([(followup_id,)], "id long"))

@@ -60,6 +60,47 @@ def test_roots(spark):
     assert sorted(map(tuple, got)) == [("a", "d"), ("b", "d"), ("c", "d"), ("x", "z")]
 
 
+@pytest.mark.parametrize("size", [2, 3, 50])
+def test_roots_of_cycles(spark, size):
+    ring = [(f"n{i:03d}", f"n{(i + 1) % size:03d}", 1) for i in range(size)]
+    tails = [("a", "b", 1), ("b", "n001", 1), ("z", "n000", 1), ("p", "q", 1), ("self", "self", 1), ("gone", None, 1)]
+    got = resolve_roots(spark.createDataFrame(ring + tails, "loser string, winner string, seq int")).collect()
+    assert {r["loser"]: r["root"] for r in got} == {f"n{i:03d}": "n000" for i in range(1, size)} | {"a": "n000", "b": "n000", "z": "n000", "p": "q"}
+
+
+@pytest.mark.parametrize("local", [50_000, 3])
+def test_star_winners_of_long_chains_and_large_groups(spark, monkeypatch, local):
+    monkeypatch.setattr(dedupe, "LOCAL_PAIRS", local)
+    rnd = random.Random(3)
+    links = {(i, i + 1) for i in range(24)} | {tuple(sorted(rnd.sample(range(100, 140), 2))) for _ in range(60)}
+    rows = [(f"{a:03d}", f"{b:03d}", (0, a, f"{a:03d}")) for a, b in links]
+    got = dedupe.star_winners(spark.createDataFrame(rows, "better string, worse string, better_rank struct<s:int,p:long,h:string>")).collect()
+    claimed, want = set(), []
+    for a in sorted({a for a, _ in links}):
+        if a not in claimed:
+            mine = [b for x, b in links if x == a and b not in claimed]
+            claimed.update(mine)
+            want += [(f"{b:03d}", f"{a:03d}") for b in mine]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("bar", [0.92, 0.85, 0.6])
+def test_similar_titles_always_meet(spark, bar):
+    """No pair that reaches the bar is missed, however short or repetitive its titles."""
+    rnd = random.Random(int(bar * 100))
+    stems = ["".join(rnd.choice("abcde ") for _ in range(rnd.randrange(1, 40))) for _ in range(25)] + ["haha" * 5, "aaaaaaaaaaaaaaaaaaaaaaaa", "a", "ab", ""]
+    titles = {s for s in stems}
+    for s in stems * 6:
+        t = list(s)
+        for _ in range(rnd.randrange(5)):
+            at = rnd.randrange(len(t) + 1)
+            t[at : at + rnd.randrange(2)] = rnd.choice(["x", "a", ""])
+        titles.add("".join(t))
+    found = {tuple(r) for r in dedupe._similar(spark.createDataFrame([(t,) for t in titles], "t string"), bar, []).collect()}
+    order = sorted(titles)
+    assert {(a, b) for k, a in enumerate(order) for b in order[k + 1 :] if indel(a, b) >= bar} <= found
+
+
 def item(spark, hashes):
     return spark.createDataFrame([(h, f"https://e.com/{h}", h.upper(), None, None, T0, "{}", 1) for h in hashes],
                                  "canonical_hash string, url string, title string, summary string, published_at timestamp, ingested_at timestamp, metadata string, canonicalization_version int")
