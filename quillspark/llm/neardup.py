@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, shared_dir
 from .common import mix64, shingle_sets, table, text_or_empty
-from .components import components
+from ..operators.components import components
 
 #: Characters of text in a batch of documents, shingles counted by one task,
 #: and members of a group, on average.

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from quillspark.llm.components import components
+from quillspark.operators.components import components
 from quillspark.llm.neardup import jaccard_components
 from quillspark.session import shared_dir
 
