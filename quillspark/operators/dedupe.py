@@ -23,6 +23,8 @@ from .relational import row_numbers, strong_overlap
 
 #: Letters of a gram; pairs of a group of linked items that one task decides.
 GRAM, LOCAL_PAIRS = 3, 50_000
+#: Letters that are counted, by the names of their counts.
+COUNTED = {"space": " "} | {letter: letter for letter in "abcdefghijklmnopqrstuvwxyz"} | {"others": ""}
 
 
 def ranked(candidates: DataFrame) -> DataFrame:
@@ -36,6 +38,12 @@ def length_bucket(n: Column, low: float) -> Column:
     return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / -math.log(low))
 
 
+def _counts(t: Column) -> Column:
+    """How often each letter of COUNTED stands in a title, and all others together."""
+    each = {k: F.length(t) - F.length(F.replace(t, F.lit(letter))) for k, letter in COUNTED.items() if letter}
+    return F.struct(*[c.alias(k) for k, c in each.items()], (F.length(t) - sum(each.values())).alias("others"))
+
+
 def _grams(t: Column) -> Column:
     n = F.length(t)
     return F.array_distinct(F.when(n >= GRAM, F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(t, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>")))
@@ -50,7 +58,7 @@ def _lost(n: Column, bar: float) -> Column:
 
 
 def _prefixes(titles: DataFrame, bar: float, keys: list[str]) -> DataFrame:
-    """(keys, t, n, token): the rarest grams of every title, enough that two similar
+    """(keys, t, n, c, token): the rarest grams of every title, enough that two similar
     titles share one if one of them must; of a title that may share none, all."""
     grams = titles.select("t", _grams(F.col("t")).alias("grams")).distinct()
     frequency = materialize(grams.select(F.explode("grams").alias("token")).groupBy("token").agg(F.count("*").alias("df")), "title-grams")
@@ -58,7 +66,7 @@ def _prefixes(titles: DataFrame, bar: float, keys: list[str]) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("df", "token"))).alias("grams"))
     kept = (_lost(F.length("t"), bar) + 1).cast("int")
     rare = ordered.select("t", F.explode(F.transform(F.slice("grams", F.lit(1), F.least("size", kept)), lambda g: g["token"])).alias("token"))
-    return titles.select(*keys, "t", F.length("t").alias("n")).distinct().join(rare, "t")
+    return titles.select(*keys, "t", F.length("t").alias("n")).distinct().withColumn("c", _counts(F.col("t"))).join(rare, "t")
 
 
 def _similar(titles: DataFrame, bar: float, keys: list[str]) -> DataFrame:
@@ -67,7 +75,10 @@ def _similar(titles: DataFrame, bar: float, keys: list[str]) -> DataFrame:
     fits = lambda a, z: F.greatest(a, z) * (bar / (2 - bar)) <= F.least(a, z) + 1e-9
     tokens = materialize(_prefixes(titles, bar, keys), "title-prefixes")
     on = lambda more: [F.col(f"a.{k}") == F.col(f"z.{k}") for k in [*keys, *more]]
-    met = tokens.alias("a").join(tokens.alias("z"), on(["token"])).filter((F.col("a.t") < F.col("z.t")) & fits(F.col("a.n"), F.col("z.n")))
+    # letters in common, whatever their order, are no fewer than those of a common subsequence
+    common = sum(F.least(f"a.c.{k}", f"z.c.{k}") for k in COUNTED)
+    met = tokens.alias("a").join(tokens.alias("z"), on(["token"])).filter(
+        (F.col("a.t") < F.col("z.t")) & fits(F.col("a.n"), F.col("z.n")) & (2 * common >= bar * (F.col("a.n") + F.col("z.n")) - 1e-6))
     # titles that may share no gram: very short, or of few different letters
     plain = titles.select(*keys, "t", F.length("t").alias("n"), (F.size(_grams(F.col("t"))) <= _lost(F.length("t"), bar)).alias("loose")).distinct().filter("loose")
     ratio = max(bar / (2 - bar), 1e-6)
