@@ -97,7 +97,7 @@ def main(argv=None, spark=None, client=None, provider=None, agent_provider=None,
         return 0
     store = Store(spark or build_session(), args.db if "://" in args.db else f"file://{Path(args.db).resolve()}")
     if args.command == "collect":
-        result = pipeline.collect(store, configs, client or PoliteClient(), now, since, until, config.tracking if config else (), args.source, _production())
+        result = pipeline.collect(store, configs, client, now, since, until, config.tracking if config else (), args.source, _production())
         for s in result.sources:
             out(f"{_shown(s.name)}: fetched {s.fetched}, new {s.new}, entities {s.entities}, skipped {s.skipped}" + (f", error {s.error}" if s.error else ""))
         out(f"total new: {result.stored_new}")

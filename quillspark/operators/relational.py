@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import age_days
 from ..session import materialize
 
+
 def row_numbers(df: DataFrame, order: list, name: str) -> DataFrame:
     """Adds ``name``: 1, 2, ... over the whole table in ``order``.
 
@@ -42,6 +43,31 @@ def by_score_and_topic(classified: DataFrame, floor: int, topic: str | None = No
     return classified.filter(hit).orderBy(F.desc("score"), "canonical_hash")
 
 
+def classified_between(classified: DataFrame, start: Column, end: Column, min_score: int | None = None) -> DataFrame:
+    """Classified items that were ingested in [start, end), of a score at least."""
+    inside = (F.col("ingested_at") >= start) & (F.col("ingested_at") < end)
+    return classified.filter(inside if min_score is None else inside & (F.col("score") >= min_score))
+
+
+def named(rows: DataFrame, column: str, only) -> DataFrame:
+    """The rows of the sources asked for; of all, if none is named."""
+    return rows.filter(F.col(column).isin(*only)) if only else rows
+
+
+def open_followups(rows: DataFrame, done: DataFrame, open_only: bool = True) -> DataFrame:
+    """Followups with ``completed``, by the ids in ``done``; the open ones alone if asked."""
+    marked = rows.join(done.select("id").distinct().withColumn("completed", F.lit(True)), "id", "left").withColumn("completed", F.coalesce("completed", F.lit(False)))
+    return marked.filter(~F.col("completed")) if open_only else marked
+
+
+def followup_order() -> list:
+    return [F.col("action"), F.col("item_title_snapshot"), F.col("id")]
+
+
+def lookup(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return rows.join(keys.select(key), key, "left_semi")
+
+
 # ---------------------------------------------------------------- joins
 
 
@@ -71,6 +97,34 @@ def strong_overlap(a: Column, b: Column, kinds=("cve",)) -> Column:
     return F.arrays_overlap(strong(a), strong(b))
 
 
+def entity_pairs(entities: DataFrame, key: str, kinds=("cve",)) -> DataFrame:
+    """(a, b), a < b, of all ``key`` that share an entity of a strong kind."""
+    strong = entities.filter(F.col("kind").isin(*kinds)).select(key, "kind", "value").distinct()
+    left, right = strong.withColumnRenamed(key, "a"), strong.withColumnRenamed(key, "b")
+    return left.join(right, ["kind", "value"]).filter("a < b").select("a", "b").distinct()
+
+
+def with_sources(items: DataFrame, sources: DataFrame) -> DataFrame:
+    """Items with the sorted names of all their sources (none: an empty array)."""
+    names = sources.groupBy("canonical_hash").agg(F.sort_array(F.collect_set("source_name")).alias("sources"))
+    return items.join(names, "canonical_hash", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+
+
+def latest(log: DataFrame, keys: list[str], columns: list[str], seq: str) -> DataFrame:
+    """The last entry of every key of a log."""
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*columns), seq).alias("_r")).select(*keys, "_r.*")
+
+
+def missing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Distinct ``key`` of ``left`` that ``right`` has not: sources that never ran."""
+    return left.select(key).distinct().join(right.select(key), key, "left_anti")
+
+
+def all_sources(configured: DataFrame, runs: DataFrame) -> DataFrame:
+    """Configured sources and those seen in the log, each once; ``_run`` marks the latter."""
+    return configured.select("source_name").distinct().join(runs.withColumn("_run", F.lit(True)), "source_name", "full_outer")
+
+
 def inherit_sources(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     """Source rows of losers, rewritten to their roots; rows the root has stay as they are."""
     mine = sources.join(pairs, sources["canonical_hash"] == pairs["loser"]).select(
@@ -114,19 +168,69 @@ def health_label(errors: Column, last_success: Column, now: Column, stale_days:
     return (F.when(errors > 0, "FAILING").when(last_success.isNull(), "no success yet").when(age > stale_days, "STALE").otherwise("ok"))
 
 
+def failing(runs: DataFrame, after: int) -> DataFrame:
+    """Sources with at least ``after`` errors in a row; none if ``after`` is 0."""
+    return runs.filter((F.col("consecutive_error_runs") >= after) & F.lit(after > 0))
+
+
 # ---------------------------------------------------------------- aggregations
 
 
+def run_totals(runs: DataFrame, failed: Column, empty: Column) -> DataFrame:
+    return runs.agg(F.count("*").alias("runs"), F.count_if(failed).alias("errors"), F.count_if(empty).alias("empties"), F.coalesce(F.bool_or(failed), F.lit(False)).alias("any_error"))
+
+
+def outcomes_per_source(rows: DataFrame, **outcomes: Column) -> DataFrame:
+    """Per source how many rows there are of each outcome."""
+    return rows.groupBy("source_name").agg(*[F.count_if(c).alias(name) for name, c in outcomes.items()])
+
+
+def store_counts(items: DataFrame, active: DataFrame) -> DataFrame:
+    """(items, unclassified) of the items that nothing supersedes."""
+    marked = items.join(active.select("canonical_hash").distinct().withColumn("_c", F.lit(True)), "canonical_hash", "left")
+    return marked.agg(F.count("*").alias("items"), F.count_if(F.col("_c").isNull()).alias("unclassified"))
+
+
+def entity_counts(entities: DataFrame) -> DataFrame:
+    return entities.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def usage(calls: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """Tokens and turns per conversation."""
+    return calls.groupBy(key).agg(F.sum(tokens).alias("tokens"), F.count("*").alias("turns"))
+
+
+def spent(batches: DataFrame, budget: int) -> DataFrame:
+    """Running cost over (batch, cost), and whether it is within ``budget``. A row per
+    batch of a run, which is limited; one task adds them up."""
+    total = F.sum("cost").over(Window.partitionBy().orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))
+    return batches.select("batch", total.alias("spent"), (total <= budget).alias("affordable"))
+
+
+def accuracy(golden: DataFrame, expected: Column, predicted: Column) -> DataFrame:
+    """(accuracy, n): the share of rows whose prediction is what was expected; a
+    missing one is a miss. Of no rows it is 0."""
+    hit = F.coalesce(expected == predicted, F.lit(False))
+    return golden.agg(F.coalesce(F.avg(F.when(hit, 1.0).otherwise(0.0)), F.lit(0.0)).alias("accuracy"), F.count("*").alias("n"))
+
+
 def entry_order() -> list:
     return [F.desc("score"), F.desc_nulls_last("published_at"), F.col("canonical_hash")]
 
 
 def topic_groups(entries: DataFrame) -> DataFrame:
-    """Topics with their entries in report order: topics by best score, then name."""
-    rank = F.struct((-F.col("score")).alias("s"), F.coalesce(-F.unix_micros("published_at"), F.lit((1 << 63) - 1)).alias("p"), F.col("canonical_hash"))
-    return entries.groupBy("topic").agg(
-        F.count("*").alias("n"), F.max("score").alias("best"), F.array_sort(F.collect_list(rank)).alias("_e")
-    ).select("topic", "n", "best", F.transform("_e", lambda e: e["canonical_hash"]).alias("hashes")).orderBy(F.desc("best"), "topic")
+    """Every entry with its topic's ``n``, ``best`` and ``topic_place`` (topics by best
+    score, then name) and its own ``place`` in the topic, in report order.
+
+    Entries are numbered by ranges over the whole table and a topic starts after
+    those before it, so no topic is gathered however many entries it has.
+    """
+    sizes = materialize(entries.groupBy("topic").agg(F.count("*").alias("n"), F.max("score").alias("best")), "topics")
+    order = Window.partitionBy().orderBy(F.desc("best"), "topic")  # one row per topic of the taxonomy
+    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    topics = sizes.withColumns({"topic_place": F.row_number().over(order).cast("long"), "_before": before})
+    numbered = row_numbers(entries.join(topics, "topic"), [F.col("topic_place"), *entry_order()], "place")
+    return numbered.withColumn("place", (F.col("place") - F.col("_before")).cast("long")).drop("_before")
 
 
 def weekly_entities(entities: DataFrame, week: Column) -> DataFrame:

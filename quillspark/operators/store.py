@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize, shared_dir
-from .relational import row_numbers
+from .relational import latest, open_followups, row_numbers
 
 SCHEMAS = {
     "items": "canonical_hash string, url string, title string, summary string, published_at timestamp, ingested_at timestamp, metadata string, canonicalization_version int",
@@ -80,6 +80,13 @@ def resolve_roots(edges: DataFrame) -> DataFrame:
     return now.join(around, F.col("root") == F.col("_l"), "left").select("loser", F.coalesce("_m", "root").alias("root")).filter("loser <> root")
 
 
+def body_state(items: DataFrame, bodies: DataFrame, known: DataFrame) -> DataFrame:
+    """Items with ``cached`` (has a body) and ``known`` (a body of it may be kept)."""
+    mark = lambda df, name: df.select("canonical_hash").distinct().withColumn(name, F.lit(True))
+    both = items.join(mark(bodies, "cached"), "canonical_hash", "left").join(mark(known, "known"), "canonical_hash", "left")
+    return both.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("cached", "known")})
+
+
 class Store:
     """Tables below one folder of any file system that Spark writes to."""
 
@@ -122,7 +129,7 @@ class Store:
 
     def active(self) -> DataFrame:
         """(canonical_hash, classification_id): the latest activation."""
-        return self.read("activations").groupBy("canonical_hash").agg(F.max_by("classification_id", "seq").alias("current_classification_id"))
+        return latest(self.read("activations"), ["canonical_hash"], ["classification_id"], "seq").withColumnRenamed("classification_id", "current_classification_id")
 
     def items(self, with_superseded: bool = False) -> DataFrame:
         items = cascade(self.read("items"), self.read("deletions"), "canonical_hash")
@@ -134,11 +141,11 @@ class Store:
         return cascade(self.read(name), self.read("deletions"), "canonical_hash")
 
     def bodies(self) -> DataFrame:
-        return self.children("item_bodies").groupBy("canonical_hash").agg(F.max_by(F.struct("body", "fetched_from_url", "fetched_at"), "seq").alias("r")).select("canonical_hash", "r.*")
+        return latest(self.children("item_bodies"), ["canonical_hash"], ["body", "fetched_from_url", "fetched_at"], "seq")
 
     def source_runs(self) -> DataFrame:
         cols = [c for c in self._schema("source_runs").names if c not in ("source_name", "seq")]
-        return self.read("source_runs").groupBy("source_name").agg(F.max_by(F.struct(*cols), "seq").alias("r")).select("source_name", "r.*")
+        return latest(self.read("source_runs"), ["source_name"], cols, "seq")
 
     def classified(self) -> DataFrame:
         """Items with their active classification."""
@@ -146,17 +153,16 @@ class Store:
         return self.items().join(cls, F.col("current_classification_id") == F.col("id")).drop("id")
 
     def followups(self, open_only: bool = False) -> DataFrame:
-        done = self.read("followups_done").distinct()
-        f = self.read("followups").join(done.withColumn("completed", F.lit(True)), "id", "left").withColumn("completed", F.coalesce("completed", F.lit(False)))
+        f = open_followups(self.read("followups"), self.read("followups_done"), open_only)
         gone = self.read("deletions").withColumnRenamed("canonical_hash", "item_hash").withColumn("_gone", F.lit(True))
-        f = f.join(gone, "item_hash", "left").withColumn("item_hash", F.when(F.col("_gone").isNull(), F.col("item_hash"))).drop("_gone")
-        return f.filter(~F.col("completed")) if open_only else f
+        return f.join(gone, "item_hash", "left").withColumn("item_hash", F.when(F.col("_gone").isNull(), F.col("item_hash"))).drop("_gone")
 
     # ---- writes with rules
 
     def set_bodies(self, batch: DataFrame) -> int:
         """Bodies of known items; the latest wins. Returns rows turned away."""
-        known, unknown = admit(batch, self.items(True), "canonical_hash")
+        marked = body_state(batch, self.bodies(), self.items(True))
+        known, unknown = marked.filter("known"), marked.filter("NOT known")
         self.append("item_bodies", known.withColumn("seq", F.lit(self.next_seq("item_bodies"))))
         return unknown.count()
 

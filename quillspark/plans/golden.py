@@ -1,8 +1,9 @@
 """Accuracy of a classifier on a labelled JSONL file."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import relational
 from ..operators.classify import Provider, classify_pending
 
 GATE = 0.85
@@ -11,8 +12,8 @@ ROW = "title string, summary string, source string, url string, topic string, sc
 
 def load_golden(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(ROW).json(path).filter("title IS NOT NULL")
-    number = F.row_number().over(Window.partitionBy().orderBy("url", "title"))
-    return rows.withColumn("canonical_hash", number.cast("string")).withColumnRenamed("source", "source_name")
+    numbered = relational.row_numbers(rows, [F.col("url"), F.col("title")], "canonical_hash")
+    return numbered.withColumn("canonical_hash", F.col("canonical_hash").cast("string")).withColumnRenamed("source", "source_name")
 
 
 def accuracy(golden: DataFrame, provider: Provider, prompt: str, **options) -> tuple[float, DataFrame]:
@@ -21,5 +22,5 @@ def accuracy(golden: DataFrame, provider: Provider, prompt: str, **options) -> t
     found, _ = classify_pending(golden.orderBy("canonical_hash"), provider, prompt, topics, **options)
     both = golden.join(found.select("canonical_hash", F.col("topic").alias("predicted")), "canonical_hash", "left")
     hit = F.coalesce(F.col("topic") == F.col("predicted"), F.lit(False))
-    share = both.agg(F.avg(F.when(hit, 1.0).otherwise(0.0))).first()[0] or 0.0
+    share = relational.accuracy(both, F.col("topic"), F.col("predicted")).first()["accuracy"]
     return share, both.filter(~hit).select("title", "topic", "predicted")

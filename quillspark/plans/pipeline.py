@@ -1,6 +1,5 @@
 """The three jobs: collect, synthesize, status."""
 
-import hashlib
 import json
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
@@ -13,9 +12,10 @@ from ..functions.dates import in_window, week_start
 from ..operators.classify import classifier_version, classify_pending
 from ..operators.dedupe import find_duplicates
 from ..operators.normalize import normalize, validate
-from ..operators.relational import dedupe_candidates, health_label, inherit_sources, unclassified, weekly_entities, with_first_source
+from ..operators.relational import all_sources, classified_between, dedupe_candidates, failing, health_label, inherit_sources, unclassified, weekly_entities, with_first_source, with_sources
 from ..operators.store import Store
-from ..sources.adapters import fetch
+from ..session import materialize
+from ..sources.adapters import error_text, fetch
 from .agent import Tools, run_agent
 from .reports import Span, collection_report, synthesis_report, write_atomically
 
@@ -39,13 +39,6 @@ def system_prompt(config, folder=None, name: str = "classify") -> str:
     return template.replace("[[taxonomy]]", config.render_taxonomy()).replace("[[focus]]", config.research_focus or "(none given)")
 
 
-def error_text(error: Exception, production: bool) -> str:
-    """What a log may say: in production only the class and a digest of the message,
-    because messages name private hosts."""
-    text = f"{type(error).__name__}: {error}"
-    return f"{type(error).__name__}: msg#{hashlib.sha256(text.encode()).hexdigest()[:8]}" if production else text
-
-
 @dataclass
 class SourceResult:
     name: str
@@ -95,25 +88,48 @@ def ingest(store: Store, raw: DataFrame, now: datetime, since=None, until=None,
     return counts
 
 
+def _fetched_on_executors(spark: SparkSession, configs: list[dict], cursors: dict, now: datetime, production: bool, **options):
+    """(raw rows, state per source) of one read of all sources. What each fetched is
+    written before it is used, so a task that runs again does not fetch twice."""
+    from ..sources.datasource import STATE, register
+
+    if not configs:
+        return None, {}
+    register(spark)
+    read = spark.read.format("quill_feed").options(config=json.dumps(configs), cursors=json.dumps(cursors), state="true", production=str(production).lower(), **options).load()
+    read = materialize(read, "fetched")
+    state = {}
+    for r in read.filter(F.col("source_type") == STATE).collect():  # one row per source
+        s = json.loads(r["payload"])
+        state[r["source_name"]] = (s["cursor"], s["unchanged"], s["error"])
+    return read.filter(F.col("source_type") != STATE).withColumn("fetched_at", F.lit(now)), state
+
+
 def collect(store: Store, configs: list[dict], client, now: datetime, since=None, until=None, tracking=(), only=(), production: bool = False) -> CollectResult:
     """Fetch every source, store what is new, then move the cursors.
 
     A failing source is recorded and the others go on. Cursors move only after
     the items are stored, so a crash fetches again and stores nothing twice.
+    Without a ``client`` all sources are one Spark read: executors fetch them, those
+    of one host one after another. A client that is given fetches on the driver.
     """
     spark, out = store.spark, CollectResult()
     before = {r["source_name"]: r.asDict() for r in store.source_runs().collect()}
     configs = [c for c in configs if not only or c["name"] in only]
-    rows, state = [], {}
-    for c in configs:
-        old = before.get(c["name"], {})
-        try:
-            found, cursor, unchanged = fetch(c, json.loads(old.get("cursor") or "{}"), client)
-            rows += [(c["name"], c["type"], key, payload, now) for key, payload in found]
-            state[c["name"]] = (cursor, unchanged, None)
-        except Exception as e:
-            state[c["name"]] = (json.loads(old.get("cursor") or "{}"), False, error_text(e, production))
-    counts = ingest(store, spark.createDataFrame(rows, RAW), now, since, until, tracking) if rows else {}
+    cursors = {c["name"]: json.loads(before.get(c["name"], {}).get("cursor") or "{}") for c in configs}
+    if client is None:
+        raw, state = _fetched_on_executors(spark, configs, cursors, now, production)
+    else:
+        rows, state = [], {}
+        for c in configs:
+            try:
+                found, cursor, unchanged = fetch(c, cursors[c["name"]], client)
+                rows += [(c["name"], c["type"], key, payload, now) for key, payload in found]
+                state[c["name"]] = (cursor, unchanged, None)
+            except Exception as e:
+                state[c["name"]] = (cursors[c["name"]], False, error_text(e, production))
+        raw = spark.createDataFrame(rows, RAW) if rows else None
+    counts = ingest(store, raw, now, since, until, tracking) if raw is not None else {}
     runs, seq = [], store.next_seq("source_runs")
     for c in configs:
         name, old = c["name"], before.get(c["name"], {})
@@ -147,9 +163,7 @@ def deduplicate(store: Store, now: datetime, days: int = 7, title=0.92, hours=48
 def report_entries(store: Store, day: datetime) -> DataFrame:
     """The day's classified items with their sources."""
     start = day.replace(hour=0, minute=0, second=0, microsecond=0)
-    inside = store.classified().filter((F.col("ingested_at") >= F.lit(start)) & (F.col("ingested_at") < F.lit(start + timedelta(days=1))))
-    names = store.children("item_sources").groupBy("canonical_hash").agg(F.sort_array(F.collect_set("source_name")).alias("sources"))
-    return inside.join(names, "canonical_hash", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+    return with_sources(classified_between(store.classified(), F.lit(start), F.lit(start + timedelta(days=1))), store.children("item_sources"))
 
 
 def post_process(store: Store, config, provider, now: datetime, vault=None, prompts=None) -> dict:
@@ -173,7 +187,7 @@ def post_process(store: Store, config, provider, now: datetime, vault=None, prom
 
 def synthesize(store: Store, provider, client, span: Span, now: datetime, vault=None, system: str = "", min_score: int = 5, **limits) -> dict:
     """Run the agent over a window, roll its entities up and render the report."""
-    items = store.classified().filter((F.col("ingested_at") >= F.lit(span.start)) & (F.col("ingested_at") < F.lit(span.end)) & (F.col("score") >= min_score)).checkpoint()
+    items = classified_between(store.classified(), F.lit(span.start), F.lit(span.end), min_score).checkpoint()
     listed = [r.asDict() for r in items.orderBy("ingested_at", "canonical_hash").select(F.col("canonical_hash").alias("item_hash"), "title", "url", "summary", "topic", "score").collect()]
     opening = f"Window {span.label}: {span.start.isoformat()} to {span.end.isoformat()}, {len(listed)} item(s).\n\n{json.dumps(listed, ensure_ascii=False)}"
     result = run_agent(provider, Tools(store, client, span, now, min_score), system, opening, **limits)
@@ -189,6 +203,5 @@ def status(spark: SparkSession, runs: DataFrame, configured: list[str], now: dat
     """Health of all configured and seen sources, and whether the gate fails."""
     names = spark.createDataFrame([(c,) for c in configured], "source_name string").distinct()
     label = F.when(F.col("_run").isNull(), "never run").otherwise(health_label(F.col("consecutive_error_runs"), F.col("last_success_at"), F.lit(now), stale_days))
-    table = names.join(runs.withColumn("_run", F.lit(True)), "source_name", "full_outer").withColumn("health", label).drop("_run").orderBy("source_name")
-    failing = fail_after > 0 and not runs.filter(F.col("consecutive_error_runs") >= fail_after).isEmpty()
-    return table, failing
+    table = all_sources(names, runs).withColumn("health", label).drop("_run").orderBy("source_name")
+    return table, not failing(runs, fail_after).isEmpty()

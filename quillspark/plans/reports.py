@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import markdown_cell, secondary_suffix
-from ..operators.relational import entry_order, topic_groups
+from ..operators.relational import followup_order, topic_groups
 
 SCHEMA_VERSION, RENDERER_VERSION = 2, 1
 #: Headings of entity kinds.
@@ -63,7 +63,7 @@ def write_atomically(path: Path, content: str) -> Path:
 
 
 def collection_lines(entries: DataFrame) -> DataFrame:
-    """(topic, n, best, lines): every topic's entries as finished Markdown blocks.
+    """(topic, n, topic_place, place, block): every entry as a finished Markdown block.
 
     ``entries``: canonical_hash, title, url, score, topic, secondary_topics,
     rationale, published_at, sources (array of names).
@@ -73,29 +73,28 @@ def collection_lines(entries: DataFrame) -> DataFrame:
         F.lit("### ["), "title", F.lit("]("), "url", F.lit(") — score "), F.col("score").cast("string"), secondary_suffix("secondary_topics"),
         F.lit("\n> "), "rationale", F.when(names != "", F.concat(F.lit("\n- **Sources:** "), names)).otherwise(""),
         F.when(F.col("published_at").isNotNull(), F.concat(F.lit("\n- **Published:** "), F.date_format("published_at", "yyyy-MM-dd"))).otherwise(""))
-    blocks = entries.select("canonical_hash", block.alias("block"))
-    order = topic_groups(entries).select("topic", "n", "best", F.posexplode("hashes").alias("pos", "canonical_hash"))
-    placed = order.join(blocks, "canonical_hash")
-    return placed.groupBy("topic", "n", "best").agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("b")).select(
-        "topic", "n", "best", F.transform("b", lambda x: x["block"]).alias("blocks")).orderBy(F.desc("best"), "topic")
+    return topic_groups(entries).select("topic", "n", "topic_place", "place", block.alias("block"))
 
 
 def collection_report(entries: DataFrame, day: date) -> str:
-    topics = collection_lines(entries).collect()
+    """The report as text; entries come to the driver partition by partition."""
+    counts, body, at = {}, [], None
+    for r in collection_lines(entries).orderBy("topic_place", "place").toLocalIterator():
+        if r["topic"] != at:
+            at = r["topic"]
+            counts[at] = r["n"]
+            body.append(f"\n## {at} ({r['n']})\n")
+        body.append(f"\n{r['block']}\n")
     head = front_matter({"date": day.isoformat(), "type": "collection-report", "schema_version": SCHEMA_VERSION, "renderer_version": RENDERER_VERSION,
-                         "counts": {"by_topic": {t["topic"]: t["n"] for t in topics}, "total": sum(t["n"] for t in topics)}})
+                         "counts": {"by_topic": counts, "total": sum(counts.values())}})
     out = f"{head}\n\n# Collection — {day.isoformat()}\n"
-    if not topics:
-        return out + "\n_No items collected._\n"
-    for t in topics:
-        out += f"\n## {t['topic']} ({t['n']})\n" + "".join(f"\n{b}\n" for b in t["blocks"])
-    return out
+    return out + ("".join(body) if body else "\n_No items collected._\n")
 
 
 def synthesis_report(span: Span, body: str, entities: DataFrame, followups: DataFrame) -> str:
     """``entities``: kind, value, context; ``followups``: all, with ``completed``."""
     rows = entities.select("kind", "value", markdown_cell("context").alias("cell")).orderBy("kind", "value").collect()
-    todo = followups.select("action", "item_title_snapshot", "item_url_snapshot", "note", "completed").orderBy("action", "item_title_snapshot").collect()
+    todo = followups.orderBy(*followup_order()).select("action", "item_title_snapshot", "item_url_snapshot", "note", "completed").collect()
     kinds = list(dict.fromkeys(r["kind"] for r in rows))
     head = front_matter({
         "type": "synthesis-report", "schema_version": SCHEMA_VERSION, "renderer_version": RENDERER_VERSION,

@@ -12,6 +12,7 @@ import json
 import os
 import xml.etree.ElementTree as ET
 from datetime import UTC, datetime
+from html.parser import HTMLParser
 from urllib.parse import urlencode
 
 from .http import HttpError
@@ -50,16 +51,73 @@ def _feed_epoch(value: str | None) -> int | None:
     return calendar.timegm(parsed[:6] + (0, 0, 0)) - (parsed[9] or 0) if parsed else iso_epoch(value.strip())
 
 
-def parse_feed(data: bytes) -> list[dict]:
-    """Entries of an RSS or Atom document, as payloads with their id. A document
-    that is no XML has none."""
+class _Lenient(HTMLParser):
+    """Feed entries of a document that is not well-formed: the elements inside every
+    item or entry, whatever is left open or badly escaped around them."""
+
+    RAW = {"title", "link", "guid", "id", "description", "summary", "pubdate", "published", "date", "updated", "author", "creator", "name", "category", "encoded", "content"}
+    CASED = {"pubdate": "pubDate"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.entries, self.entry, self.field = [], None, None
+
+    def handle_starttag(self, tag, attrs):
+        name = tag.rsplit(":", 1)[-1]
+        if name in ("item", "entry"):
+            self.entry, self.field = ET.Element(name), None
+            self.entries.append(self.entry)
+        elif self.entry is not None and name in self.RAW and (self.field is None or name != "name"):
+            self.field = ET.SubElement(self.entry, self.CASED.get(name, name), {k: v or "" for k, v in attrs})
+            self.field.text = ""
+        elif self.field is not None and name != "name":
+            self.field.text += self.get_starttag_text() or ""
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag.rsplit(":", 1)[-1] in self.RAW:
+            self.field = None
+
+    def handle_endtag(self, tag):
+        name = tag.rsplit(":", 1)[-1]
+        if name in ("item", "entry"):
+            self.entry = self.field = None
+        elif name in self.RAW:
+            self.field = self.field if name == "name" else None
+        elif self.field is not None:
+            self.field.text += f"</{tag}>"
+
+    def handle_data(self, data):
+        if self.field is not None:
+            self.field.text += data
+
+    def unknown_decl(self, data):
+        if data.startswith("CDATA[") and self.field is not None:
+            self.field.text += data[6:]
+
+
+def _entries(data: bytes) -> list:
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
     try:
-        root = ET.fromstring(data)
+        return [e for e in ET.fromstring(data).iter() if local(e) in ("item", "entry")]
     except ET.ParseError:
-        return []
+        lenient = _Lenient()
+        lenient.feed(data.decode("utf-8", "replace"))
+        lenient.close()
+        return lenient.entries
+
+
+def external_id(ident: str | None, link: str | None, title: str | None, published: str | None) -> str:
+    """An entry's id, else its link, else a digest of title and time."""
+    return str(ident or link or hashlib.sha256(f"{title or ''}|{published or ''}".encode()).hexdigest())
+
+
+def parse_feed(data: bytes) -> list[dict]:
+    """Entries of an RSS or Atom document, as payloads with their id. A document that
+    is not well-formed gives what entries can be made out; one that is no feed none."""
     name = lambda e: e.tag.rsplit("}", 1)[-1]
     out = []
-    for entry in (e for e in root.iter() if name(e) in ("item", "entry")):
+    for entry in _entries(data):
         by = {}
         for child in entry:
             by.setdefault(name(child), []).append(child)
@@ -74,8 +132,7 @@ def parse_feed(data: bytes) -> list[dict]:
             "authors": [a for a in authors if a], "tags": [t for c in by.get("category", []) if (t := c.get("term") or (c.text or "").strip())],
             "published_timestamp": _feed_epoch(published), "updated_timestamp": _feed_epoch(updated), "content": text("encoded", "content"),
         })
-        key = payload.get("id") or payload.get("link") or hashlib.sha256(f"{payload.get('title', '')}|{payload.get('published', '')}".encode()).hexdigest()
-        out.append(payload | {"_key": str(key)})
+        out.append(payload | {"_key": external_id(payload.get("id"), payload.get("link"), payload.get("title"), payload.get("published"))})
     return out
 
 
@@ -116,8 +173,12 @@ def _rss(c, cursor, client):
 def _arxiv(c, cursor, client):
     q = {"search_query": c["query"], "sortBy": "submittedDate", "sortOrder": "descending", "max_results": c["max_results"]}
     entries = parse_feed(_checked(client.get(f"{ARXIV_API}?{urlencode(q)}")).body)
-    good = [e for e in entries if ARXIV_ERRORS not in e.get("id", "") and ARXIV_ERRORS not in e.get("link", "")]
-    return _rows(good), dict(cursor), False
+    return _rows(paper_entries(entries)), dict(cursor), False
+
+
+def paper_entries(entries: list[dict]) -> list[dict]:
+    """Entries without the one that tells of an error."""
+    return [e for e in entries if ARXIV_ERRORS not in e.get("id", "") and ARXIV_ERRORS not in e.get("link", "")]
 
 
 def _hn(c, cursor, client):
@@ -125,7 +186,12 @@ def _hn(c, cursor, client):
     mark = cursor.get("last_created_at_i")
     if isinstance(mark, int):
         q["numericFilters"] = f"created_at_i>{mark}"
-    body = _json(client.get(f"{HN_API}?{urlencode(q)}"))
+    rows, top = hit_rows(_json(client.get(f"{HN_API}?{urlencode(q)}")), mark)
+    return rows, {**cursor, "last_created_at_i": top}, False
+
+
+def hit_rows(body, mark) -> tuple[list, int]:
+    """(rows, latest time) of a search reply; the time never goes back behind ``mark``."""
     hits = body.get("hits") if isinstance(body, dict) else None
     rows, top = [], mark if isinstance(mark, int) else 0
     for hit in hits if isinstance(hits, list) else []:
@@ -140,7 +206,7 @@ def _hn(c, cursor, client):
         payload["published_timestamp"] = int(created) if timed else None
         rows.append((key, json.dumps({k: v for k, v in payload.items() if v is not None}, ensure_ascii=False)))
         top = max(top, created) if isinstance(created, int) else top
-    return rows, {**cursor, "last_created_at_i": top}, False
+    return rows, top
 
 
 def _releases(c, cursor, client):
@@ -148,7 +214,13 @@ def _releases(c, cursor, client):
     reply = client.get(f"{GITHUB_API}/repos/{c['repo']}/releases?per_page={c['per_page']}", _github_headers(etag if isinstance(etag, str) else None))
     if reply.status == 304:
         return [], dict(cursor), True
-    body, rows = _json(reply), []
+    rows = release_rows(c["repo"], _json(reply))
+    return rows, {**cursor, **({"etag": e} if (e := reply.header("ETag")) else {})}, False
+
+
+def release_rows(repo: str, body) -> list:
+    """Rows of a list of releases; drafts and what is no release are left out."""
+    rows = []
     for r in body if isinstance(body, list) else []:
         if not isinstance(r, dict) or r.get("draft"):
             continue
@@ -156,9 +228,9 @@ def _releases(c, cursor, client):
         author = r.get("author")
         if key:
             rows.append((key, json.dumps(_kept({
-                "link": r.get("html_url"), "title": f"{c['repo']} {r.get('tag_name') or r.get('name') or ''}".strip(), "summary": r.get("body"), "repo": c["repo"], "tag": r.get("tag_name"),
+                "link": r.get("html_url"), "title": f"{repo} {r.get('tag_name') or r.get('name') or ''}".strip(), "summary": r.get("body"), "repo": repo, "tag": r.get("tag_name"),
                 "author": author.get("login") if isinstance(author, dict) else None, "published_timestamp": iso_epoch(r.get("published_at"))}), ensure_ascii=False)))
-    return rows, {**cursor, **({"etag": e} if (e := reply.header("ETag")) else {})}, False
+    return rows
 
 
 def _topic(c, cursor, client):
@@ -186,3 +258,10 @@ ADAPTERS = {"rss": _rss, "arxiv": _arxiv, "hn_search": _hn, "github_releases": _
 
 def fetch(config: dict, cursor: dict, client):
     return ADAPTERS[config["type"]](config, cursor, client)
+
+
+def error_text(error: Exception, production: bool) -> str:
+    """What a log may say: in production only the class and a digest of the message,
+    because messages name private hosts."""
+    text = f"{type(error).__name__}: {error}"
+    return f"{type(error).__name__}: msg#{hashlib.sha256(text.encode()).hexdigest()[:8]}" if production else text

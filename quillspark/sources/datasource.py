@@ -2,7 +2,9 @@
 
 ``spark.read.format("quill_feed").option("config", json)`` reads once; as a
 stream, the cursor is the offset, so a checkpoint resumes where it stopped.
-Option ``replies`` names a JSON file of canned replies (tests, replays).
+Option ``replies`` names a JSON file of canned replies (tests, replays). With option
+``state`` every source adds one row of type STATE: its new cursor, whether nothing
+changed, and its error, which then does not end the read.
 """
 
 import hashlib
@@ -12,10 +14,11 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from .adapters import fetch
+from .adapters import error_text, fetch
 from .config import check_source
 from .http import PoliteClient, Response
 
+STATE = "_state"
 SCHEMA = "source_name string, source_type string, external_id string, payload string"
 
 
@@ -58,10 +61,19 @@ class _Batch(DataSourceReader):
         return [InputPartition(group) for group in by_type.values()]
 
     def read(self, partition):
-        client = _client(self.options)
+        client, state = _client(self.options), self.options.get("state") == "true"
+        cursors = json.loads(self.options.get("cursors", "{}"))
         for config in partition.value:
-            rows, _, _ = fetch(config, {}, client)
-            yield from _rows(config, rows)
+            cursor, unchanged, error = cursors.get(config["name"], {}), False, None
+            try:
+                rows, cursor, unchanged = fetch(config, cursor, client)
+                yield from _rows(config, rows)
+            except Exception as e:
+                if not state:
+                    raise
+                error = error_text(e, self.options.get("production") == "true")
+            if state:
+                yield (config["name"], STATE, None, json.dumps({"cursor": cursor, "unchanged": unchanged, "error": error}, sort_keys=True))
 
 
 class _Stream(SimpleDataSourceStreamReader):
