@@ -185,6 +185,12 @@ def outcomes_per_source(rows: DataFrame, **outcomes: Column) -> DataFrame:
     return rows.groupBy("source_name").agg(*[F.count_if(c).alias(name) for name, c in outcomes.items()])
 
 
+def outcomes(rows: DataFrame, classified: Column, fallback: Column) -> DataFrame:
+    """How many rows were classified, got the fallback, or were skipped (neither)."""
+    label = F.when(classified, "classified").when(fallback, "fallback").otherwise("skipped")
+    return rows.groupBy(label.alias("outcome")).agg(F.count("*").alias("n"))
+
+
 def store_counts(items: DataFrame, active: DataFrame) -> DataFrame:
     """(items, unclassified) of the items that nothing supersedes."""
     marked = items.join(active.select("canonical_hash").distinct().withColumn("_c", F.lit(True)), "canonical_hash", "left")

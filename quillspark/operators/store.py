@@ -80,6 +80,12 @@ def resolve_roots(edges: DataFrame) -> DataFrame:
     return now.join(around, F.col("root") == F.col("_l"), "left").select("loser", F.coalesce("_m", "root").alias("root")).filter("loser <> root")
 
 
+def repointed(current: DataFrame) -> DataFrame:
+    """(loser, root) of every loser whose winner (loser, winner) has itself lost."""
+    roots = resolve_roots(current.select("loser", "winner", F.lit(1).alias("seq")))
+    return roots.join(current, "loser").filter("root <> winner").select("loser", "root")
+
+
 def body_state(items: DataFrame, bodies: DataFrame, known: DataFrame) -> DataFrame:
     """Items with ``cached`` (has a body) and ``known`` (a body of it may be kept)."""
     mark = lambda df, name: df.select("canonical_hash").distinct().withColumn(name, F.lit(True))
@@ -180,8 +186,7 @@ class Store:
         """Record (loser, winner), then repoint older losers of a new loser to its root."""
         self.append("supersessions", pairs.select("loser", "winner").withColumn("seq", F.lit(self.next_seq("supersessions"))))
         current = self.supersessions()
-        roots = resolve_roots(current.select("loser", F.col("superseded_by").alias("winner"), F.lit(1).alias("seq")))
-        moved = roots.join(current, "loser").filter("root <> superseded_by").select("loser", F.col("root").alias("winner")).checkpoint()
+        moved = materialize(repointed(current.withColumnRenamed("superseded_by", "winner")).select("loser", F.col("root").alias("winner")), "repointed")
         if not moved.isEmpty():
             self.append("supersessions", moved.withColumn("seq", F.lit(self.next_seq("supersessions"))))
 

@@ -4,6 +4,9 @@ The model's tables are derived from the test tables by the same rule on both
 sides: :func:`base` in Spark, ``BASE`` in SQL. Times come out as epoch seconds.
 """
 
+import json
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from ..functions import dates, entities, replies, text, url
 from ..operators import dedupe, relational, store
 from ..operators.classify import parse_replies
 from ..operators.normalize import normalize, validate
+from ..session import materialize
+from ..sources import adapters
 
 QUERIES, SQL = {}, {}
 TOPICS = ["agents", "models", "tools", "other"]
@@ -148,19 +153,35 @@ def _(b):
     d = F.col("doc_id")
     a = F.when(d % 3 == 0, F.concat(F.lit("id"), d.cast("string"))).otherwise("")
     l = F.when(d % 3 == 1, F.concat(F.lit("https://e.com/"), d.cast("string"))).otherwise("")  # noqa: E741
-    return b["table"]("documents").select("doc_id", F.coalesce(F.nullif(a, F.lit("")), F.nullif(l, F.lit("")), F.sha2(F.concat_ws("|", "text", "lang"), 256)).alias("external_id"))
+    key = F.pandas_udf(lambda i, k, t, p: pd.Series([adapters.external_id(*v) for v in zip(i, k, t, p)]), "string")
+    return b["table"]("documents").select("doc_id", key(a, l, F.col("text"), F.col("lang")).alias("external_id"))
 
 
 @query("cursor_strict", """SELECT event_id, floor(epoch(ts))::BIGINT AS created, (SELECT greatest(1704800000, max(floor(epoch(ts))::BIGINT)) FROM events) AS new_cursor FROM events WHERE floor(epoch(ts))::BIGINT > 1704800000""", body=True)
 def _(b):
-    e = b["table"]("events").select("event_id", secs(F.col("ts").cast("timestamp")).alias("created")).filter("created > 1704800000")
-    top = e.agg(F.greatest(F.lit(1704800000), F.coalesce(F.max("created"), F.lit(0))).cast("long").alias("new_cursor"))
-    return e.join(top)
+    """Every reply of the search holds a batch of hits later than the mark; the new
+    cursor is the latest of all replies."""
+    mark = 1704800000
+
+    def read(batches):
+        for batch in batches:
+            hits = [{"objectID": str(i), "title": "t", "created_at_i": int(c)} for i, c in zip(batch["event_id"], batch["created"])]
+            rows, top = adapters.hit_rows({"hits": hits}, mark)
+            yield pd.DataFrame([(int(key), json.loads(payload)["published_timestamp"], top) for key, payload in rows], columns=["event_id", "created", "top"])
+
+    e = b["table"]("events").select("event_id", secs(F.col("ts").cast("timestamp")).alias("created")).filter(F.col("created") > mark)
+    rows = materialize(e.mapInPandas(read, "event_id long, created long, top long"), "hits")
+    return rows.select("event_id", "created").join(F.broadcast(rows.agg(F.coalesce(F.max("top"), F.lit(mark)).cast("long").alias("new_cursor"))))
 
 
 @query("release_drafts", "SELECT event_id, 'r' || event_id AS external_id FROM events WHERE event_type <> 'signup'", body=True)
 def _(b):
-    return b["table"]("events").filter(F.col("event_type") != "signup").select("event_id", F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("external_id"))
+    def read(batches):
+        for batch in batches:
+            body = [{"id": f"r{i}", "tag_name": "v1", "draft": kind == "signup"} for i, kind in zip(batch["event_id"], batch["event_type"])]
+            yield pd.DataFrame([(int(key[1:]), key) for key, _ in adapters.release_rows("o/n", body)], columns=["event_id", "external_id"])
+
+    return b["table"]("events").select("event_id", "event_type").mapInPandas(read, "event_id long, external_id string")
 
 
 @query("watermark_boundary", """WITH e AS (SELECT event_id, user_id, epoch(date_trunc('day', ts))::BIGINT AS day FROM events)
@@ -180,10 +201,17 @@ def _(b):
 @query("payload_mapping", """SELECT p_partkey, trim(p_brand || ' ' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END) AS title,
  CASE WHEN p_size % 3 = 0 THEN 'https://e.com/' || p_partkey ELSE 'https://news.ycombinator.com/item?id=' || p_partkey END AS link FROM part""", body=True)
 def _(b):
-    key = F.col("p_partkey").cast("string")
-    linked = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("https://e.com/"), key))
-    return b["table"]("part").select("p_partkey", F.trim(F.concat_ws(" ", "p_brand", F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(""))).alias("title"),
-                                     F.coalesce(linked, F.concat(F.lit("https://news.ycombinator.com/item?id="), key)).alias("link"))
+    """Release titles and story links by the adapters that make them."""
+    def read(batches):
+        for batch in batches:
+            out = []
+            for key, brand, kind, size in zip(batch["p_partkey"], batch["p_brand"], batch["p_type"], batch["p_size"]):
+                [(_, release)] = adapters.release_rows(brand, [{"id": f"r{key}", "tag_name": kind if size % 2 == 0 else None}])
+                [(_, hit)] = adapters.hit_rows({"hits": [{"objectID": str(key), "url": f"https://e.com/{key}" if size % 3 == 0 else None}]}, 0)[0]
+                out.append((int(key), json.loads(release)["title"], json.loads(hit)["link"]))
+            yield pd.DataFrame(out, columns=["p_partkey", "title", "link"])
+
+    return b["table"]("part").select("p_partkey", "p_brand", "p_type", "p_size").mapInPandas(read, "p_partkey long, title string, link string")
 
 
 @query("iso_epochs", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE epoch(date_trunc('second', o_orderdate))::BIGINT END AS epoch FROM orders""", body=True)
@@ -195,8 +223,14 @@ def _(b):
 
 @query("arxiv_error_entries", """SELECT page_id FROM pages WHERE page_id % 13 <> 0""", body=True)
 def _(b):
-    e = b["table"]("pages").withColumn("id", F.when(F.col("page_id") % 13 == 0, F.concat(F.lit("http://arxiv.org/api/errors#x"), F.col("page_id").cast("string"))).otherwise(F.col("url")))
-    return e.filter(~F.contains("id", F.lit("arxiv.org/api/errors"))).select("page_id")
+    """Every batch of pages is an Atom document; the entries that tell of an error go."""
+    def read(batches):
+        for batch in batches:
+            ids = [f"http://arxiv.org/api/errors#x{i}" if i % 13 == 0 else f"http://e.com/{i}" for i in batch["page_id"]]
+            document = "<feed>" + "".join(f"<entry><id>{i}</id><title>{k}</title></entry>" for i, k in zip(ids, batch["page_id"])) + "</feed>"
+            yield pd.DataFrame({"page_id": [int(e["title"]) for e in adapters.paper_entries(adapters.parse_feed(document.encode()))]})
+
+    return b["table"]("pages").select("page_id").mapInPandas(read, "page_id long")
 
 
 # ------------------------------------------------------------------ projections
@@ -272,22 +306,23 @@ def _(b):
 
 @query("window_items", "SELECT page_id, score FROM active WHERE ingested_at >= TIMESTAMP '2024-01-02' AND ingested_at < TIMESTAMP '2024-01-09' AND score >= 5")
 def _(b):
-    return b["active"].filter((F.col("ingested_at") >= at("2024-01-02 00:00:00")) & (F.col("ingested_at") < at("2024-01-09 00:00:00")) & (F.col("score") >= 5)).select("page_id", "score")
+    return relational.classified_between(b["active"], at("2024-01-02 00:00:00"), at("2024-01-09 00:00:00"), 5).select("page_id", "score")
 
 
 @query("source_subset", "SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src3')", body=True)
 def _(b):
-    return b["table"]("documents").filter(F.col("source").isin("src1", "src3")).select("doc_id", "source")
+    return relational.named(b["table"]("documents"), "source", ["src1", "src3"]).select("doc_id", "source")
 
 
 @query("open_followups", "SELECT id, action, epoch(created_at)::BIGINT AS created FROM followups WHERE NOT completed")
 def _(b):
-    return b["followups"].filter(~F.col("completed")).orderBy("created_at", "id").select("id", "action", secs("created_at").alias("created"))
+    f = b["followups"]
+    return relational.open_followups(f.drop("completed"), f.filter("completed")).select("id", "action", secs("created_at").alias("created"))
 
 
 @query("point_lookup", "SELECT page_id, url FROM items WHERE canonical_hash = (SELECT min(canonical_hash) FROM items)")
 def _(b):
-    return b["items"].join(b["items"].agg(F.min("canonical_hash").alias("canonical_hash")), "canonical_hash", "left_semi").select("page_id", "url")
+    return relational.lookup(b["items"], b["items"].agg(F.min("canonical_hash").alias("canonical_hash")), "canonical_hash").select("page_id", "url")
 
 
 @query("item_lookups", """SELECT canonical_hash, source_name, row_number() OVER (PARTITION BY canonical_hash ORDER BY first_seen_at, source_name)::BIGINT AS k FROM src""")
@@ -306,7 +341,7 @@ def _(b):
 
 @query("day_window", "SELECT page_id FROM active WHERE date_trunc('day', ingested_at) = TIMESTAMP '2024-01-03'")
 def _(b):
-    return b["active"].filter((F.col("ingested_at") >= at("2024-01-03 00:00:00")) & (F.col("ingested_at") < at("2024-01-04 00:00:00"))).select("page_id")
+    return relational.classified_between(b["active"], at("2024-01-03 00:00:00"), at("2024-01-04 00:00:00")).select("page_id")
 
 
 # ------------------------------------------------------------------ joins
@@ -341,27 +376,23 @@ def _(b):
 
 @query("strong_overlap", f", {ENTS} SELECT DISTINCT a.page_id AS a, b.page_id AS b FROM items a JOIN ents x USING (canonical_hash) JOIN ents y ON x.kind = 'cve' AND y.kind = 'cve' AND x.value = y.value JOIN items b ON b.canonical_hash = y.canonical_hash WHERE a.page_id < b.page_id")
 def _(b):
-    e = ents(b).filter("kind = 'cve'").join(b["items"].select("canonical_hash", "page_id"), "canonical_hash").select("page_id", "value")
-    return e.select(F.col("page_id").alias("a"), "value").join(e.select(F.col("page_id").alias("b"), "value"), "value").filter("a < b").select("a", "b").distinct()
+    return relational.entity_pairs(ents(b).join(b["items"].select("canonical_hash", "page_id"), "canonical_hash"), "page_id")
 
 
 @query("report_entries", "SELECT page_id, topic, score, (SELECT array_to_string(list_sort(list_distinct(list(source_name))), ',') FROM src s WHERE s.canonical_hash = active.canonical_hash) AS sources FROM active")
 def _(b):
-    names = b["src"].groupBy("canonical_hash").agg(F.array_join(F.sort_array(F.collect_set("source_name")), ",").alias("sources"))
-    return b["active"].join(names, "canonical_hash", "left").select("page_id", "topic", "score", "sources")
+    return relational.with_sources(b["active"], b["src"]).select("page_id", "topic", "score", F.array_join("sources", ",").alias("sources"))
 
 
 @query("body_cache", "SELECT page_id, page_id % 3 = 0 AS cached, page_id % 4 <> 0 AS known FROM items")
 def _(b):
     i = b["items"].select("page_id", "canonical_hash")
-    bodies = i.filter("page_id % 3 = 0").select("canonical_hash", F.lit(True).alias("c"))
-    known = i.filter("page_id % 4 <> 0").select("canonical_hash", F.lit(True).alias("k"))
-    return i.join(bodies, "canonical_hash", "left").join(known, "canonical_hash", "left").select("page_id", F.coalesce("c", F.lit(False)).alias("cached"), F.coalesce("k", F.lit(False)).alias("known"))
+    return store.body_state(i, i.filter("page_id % 3 = 0"), i.filter("page_id % 4 <> 0")).select("page_id", "cached", "known")
 
 
 @query("never_run", "SELECT c_custkey AS source_name FROM customer WHERE c_custkey NOT IN (SELECT source_name FROM runs)")
 def _(b):
-    return b["table"]("customer").select(F.col("c_custkey").alias("source_name")).join(b["runs"].select("source_name"), "source_name", "left_anti")
+    return relational.missing(b["table"]("customer").select(F.col("c_custkey").alias("source_name")), b["runs"], "source_name")
 
 
 @query("insert_or_ignore", """SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE value > 150) GROUP BY 1, 2""", body=True)
@@ -394,8 +425,7 @@ def _(b):
 
 @query("golden_accuracy", "SELECT avg(CASE WHEN quality = CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 1 END THEN 1.0::DOUBLE ELSE 0 END) AS accuracy, count(*)::BIGINT AS n FROM labels", body=True)
 def _(b):
-    hit = F.col("quality") == F.when(F.col("doc_id") % 7 == 0, 0).otherwise(1)
-    return b["table"]("labels").agg(F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("accuracy"), F.count("*").alias("n"))
+    return relational.accuracy(b["table"]("labels"), F.col("quality"), F.when(F.col("doc_id") % 7 == 0, 0).otherwise(1))
 
 
 @query("inherit_sources", """SELECT DISTINCT sup.winner AS canonical_hash, src.source_name FROM sup JOIN src ON src.canonical_hash = sup.loser WHERE NOT EXISTS (SELECT 1 FROM src x WHERE x.canonical_hash = sup.winner AND x.source_name = src.source_name)""")
@@ -419,24 +449,24 @@ def _(b):
 
 @query("run_totals", "SELECT count(*)::BIGINT AS runs, sum(CASE WHEN failed THEN 1 ELSE 0 END)::BIGINT AS errors, sum(CASE WHEN empty THEN 1 ELSE 0 END)::BIGINT AS empties, bool_or(failed) AS any_error FROM runs")
 def _(b):
-    return b["runs"].agg(F.count("*").alias("runs"), F.count_if("failed").alias("errors"), F.count_if("empty").alias("empties"), F.bool_or("failed").alias("any_error"))
+    return relational.run_totals(b["runs"], F.col("failed"), F.col("empty"))
 
 
 @query("store_counts", "SELECT count(*)::BIGINT AS items, (SELECT count(*) FROM live WHERE canonical_hash NOT IN (SELECT canonical_hash FROM act))::BIGINT AS unclassified FROM live")
 def _(b):
-    return b["live"].join(b["act"], "canonical_hash", "left").agg(F.count("*").alias("items"), F.count_if(F.col("classification_id").isNull()).alias("unclassified"))
+    return relational.store_counts(b["live"], b["act"])
 
 
 @query("per_source_counts", "SELECT source_name, count(*)::BIGINT AS fetched, count(*) FILTER (WHERE NOT failed)::BIGINT AS kept, count(*) FILTER (WHERE NOT failed AND NOT empty)::BIGINT AS stored FROM runs GROUP BY 1")
 def _(b):
-    return b["runs"].groupBy("source_name").agg(F.count("*").alias("fetched"), F.count_if(~F.col("failed")).alias("kept"), F.count_if(~F.col("failed") & ~F.col("empty")).alias("stored"))
+    good = ~F.col("failed")
+    return relational.outcomes_per_source(b["runs"], fetched=F.lit(True), kept=good, stored=good & ~F.col("empty"))
 
 
-@query("topic_groups", """, g AS (SELECT topic, count(*)::BIGINT AS n, max(score) AS best, array_to_string(list(canonical_hash ORDER BY score DESC, published_at DESC NULLS LAST, canonical_hash), ',') AS hashes FROM active GROUP BY topic)
-SELECT topic, n, best, hashes, row_number() OVER (ORDER BY best DESC, topic)::BIGINT AS place FROM g""")
+@query("topic_groups", """, g AS (SELECT topic, count(*)::BIGINT AS n, max(score) AS best FROM active GROUP BY topic), p AS (SELECT *, row_number() OVER (ORDER BY best DESC, topic)::BIGINT AS topic_place FROM g)
+SELECT topic, n, best, topic_place, canonical_hash, row_number() OVER (PARTITION BY topic ORDER BY score DESC, published_at DESC NULLS LAST, canonical_hash)::BIGINT AS place FROM active JOIN p USING (topic)""")
 def _(b):
-    g = relational.topic_groups(b["active"]).select("topic", "n", "best", F.array_join("hashes", ",").alias("hashes"))
-    return g.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc("best"), "topic")).cast("long"))
+    return relational.topic_groups(b["active"]).select("topic", "n", "best", "topic_place", "canonical_hash", "place")
 
 
 @query("weekly_entities", """SELECT epoch(date_trunc('week', ts))::BIGINT AS week, event_type AS kind, user_id::VARCHAR AS value, array_to_string(list_sort(list_distinct(list(event_id::VARCHAR))), ',') AS related,
@@ -451,21 +481,20 @@ def _(b):
 
 @query("entity_counts", f", {ENTS} SELECT kind, count(*)::BIGINT AS n FROM ents GROUP BY kind")
 def _(b):
-    return ents(b).groupBy("kind").agg(F.count("*").alias("n"))
+    return relational.entity_counts(ents(b))
 
 
 @query("token_usage", "SELECT conv_id, sum(length(text) // 4)::BIGINT AS tokens, count(*)::BIGINT AS turns FROM conversations GROUP BY conv_id", body=True)
 def _(b):
-    return b["table"]("conversations").groupBy("conv_id").agg(F.sum(F.expr("length(text) div 4")).alias("tokens"), F.count("*").alias("turns"))
+    return relational.usage(b["table"]("conversations"), "conv_id", F.expr("length(text) div 4"))
 
 
 # ------------------------------------------------------------------ order, batches
 
 
-@query("entry_order", "SELECT canonical_hash, row_number() OVER (ORDER BY score DESC, published_at DESC NULLS LAST, canonical_hash)::BIGINT AS place FROM active ORDER BY place LIMIT 100")
+@query("entry_order", "SELECT canonical_hash, row_number() OVER (ORDER BY score DESC, published_at DESC NULLS LAST, canonical_hash)::BIGINT AS place FROM active")
 def _(b):
-    top = b["active"].orderBy(*relational.entry_order()).limit(100)
-    return top.select("canonical_hash", F.row_number().over(Window.partitionBy().orderBy(*relational.entry_order())).cast("long").alias("place"))
+    return relational.row_numbers(b["active"], relational.entry_order(), "place").select("canonical_hash", F.col("place").cast("long").alias("place"))
 
 
 @query("winner_rank", "SELECT canonical_hash, row_number() OVER (PARTITION BY topic ORDER BY score DESC, published_at ASC NULLS LAST, canonical_hash)::BIGINT AS k FROM active")
@@ -476,7 +505,10 @@ def _(b):
 
 @query("followup_order", "SELECT id, row_number() OVER (PARTITION BY action ORDER BY item)::BIGINT AS k FROM followups WHERE NOT completed")
 def _(b):
-    return b["followups"].filter(~F.col("completed")).select("id", F.row_number().over(Window.partitionBy("action").orderBy("item")).cast("long").alias("k"))
+    f = b["followups"].withColumn("item_title_snapshot", F.lpad(F.col("item").cast("string"), 20, "0"))
+    numbered = relational.row_numbers(relational.open_followups(f.drop("completed"), f.filter("completed")), relational.followup_order(), "k")
+    first = numbered.groupBy("action").agg(F.min("k").alias("first"))
+    return numbered.join(F.broadcast(first), "action").select("id", (F.col("k") - F.col("first") + 1).cast("long").alias("k"))
 
 
 @query("token_batches", "SELECT batch, count(*)::BIGINT AS n, (sum(length(title)) // 4 + 16)::BIGINT AS cost FROM (SELECT title, (row_number() OVER (ORDER BY ingested_at, canonical_hash) - 1) // 10 AS batch FROM live) GROUP BY batch")
@@ -489,9 +521,7 @@ def _(b):
 SELECT batch, sum(cost) OVER (ORDER BY batch)::BIGINT AS spent, sum(cost) OVER (ORDER BY batch) <= 2000 AS affordable FROM c""")
 def _(b):
     pending = dedupe.batches(b["live"], 10, [F.col("ingested_at"), F.col("canonical_hash")])
-    c = pending.groupBy("batch").agg((F.floor(F.sum(F.length("title")) / 4) + 16).alias("cost"))
-    spent = F.sum("cost").over(Window.partitionBy().orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))
-    return c.select("batch", spent.alias("spent"), (spent <= 2000).alias("affordable"))
+    return relational.spent(pending.groupBy("batch").agg((F.floor(F.sum(F.length("title")) / 4) + 16).alias("cost")), 2000)
 
 
 # ------------------------------------------------------------------ sets
@@ -499,18 +529,18 @@ def _(b):
 
 @query("configured_union", "SELECT count(*)::BIGINT AS n FROM (SELECT c_custkey FROM customer UNION SELECT user_id FROM events)", body=True)
 def _(b):
-    return b["table"]("customer").select("c_custkey").union(b["table"]("events").select("user_id")).distinct().agg(F.count("*").alias("n"))
+    return relational.all_sources(b["table"]("customer").select(F.col("c_custkey").alias("source_name")), b["runs"].select("source_name").distinct()).agg(F.count("*").alias("n"))
 
 
 @query("configured_minus_seen", "SELECT c_custkey AS source_name FROM customer EXCEPT SELECT user_id FROM events", body=True)
 def _(b):
-    return b["table"]("customer").select(F.col("c_custkey").alias("source_name")).subtract(b["table"]("events").select("user_id"))
+    return relational.missing(b["table"]("customer").select(F.col("c_custkey").alias("source_name")), b["table"]("events").select(F.col("user_id").alias("source_name")), "source_name")
 
 
 @query("entity_intersection", f", {ENTS} SELECT value FROM ents JOIN items USING (canonical_hash) WHERE page_id % 2 = 0 INTERSECT SELECT value FROM ents JOIN items USING (canonical_hash) WHERE page_id % 3 = 0")
 def _(b):
     e = ents(b).join(b["items"].select("canonical_hash", "page_id"), "canonical_hash")
-    return e.filter("page_id % 2 = 0").select("value").intersect(e.filter("page_id % 3 = 0").select("value"))
+    return relational.lookup(e.filter("page_id % 2 = 0").select("value").distinct(), e.filter("page_id % 3 = 0"), "value")
 
 
 @query("clean_secondaries", """SELECT page_id, array_to_string(list_filter([['agents', 'models', 'tools', 'other'][(page_id + 1) % 4 + 1], ['agents', 'models', 'tools', 'other'][page_id % 4 + 1]], lambda x: x <> ['agents', 'models', 'tools', 'other'][page_id % 4 + 1]), ',') AS secondary FROM pages""", body=True)
@@ -545,7 +575,7 @@ def _(b):
 
 @query("health_gate", STREAKS + "SELECT count(*)::BIGINT AS failing FROM h WHERE errors >= 2")
 def _(b):
-    return health(b).filter("consecutive_error_runs >= 2").agg(F.count("*").alias("failing"))
+    return relational.failing(health(b), 2).agg(F.count("*").alias("failing"))
 
 
 @query("carried_success", "SELECT seq, floor(epoch(last_value(CASE WHEN NOT failed THEN ts END IGNORE NULLS) OVER (PARTITION BY source_name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))::BIGINT AS last_ok FROM runs")
@@ -555,7 +585,7 @@ def _(b):
 
 @query("current_classification", "SELECT canonical_hash, max(id) AS id, max_by(topic, id) AS topic FROM cls GROUP BY 1")
 def _(b):
-    return b["cls"].groupBy("canonical_hash").agg(F.max("id").alias("id"), F.max_by("topic", "id").alias("topic"))
+    return relational.latest(b["cls"], ["canonical_hash"], ["id", "topic"], "id")
 
 
 @query("supersession_roots", """WITH RECURSIVE e AS (SELECT o_orderkey AS loser, o_orderkey // 2 AS winner FROM orders WHERE o_orderkey >= 2 AND o_orderstatus <> 'P'),
@@ -563,9 +593,6 @@ r AS (SELECT loser, winner AS root FROM e UNION ALL SELECT r.loser, e.winner FRO
 def _(b):
     k = F.col("o_orderkey")
     e = b["table"]("orders").filter((k >= 2) & (F.col("o_orderstatus") != "P")).select(k.alias("loser"), F.expr("o_orderkey div 2").alias("winner"), F.lit(1).alias("seq"))
-    from ..session import shared_dir
-
-    shared_dir(e.sparkSession)
     return store.resolve_roots(e)
 
 
@@ -675,3 +702,39 @@ def _(b):
     k = F.col("event_id") % 6
     r = F.when(k == 0, "[{}, {}]").when(k == 1, '{"items": [{}], "other": [1, 2]}').when(k == 2, '```json\n{"x": [1, 2, 3]}\n```').when(k == 3, '{"x": [1], "y": [2]}').when(k == 4, '"text"').otherwise("not json")
     return b["table"]("events").select("event_id", F.size(replies.reply_entries(r)).cast("long").alias("n")).withColumn("n", F.when(F.col("n") >= 0, F.col("n")))
+
+
+# ------------------------------------------------------------------ the store's own rules
+
+
+CHAIN = """WITH RECURSIVE e AS (SELECT o_orderkey AS loser, CASE WHEN o_orderkey % 97 = 5 THEN o_orderkey + 96 WHEN o_orderkey % 97 > 5 THEN o_orderkey - 1 ELSE o_orderkey // 2 END AS winner FROM orders WHERE o_orderkey >= 2),
+"""
+
+
+@query("supersession_repoint", CHAIN.replace("o_orderkey % 97 = 5 THEN o_orderkey + 96 WHEN o_orderkey % 97 > 5", "o_orderkey % 97 > 5") + """r AS (SELECT loser, winner AS root, 1 AS k FROM e UNION ALL SELECT r.loser, e.winner, k + 1 FROM r JOIN e ON e.loser = r.root),
+f AS (SELECT loser, arg_max(root, k) AS root FROM r GROUP BY loser) SELECT loser, root FROM f JOIN e USING (loser) WHERE root <> winner""", body=True)
+def _(b):
+    """Losers whose winner has itself lost, with the root that they are moved to."""
+    k = F.col("o_orderkey")
+    log = b["table"]("orders").filter(k >= 2).select(k.alias("loser"), F.when(k % 97 > 5, k - 1).otherwise(F.expr("o_orderkey div 2")).alias("winner"))
+    return store.repointed(log).select("loser", "root")
+
+
+@query("supersession_cycles", """WITH e AS (SELECT o_orderkey AS loser, o_orderkey // 10 AS ring FROM orders) SELECT loser, first AS root FROM e JOIN (SELECT ring, min(loser) AS first, count(*) AS n FROM e GROUP BY ring) USING (ring) WHERE loser <> first""", body=True)
+def _(b):
+    """Rings of up to ten losers, each superseded by the next: the least is the root."""
+    e = b["table"]("orders").select(F.col("o_orderkey").alias("loser"), F.expr("o_orderkey div 10").alias("ring"))
+    w = Window.partitionBy("ring").orderBy("loser")
+    ring = e.withColumn("winner", F.coalesce(F.lead("loser").over(w), F.first("loser").over(w)))
+    return store.resolve_roots(ring.select("loser", "winner", F.lit(1).alias("seq")))
+
+
+@query("classified_outcomes", """SELECT CASE WHEN quality IS NULL THEN 'skipped' WHEN quality = 1 THEN 'classified' ELSE 'fallback' END AS outcome, count(*)::BIGINT AS n FROM labels GROUP BY 1""", body=True)
+def _(b):
+    return relational.outcomes(b["table"]("labels"), F.col("quality") == 1, F.col("quality") == 0)
+
+
+@query("source_run_order", "SELECT source_name, row_number() OVER (ORDER BY source_name)::BIGINT AS place FROM (SELECT DISTINCT source_name FROM runs)")
+def _(b):
+    names = relational.latest(b["runs"], ["source_name"], ["ts"], "seq")
+    return relational.row_numbers(names, [F.col("source_name")], "place").select("source_name", F.col("place").cast("long").alias("place"))
