@@ -11,7 +11,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes up to which a written table may be broadcast (beyond, it is joined by key).
 BROADCAST_BYTES = 16 << 20
 #: Bytes of text that a vectorised step holds at once (a longer text is one step).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

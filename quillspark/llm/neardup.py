@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_dir
-from .common import mix64, shingle_sets, table, text_or_empty
+from .common import chunks, mix64, shingle_sets, table, text_or_empty
 from ..operators.components import components
 
 #: Characters of text in a batch of documents, shingles counted by one task,
 #: and members of a group, on average.
-BATCH_CHARS, COUNT_TOKENS, GROUP_MEMBERS = 1_500_000, 1_500_000, 32
+BATCH_CHARS, COUNT_TOKENS, GROUP_MEMBERS = 1_500_000, 750_000, 32
 BANDS, BAND_ROWS = 8, 3
 
 
@@ -114,9 +114,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, batch_cha
 
     def profile(batches):
         for batch in batches:
-            sets = shingle_sets(batch["text"].tolist(), k)
-            keys = [_set_key(s) for s in sets]
-            yield pd.DataFrame({"lone": batch["lone"], "key": batch["key"], "th": batch["th"], "chars": batch["text"].str.len(), "n": [len(s) for s in sets], "k1": [a for a, _ in keys], "k2": [b for _, b in keys]})
+            texts, named = batch["text"].tolist(), []
+            for lo, hi in chunks([len(t) for t in texts]):  # no more sets at once than a piece of the batch has
+                named += [(len(s), *_set_key(s)) for s in shingle_sets(texts[lo:hi], k)]
+            n, k1, k2 = zip(*named) if named else ((), (), ())
+            yield pd.DataFrame({"lone": batch["lone"], "key": batch["key"], "th": batch["th"], "chars": [len(t) for t in texts], "n": n, "k1": k1, "k2": k2})
 
     prof = materialize(source.mapInPandas(profile, "lone boolean, key long, th long, chars long, n long, k1 long, k2 long"), "neardup-profile")
     prof = prof.withColumn("doc_id", F.when(~F.col("lone"), F.col("key")))
@@ -156,21 +158,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, batch_cha
     def answer(asked):
         """To every batch: those of its shingles that other sets have too, and their frequency."""
         tokens = [np.frombuffer(t, dtype=np.uint32) for t in asked["tokens"]]
-        counts = np.concatenate([np.frombuffer(c, dtype=np.uint16) for c in asked["counts"]]).astype(np.int64)
+        counts = np.concatenate([np.frombuffer(c, dtype=np.uint16) for c in asked["counts"]])
         flat = np.concatenate(tokens)
         order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        sums = np.add.reduceat(counts[order], starts)
-        df = np.empty(len(flat), dtype=np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) != 0)))
+        sums = np.minimum(np.add.reduceat(counts[order], starts, dtype=np.int64), 2**31 - 1).astype(np.int32)
+        df = np.empty(len(flat), dtype=np.int32)
         df[order] = np.repeat(sums, np.diff(np.append(starts, len(flat))))
+        del flat, order, counts
         rows, at = [], 0
         for b, t in zip(asked["b"], tokens):
             mine = df[at : at + len(t)]
             at += len(t)
             keep = mine > 1
             if keep.any():
-                rows.append((int(b), int(asked["p"].iloc[0]), t[keep].tobytes(), np.minimum(mine[keep], 2**31 - 1).astype(np.int32).tobytes()))
+                rows.append((int(b), int(asked["p"].iloc[0]), t[keep].tobytes(), mine[keep].tobytes()))
         return pd.DataFrame(rows, columns=["b", "p", "tokens", "df"])
 
     asked = texts.groupBy("b").cogroup(reps.groupBy("b")).applyInPandas(ask, "p long, b long, tokens binary, counts binary")
