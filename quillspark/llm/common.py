@@ -30,7 +30,7 @@ def small(written: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """(row, id, made, text) of every row of ``docs``; ``row`` holds its columns.
+    """(row, id, made) of every row of ``docs``; ``row`` holds its columns.
 
     ``id`` is the doc_id where no other row has it. A null or repeated doc_id gives
     way to hash bits of all columns, from 2^62 up (``made``): rows of one doc_id
@@ -38,10 +38,10 @@ def identified(docs: DataFrame) -> DataFrame:
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     shared = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("shared")), "shared-ids")
-    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(small(shared, 20), F.col("doc_id") == F.col("shared"), "left")
-    made = F.col("doc_id").isNull() | F.col("shared").isNotNull()
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("key")).join(small(shared, 20), F.col("key") == F.col("shared"), "left")
+    made = F.col("key").isNull() | F.col("shared").isNotNull()
     own = F.xxhash64("row").bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
-    return rows.select("row", F.when(made, own).otherwise(F.col("doc_id")).alias("id"), made.alias("made"), "text")
+    return rows.select("row", F.when(made, own).otherwise(F.col("key")).alias("id"), made.alias("made"))
 
 
 def word_count(text: Column) -> Column:
@@ -148,9 +148,8 @@ def shingle_sets(texts: list[str], k: int, separator=SPACE) -> list:
     shingle, one without words the empty set.
     """
     out = []
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    for lo, hi in chunks([len(r) + 1 for r in raw]):
-        words, owner = hashed_words(raw[lo:hi], separator)
+    for lo, hi in chunks([len(t or "") + 1 for t in texts]):
+        words, owner = hashed_words([(t or "").encode("utf-8", "surrogatepass") for t in texts[lo:hi]], separator)
         h, of = shingles(words, owner, k)
         at = np.searchsorted(of, np.arange(hi - lo + 1))
         wat = np.searchsorted(owner, np.arange(hi - lo + 1))

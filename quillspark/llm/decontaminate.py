@@ -355,23 +355,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shard_items: int | None =
     return out
 
 
-def _search(texts: DataFrame, items: DataFrame, stats, short_items: bool):
+def _search(docs: DataFrame, items: DataFrame, stats, short_items: bool):
     """(leaks of ``items``, the broadcast index)."""
     mine = [(r["item_id"], r["text"]) for r in items.collect()]
-    index = texts.sparkSession.sparkContext.broadcast((indexes(mine, stats), ShortItems(mine if short_items else [])))
+    index = docs.sparkSession.sparkContext.broadcast((indexes(mine, stats), ShortItems(mine if short_items else [])))
 
     def search(batches):
         scored, short = index.value
         for batch in batches:
-            ids = batch["doc_id"].astype("Int64").tolist()
-            raw = [_encoded(t) for t in batch["text"]]
-            for lo, hi in chunks([len(r) + 1 for r in raw]):
-                hashed = hashed_words(raw[lo:hi], MARKS)
-                rows = [(ids[lo + t], one.ids[i], *v) for one in scored for (t, i), v in one.search(raw[lo:hi], hashed).items()]
-                rows += [(ids[lo + t], item, *v) for (t, item), v in short.search(raw[lo:hi], hashed).items()]
+            ids, texts = batch["doc_id"].astype("Int64").tolist(), batch["text"].tolist()
+            for lo, hi in chunks([len(t) + 1 for t in texts]):
+                raw = [_encoded(t) for t in texts[lo:hi]]
+                hashed = hashed_words(raw, MARKS)
+                rows = [(ids[lo + t], one.ids[i], *v) for one in scored for (t, i), v in one.search(raw, hashed).items()]
+                rows += [(ids[lo + t], item, *v) for (t, item), v in short.search(raw, hashed).items()]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEAKS.split(", ")])
 
-    return texts.mapInPandas(search, LEAKS), index
+    return docs.mapInPandas(search, LEAKS), index
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ MAX_POSITIVE, MAX_UNLABELLED = 8_000, 24_000
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 24, 60, 512, 0.01, 7
 #: Steps over all documents after the start, and their rate.
 STEPS, STEP_RATE = 8, 0.002
+#: Least scale of a feature: one that hardly varies in training counts for little.
+LEAST_SCALE = 1e-4
 #: Confidence and slack of the prior's estimate.
 DELTA, SLACK = 0.1, 0.01
 SPLIT = 1 << 30
@@ -52,15 +54,15 @@ N_FEATURES = len(_CLASSES) + 14
 def features(texts: list[str]) -> np.ndarray:
     """One row of numbers per text; an empty text has all zeros."""
     flags = np.array([[f(c) for f in _CLASSES] for c in range(256)], dtype=np.float64)
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    out = np.zeros((len(raw), N_FEATURES))
-    for lo, hi in chunks([len(r) + 1 for r in raw]):
-        words, owner = hashed_words(raw[lo:hi])
+    out = np.zeros((len(texts), N_FEATURES))
+    for lo, hi in chunks([len(t or "") + 1 for t in texts]):
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts[lo:hi]]
+        words, owner = hashed_words(raw)
         runs, run_owner = shingles(words, owner, 3)
         at = np.searchsorted(owner, np.arange(hi - lo + 1))
         rat = np.searchsorted(run_owner, np.arange(hi - lo + 1))
         for i in range(hi - lo):
-            data, n = raw[lo + i], at[i + 1] - at[i]
+            data, n = raw[i], at[i + 1] - at[i]
             if not data:
                 continue
             counts = np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256)
@@ -250,9 +252,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     start = _matrix(_bounded(table_, ["h"], max_unlabelled).groupBy("h").agg(F.first("f").alias("f")))
     if not len(start):
         return None
-    sums = _summed(table_, lambda x: np.concatenate([x.sum(0), (x * x).sum(0)]), 2 * N_FEATURES) / n
-    mean = sums[:N_FEATURES]
-    scale = np.sqrt(np.maximum(sums[N_FEATURES:] - mean**2, 0)) + 1e-6
+    near = start.mean(0)  # sums of squares are taken from a point nearby, so little cancels
+    sums = _summed(table_, lambda x: np.concatenate([(x - near).sum(0), ((x - near) ** 2).sum(0)]), 2 * N_FEATURES) / n
+    # rounded, as the order of summands differs between runs
+    mean = np.round(near + sums[:N_FEATURES], 9)
+    scale = np.maximum(np.round(np.sqrt(np.maximum(sums[N_FEATURES:] - sums[:N_FEATURES] ** 2, 0)), 6), LEAST_SCALE)
     prior = estimate_prior(positive, start, mean, scale)
     model = train_nnpu(positive, start, prior, mean, scale) | {"prior": prior}
     shapes = {k: np.shape(model[k]) for k in WEIGHTS}
