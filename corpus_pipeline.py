@@ -29,8 +29,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     (every score is then 0.5).
     """
     model = fit(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return score_quality(rows, model).filter(F.col("score") >= QUALITY).select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return score_quality(rows, model, "row.text").filter(F.col("score") >= QUALITY).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +43,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     and all stay, rows without text as well.
     """
     rows = identified(docs)
-    groups = jaccard_components(rows.select(F.col("id").alias("doc_id"), "text"), k=5, percent=80)
+    groups = jaccard_components(rows.select(F.col("id").alias("doc_id"), "row.text"), k=5, percent=80)
     gone = materialize(groups.filter("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "copies")
     kept = rows.join(small(gone, 16), "id", "left_anti")
-    copied = F.col("made") & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    copied = F.col("made") & F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))
     once = kept.filter(copied).groupBy("id").agg(F.first("row").alias("row"))
     return kept.filter(~copied).select("row.*").unionByName(once.select("row.*"))
 
@@ -55,7 +55,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that leak a test item go, whatever their ids: a null or repeated
     doc_id takes no other row along. Null and empty texts leak nothing and stay."""
     rows = identified(docs)
-    leaks = find_leaks(rows.select(F.col("id").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), short_items=True)
+    leaks = find_leaks(rows.select(F.col("id").alias("doc_id"), "row.text"), table(spark, sf_dir, "benchmark"), short_items=True)
     gone = materialize(leaks.select(F.col("doc_id").alias("id")).distinct(), "leaks")
     return rows.join(small(gone, 16), "id", "left_anti").select("row.*")
 
