@@ -239,3 +239,35 @@ def test_production_hides_names(monkeypatch):
     assert cli._shown("feed").startswith("src#")
     monkeypatch.setattr(cli, "main", lambda argv: (_ for _ in ()).throw(secret))
     assert cli.guarded([]) == 1
+
+
+def test_collection_on_executors(spark, tmp_path):
+    """One read of all sources: rows, new cursors and errors as the driver's loop has them."""
+    feed = {"name": "feed", "type": "rss", "url": "https://feed/x"}
+    down = {"name": "down", "type": "rss", "url": "https://down/x"}
+    hits = {"name": "hn", "type": "hn_search", "query": "q"}
+    replies = [{"url": "https://feed/", "headers": {"ETag": "e1"}, "body": RSS.decode()}, {"url": "https://down/", "status": 500, "body": ""},
+               {"url": "https://hn.algolia.com", "body": {"hits": [{"objectID": "7", "title": "T", "created_at_i": 70}]}}]
+    (tmp_path / "replies.json").write_text(json.dumps(replies))
+    cursors = {"feed": {}, "down": {"etag": "old"}, "hn": {"last_created_at_i": 40}}
+    raw, state = pipeline._fetched_on_executors(spark, [feed, down, hits], cursors, NOW, True, replies=str(tmp_path / "replies.json"))
+    assert sorted((r["source_name"], r["external_id"]) for r in raw.collect())[-1] == ("hn", "7") and raw.count() == 3
+    assert state["feed"] == ({"etag": "e1"}, False, None) and state["hn"] == ({"last_created_at_i": 70}, False, None)
+    assert state["down"][0] == {"etag": "old"} and "msg#" in state["down"][2] and "500" not in state["down"][2]
+    assert pipeline._fetched_on_executors(spark, [], {}, NOW, False) == (None, {})
+    store = Store(spark, f"file://{tmp_path}/db")
+    assert pipeline.ingest(store, raw, NOW)["hn"].new == 1
+
+
+BROKEN = b"""<?xml version="1.0"?><rss><channel><title>Site & co</title><item><title>Fish & chips <b>now</b></title><link>https://e.com/1</link><guid>g1</guid>
+<description><![CDATA[<p>a</p>]]></description><pubDate>Tue, 26 May 2026 10:00:00 GMT</pubDate></item><item><title>Second</title><link>https://e.com/2</link><dc:creator>Me</dc:creator></channel>"""
+
+
+def test_feeds_that_are_not_well_formed():
+    first, second = adapters.parse_feed(BROKEN)
+    assert (first["_key"], first["title"], first["summary"], first["published_timestamp"]) == ("g1", "Fish & chips <b>now</b>", "<p>a</p>", 1779789600)
+    assert (second["_key"], second["title"], second["authors"]) == ("https://e.com/2", "Second", ["Me"])
+    atom = b"<feed><entry><id>i1</id><title>A & B</title><link rel='alternate' href='https://e.com/a'/><author><name>N</name></author><category term='c'/></entry>"
+    [entry] = adapters.parse_feed(atom)
+    assert (entry["_key"], entry["title"], entry["link"], entry["authors"], entry["tags"]) == ("i1", "A & B", "https://e.com/a", ["N"], ["c"])
+    assert adapters.parse_feed(b"no feed at all") == [] and adapters.parse_feed(b"") == []
