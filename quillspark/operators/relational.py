@@ -240,13 +240,14 @@ def topic_groups(entries: DataFrame) -> DataFrame:
 
 
 def weekly_entities(entities: DataFrame, week: Column) -> DataFrame:
-    """Roll-up of (canonical_hash, ingested_at, kind, value, context) per (kind, value):
-    sorted distinct items and the context of the first that has one, else the value."""
+    """Roll-up of (canonical_hash, ingested_at, kind, value, context) per ``week``, kind
+    and value: sorted distinct items and the context of the first that has one, else
+    the value. ``week`` may be one week or an expression of the rows."""
     has = F.col("context").isNotNull() & (F.col("context") != "")
-    return entities.groupBy("kind", "value").agg(
+    return entities.withColumn("week_starting", week).groupBy("week_starting", "kind", "value").agg(
         F.sort_array(F.collect_set("canonical_hash")).alias("related_item_hashes"),
         F.min(F.when(has, F.struct("ingested_at", "canonical_hash", "context")))["context"].alias("_c"),
-    ).select(week.alias("week_starting"), "kind", "value", F.coalesce("_c", "value").alias("context"), "related_item_hashes").orderBy("kind", "value")
+    ).select("week_starting", "kind", "value", F.coalesce("_c", "value").alias("context"), "related_item_hashes").orderBy("week_starting", "kind", "value")
 
 
 def watermark(rows: DataFrame, ts: str, ident: str) -> DataFrame:
