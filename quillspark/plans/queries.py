@@ -14,8 +14,9 @@ from ..functions import dates, entities, replies, text, url
 from ..operators import dedupe, relational, store
 from ..operators.classify import parse_replies
 from ..operators.normalize import normalize, validate
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sources import adapters
+from .golden import load_golden
 
 QUERIES, SQL = {}, {}
 TOPICS = ["agents", "models", "tools", "other"]
@@ -739,3 +740,25 @@ def _(b):
 def _(b):
     names = relational.latest(b["runs"], ["source_name"], ["ts"], "seq")
     return relational.row_numbers(names, [F.col("source_name")], "place").select("source_name", F.col("place").cast("long").alias("place"))
+
+
+@query("followups_stored", """SELECT id, action, created FROM (SELECT row_number() OVER (ORDER BY created_at, lpad(id::VARCHAR, 12, '0'), action)::BIGINT AS id, action, epoch(created_at)::BIGINT AS created FROM followups) WHERE id % 3 <> 0""")
+def _(b):
+    """Followups written to a store, a third of them done, the open ones read back."""
+    f = b["followups"]
+    kept = store.Store(f.sparkSession, scratch_path(f.sparkSession, "followups"))
+    kept.add_followups(f.select("created_at", F.lpad(F.col("item").cast("string"), 12, "0").alias("item_hash"), F.lit("t").alias("item_title_snapshot"), F.lit("u").alias("item_url_snapshot"), "action", F.lit("").alias("note")))
+    kept.append("followups_done", kept.read("followups").filter("id % 3 = 0").select("id"))
+    return kept.followups(open_only=True).select("id", "action", secs("created_at").alias("created"))
+
+
+@query("golden_scan", """SELECT row_number() OVER (ORDER BY 'https://e.com/' || lpad(doc_id::VARCHAR, 12, '0'), 'd' || doc_id)::VARCHAR AS canonical_hash, 'd' || doc_id AS title, (doc_id % 11)::INT AS score, CASE WHEN quality = 1 THEN 'tools' ELSE 'other' END AS topic FROM labels WHERE doc_id % 5 <> 0""", body=True)
+def _(b):
+    """A golden set written as JSON lines and read back; lines without a title go."""
+    d = F.col("doc_id")
+    lines = b["table"]("labels").select(
+        F.when(d % 5 != 0, F.concat(F.lit("d"), d.cast("string"))).alias("title"), F.concat(F.lit("https://e.com/"), F.lpad(d.cast("string"), 12, "0")).alias("url"),
+        (d % 11).cast("int").alias("score"), F.when(F.col("quality") == 1, "tools").otherwise("other").alias("topic"))
+    path = scratch_path(lines.sparkSession, "golden")
+    lines.write.json(path)
+    return load_golden(lines.sparkSession, path).select("canonical_hash", "title", "score", "topic")
