@@ -4,10 +4,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from quillspark.operators.components import components
+from quillspark.llm import neardup
 from quillspark.llm.neardup import jaccard_components
+from quillspark.operators.components import components
 from quillspark.session import shared_dir
 
 DDL = "doc_id long, text string"
@@ -92,6 +94,17 @@ def test_every_class_links_by_its_own_set(spark):
     assert {c for i, _, c in got if i in (5, 9)} == {1} and {c for i, _, c in got if i in (20, 30)} == {20}
 
 
+def test_only_occupied_tasks_are_visited():
+    """A batch's work grows with the counting tasks that it has shingles for."""
+    rng = np.random.default_rng(1)
+    hashes = np.unique(rng.integers(0, 2**64, 50, dtype=np.uint64))
+    for parts in (1, 7, 10**6):
+        slots = np.unique(neardup._slots(hashes, parts))
+        found = neardup._occupied(slots)
+        assert len(found) <= min(parts, len(slots)) and [p for p, _, _ in found] == sorted({int(s) >> 32 for s in slots})
+        assert sum(hi - lo for _, lo, hi in found) == len(slots) and all(int(slots[k]) >> 32 == p for p, lo, hi in found for k in range(lo, hi))
+
+
 def test_components(spark):
     shared_dir(spark)
     rnd = random.Random(4)
