@@ -82,7 +82,7 @@ NAMED = [
     ("openrail", "(?:creativeml )?open rail m", []),
     ("cern-ohl", "cern open hardware", ["1.2", "2.0"]),
     ("solderpad", "solderpad hardware", ["2.1"]),
-    ("fal", "free art", ["1.3"]),
+    ("fal", "free art", []),
     ("opl", "open publication", ["1.0"]),
     ("cpal", "common public attribution", ["1.0"]),
     ("nasa", "nasa open source", ["1.3"]),
@@ -127,27 +127,28 @@ PHRASES = [
     ("personal-use", "for personal use only", "personal use", 2),
     ("non-commercial", "for non ?commercial (?:use|purposes)", "for non", 2),
     ("spdx", "spdx license identifier", "spdx", 2),
-    ("beerware", "beerware license|buy me a beer in return", "beer", 3),
+    ("beerware", "beerware license", "beerware", 3),
+    ("beerware", "buy me a beer in return", "me a beer", 3),
     ("commons-clause", "commons clause license condition", "commons", 4),
-    ("json", "the software shall be used for good not evil", "the software shall", 4),
-    ("all-permissive", "copying and distribution of this file with or without modification are permitted", "copying and distribution", 5),
-    ("gpl", "free software you can redistribute it and or modify it under the terms of the gnu general public license", "free software you", 5),
-    ("lgpl", "free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "free software you", 5),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "this software is provided", 5),
-    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy", "permission is hereby", 5),
+    ("json", "the software shall be used for good not evil", "evil", 4),
+    ("all-permissive", "copying and distribution of this file with or without modification are permitted", "permitted", 5),
+    ("gpl", "free software you can redistribute it and or modify it under the terms of the gnu general public license", "redistribute it", 5),
+    ("lgpl", "free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "redistribute it", 5),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "implied warranty", 5),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy", "organization obtaining", 5),
     ("isc", "permission to use copy modify and distribute this software for any purpose", "permission to use", 5),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "this is free", 5),
-    ("ofl", "this font software is licensed under", "this font", 4),
-    ("no-derivatives", "no derivative works(?: permitted)?", "no derivative", 2),
-    ("share-alike", "under the same license as the original", "under the same", 2),
-    ("attribution", "with attribution to the (?:author|source|original)", "with attribution", 2),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", 5),
+    ("ofl", "this font software is licensed under", "font software", 4),
+    ("no-derivatives", "no derivative works(?: permitted)?", "derivative works", 2),
+    ("share-alike", "under the same license as the original", "same license", 2),
+    ("attribution", "with attribution to the (?:author|source|original)", "attribution to", 2),
     ("fair-use", "fair (?:use|dealing)", "fair", 1),
-    ("educational-use", "for educational (?:use|purposes) only", "for educational", 2),
-    ("internal-use", "for internal use only", "for internal", 2),
+    ("educational-use", "for educational (?:use|purposes) only", "educational", 2),
+    ("internal-use", "for internal use only", "internal use", 2),
     ("confidential", "(?:strictly|company) confidential", "confidential", 1),
     ("trademark", "(?:is a|are) (?:registered )?trademarks? of", "trademark", 1),
     ("crown-copyright", "crown copyright", "crown", 3),
-    ("us-government", "work of the (?:united states|us|u s) government", "work of", 3),
+    ("us-government", "work of the (?:united states|us|u s) government", "government", 3),
     ("copyleft", "copyleft", "copyleft", 2),
     ("license", "licensed under", "licensed under", 1),
     ("license", "released under", "released under", 1),
