@@ -9,7 +9,7 @@ from .neardup import op2_near_duplicates
 from .quality import op9_quality
 from .sharding import OP5_SQL, op5_shards
 from .urlfilter import OP8_SQL, op8_url_filter
-from .warc import op7_warc_revisits
+from .warc import OP7_SQL, op7_warc_revisits
 
 QUERIES = {
     "op1_lcp_fingerprints": op1_fingerprints,
@@ -26,5 +26,6 @@ QUERIES = {
 SQL = {
     "op4_systematic_mix": OP4_SQL,
     "op5_extendible_shards": OP5_SQL,
+    "op7_warc_revisits": OP7_SQL,
     "op8_url_filter": OP8_SQL,
 }

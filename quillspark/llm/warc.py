@@ -209,3 +209,16 @@ def op7_warc_revisits(spark, sf_dir: str) -> DataFrame:
     write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), crawl)
     deduplicate_archive(spark, crawl, fresh, min_bytes=0)
     return resolve_revisits(spark, fresh).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Page ids of ``pages`` are unique: the largest of each payload is its response.
+OP7_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
+t AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(hex, CAST(i * 5 + 1 AS INT), 5) AS INT)) AS groups FROM d)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((groups[i // 4 + 1] >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = max(page_id) OVER w THEN NULL ELSE max(page_id) OVER w END AS refers_to
+FROM t WINDOW w AS (PARTITION BY hex)
+"""
