@@ -104,6 +104,19 @@ def query(name, sql=None, body=False):
     return add
 
 
+def similar_titles(pairs):
+    """SQL: ``alike`` (x, y, similarity) of the rows of ``pairs`` (x, y), by the table of
+    common subsequences, one letter of x after the other."""
+    return f"""lcs AS (
+  SELECT x, y, 0 AS i, list_transform(range(len(y) + 1), lambda j: 0) AS below FROM {pairs}
+  UNION ALL
+  SELECT x, y, i + 1, list_transform(range(1, len(y) + 2), lambda j: list_max(here[1:j])) FROM (
+    SELECT x, y, i, list_transform(range(len(y) + 1), lambda j: CASE WHEN j > 0 AND substr(x, i + 1, 1) = substr(y, j, 1) THEN below[j] + 1 ELSE below[j + 1] END) AS here
+    FROM lcs WHERE i < len(x)) t),
+alike AS (SELECT x, y, CASE WHEN len(x) + len(y) = 0 THEN 1.0::DOUBLE
+  ELSE (1 - (len(x) + len(y) - 2 * below[-1])::DOUBLE / (len(x) + len(y))) * 100 / 100.0::DOUBLE END AS similarity FROM lcs WHERE i = len(x))"""
+
+
 def secs(c):
     return F.unix_seconds(c) if not isinstance(c, str) else F.unix_seconds(F.col(c))
 
@@ -436,7 +449,28 @@ def _(b):
     return relational.inherit_sources(b["sup"].withColumnRenamed("winner", "root"), s).select("canonical_hash", "source_name")
 
 
-@query("duplicate_pairs")
+@query("duplicate_pairs", f"""WITH RECURSIVE {BASE}, {ENTS},
+node AS (
+  SELECT row_number() OVER (ORDER BY page_id % 11 DESC, CASE WHEN page_id % 50 <> 7 THEN ingested_at END NULLS LAST, canonical_hash) AS k,
+    canonical_hash, lower(trim(title)) AS t, CASE WHEN page_id % 50 <> 7 THEN ingested_at END AS p FROM items),
+strong AS (SELECT DISTINCT a.canonical_hash AS a, b.canonical_hash AS b FROM ents a JOIN ents b ON a.kind = 'cve' AND b.kind = 'cve' AND a.value = b.value),
+met AS (
+  SELECT m.k AS better, w.k AS worse, m.t AS x, w.t AS y, CASE WHEN s.a IS NULL THEN 0.92 ELSE 0.85 END::DOUBLE AS bar
+  FROM node m JOIN node w ON m.k < w.k AND (m.p IS NULL OR w.p IS NULL OR abs(epoch(m.p) - epoch(w.p)) <= 48 * 3600)
+  LEFT JOIN strong s ON s.a = m.canonical_hash AND s.b = w.canonical_hash),
+hopeful AS (
+  SELECT DISTINCT x, y FROM met WHERE 2 * coalesce(list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: least(len(x) - len(replace(x, c, '')), len(y) - len(replace(y, c, ''))))), 0) >= 0.84 * (len(x) + len(y))),
+{similar_titles('hopeful')},
+near AS (SELECT better, worse FROM met JOIN alike USING (x, y) WHERE similarity >= bar),
+above AS (SELECT k, (SELECT coalesce(list(better), []) FROM near WHERE worse = k) AS betters FROM node),
+walk AS (
+  SELECT 0::BIGINT AS step, []::BIGINT[] AS winners
+  UNION ALL
+  SELECT above.k, CASE WHEN list_has_any(betters, winners) THEN winners ELSE list_append(winners, above.k) END FROM walk JOIN above ON above.k = walk.step + 1)
+SELECT w.canonical_hash AS loser, m.canonical_hash AS winner
+FROM (SELECT worse, min(better) AS better FROM near WHERE list_contains((SELECT winners FROM walk ORDER BY step DESC LIMIT 1), better)
+  AND NOT list_contains((SELECT winners FROM walk ORDER BY step DESC LIMIT 1), worse) GROUP BY worse) d
+JOIN node w ON w.k = d.worse JOIN node m ON m.k = d.better""", body=True)
 def _(b):
     """Loser and winner of fuzzy deduplication over page titles."""
     i = F.col("page_id")
@@ -616,7 +650,14 @@ def _(b):
     return b["texts"].select("o_orderkey", F.array_join(entities.url_repos(F.col("text")), ",").alias("repos"))
 
 
-@query("entity_set")
+@query("entity_set", r""", repos AS (
+  SELECT o_orderkey, unnest(regexp_extract_all(text, '(?i)github\.com/[a-z0-9][a-z0-9-]{0,38}/[a-z0-9_][a-z0-9._-]{0,99}')) AS hit FROM texts),
+bare AS (
+  SELECT o_orderkey, lower(unnest(regexp_extract_all(text, '(?:^|[^\w/.@:-])([A-Za-z0-9](?:[A-Za-z0-9-]{0,37}[A-Za-z0-9])?/[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*)(?:[^\w/-]|$)', 1))) AS value FROM texts)
+SELECT o_orderkey, 'cve' AS kind, upper(unnest(regexp_extract_all(text, '(?i)\bCVE-\d{4}-\d{4,}\b'))) AS value FROM texts
+UNION SELECT o_orderkey, 'package', lower(unnest(regexp_extract_all(text, '(?i)\b(?:npm|pypi):(?:@[a-z0-9_]+(?:[.-][a-z0-9_]+)*/)?[a-z0-9_]+(?:[.-][a-z0-9_]+)*'))) FROM texts
+UNION SELECT o_orderkey, 'repo', regexp_replace(lower(substr(hit, 12)), '\.git$', '') FROM repos WHERE split_part(lower(hit), '/', 2) <> 'sponsors'
+UNION SELECT o_orderkey, 'repo', value FROM bare""")
 def _(b):
     return b["texts"].select("o_orderkey", F.explode(entities.extract_entities(F.col("text"))).alias("e")).select("o_orderkey", "e.kind", "e.value")
 
@@ -652,7 +693,9 @@ def _(b):
     return b["cls"].select("id", text.secondary_suffix("secondary_topics").alias("suffix"))
 
 
-@query("title_similarity")
+@query("title_similarity", f"""WITH RECURSIVE {BASE}, pairs AS (SELECT DISTINCT lower(trim(i.title)) AS x, lower(trim(n.title)) AS y FROM items i JOIN items n ON n.page_id = i.page_id + 1),
+{similar_titles('pairs')}
+SELECT i.page_id, similarity FROM items i JOIN items n ON n.page_id = i.page_id + 1 JOIN alike ON x = lower(trim(i.title)) AND y = lower(trim(n.title))""", body=True)
 def _(b):
     """Indel similarity of each title with the next page's."""
     from ..functions.similarity import indel_ratio
