@@ -173,10 +173,21 @@ def _by_rounds(edges: DataFrame) -> DataFrame:
 
 
 def find_duplicates(candidates: DataFrame, max_pool: int | None = None, **options) -> DataFrame:
-    """(loser, winner). With ``max_pool`` a larger pool is left alone, as a guard."""
+    """(loser, winner). With ``max_pool`` a larger pool is left alone, as a guard.
+
+    Rows of equal title, time and entities have the same duplicates, so the best of
+    them stands for all: the others share its winner, or it is theirs.
+    """
     if max_pool is not None and candidates.limit(max_pool + 1).count() > max_pool:
         return candidates.sparkSession.createDataFrame([], "loser string, winner string")
-    return star_winners(duplicate_pairs(candidates, **options))
+    alike = F.sha2(F.to_json(F.struct(F.lower(strip("title")).alias("t"), F.unix_micros("published_at").alias("p"), F.array_sort(F.array_distinct("entities")).alias("e"))), 256)
+    rows = materialize(ranked(candidates).filter("title IS NOT NULL").withColumn("twin", alike), "dedupe-twins")
+    first = rows.groupBy("twin").agg(F.min("rank")["h"].alias("head"), F.count("*").alias("n")).filter("n > 1").select("twin", "head")
+    behind = materialize(rows.select("twin", "canonical_hash").join(first, "twin").filter("canonical_hash <> head").select("canonical_hash", "head").distinct(), "dedupe-behind")
+    heads = rows.drop("twin", "rank").join(behind.select("canonical_hash"), "canonical_hash", "left_anti")
+    lost = materialize(star_winners(duplicate_pairs(heads, **options)), "dedupe-lost")
+    shared = lost.select(F.col("loser").alias("head"), "winner")
+    return lost.unionByName(behind.join(shared, "head", "left").select(F.col("canonical_hash").alias("loser"), F.coalesce("winner", "head").alias("winner")))
 
 
 def batches(df: DataFrame, size: int, order: list) -> DataFrame:

@@ -49,6 +49,15 @@ def test_dedupe_is_the_sequential_rule(spark, seed):
     assert len(plain_duplicates(rows)) > 10
 
 
+def test_dedupe_of_many_equal_rows(spark):
+    """Rows of equal title, time and entities are not paired with each other."""
+    rnd = random.Random(3)
+    rows = [(f"{i:05d}", rnd.choice(["Untitled", " untitled", "untitles"]), None if i % 3 else T0 + timedelta(hours=60 * rnd.randrange(3)), rnd.randrange(4), [("cve", "C1")] if i % 2 else []) for i in range(1500)]
+    frame = spark.createDataFrame(rows, CAND)
+    assert sorted(map(tuple, dedupe.find_duplicates(frame).collect())) == plain_duplicates(rows)
+    assert dedupe.find_duplicates(frame.unionByName(frame)).count() == len(plain_duplicates(rows))
+
+
 def test_dedupe_of_nothing(spark):
     assert dedupe.find_duplicates(spark.createDataFrame([], CAND)).count() == 0
 
