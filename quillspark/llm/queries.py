@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their SQL, by name."""
 
 from .decontaminate import op3_decontaminate
+from .exactdedup import OP11_SQL, op11_exact_dedup
 from .extract import op6_extract
 from .lcp import op1_fingerprints
 from .licenses import op10_licenses
@@ -22,10 +23,12 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_pu_quality": op9_quality,
     "op10_license_scan": op10_licenses,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 SQL = {
     "op4_systematic_mix": OP4_SQL,
     "op5_extendible_shards": OP5_SQL,
     "op7_warc_revisits": OP7_SQL,
     "op8_url_filter": OP8_SQL,
+    "op11_exact_dedup": OP11_SQL,
 }
