@@ -28,7 +28,7 @@ from .common import small, table
 TOKENIZERS = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a batch (a longer text is a batch of its own), pieces tokenized at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 PIECES_AT_ONCE = 1 << 15
 #: Where texts are cut: both \S of Python's and the space are plain for every tokenizer.
 CUT = re.compile(r"(?<=[^\s▁])(?= )")
