@@ -4,8 +4,8 @@ Two items are duplicates if they were published close enough together and their
 titles are similar enough; sharing a strong entity lowers the bar. Winners are
 chosen greedily in rank order and claim their direct duplicates (stars, not
 chains). Similar titles meet on their rarest letter grams, by a prefix bound that
-loses no pair, and are compared once each; rows with such titles meet by time
-buckets. The greedy choice is made per group of linked items.
+loses no pair, and are compared once each. Winners claim on the time line of their
+title and of similar ones (:mod:`.claims`); pairs of rows are listed on request only.
 """
 
 import math
@@ -18,6 +18,7 @@ from ..functions.dates import close_in_time
 from ..functions.similarity import indel_at_least, indel_ratio
 from ..functions.text import strip
 from ..session import materialize
+from .claims import LOCAL_ROWS, claim
 from .components import components
 from .relational import row_numbers, strong_overlap
 
@@ -89,6 +90,16 @@ def _similar(titles: DataFrame, bar: float, keys: list[str]) -> DataFrame:
     return pick(met).unionByName(pick(loose)).distinct()
 
 
+def similar_titles(titles: DataFrame, strong: DataFrame, title: float, low: float) -> DataFrame:
+    """Stored (x, y, likeness), x < y, of different titles that reach ``title``, or
+    ``low`` where they stand with one entity (``strong``: t, entity)."""
+    found = _similar(titles, title, [])
+    if low < title:
+        found = found.unionByName(_similar(strong, low, ["entity"])).distinct()
+    alike = found.withColumn("bar", F.lit(float(low))).filter(indel_at_least("x", "y", "bar"))
+    return materialize(alike.select("x", "y", indel_ratio("x", "y").alias("likeness")), "title-likeness")
+
+
 def duplicate_pairs(candidates: DataFrame, title: float = 0.92, entity_title: float = 0.85, hours: int = 48, strong_kinds=("cve",)) -> DataFrame:
     """(better, worse, better_rank) of all duplicate pairs, each once.
 
@@ -100,12 +111,9 @@ def duplicate_pairs(candidates: DataFrame, title: float = 0.92, entity_title: fl
     width = max(1, hours * 3600)
     rows = materialize(ranked(candidates).withColumn("t", F.lower(strip("title"))).filter("t IS NOT NULL").select(
         "canonical_hash", "t", "published_at", "entities", "rank", F.floor(F.unix_micros("published_at") / (width * 1_000_000)).alias("b")), "dedupe-rows")
-    found = _similar(rows.select("t"), title, [])
     low = min(title, entity_title)
-    if low < title:
-        strong = rows.select("t", F.explode(F.filter("entities", lambda e: e["kind"].isin(*strong_kinds))).alias("e")).select("t", F.concat_ws(":", "e.kind", "e.value").alias("entity"))
-        found = found.unionByName(_similar(strong, low, ["entity"])).distinct()
-    alike = found.withColumn("bar", F.lit(float(low))).filter(indel_at_least("x", "y", "bar")).select("x", "y", indel_ratio("x", "y").alias("likeness"))
+    strong = rows.select("t", F.explode(F.filter("entities", lambda e: e["kind"].isin(*strong_kinds))).alias("e")).select("t", F.concat_ws(":", "e.kind", "e.value").alias("entity"))
+    alike = similar_titles(rows.select("t"), strong, title, low)
     both = materialize(alike.unionByName(alike.select(F.col("y").alias("x"), F.col("x").alias("y"), "likeness")), "title-pairs").unionByName(
         rows.select(F.col("t").alias("x"), F.col("t").alias("y"), F.lit(1.0).alias("likeness")).distinct())
 
@@ -172,6 +180,21 @@ def _by_rounds(edges: DataFrame) -> DataFrame:
     return losers.groupBy(F.col("worse").alias("loser")).agg(F.min(F.struct("better_rank", "better"))["better"].alias("winner"))
 
 
+def claimed(candidates: DataFrame, title: float = 0.92, entity_title: float = 0.85, hours: int = 48, strong_kinds=("cve",), local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """(loser, winner) of the greedy choice over the rows of :func:`duplicate_pairs`,
+    of which none is listed: only *different* titles that are similar are paired."""
+    low, kinds = min(title, entity_title), list(strong_kinds)
+    rows = ranked(candidates).withColumn("t", F.lower(strip("title"))).filter("t IS NOT NULL").select(
+        "t", "published_at", "rank", F.transform(F.filter("entities", lambda e: e["kind"].isin(kinds)), lambda e: F.concat_ws(":", e["kind"], e["value"])).alias("strong"))
+    rows = materialize(rows, "dedupe-rows")
+    alike = similar_titles(rows.select("t"), rows.select("t", F.explode("strong").alias("entity")), title, low)
+    both = materialize(alike.unionByName(alike.select(F.col("y").alias("x"), F.col("x").alias("y"), "likeness")), "title-pairs")
+    roots = components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    links = both.join(roots, F.col("x") == F.col("node")).select("root", F.col("x").alias("t"), F.col("y").alias("other"), (F.col("likeness") >= title).alias("plain"))
+    rows = rows.join(roots, F.col("t") == F.col("node"), "left").withColumn("root", F.coalesce("root", "t")).drop("node")
+    return claim(rows, links, hours, local_rows)
+
+
 def find_duplicates(candidates: DataFrame, max_pool: int | None = None, **options) -> DataFrame:
     """(loser, winner). With ``max_pool`` a larger pool is left alone, as a guard.
 
@@ -185,7 +208,7 @@ def find_duplicates(candidates: DataFrame, max_pool: int | None = None, **option
     first = rows.groupBy("twin").agg(F.min("rank")["h"].alias("head"), F.count("*").alias("n")).filter("n > 1").select("twin", "head")
     behind = materialize(rows.select("twin", "canonical_hash").join(first, "twin").filter("canonical_hash <> head").select("canonical_hash", "head").distinct(), "dedupe-behind")
     heads = rows.drop("twin", "rank").join(behind.select("canonical_hash"), "canonical_hash", "left_anti")
-    lost = materialize(star_winners(duplicate_pairs(heads, **options)), "dedupe-lost")
+    lost = materialize(claimed(heads, **options), "dedupe-lost")
     shared = lost.select(F.col("loser").alias("head"), "winner")
     return lost.unionByName(behind.join(shared, "head", "left").select(F.col("canonical_hash").alias("loser"), F.coalesce("winner", "head").alias("winner")))
 

@@ -58,6 +58,26 @@ def test_dedupe_of_many_equal_rows(spark):
     assert dedupe.find_duplicates(frame.unionByName(frame)).count() == len(plain_duplicates(rows))
 
 
+@pytest.mark.parametrize("local", [7])
+def test_claims_across_slabs(spark, local):
+    """A time line that is cut into slabs gives the winners of the whole one."""
+    for seed in (0, 2):
+        rnd = random.Random(seed)
+        titles = ["mcp server leaks secrets", "mcp server leaks secret", "mcp servers leak the secrets", "another thing altogether"]
+        rows = [(f"{i:03d}", rnd.choice(titles), T0 + timedelta(minutes=rnd.randrange(40_000)), 0 if seed == 2 else rnd.randrange(5), [("cve", f"C{rnd.randrange(2)}")] if rnd.random() < 0.5 else []) for i in range(160)]
+        got = dedupe.claimed(spark.createDataFrame(rows, CAND), local_rows=local).collect()
+        assert sorted(map(tuple, got)) == plain_duplicates(rows)
+
+
+def test_hundred_thousand_rows_of_one_title(spark):
+    """Rows in, rows out: the row counts of no step grow with the square of a title's rows."""
+    n = 100_000
+    frame = spark.range(n).select(F.format_string("%06d", "id").alias("canonical_hash"), F.lit("(untitled)").alias("title"),
+        F.timestamp_micros(F.lit(1_780_000_000_000_000) + F.col("id") * 1_700_000).alias("published_at"), F.lit(1).alias("score"), F.array().cast("array<struct<kind:string,value:string>>").alias("entities"))
+    got = dedupe.find_duplicates(frame)
+    assert got.count() == n - 1 and {r[0] for r in got.select("winner").distinct().collect()} == {"000000"}
+
+
 def test_dedupe_of_nothing(spark):
     assert dedupe.find_duplicates(spark.createDataFrame([], CAND)).count() == 0
 
