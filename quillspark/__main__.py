@@ -12,7 +12,7 @@ from .operators.store import Store
 from .plans import pipeline, reports
 from .session import build_session
 from .sources.config import ConfigError, load_agent, load_sources
-from .sources.http import PoliteClient
+from .sources.http import PacedClient
 
 
 def _when(text: str | None):
@@ -115,7 +115,7 @@ def main(argv=None, spark=None, client=None, provider=None, agent_provider=None,
             out(f"{_shown(r['source_name'])}: {r['health']}")
         return int(failing)
     span = reports.trailing(now, args.days) if args.days else reports.between(since, now) if since else reports.trailing(now, 7)
-    done = pipeline.synthesize(store, agent_provider, client or PoliteClient(), span, now, args.vault or config.vault_path, max_turns=args.max_turns)
+    done = pipeline.synthesize(store, agent_provider, client or PacedClient(), span, now, args.vault or config.vault_path, max_turns=args.max_turns)
     out(f"{span.label}: {done['items']} item(s), {done['entities']} entities, stopped by {done['agent'].stop}")
     return 0
 

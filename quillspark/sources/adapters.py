@@ -13,7 +13,7 @@ import os
 import xml.etree.ElementTree as ET
 from datetime import UTC, datetime
 from html.parser import HTMLParser
-from urllib.parse import urlencode
+from urllib.parse import urlencode, urlsplit
 
 from .http import HttpError
 
@@ -256,6 +256,15 @@ def _topic(c, cursor, client):
 ADAPTERS = {"rss": _rss, "arxiv": _arxiv, "hn_search": _hn, "github_releases": _releases, "github_topic": _topic}
 
 
+#: Where each type asks; the others ask the URL that is configured.
+APIS = {"arxiv": ARXIV_API, "hn_search": HN_API, "github_releases": GITHUB_API, "github_topic": GITHUB_API}
+
+
+def requested_host(config: dict) -> str:
+    """The host that a source's requests go to, in lower case."""
+    return urlsplit(APIS.get(config["type"]) or config["url"]).hostname or ""
+
+
 def fetch(config: dict, cursor: dict, client):
     return ADAPTERS[config["type"]](config, cursor, client)
 

@@ -10,12 +10,13 @@ from ..plans.pipeline import ingest
 from ..session import scratch_path
 
 
-def stream_sources(spark: SparkSession, config_json: str, **options) -> DataFrame:
-    """A source as a stream; its cursor is the offset in the checkpoint."""
+def stream_sources(spark: SparkSession, config_json: str, polls: str | None = None, **options) -> DataFrame:
+    """All configured sources as one stream. ``polls`` is the folder in which polls are
+    logged; a stream that is to resume keeps it beside its checkpoint."""
     from ..sources.datasource import register
 
     register(spark)
-    return spark.readStream.format("quill_feed").option("config", config_json).options(**options).load()
+    return spark.readStream.format("quill_feed").options(config=config_json, polls=polls or scratch_path(spark, "polls"), **options).load()
 
 
 def start_ingest(raw: DataFrame, store: Store, clock, checkpoint: str | None = None, **window):

@@ -12,7 +12,7 @@ from quillspark.operators.store import Store
 from quillspark.plans import agent, pipeline, reports
 from quillspark.sources import adapters
 from quillspark.sources.config import ConfigError, check_source, load_agent, load_sources
-from quillspark.sources.http import PoliteClient, Response, ResponseTooLarge, retry_after
+from quillspark.sources.http import PacedClient, Response, ResponseTooLarge, retry_after
 from quillspark.streaming import ingest
 
 NOW = datetime(2026, 5, 27, 12, tzinfo=UTC)
@@ -71,15 +71,15 @@ def test_topic_watermark_keeps_the_boundary_second():
     assert [r[0] for r in rows] == ["3", "4"] and cursor["seen_at_watermark"] == ["1", "3"]
 
 
-def test_polite_client():
+def test_paced_client():
     clock, slept, script = [0.0], [], [(429, {"Retry-After": "7"}, []), (429, {}, []), (200, {}, [b"ab", b"c"])]
-    client = PoliteClient(transport=lambda u, h, t: script.pop(0), sleep=lambda s: (slept.append(s), clock.__setitem__(0, clock[0] + s)), clock=lambda: clock[0])
+    client = PacedClient(transport=lambda u, h, t: script.pop(0), sleep=lambda s: (slept.append(s), clock.__setitem__(0, clock[0] + s)), clock=lambda: clock[0])
     assert client.get("https://e.com/").body == b"abc" and slept == [7.0, 2.0]
     with pytest.raises(ValueError):
         client.get("ftp://e.com")
     with pytest.raises(ResponseTooLarge):
-        PoliteClient(transport=lambda u, h, t: (200, {}, [b"x" * 20]), max_bytes=10).get("https://e.com")
-    assert PoliteClient(transport=lambda u, h, t: (429, {"Retry-After": "999"}, []), sleep=lambda s: 1 / 0).get("https://e.com").status == 429
+        PacedClient(transport=lambda u, h, t: (200, {}, [b"x" * 20]), max_bytes=10).get("https://e.com")
+    assert PacedClient(transport=lambda u, h, t: (429, {"Retry-After": "999"}, []), sleep=lambda s: 1 / 0).get("https://e.com").status == 429
     assert retry_after("Wed, 27 May 2026 12:00:30 GMT", NOW) == 30 and retry_after("Wed, 27 May 2026 11:00:00 GMT", NOW) == 0 and retry_after("soon") is None
 
 
@@ -190,6 +190,52 @@ def test_data_source_and_stream(spark, tmp_path):
     assert store.items().count() == 1
 
 
+def test_two_sources_in_one_stream_survive_a_restart(spark, tmp_path):
+    """A batch that failed runs again on what was fetched; the next poll starts from its cursors."""
+    hit = lambda i: {"objectID": str(i), "title": f"T{i}", "created_at_i": i}
+    replies, folder = tmp_path / "replies.json", {"polls": f"file://{tmp_path}/polls", "replies": str(tmp_path / "replies.json"), "state": "true", "pollSeconds": "3600"}
+
+    def answer(*hits, feed=RSS.decode()):
+        replies.write_text(json.dumps([{"url": "https://feed/x", "body": feed}, {"url": "https://hn.algolia.com", "body": {"hits": list(hits)}}, {"url": "https://down/", "status": 500, "body": ""}]))
+
+    config = json.dumps([{"name": "feed", "type": "rss", "url": "https://feed/x"}, {"name": "hn", "type": "hn_search", "query": "q"}, {"name": "down", "type": "rss", "url": "https://down/x"}])
+    got = []
+
+    def run(land):
+        q = ingest.stream_sources(spark, config, **folder).writeStream.foreachBatch(land).option("checkpointLocation", f"file://{tmp_path}/cp").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    def fail(batch, epoch):
+        batch.count()
+        raise RuntimeError("lost")
+
+    def keep(batch, epoch):
+        got.append(sorted((r["source_name"], r["source_type"], r["external_id"], r["payload"]) for r in batch.collect() if r["source_type"] != "_state"))
+        got.append({r["source_name"]: json.loads(r["payload"]) for r in batch.collect() if r["source_type"] == "_state"})
+
+    answer(hit(70))
+    with pytest.raises(Exception, match="lost"):
+        run(fail)
+    answer(hit(90), feed="<rss/>")
+    run(keep)
+    # the failed batch again, from the log; then a poll of its own
+    assert [r[0] for r in got[0]] == ["feed", "feed", "hn"] and got[0][2][2] == "70" and "500" in got[1]["down"]["error"]
+    assert [r[:3] for r in got[2]] == [("hn", "hn_search", "90")] and got[3]["hn"]["cursor"]["last_created_at_i"] == 90
+    run(keep)
+    assert got[4] == [] and got[5]["hn"]["cursor"]["last_created_at_i"] == 90 and got[5]["feed"]["unchanged"]
+    assert len(list((tmp_path / "polls").iterdir())) <= 2
+
+
+def test_partitions_are_hosts():
+    from quillspark.sources.datasource import by_host
+
+    configs = [{"name": "r", "type": "github_releases", "repo": "o/n"}, {"name": "t", "type": "github_topic", "topic": "mcp"}, {"name": "a", "type": "rss", "url": "https://E.com/1"}, {"name": "b", "type": "rss", "url": "http://e.com:80/2"}]
+    assert sorted((host, [c["name"] for c in group]) for host, group in (p.value for p in by_host({"config": json.dumps(configs)}))) == [("api.github.com", ["r", "t"]), ("e.com", ["a", "b"])]
+
+
 def test_stream_health(spark, tmp_path):
     rows = [("s", 1, True, False, NOW), ("s", 2, False, True, NOW), ("s", 3, True, False, NOW), ("s", 4, True, False, NOW)]
     ddl = "source_name string, seq long, failed boolean, empty boolean, ts timestamp"
