@@ -2,15 +2,20 @@
 
 Nothing is updated in place. What the model mutates (the active classification
 of an item, what superseded it, a source's state, a followup's completion) is a
-log with a sequence number, and a view takes the latest entry per key. Writes
-append whole batches, so a failed batch leaves no half-written state.
+log with a sequence number, and a view takes the latest entry per key. Writes are
+batches that become visible as a whole (:mod:`.commits`), over all tables they touch.
 """
 
+import uuid
+from contextlib import contextmanager
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize, shared_dir
+from .commits import Batch, CommitLog, migrate
 from .relational import latest, open_followups, row_numbers
 
 SCHEMAS = {
@@ -28,6 +33,8 @@ SCHEMAS = {
     "weekly_entities": "week_starting timestamp, kind string, value string, context string, related_item_hashes array<string>, seq long",
 }
 KEYS = {"items": ["canonical_hash"], "item_sources": ["canonical_hash", "source_name"], "item_entities": ["canonical_hash", "kind", "value"]}
+#: Logs of which a view reads the latest entry per key.
+LOGS = {"item_bodies": ["canonical_hash"], "activations": ["canonical_hash"], "supersessions": ["loser"], "source_runs": ["source_name"]}
 ACTIONS = ["read-deep", "implement", "audit", "track"]
 
 
@@ -99,35 +106,103 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         shared_dir(spark)
+        self.log, self._batch = CommitLog(spark, self.path), None
+        migrate(self)
+
+    @staticmethod
+    def tables() -> list[str]:
+        return list(SCHEMAS)
 
     def _schema(self, name: str) -> T.StructType:
         return T.StructType.fromDDL(SCHEMAS[name])
 
-    def read(self, name: str) -> DataFrame:
-        """A table as stored (empty if never written)."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
+    @contextmanager
+    def transaction(self):
+        """All that is written inside becomes visible at its end, or nothing of it.
+
+        Inside, reads see the store as it was at the beginning and the batch's own
+        rows. If another writer has since committed to a table that was read or
+        written here, the batch is given up with :class:`.commits.Conflict`. A
+        transaction inside another is part of it.
+        """
+        if self._batch is not None:
+            yield self._batch
+            return
+        batch = self._batch = Batch(uuid.uuid4().hex, self.log.last())
+        try:
+            yield batch
+            if batch.tables or batch.version:
+                self.log.commit(batch)
+        finally:
+            self._batch = None
+
+    def read(self, name: str, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+        """The committed rows of a table. With ``since`` or ``until`` batches ingested
+        wholly outside are not read; rows of the others are not filtered."""
+        if self._batch is not None:
+            self._batch.touched.add(name)
+        micros = lambda t: int(t.timestamp() * 1_000_000)
+        within = [b for b, t in self.log.visible(name, self._batch).items()
+                  if t["rows"] and (since is None or t["most"] is None or t["most"] >= micros(since)) and (until is None or t["least"] is None or t["least"] < micros(until))]
+        if not within:
             return self.spark.createDataFrame([], self._schema(name))
-        return self.spark.read.schema(self._schema(name)).parquet(f"{self.path}/{name}")
+        rows = self.spark.read.schema(self._schema(name).add("_batch", "string")).parquet(f"{self.path}/data/{name}")
+        return rows.filter(F.col("_batch").isin(within)).drop("_batch")
 
-    def append(self, name: str, df: DataFrame) -> None:
+    def append(self, name: str, df: DataFrame) -> int:
+        """Adds rows to a table; returns how many."""
         fields = self._schema(name)
-        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]).write.mode("append").parquet(f"{self.path}/{name}")
+        with self.transaction() as batch:
+            folder = f"{self.path}/data/{name}/_batch={batch.id}"
+            before = batch.tables.get(name, {"rows": 0})["rows"]
+            df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]).write.mode("append").parquet(folder)
+            times = F.unix_micros("ingested_at") if "ingested_at" in fields.names else F.lit(None).cast("long")
+            r = self.spark.read.schema(fields).parquet(folder).agg(F.count("*"), F.min(times), F.max(times)).first()
+            batch.tables[name] = {"rows": r[0], "least": r[1], "most": r[2]}
+            batch.touched.add(name)
+            return r[0] - before
 
     def insert_or_ignore(self, name: str, batch: DataFrame, order: list | None = None) -> int:
         """Append rows with unseen keys; returns how many were new."""
         keys = KEYS[name]
         order = order or [F.col(c) for c in batch.columns if c not in keys][:1] or [F.lit(1)]
-        new = insert_new(batch, self.read(name), keys, order).checkpoint()
-        n = new.count()
-        if n:
-            self.append(name, new)
-        return n
+        with self.transaction():
+            return self.append(name, insert_new(batch, self.read(name), keys, order))
 
     def next_seq(self, name: str, column: str = "seq") -> int:
         return (self.read(name).agg(F.max(column)).first()[0] or 0) + 1
 
+    def rewrite(self, name: str, rows: DataFrame) -> None:
+        """Puts ``rows`` in the place of all that a table holds."""
+        with self.transaction() as batch:
+            old = list(self.log.visible(name, batch))
+            self.append(name, materialize(rows, name))
+            batch.replaces[name] = old
+
+    def compact(self, name: str) -> None:
+        """One batch in the place of many: of a log the latest entry per key, which is
+        all that its view reads; of another table all rows, by time of ingestion."""
+        rows = self.read(name)
+        if name in LOGS:
+            keys = LOGS[name]
+            rest = [c for c in rows.columns if c not in keys]
+            rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("_row")).select(*keys, "_row.*")
+        elif "ingested_at" in rows.columns:
+            rows = rows.repartitionByRange("ingested_at").sortWithinPartitions("ingested_at")
+        self.rewrite(name, rows)
+
+    def vacuum(self) -> int:
+        """Deletes the folders of batches that no reader sees: given up or replaced.
+        Not to be run while others write or read older states."""
+        gone = 0
+        for name in self.log.names("data"):
+            seen = set(self.log.visible(name))
+            for folder in self.log.names(f"data/{name}"):
+                if folder.startswith("_batch=") and folder.removeprefix("_batch=") not in seen:
+                    self.log.drop(f"data/{name}/{folder}")
+                    gone += 1
+        return gone
+
     # ---- views
 
     def supersessions(self) -> DataFrame:
@@ -137,8 +212,15 @@ class Store:
         """(canonical_hash, classification_id): the latest activation."""
         return latest(self.read("activations"), ["canonical_hash"], ["classification_id"], "seq").withColumnRenamed("classification_id", "current_classification_id")
 
-    def items(self, with_superseded: bool = False) -> DataFrame:
-        items = cascade(self.read("items"), self.read("deletions"), "canonical_hash")
+    def items(self, with_superseded: bool = False, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+        """Items with what superseded them, or those that nothing did. ``since`` and
+        ``until`` bound the time of ingestion and keep older batches from being read."""
+        items = self.read("items", since, until)
+        if since is not None:
+            items = items.filter(F.col("ingested_at") >= F.lit(since))
+        if until is not None:
+            items = items.filter(F.col("ingested_at") < F.lit(until))
+        items = cascade(items, self.read("deletions"), "canonical_hash")
         lost = self.supersessions().withColumnRenamed("loser", "canonical_hash")
         items = items.join(lost, "canonical_hash", "left") if with_superseded else items.join(lost, "canonical_hash", "left_anti")
         return items.join(self.active(), "canonical_hash", "left")
@@ -153,10 +235,10 @@ class Store:
         cols = [c for c in self._schema("source_runs").names if c not in ("source_name", "seq")]
         return latest(self.read("source_runs"), ["source_name"], cols, "seq")
 
-    def classified(self) -> DataFrame:
-        """Items with their active classification."""
+    def classified(self, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+        """Items with their active classification; bounds as of :meth:`items`."""
         cls = self.children("classifications").drop("canonical_hash")
-        return self.items().join(cls, F.col("current_classification_id") == F.col("id")).drop("id")
+        return self.items(since=since, until=until).join(cls, F.col("current_classification_id") == F.col("id")).drop("id")
 
     def followups(self, open_only: bool = False) -> DataFrame:
         f = open_followups(self.read("followups"), self.read("followups_done"), open_only)
@@ -167,39 +249,43 @@ class Store:
 
     def set_bodies(self, batch: DataFrame) -> int:
         """Bodies of known items; the latest wins. Returns rows turned away."""
-        marked = body_state(batch, self.bodies(), self.items(True))
-        known, unknown = marked.filter("known"), marked.filter("NOT known")
-        self.append("item_bodies", known.withColumn("seq", F.lit(self.next_seq("item_bodies"))))
-        return unknown.count()
+        with self.transaction():
+            marked = body_state(batch, self.bodies(), self.items(True))
+            known, unknown = marked.filter("known"), marked.filter("NOT known")
+            self.append("item_bodies", known.withColumn("seq", F.lit(self.next_seq("item_bodies"))))
+            return unknown.count()
 
     def classify(self, batch: DataFrame) -> int:
         """Append classifications of known items and make them active. Returns rows turned away."""
-        known, unknown = admit(batch, self.items(True), "canonical_hash")
-        start = self.next_seq("classifications", "id") - 1
-        seq = self.next_seq("activations")
-        rows = materialize(row_numbers(known.filter(F.col("score").between(0, 10)), [F.col("canonical_hash"), F.col("classified_at")], "id").withColumn("id", F.lit(start) + F.col("id")), "classified")
-        self.append("classifications", rows)
-        self.append("activations", rows.groupBy("canonical_hash").agg(F.max("id").alias("classification_id")).withColumn("seq", F.lit(seq)))
-        return unknown.count()
+        with self.transaction():
+            known, unknown = admit(batch, self.items(True), "canonical_hash")
+            start = self.next_seq("classifications", "id") - 1
+            seq = self.next_seq("activations")
+            rows = materialize(row_numbers(known.filter(F.col("score").between(0, 10)), [F.col("canonical_hash"), F.col("classified_at")], "id").withColumn("id", F.lit(start) + F.col("id")), "classified")
+            self.append("classifications", rows)
+            self.append("activations", rows.groupBy("canonical_hash").agg(F.max("id").alias("classification_id")).withColumn("seq", F.lit(seq)))
+            return unknown.count()
 
     def supersede(self, pairs: DataFrame) -> None:
         """Record (loser, winner), then repoint older losers of a new loser to its root."""
-        self.append("supersessions", pairs.select("loser", "winner").withColumn("seq", F.lit(self.next_seq("supersessions"))))
-        current = self.supersessions()
-        moved = materialize(repointed(current.withColumnRenamed("superseded_by", "winner")).select("loser", F.col("root").alias("winner")), "repointed")
-        if not moved.isEmpty():
-            self.append("supersessions", moved.withColumn("seq", F.lit(self.next_seq("supersessions"))))
+        with self.transaction():
+            self.append("supersessions", pairs.select("loser", "winner").withColumn("seq", F.lit(self.next_seq("supersessions"))))
+            current = self.supersessions()
+            moved = materialize(repointed(current.withColumnRenamed("superseded_by", "winner")).select("loser", F.col("root").alias("winner")), "repointed")
+            if not moved.isEmpty():
+                self.append("supersessions", moved.withColumn("seq", F.lit(self.next_seq("supersessions"))))
 
     def delete_items(self, hashes: DataFrame) -> None:
         self.append("deletions", hashes.select("canonical_hash").distinct())
 
     def add_followups(self, rows: DataFrame) -> None:
-        bad = rows.filter(~F.col("action").isin(ACTIONS))
-        if not bad.isEmpty():
-            raise ValueError(f"action must be one of {ACTIONS}")
-        start = self.next_seq("followups", "id") - 1
-        numbered = row_numbers(rows, [F.col("created_at"), F.col("item_hash"), F.col("action")], "id")
-        self.append("followups", numbered.withColumn("id", F.lit(start) + F.col("id")))
+        with self.transaction():
+            bad = rows.filter(~F.col("action").isin(ACTIONS))
+            if not bad.isEmpty():
+                raise ValueError(f"action must be one of {ACTIONS}")
+            start = self.next_seq("followups", "id") - 1
+            numbered = row_numbers(rows, [F.col("created_at"), F.col("item_hash"), F.col("action")], "id")
+            self.append("followups", numbered.withColumn("id", F.lit(start) + F.col("id")))
 
     def complete_followup(self, followup_id: int) -> None:
         self.append("followups_done", self.spark.createDataFrame([(followup_id,)], "id long"))
@@ -207,7 +293,8 @@ class Store:
     def add_weekly_entities(self, rows: DataFrame, mode: str = "replace_week") -> None:
         """``replace_week``: a later write of a week hides the earlier one.
         ``append``: rows add up, whatever was there."""
-        self.append("weekly_entities", rows.withColumn("seq", F.lit(self.next_seq("weekly_entities") if mode == "replace_week" else 0)))
+        with self.transaction():
+            self.append("weekly_entities", rows.withColumn("seq", F.lit(self.next_seq("weekly_entities") if mode == "replace_week" else 0)))
 
     def weekly_entities(self) -> DataFrame:
         w = self.read("weekly_entities")

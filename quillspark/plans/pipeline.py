@@ -69,6 +69,11 @@ def ingest(store: Store, raw: DataFrame, now: datetime, since=None, until=None,
 
     All sources go through as one job; rows stay apart by ``source_name``.
     """
+    with store.transaction():
+        return _ingest(store, raw, now, since, until, tracking)
+
+
+def _ingest(store, raw, now, since, until, tracking):
     rows = normalize(raw.withColumn("payload", F.parse_json("payload")), F.lit(now), tracking).checkpoint()
     valid, rejected = validate(rows)
     kept = valid.filter(in_window(F.col("published_at"), None if since is None else F.lit(since), None if until is None else F.lit(until))).checkpoint()
@@ -108,8 +113,8 @@ def _fetched_on_executors(spark: SparkSession, configs: list[dict], cursors: dic
 def collect(store: Store, configs: list[dict], client, now: datetime, since=None, until=None, tracking=(), only=(), production: bool = False) -> CollectResult:
     """Fetch every source, store what is new, then move the cursors.
 
-    A failing source is recorded and the others go on. Cursors move only after
-    the items are stored, so a crash fetches again and stores nothing twice.
+    A failing source is recorded and the others go on. Items and cursors become
+    visible together, so a crash fetches again and stores nothing twice.
     Without a ``client`` all sources are one Spark read: executors fetch them, those
     of one host one after another. A client that is given fetches on the driver.
     """
@@ -129,6 +134,13 @@ def collect(store: Store, configs: list[dict], client, now: datetime, since=None
             except Exception as e:
                 state[c["name"]] = (cursors[c["name"]], False, error_text(e, production))
         raw = spark.createDataFrame(rows, RAW) if rows else None
+    with store.transaction():
+        _store_run(store, configs, raw, state, before, now, since, until, tracking, out)
+    return out
+
+
+def _store_run(store: Store, configs, raw, state: dict, before: dict, now, since, until, tracking, out: CollectResult) -> None:
+    """Items and the cursors behind them, as one batch."""
     counts = ingest(store, raw, now, since, until, tracking) if raw is not None else {}
     runs, seq = [], store.next_seq("source_runs")
     for c in configs:
@@ -142,28 +154,28 @@ def collect(store: Store, configs: list[dict], client, now: datetime, since=None
         runs.append((name, json.dumps(cursor, sort_keys=True), now, old.get("last_success_at") if error else now, error,
                      empties if error else (empties + 1 if empty else 0), errors + 1 if error else 0, seq))
     if runs:
-        store.append("source_runs", spark.createDataFrame(runs, store._schema("source_runs")))
-    return out
+        store.append("source_runs", store.spark.createDataFrame(runs, store._schema("source_runs")))
 
 
 def deduplicate(store: Store, now: datetime, days: int = 7, title=0.92, hours=48, entity_title=0.85, max_pool=None) -> int:
     """Supersede duplicates among the recent items; returns how many lost."""
-    items = store.items().filter(F.col("ingested_at") >= F.lit(now - timedelta(days=days)))
+    items = store.items(since=now - timedelta(days=days))
     scores = store.classified().select("canonical_hash", "score")
     pool = dedupe_candidates(items.drop("score"), scores, store.children("item_entities")).checkpoint()
     pairs = find_duplicates(pool, max_pool=max_pool, title=title, hours=hours, entity_title=entity_title).checkpoint()
     n = pairs.count()
     if n:
-        inherited = inherit_sources(pairs.select("loser", F.col("winner").alias("root")), store.read("item_sources")).checkpoint()
-        store.insert_or_ignore("item_sources", inherited, [F.col("first_seen_at")])
-        store.supersede(pairs)
+        with store.transaction():
+            inherited = inherit_sources(pairs.select("loser", F.col("winner").alias("root")), store.read("item_sources")).checkpoint()
+            store.insert_or_ignore("item_sources", inherited, [F.col("first_seen_at")])
+            store.supersede(pairs)
     return n
 
 
 def report_entries(store: Store, day: datetime) -> DataFrame:
     """The day's classified items with their sources."""
     start = day.replace(hour=0, minute=0, second=0, microsecond=0)
-    return with_sources(classified_between(store.classified(), F.lit(start), F.lit(start + timedelta(days=1))), store.children("item_sources"))
+    return with_sources(classified_between(store.classified(start, start + timedelta(days=1)), F.lit(start), F.lit(start + timedelta(days=1))), store.children("item_sources"))
 
 
 def post_process(store: Store, config, provider, now: datetime, vault=None, prompts=None) -> dict:
@@ -187,7 +199,7 @@ def post_process(store: Store, config, provider, now: datetime, vault=None, prom
 
 def synthesize(store: Store, provider, client, span: Span, now: datetime, vault=None, system: str = "", min_score: int = 5, **limits) -> dict:
     """Run the agent over a window, roll its entities up and render the report."""
-    items = classified_between(store.classified(), F.lit(span.start), F.lit(span.end), min_score).checkpoint()
+    items = classified_between(store.classified(span.start, span.end), F.lit(span.start), F.lit(span.end), min_score).checkpoint()
     listed = [r.asDict() for r in items.orderBy("ingested_at", "canonical_hash").select(F.col("canonical_hash").alias("item_hash"), "title", "url", "summary", "topic", "score").collect()]
     opening = f"Window {span.label}: {span.start.isoformat()} to {span.end.isoformat()}, {len(listed)} item(s).\n\n{json.dumps(listed, ensure_ascii=False)}"
     result = run_agent(provider, Tools(store, client, span, now, min_score), system, opening, **limits)
