@@ -10,6 +10,7 @@ article around it.
 import hashlib
 import html as entities
 import re
+from itertools import compress
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,10 +54,10 @@ MARKERS = set(
 STEMS = ("comment", "cookie", "sidebar", "advert", "sponsor", "newsletter", "breadcrumb", "footer", "disqus", "navbar", "popup")
 #: Words with such a beginning that name the article's own text.
 OWN_WORDS = ("commentar", "commented")
-#: Words that mark inside an article too, whatever stands beside them.
+#: Words that mark whatever stands beside them.
 STRONG = set("ad ads adv advert adverts advertisement sponsored comment comments commentlist disqus sidebar newsletter breadcrumb breadcrumbs navbar paywall gdpr".split())
-#: Words that say nothing of what an element holds. Inside an article any
-#: other word beside a marker makes a name of the article's own (``social-science``).
+#: Words that say nothing of what an element holds. Any other word beside
+#: a marker makes a name that may be of the article's own (``social-science``).
 NEUTRAL = set(
     "area articles bar block bottom box button buttons card cards center container count elements float form group head header holder icons inline inner item items layer left line links list "
     "main message more now outer page panel placeholder popover post posts print region right row section site slot stories story strip tag tools top unit wrap wrapper".split()
@@ -73,32 +74,33 @@ DEEPEST = 512
 LONG_PATH = 2000
 
 
-def _named(token: str, inside: bool) -> bool:
-    """Does a class, id or role name something else than the article? ``inside`` an
-    article it must name nothing of the article's own beside."""
+def _named(token: str) -> tuple[bool, bool]:
+    """(does a class, id or role name something else than the article, has it a marker
+    beside words of its own, such as ``social-science`` or ``notice-of-motion``)."""
     words = {w.lower() for w in _WORD.findall(token)}
     if not words or words & LAYOUT:
-        return False
+        return False, False
     marked = {w for w in words if w in MARKERS or (w.startswith(STEMS) and not w.startswith(OWN_WORDS))}
-    if not marked or not inside:
-        return bool(marked)
-    return bool(words & STRONG) or (words - marked <= NEUTRAL and words != {"responses"})
+    if not marked:
+        return False, False
+    named = bool(words & STRONG) or (words - marked <= NEUTRAL and words != {"responses"})
+    return named, not named
 
 
-def _marks(attrs: str, inside: bool):
-    """(is hidden, is named as something else than the article, is named as a
-    header, first class without digits)."""
+def _marks(attrs: str):
+    """(is hidden, is named as something else than the article, may be so named, is
+    named as a header, first class without digits)."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
     if not found:
-        return False, False, False, ""
+        return False, False, False, False, ""
     names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
     style = found.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
-    named = any(_named(t, inside) for t in names.split())
+    said = [_named(t) for t in names.split()]
     words = {w.lower() for w in _WORD.findall(names)} if "eader" in names or "EADER" in names else set()
     header = "header" in words and not words & LAYOUT and (bool(words & {"site", "page", "top", "main"}) or "header" in names.split())
     first = (found.get("class") or found.get("id") or "").split()
-    return hidden, named, header, re.sub(r"\d+", "", first[0]).strip("-_").lower() if first else ""
+    return hidden, any(n for n, _ in said), any(d for _, d in said), header, re.sub(r"\d+", "", first[0]).strip("-_").lower() if first else ""
 
 
 def parse(page: str):
@@ -129,9 +131,11 @@ def _parse(page: str, heed: bool):
 
     A block is (text, share of it in links, indexes of the open containers); a
     container is its generalised path. What is marked as menu, header, footer,
-    sidebar, notice, advert, script, style or comment yields no block.
+    sidebar, notice, advert, script, style or comment yields no block. An element
+    outside an article whose name is in doubt is left out if it is mostly links.
     """
     blocks, formed, containers = [], [], []
+    doubts, doubted, within = [], [], []  # [letters, linked ones] of elements in doubt, those open, those of each block
     stack = []  # (tag, skipped, container or None, path)
     inner, paragraphs = [], []  # places in the stack of open containers and paragraphs
     run, linked = [], 0
@@ -144,13 +148,19 @@ def _parse(page: str, heed: bool):
             if text:
                 blocks.append((text, linked, [stack[k][2] for k in inner]))
                 formed.append(forms > 0)
+                within.append(tuple(doubted))
+                for d in doubted:
+                    doubts[d][0] += len(text)
+                    doubts[d][1] += linked
             run.clear()
         linked = 0
 
     def pop_to(depth):
         nonlocal skipping, links, forms, own, heads
         while len(stack) > depth:
-            tag, skipped, container, _ = stack.pop()
+            tag, skipped, container, _, doubt = stack.pop()
+            if doubt:
+                doubted.pop()
             if container is not None:
                 inner.pop()
             if tag == "p":
@@ -220,7 +230,7 @@ def _parse(page: str, heed: bool):
                 pop_to(1 if stack and stack[0][0] == "html" else 0)
         elif tag == "main":
             pop_to(outermost(NEVER_AROUND_MAIN))
-        hidden, named, header, name = _marks(m["attrs"], own > 0)
+        hidden, named, doubt, header, name = _marks(m["attrs"])
         skipped = tag not in ("html", "body", "article", "main") and (tag in SKIPPED or hidden or (heed and named) or ((tag == "header" or (heed and header)) and not own))
         path = f"{stack[-1][3] if stack else ''}/{tag}{'.' + name if name else ''}"
         if len(path) > LONG_PATH:  # a long way is told apart by its digest
@@ -232,7 +242,11 @@ def _parse(page: str, heed: bool):
             inner.append(len(stack))
         if tag == "p":
             paragraphs.append(len(stack))
-        stack.append((tag, skipped, container, path))
+        doubt = heed and doubt and not skipped and not own and tag not in INLINE
+        if doubt:
+            doubted.append(len(doubts))
+            doubts.append([0, 0])
+        stack.append((tag, skipped, container, path, doubt))
         forms += tag == "form"
         own += tag in ("article", "main")
         heads += tag == "head"
@@ -240,6 +254,10 @@ def _parse(page: str, heed: bool):
         links += tag == "a"
     text(page[at:])
     close_block()
+    left = {d for d, (size, links) in enumerate(doubts) if 2 * links > size}
+    if left:
+        kept = [left.isdisjoint(w) for w in within]
+        blocks, formed = list(compress(blocks, kept)), list(compress(formed, kept))
     return blocks, formed, containers
 
 
@@ -262,22 +280,19 @@ def candidates(blocks, containers) -> list[tuple[str, float, int]]:
 def _widened(blocks, containers, chosen: set[int]) -> list[bool]:
     """For every block: does it belong to the article that a chosen container is in?
 
-    That is the nearest article or main, and a main whose only article this is.
+    That is the nearest article or main, and the main around an article unless what
+    else stands in it (other articles too) is mostly links.
     Without one, containers are left outwards up to the body as long as what
     comes in is not mostly links. Of the body itself come in its own headings
     and paragraphs and, beside a section, other sections.
     """
-    chain, chars, linked_chars, articles = {}, {}, {}, {}
+    chain, chars, linked_chars = {}, {}, {}
     kind_of = [p.rsplit("/", 1)[-1].split(".", 1)[0] for p in containers]
     for text, linked, open_ in blocks:
         for k, c in enumerate(open_):
             chain.setdefault(c, open_[: k + 1] if c in chosen else None)
             chars[c] = chars.get(c, 0) + len(text)
             linked_chars[c] = linked_chars.get(c, 0) + linked
-            if kind_of[c] == "article":
-                for outer in open_[:k]:
-                    if kind_of[outer] == "main":
-                        articles.setdefault(outer, set()).add(c)
 
     def adds(inner, outer):
         return 2 * (linked_chars[outer] - linked_chars[inner]) <= chars[outer] - chars[inner]
@@ -290,7 +305,7 @@ def _widened(blocks, containers, chosen: set[int]) -> list[bool]:
         if at is not None:
             c = around[at]
             for outer, kind in zip(around[at + 1 :], kinds[at + 1 :]):
-                if kind == "main" and len(articles[outer]) == 1 and adds(c, outer):
+                if kind == "main" and adds(c, outer):
                     c = outer
         else:
             last = c

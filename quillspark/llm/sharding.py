@@ -64,15 +64,15 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id") -> Dat
 
     No shard holds more than ``limit`` bytes, unless rows with one key alone do
     (a text beyond the limit, or repeats of a key): such a key gets a shard of
-    its own at the full depth, and ``shard_bytes`` shows it. A null key hashes as
-    the empty string; null text has 0 bytes; an empty table gives no rows.
+    its own at the full depth, and ``shard_bytes`` shows it. A row without a key hashes
+    by its text, so such rows spread like others; null text has 0 bytes; an empty table gives no rows.
     Columns of ``docs`` with the names added here are replaced, all others are
     kept, whatever their names. Repeated rows share a shard.
     """
     shared_dir(docs.sparkSession)
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "depth", "bytes", "shard_bytes")]
     size = F.octet_length(text_or_empty("text")).cast("long")
-    h = hash_bits(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    h = hash_bits(F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null "), F.md5(text_or_empty("text")))))
     rows = docs.select(F.struct(*kept).alias("row"), h.alias("h"), size.alias("bytes"))
     levels = directory(docs.select(h.alias("h"), size.alias("bytes")), limit)
     for k, (bits, leaves) in enumerate(levels):
@@ -101,7 +101,7 @@ def op5_shards(spark, sf_dir: str) -> DataFrame:
 OP5_SQL = rf"""
 WITH hashed AS (
   SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null ' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS h FROM documents),
 sums AS (
   SELECT d AS depth, h >> ({BITS} - d) AS pre, sum(bytes)::BIGINT AS shard_bytes
   FROM hashed, range(0, {BITS} + 1) t(d) GROUP BY 1, 2),

@@ -13,6 +13,10 @@ Records of like size share a folder, so a bound on records bounds a file's bytes
 import base64
 import gzip
 import hashlib
+import io
+import json
+import re
+import zlib
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -20,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
-from .common import small, table, text_or_empty
+from .common import BROADCAST_BYTES, small, table, text_or_empty
 
 #: Bytes of records in one archive file on average. A reader holds one file, which has
 #: at most four times as many bytes, or one record.
@@ -30,11 +34,16 @@ SMALL_BYTES = 16 << 10
 #: Bytes of payloads that a reader hands on at once.
 BATCH_BYTES = 8 << 20
 HEADER_BYTES = 600
+PAGE_ID = re.compile(r"-?[0-9]{1,18}")
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+#: Record types that a crawl may hold besides those that are read.
+OTHER_TYPES = {"warcinfo", "request", "metadata", "resource", "conversion", "continuation"}
+HTTP_TYPE = "application/http; msgtype=response"
 HEADS = "folder string, record_id string, record_type string, page_id long, uri string, date string, payload_digest string, payload_bytes long, refers_to_id string, refers_to_uri string, refers_to_date string"
-RECORD = HEADS + ", payload string"
+RECORD = HEADS + ", content_type string, http_head binary, payload binary"
+UNREADABLE = "file string, at long, reason string, header string"
 
 
 def base32_sha1(data: Column) -> Column:
@@ -45,16 +54,20 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*[letter(group(i), shift) for i in range(8) for shift in (15, 10, 5, 0)])
 
 
-def _record(record_id: Column, page_id: Column, uri: Column, date: Column, digest: Column, payload: Column, original: Column | None = None) -> Column:
-    """A record as text; ``original`` (id, uri, date) makes it a revisit where it is not null."""
-    size = F.octet_length(payload) + len(HTTP_HEAD)
-    block = F.concat(F.lit(HTTP_HEAD), payload)
+def _record(record_id: Column, page_id: Column, uri: Column, date: Column, digest: Column, payload: Column, original: Column | None = None,
+            http_head: Column | None = None, content_type: Column | None = None) -> Column:
+    """A record as text (of whatever bytes); ``original`` (id, uri, date) makes it a
+    revisit where it is not null."""
+    reply = F.lit(HTTP_HEAD) if http_head is None else http_head.cast("string")
+    media = F.lit(HTTP_TYPE) if content_type is None else content_type
+    size = F.octet_length(payload) + F.octet_length(reply)
+    block = F.concat(reply, payload)
     revisit = ()
     kind = F.lit("response")
     if original is not None:
         again = original.isNotNull()
         kind = F.when(again, "revisit").otherwise("response")
-        size, block = F.when(again, len(HTTP_HEAD)).otherwise(size), F.when(again, HTTP_HEAD).otherwise(block)
+        size, block = F.when(again, F.octet_length(reply)).otherwise(size), F.when(again, reply).otherwise(block)
         revisit = (
             F.when(again, f"WARC-Profile: {PROFILE}"),
             F.when(again, F.concat(F.lit("WARC-Refers-To: <urn:uuid:"), original["id"], F.lit(">"))),
@@ -71,7 +84,7 @@ def _record(record_id: Column, page_id: Column, uri: Column, date: Column, diges
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), digest),
         F.concat(F.lit("X-Page-Id: "), page_id.cast("string")),
         *revisit,
-        F.lit("Content-Type: application/http; msgtype=response"),
+        F.concat(F.lit("Content-Type: "), media),
         F.concat(F.lit("Content-Length: "), size.cast("string")),
     )
     return F.concat(head, F.lit("\r\n\r\n"), block)
@@ -106,30 +119,64 @@ def write_archive(pages: DataFrame, path: str, date: str | None = None) -> None:
         _write((rows if len(found) < 2 else rows.filter(kind == k)).select(value.alias("value")), n, total, largest, f"{path}/size-{k}")
 
 
+def _lines(text: bytes) -> str:
+    try:
+        return text.decode("utf-8")
+    except UnicodeDecodeError:
+        return text.decode("latin-1")
+
+
 def parse_archive(data: bytes):
-    """(headers with lower-case names, block) of every record, by Content-Length."""
+    """(offset, headers with lower-case names, block, fault) of every record, read one
+    after the other; of an archive in gzip members only the record at hand is unpacked.
+
+    A record without a readable Content-Length, or cut off by the end of the file, has
+    a fault and no block. Reading goes on at the next line that begins a record; a
+    gzip stream that breaks ends the file with a fault.
+    """
+    stream = io.BytesIO(data)
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        stream = gzip.GzipFile(fileobj=stream)
     at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        cut = data.index(b"\r\n\r\n", at)
-        head = {}
-        for line in data[at:cut].split(b"\r\n")[1:]:
-            name, _, value = line.partition(b":")
-            head[name.strip().lower().decode()] = value.strip().decode("utf-8")
-        start = cut + 4
-        end = start + int(head["content-length"])
-        yield head, data[start:end]
-        at = end
+    try:
+        line = stream.readline()
+        while line:
+            if not line.startswith(b"WARC/"):
+                at += len(line)
+                line = stream.readline()
+                continue
+            start, head = at, {}
+            at += len(line)
+            while (line := stream.readline()) and line.strip():
+                at += len(line)
+                name, _, value = line.partition(b":")
+                head.setdefault(_lines(name).strip().lower(), _lines(value).strip())
+            at += len(line)
+            size = head.get("content-length", "")
+            if not (size.isascii() and size.isdigit()):
+                yield start, head, None, "no readable Content-Length"
+            else:
+                block = stream.read(int(size))
+                at += len(block)
+                yield start, head, (block if len(block) == int(size) else None), (None if len(block) == int(size) else "cut off by the end of the file")
+            line = stream.readline()
+    except (OSError, EOFError, zlib.error) as e:
+        yield at, {}, None, f"broken gzip stream: {type(e).__name__}"
+
+
+def _files(spark, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
 def read_archive(spark, path: str, payloads: bool = True) -> DataFrame:
-    """A row per response and revisit record below ``path``; other records are left out.
+    """A row per response and revisit record below ``path``; other records are left out,
+    and so are those that cannot be read (:func:`unreadable_records` has them).
 
-    Size of a response is that of the payload read. With ``payloads`` rows have the
-    payload and the digest that the header states; without, the digest is computed
-    from the payload. Revisits have the digest of their header and no payload.
-    ``folder`` is where the record's file stands.
+    Size of a response is that of the payload read, bytes of whatever charset; what
+    is no HTTP message is payload as a whole. With ``payloads`` rows have the payload
+    and the digest that the header states; without, the digest is computed from the
+    payload. Revisits have the digest of their header and no payload. A record without
+    an id gets one from its place. ``folder`` is where the record's file stands.
     """
     ddl = RECORD if payloads else HEADS
     names = [c.split()[0] for c in ddl.split(", ")]
@@ -142,17 +189,20 @@ def read_archive(spark, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for file, data in zip(batch["path"], batch["content"]):
                 rows, held, folder = [], 0, file.rsplit("/", 1)[0]
-                for head, block in parse_archive(bytes(data)):
+                for at, head, block, fault in parse_archive(data):
                     kind = head.get("warc-type")
-                    if kind not in ("response", "revisit"):
+                    if fault or kind not in ("response", "revisit"):
                         continue
-                    payload = block[block.index(b"\r\n\r\n") + 4 :] if kind == "response" else None
+                    cut = block.find(b"\r\n\r\n") + 4 if block[:5] == b"HTTP/" else 0
+                    cut = 0 if cut == 3 else cut
+                    payload = block[cut:] if kind == "response" else None
                     stated = head.get("warc-payload-digest", "").partition(":")[2]
                     digest = stated if payload is None or (payloads and stated) else base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    page = head.get("x-page-id")
-                    row = (folder, bare(head["warc-record-id"]), kind, int(page) if page else None, head.get("warc-target-uri", ""), head.get("warc-date"), digest, None if payload is None else len(payload),
+                    page = head.get("x-page-id", "")
+                    own = bare(head.get("warc-record-id")) or hashlib.md5(f"{file} {at}".encode()).hexdigest()
+                    row = (folder, own, kind, int(page) if PAGE_ID.fullmatch(page) else None, head.get("warc-target-uri", ""), head.get("warc-date"), digest, None if payload is None else len(payload),
                            bare(head.get("warc-refers-to")), head.get("warc-refers-to-target-uri"), head.get("warc-refers-to-date"))
-                    rows.append((*row, None if payload is None else payload.decode("utf-8")) if payloads else row)
+                    rows.append((*row, head.get("content-type", HTTP_TYPE), block[:cut] if kind == "response" else block, payload) if payloads else row)
                     held += len(payload or b"") if payloads else 1
                     if held >= BATCH_BYTES or len(rows) >= 2000:
                         yield frame(rows)
@@ -160,7 +210,30 @@ def read_archive(spark, path: str, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield frame(rows)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(parse, ddl)
+    return _files(spark, path).mapInPandas(parse, ddl)
+
+
+def unreadable_records(spark, path: str) -> DataFrame:
+    """(file, at, reason, header as JSON) of every record below ``path`` that cannot be
+    read, or whose type no archive has; ``at`` counts unpacked bytes."""
+
+    def parse(batches):
+        for batch in batches:
+            for file, data in zip(batch["path"], batch["content"]):
+                rows = []
+                for at, head, _, fault in parse_archive(data):
+                    kind = head.get("warc-type")
+                    if fault or kind not in OTHER_TYPES | {"response", "revisit"}:
+                        rows.append((file, at, fault or f"type {kind!r}", json.dumps(head)))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in UNREADABLE.split(", ")])
+
+    return _files(spark, path).mapInPandas(parse, UNREADABLE)
+
+
+def sized(written: DataFrame) -> DataFrame:
+    """``written`` with a broadcast hint if its rows, URIs and all, are small together."""
+    size = written.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*written.columns)))), F.lit(0))).first()[0]
+    return F.broadcast(written) if size <= BROADCAST_BYTES else written
 
 
 def deduplicate_archive(spark, source: str, target: str, min_bytes: int = 0) -> None:
@@ -173,7 +246,7 @@ def deduplicate_archive(spark, source: str, target: str, min_bytes: int = 0) ->
         F.max(F.struct("page_id", "record_id", "uri", "date")).alias("best"), F.count("*").alias("n")
     ).filter("n > 1").select("payload_digest", "payload_bytes", "best"), "warc-best")
     fresh = lambda c: F.regexp_replace(F.md5(F.concat_ws(" ", c, F.lit(target))), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
-    again = heads.filter("record_type = 'response'").join(small(best, 300), ["payload_digest", "payload_bytes"]).filter(F.col("record_id") != F.col("best.record_id")).select(
+    again = heads.filter("record_type = 'response'").join(sized(best), ["payload_digest", "payload_bytes"]).filter(F.col("record_id") != F.col("best.record_id")).select(
         F.col("record_id").alias("_id"), F.col("best.record_id").alias("to"), F.struct(fresh(F.col("best.record_id")).alias("id"), F.col("best.uri").alias("uri"), F.col("best.date").alias("date")).alias("original"))
     again = materialize(again, "warc-revisits")
     folders = heads.groupBy("folder").agg(F.count("*").alias("n"), F.sum(F.coalesce("payload_bytes", F.lit(0))).alias("total"), F.coalesce(F.max("payload_bytes"), F.lit(0)).alias("largest"), F.count_if(F.col("record_type") == "revisit").alias("old")).collect()
@@ -184,8 +257,9 @@ def deduplicate_archive(spark, source: str, target: str, min_bytes: int = 0) ->
             F.col("record_id").alias("_id"), F.coalesce("original", kept).alias("original")))
         again = materialize(again, "warc-revisits")
     for folder, n, total, largest, _ in folders or [(None, 0, 0, 0, 0)]:
-        rows = read_archive(spark, folder or source).join(small(again.select("_id", "original"), 300), F.col("record_id") == F.col("_id"), "left")
-        value = _record(fresh(F.col("record_id")), F.col("page_id"), F.col("uri"), F.col("date"), F.col("payload_digest"), F.col("payload"), F.col("original"))
+        rows = read_archive(spark, folder or source).join(sized(again.select("_id", "original")), F.col("record_id") == F.col("_id"), "left")
+        value = _record(fresh(F.col("record_id")), F.col("page_id"), F.col("uri"), F.col("date"), F.col("payload_digest"), F.coalesce(F.col("payload").cast("string"), F.lit("")), F.col("original"),
+                        F.col("http_head"), F.col("content_type"))
         _write(rows.select(value.alias("value")), n, total, largest, f"{target}/{folder.rsplit('/', 1)[1] if folder else 'size-0'}")
 
 

@@ -1,6 +1,7 @@
 """The other operators against brute force, round trips and held-out accuracy."""
 
 import base64
+import gzip
 import hashlib
 import os
 import random
@@ -209,6 +210,12 @@ def test_shards(spark):
     assert {r["shard"] for r in sharding.shard(df, limit=1 << 30).collect()} == {""}
 
 
+def test_rows_without_ids_keep_the_limit(spark):
+    rows = [(None, f"{i:05d} " + "x" * 5000, "s") for i in range(2000)]
+    got = sharding.shard(spark.createDataFrame(rows, DOCS).repartition(4), limit=1 << 20).groupBy("shard").agg(F.sum("bytes").alias("b"), F.max("shard_bytes").alias("s")).collect()
+    assert sum(r["b"] for r in got) == sum(len(t) for _, t, _ in rows) and all(r["b"] == r["s"] <= 1 << 20 for r in got) and len(got) >= 10
+
+
 # ---------------------------------------------------------------- pages
 
 
@@ -287,6 +294,24 @@ def test_markers_are_whole_names_inside_an_article():
     assert extract.article(*extract.parse(page), None) == "a story"
 
 
+@pytest.mark.parametrize("name", ["notice-of-motion", "popular-science", "search-engines", "hidden-gems"])
+def test_names_of_the_articles_own_outside_an_article(name):
+    text = "Long text of its own. " * 20
+    page = f"<body><nav><a href=x>menu</a></nav><div class=content><p>Lead of the page.</p><div class='{name}'><p>{text}</p></div></div><div class='comments'><p>a comment</p></div><div class='cookie-notice'>cookies</div></body>"
+    assert extract.article(*extract.parse(page), None) == f"Lead of the page.\n{text.strip()}"
+    links = f"<body><div class=content><p>{text}</p><div class='{name}'><a href=1>one</a> <a href=2>two</a></div></div></body>"
+    assert extract.article(*extract.parse(links), None) == text.strip()
+
+
+def test_all_articles_of_a_main():
+    one, two = "First part of it. " * 12, "Second part of it. " * 12
+    page = f"<body><main><article class=lead><p>{one}</p></article><article class=more><p>{two}</p></article></main></body>"
+    for path in (None, "/body/main/article.lead", "/body/main/article.more"):
+        assert extract.article(*extract.parse(page), path) == f"{one.strip()}\n{two.strip()}"
+    teasers = f"<body><main><article class=lead><p>{one}</p></article><article class=card><a href=1>Another story of the day</a></article></main></body>"
+    assert extract.article(*extract.parse(teasers), None) == one.strip()
+
+
 def test_extract_against_plain_votes(spark):
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
@@ -323,7 +348,7 @@ def test_warc(spark, tmp_path):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     warc.write_archive(df, f"{tmp_path}/crawl")
     read = warc.read_archive(spark, f"{tmp_path}/crawl").collect()
-    assert sorted((str(r["page_id"]), r["payload"]) for r in read) == sorted((str(p), h or "") for p, _, h in rows)
+    assert sorted((str(r["page_id"]), r["payload"].decode()) for r in read) == sorted((str(p), h or "") for p, _, h in rows)
     warc.deduplicate_archive(spark, f"{tmp_path}/crawl", f"{tmp_path}/fresh")
     got = sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.resolve_revisits(spark, f"{tmp_path}/fresh").collect())
     digest = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
@@ -335,6 +360,37 @@ def test_warc(spark, tmp_path):
     assert warc.read_archive(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_archives_of_others(spark, tmp_path):
+    """Records of every kind and fault, packed and plain, one gzip member each or one for all."""
+    record = lambda kind, block, **more: b"\r\n".join([b"WARC/1.0", b"WARC-Type: " + kind, *(k.replace("_", "-").encode() + b": " + v for k, v in more.items()), b"", block, b"", b""])
+    size = lambda block: str(len(block)).encode()
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=latin-1\r\n\r\ncaf\xe9 \xff"
+    dns = b"20260101\nexample.com. 300 IN A 1.2.3.4"
+    records = [
+        record(b"warcinfo", b"software: x", content_length=b"11"), record(b"response", page, warc_record_id=b"<urn:uuid:1>", warc_target_uri=b"http://e.com/\xe9", content_length=size(page), x_page_id=b"7", content_type=b"application/http"),
+        record(b"response", dns, warc_record_id=b"<urn:uuid:2>", content_type=b"text/dns", content_length=size(dns)), record(b"response", b"HTTP/1.1 200 OK no blank line", content_length=b"29", x_page_id=b"seven"),
+        record(b"response", b"lost", warc_record_id=b"<urn:uuid:4>"), record(b"response", b"lost", content_length=b"many"), record(b"odd", b"", content_length=b"0"),
+        record(b"response", page, warc_record_id=b"<urn:uuid:5>", content_length=size(page), x_page_id=b"3"), record(b"response", b"short", content_length=b"900"),
+    ]
+    whole, members = gzip.compress(b"".join(records)), b"".join(gzip.compress(r) for r in records)
+    for name, data in (("plain.warc", b"".join(records)), ("whole.warc.gz", whole), ("members.warc.gz", members)):
+        source = tmp_path / name.split(".")[0]
+        source.mkdir()
+        (source / name).write_bytes(data)
+        read = {(r["page_id"], bytes(r["payload"]), bytes(r["http_head"])) for r in warc.read_archive(spark, f"file://{source}").collect()}
+        http, body = page.split(b"\r\n\r\n")
+        assert read == {(7, body, http + b"\r\n\r\n"), (3, body, http + b"\r\n\r\n"), (None, dns, b""), (None, b"HTTP/1.1 200 OK no blank line", b"")}
+        assert sorted(r["reason"] for r in warc.unreadable_records(spark, f"file://{source}").collect()) == ["cut off by the end of the file", "no readable Content-Length", "no readable Content-Length", "type 'odd'"]
+        warc.deduplicate_archive(spark, f"file://{source}", f"file://{tmp_path}/{name}-out")
+        got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.resolve_revisits(spark, f"file://{tmp_path}/{name}-out").collect())
+        assert got == [("3", len(body), "revisit", 7), ("7", len(body), "response", None), ("None", 29, "response", None), ("None", len(dns), "response", None)]
+        assert body in {bytes(r["payload"]) for r in warc.read_archive(spark, f"file://{tmp_path}/{name}-out").collect() if r["payload"] is not None}
+        assert warc.unreadable_records(spark, f"file://{tmp_path}/{name}-out").isEmpty()
+    (tmp_path / "members" / "members.warc.gz").write_bytes(members[:-9])
+    assert warc.read_archive(spark, f"file://{tmp_path}/members").count() == 4
+    assert [r["reason"] for r in warc.unreadable_records(spark, f"file://{tmp_path}/members").collect()][-1].startswith(("broken gzip", "cut off"))
+
+
 def test_url_rules(spark):
     urls = {"http://A.Example.NET/en/1": ("a.example.net", "/en/1", "example.net/en/", "allow"), "https://x.net/y?z": ("x.net", "/y", "net/", "block"), "https://x.net": ("x.net", "", None, "allow"),
             "http://example.com/de/#x": ("example.com", "/de/", "example.com/de/", "block"), "ftp://w.org/fr/a/b": ("w.org", "/fr/a/b", "org/fr/", "allow"), "http://notexample.com/de/": ("notexample.com", "/de/", None, "allow"),
