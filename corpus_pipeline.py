@@ -69,8 +69,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def make_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds shard, depth, bytes and shard_bytes to every row by extendible hashing of
-    the doc_id; copies of a document share a shard, null ids share one (it may be
-    over the limit, as ``shard_bytes`` shows), null texts have 0 bytes."""
+    the doc_id; copies of a document share a shard, rows without an id are dealt by
+    their text, null texts have 0 bytes."""
     return shard(docs, SHARD_BYTES)
 
 
