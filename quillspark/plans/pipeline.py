@@ -3,6 +3,7 @@
 import json
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,11 +83,10 @@ def _ingest(store, raw, now, since, until, tracking):
     new = kept.join(first, "canonical_hash").filter("source_name = _s").select("source_name", "canonical_hash").distinct().join(known, "canonical_hash", "left_anti").checkpoint()
     ents = kept.select("source_name", "canonical_hash", F.explode("entities").alias("e")).select("source_name", "canonical_hash", "e.kind", "e.value").checkpoint()
     fresh = ents.join(store.read("item_entities").select("canonical_hash", "kind", "value"), ["canonical_hash", "kind", "value"], "left_anti")
-    counts = {}
-    for label, df in (("fetched", raw), ("skipped", rejected), ("kept", kept), ("new", new), ("entities", fresh.dropDuplicates(["canonical_hash", "kind", "value"]))):
-        for r in df.groupBy("source_name").count().collect():
-            counts.setdefault(r["source_name"], SourceResult(r["source_name"]))
-            setattr(counts[r["source_name"]], label, r["count"])
+    counts, parts = {}, {"fetched": raw, "skipped": rejected, "kept": kept, "new": new, "entities": fresh.dropDuplicates(["canonical_hash", "kind", "value"])}
+    told = reduce(DataFrame.unionByName, [df.select("source_name", F.lit(label).alias("label")) for label, df in parts.items()])
+    for r in told.groupBy("source_name", "label").count().collect():  # one job, five rows a source
+        setattr(counts.setdefault(r["source_name"], SourceResult(r["source_name"])), r["label"], r["count"])
     store.insert_or_ignore("items", kept, [F.col("source_name"), F.col("external_id")])
     store.insert_or_ignore("item_sources", kept, [F.col("first_seen_at"), F.col("external_id")])
     store.insert_or_ignore("item_entities", ents.withColumn("context", F.lit(None).cast("string")), [F.col("source_name")])

@@ -1,6 +1,7 @@
 """Sources, jobs, reports, agent, streams and the command line, without a network."""
 
 import json
+import time
 from datetime import UTC, date, datetime, timedelta
 
 import pytest
@@ -247,6 +248,80 @@ def test_stream_health(spark, tmp_path):
     assert (r["consecutive_error_runs"], r["consecutive_empty_runs"]) == (2, 1)
 
 
+def _drain(frame, tmp_path, name, mode="append"):
+    q = frame.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"file://{tmp_path}/cp-{name}").start()
+    q.processAllAvailable()
+    q.stop()
+
+
+def test_replayed_rows_do_not_reach_the_store(spark, tmp_path):
+    """Within the time kept each version of a row passes once; late and undated rows pass."""
+    ddl = "source_name string, source_type string, external_id string, payload string, fetched_at timestamp"
+    at = lambda hours: NOW + timedelta(hours=hours)
+    batches = [[("s", "rss", "1", "a", at(0)), ("s", "rss", "1", "a", at(0)), ("s", "rss", None, "x", at(0))], [("s", "rss", "1", "a", at(1)), ("s", "rss", "1", "b", at(1)), ("t", "rss", "1", "a", at(1)), ("s", "rss", None, "x", at(2))]]
+    (tmp_path / "rows").mkdir()
+    got = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/rows")
+        q = ingest.once(spark.readStream.schema(ddl).parquet(f"{tmp_path}/rows")).writeStream.foreachBatch(lambda b, e: got.extend(map(tuple, b.select("source_name", "external_id", "payload").collect()))).option("checkpointLocation", f"file://{tmp_path}/cp").start()
+        q.processAllAvailable()
+        kept = q.lastProgress["stateOperators"][0]["numRowsTotal"] if q.lastProgress["stateOperators"] else None
+        q.stop()
+    assert sorted(map(str, got)) == sorted(map(str, [("s", "1", "a"), ("s", None, "x"), ("s", "1", "b"), ("t", "1", "a")])) and kept in (None, 4)
+
+
+def test_streams_meet_by_entity_and_time(spark, tmp_path):
+    """Pairs of a replay are those of the batch query."""
+    ddl = "canonical_hash string, published_at timestamp, kind string, value string"
+    rows = [(f"h{i}", NOW + timedelta(hours=17 * (i % 12)), "cve" if i % 5 else "repo", f"C{i % 3}") for i in range(40)] + [("none", None, "cve", "C1")]
+    frame = spark.createDataFrame(rows, ddl)
+    frame.coalesce(1).write.parquet(f"{tmp_path}/ents")
+    ents = lambda: spark.readStream.schema(ddl).parquet(f"{tmp_path}/ents")
+    _drain(ingest.entity_pairs(ents(), ents()), tmp_path, "pairs")
+    want = {(a[0], b[0], a[3]) for a in rows for b in rows if a[2] == b[2] == "cve" and a[3] == b[3] and a[0] < b[0] and a[1] and b[1] and abs(a[1] - b[1]) <= timedelta(hours=48)}
+    assert {tuple(r) for r in spark.table("pairs").select("a", "b", "value").collect()} == want and want
+
+
+def test_weeks_of_a_stream_begin_on_monday(spark, tmp_path):
+    ddl = "k string, ts timestamp"
+    days = [datetime(2026, 5, 17, 23, 59, tzinfo=UTC), datetime(2026, 5, 18, tzinfo=UTC), datetime(2026, 5, 24, 12, tzinfo=UTC), datetime(2020, 12, 31, tzinfo=UTC)]
+    spark.createDataFrame([("a", d) for d in days], ddl).write.parquet(f"{tmp_path}/ev")
+    _drain(ingest.weekly_counts(spark.readStream.schema(ddl).parquet(f"{tmp_path}/ev"), "ts", "k"), tmp_path, "weeks", "complete")
+    assert sorted((str(r["week"])[:10], r["label"], r["n"]) for r in spark.table("weeks").collect()) == [("2020-12-28", "2020-W53", 1), ("2026-05-11", "2026-W20", 1), ("2026-05-18", "2026-W21", 2)]
+
+
+def test_a_silent_source_turns_stale(spark, tmp_path):
+    """Counters and labels are those of the batch rule; then nothing comes, and a timer goes off."""
+    from quillspark.operators.relational import health_label
+    from quillspark.streaming import health
+
+    now = datetime.now(UTC)
+    runs = [("quiet", 1, True, False, now), ("quiet", 2, False, True, now), ("down", 1, False, False, now), ("down", 2, True, False, now), ("never", 1, True, False, now), ("old", 1, False, False, now - timedelta(days=1))]
+    ddl = "source_name string, seq long, failed boolean, empty boolean, ts timestamp"
+    spark.createDataFrame(runs, ddl).coalesce(1).write.parquet(f"{tmp_path}/runs")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(ddl).parquet(f"{tmp_path}/runs")
+        q = health.stream_health(stream, stale_days=0, day_ms=8000).writeStream.outputMode("update").format("memory").queryName("silent").trigger(processingTime="1 second").start()
+        try:
+            end = time.time() + 90
+            while time.time() < end and not spark.sql("SELECT 1 FROM silent WHERE source_name = 'quiet' AND health = 'STALE'").count():
+                time.sleep(1)
+        finally:
+            q.stop()
+    finally:
+        spark.conf.unset(key)
+    seen = {}
+    for r in spark.table("silent").collect():
+        seen.setdefault(r["source_name"], []).append((r["consecutive_error_runs"], r["consecutive_empty_runs"], r["health"]))
+    assert seen["quiet"][-1] == (0, 1, "STALE") and seen["down"][0] == (1, 0, "FAILING") and seen["never"] == [(1, 0, "FAILING")] and seen["old"] == [(0, 0, "STALE")]
+    assert seen["down"][-1][2] == "FAILING" and len(seen["quiet"]) <= 2
+    # the batch rule at the end of the quiet time
+    label = health_label(F.lit(0), F.lit(NOW), F.lit(NOW + timedelta(days=1)), 0)
+    assert spark.range(1).select(label).first()[0] == "STALE"
+
+
 def test_command_line(spark, tmp_path):
     configs(tmp_path)
     said = []
