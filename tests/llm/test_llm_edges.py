@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from quillspark.llm import decontaminate, extract, lcp, licenses, mixing, neardup, quality, sharding, urlfilter, warc
+from quillspark.llm import alignment, decontaminate, exactdedup, extract, lcp, licenses, merkle, mixing, neardup, quality, sharding, urlfilter, warc
 
 GOOD = "The quick brown fox jumps over the lazy dog and then it sleeps near the river bank. "
 OTHER = "Rivers of the north run cold in early spring while farmers plough their heavy fields. "
@@ -45,6 +45,7 @@ OPERATORS = {
     "shard": lambda df, f: sharding.shard(df, 1000), "extract": lambda df, f: extract.extract(df.withColumn("n_chars", F.lit(0)), url="lang", html="text").drop("n_chars"),
     "urls": lambda df, f: urlfilter.filter_urls(df, urlfilter.rule_table(df.sparkSession, urlfilter.CONTRACT_RULES), "text", "doc_id"),
     "quality": lambda df, f: quality.score_quality(df, quality.fit(df, df.sparkSession.read.parquet(f"{f}/labels.parquet"))), "licenses": lambda df, f: licenses.scan_licenses(df),
+    "exact": lambda df, f: exactdedup.exact_duplicates(df), "manifest": lambda df, f: merkle.manifest(df), "align": lambda df, f: alignment.align(df),
 }
 #: Operators that give one row per row.
 WHOLE = set(OPERATORS) - {"leaks", "mixed"}
