@@ -1,8 +1,9 @@
-"""Budgeted batch classification.
+"""Budgeted batch classification: prompts, replies, and the loop over a short list.
 
-The number of items per run is capped (200 by default), so the calls are a
-driver loop; what goes in and out are DataFrames. A provider is any object with
-``model_id`` and ``classify(prompt, items, temperature) -> {id: entry}``.
+A provider is any object with ``model_id`` and ``classify(prompt, items,
+temperature) -> {id: entry}``; one with ``ask(prompt, items, temperature) -> reply``
+leaves the reading of replies to Spark. :mod:`.admission` classifies a table of any
+length on the executors, with the same outcomes.
 """
 
 import hashlib
@@ -10,7 +11,7 @@ import json
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.replies import parsed_entry, reply_entries
@@ -20,6 +21,10 @@ FALLBACK = {"score": 3, "rationale": "classifier produced no valid label; defaul
 RESULT = "canonical_hash string, topic string, secondary_topics array<string>, score int, rationale string"
 
 
+#: What a provider is told of an item.
+FIELDS = ("id", "title", "source", "summary", "url")
+
+
 class ProviderError(Exception):
     """A call failed, or its reply could not be read at all."""
 
@@ -32,17 +37,41 @@ class Provider(Protocol):
 
 def items_message(items: list[dict]) -> str:
     """The batch as JSON; escaping keeps a feed's text from posing as structure."""
-    return json.dumps([{k: i.get(k) for k in ("id", "title", "source", "summary", "url")} for i in items], ensure_ascii=False)
+    return json.dumps([{k: i.get(k) for k in FIELDS} for i in items], ensure_ascii=False)
 
 
 def token_estimate(prompt: str, items: list[dict]) -> int:
     return (len(prompt) + len(items_message(items))) // 4 + 16
 
 
+def _json_length(c: Column) -> Column:
+    """Letters of a string, or null, written as JSON."""
+    escaped = F.length(c) - F.length(F.translate(c, '"\\\n\r\t\b\f', ""))
+    coded = F.length(c) - F.length(F.regexp_replace(c, r"[\x00-\x07\x0b\x0e-\x1f]", ""))
+    return F.when(c.isNull(), 4).otherwise(F.length(c) + 2 + escaped + 5 * coded)
+
+
+def item_length(item: dict[str, Column]) -> Column:
+    """Letters that an item (a column per key of FIELDS) adds to the message, with the
+    two that part it from the next."""
+    frame = len(json.dumps(dict.fromkeys(FIELDS, ""))) - 2 * len(FIELDS) + 2
+    return sum((_json_length(item[k]) for k in FIELDS), F.lit(frame))
+
+
+def batch_cost(prompt: str, letters: Column) -> Column:
+    """:func:`token_estimate` of a batch from the sum of its :func:`item_length`."""
+    return (F.floor((F.lit(len(prompt)) + letters) / 4) + 16).cast("long")
+
+
 def classifier_version(prompt: str, model: str) -> str:
     return "cls-" + hashlib.sha256(f"{prompt}\0{model}".encode()).hexdigest()[:12]
 
 
+def version_of(prompt: Column, model: Column) -> Column:
+    """:func:`classifier_version` of columns."""
+    return F.concat(F.lit("cls-"), F.left(F.sha2(F.concat(prompt, F.lit("\0"), model), 256), F.lit(12)))
+
+
 def parse_replies(replies: DataFrame, known: DataFrame) -> DataFrame:
     """(id, topic, score, rationale, secondary_topics) of replies (reply_id, reply)
     aligned to the ids in ``known``: per id the first valid entry."""

@@ -57,28 +57,36 @@ def _dig(body, *path):
     return body
 
 
-class OllamaClassifier:
+class _Classifier:
+    """Replies are asked for on any machine; reading one as rows takes a session."""
+
+    def __getstate__(self):
+        return self.__dict__ | {"spark": None}
+
+    def classify(self, prompt, items, temperature):
+        return parse_reply(self.spark, self.ask(prompt, items, temperature), [i["id"] for i in items])
+
+
+class OllamaClassifier(_Classifier):
     def __init__(self, spark: SparkSession, model: str, base: str | None = None, post=http_post):
         self.spark, self.model, self.post = spark, model, post
         self.base, self.model_id = base or os.environ.get("OLLAMA_HOST", OLLAMA), f"ollama:{model}"
 
-    def classify(self, prompt, items, temperature):
+    def ask(self, prompt, items, temperature):
         payload = {"model": self.model, "stream": False, "format": "json", "options": {"temperature": temperature},
                    "messages": [{"role": "system", "content": prompt}, {"role": "user", "content": items_message(items)}]}
-        text = _dig(call(self.post, f"{self.base}/api/chat", payload, {}, retries=0), "message", "content")
-        return parse_reply(self.spark, text, [i["id"] for i in items])
+        return _dig(call(self.post, f"{self.base}/api/chat", payload, {}, retries=0), "message", "content")
 
 
-class GeminiClassifier:
+class GeminiClassifier(_Classifier):
     def __init__(self, spark: SparkSession, model: str, key: str, post=http_post, sleep=time.sleep):
         self.spark, self.model, self.key, self.post, self.sleep, self.model_id = spark, model, key, post, sleep, f"gemini:{model}"
 
-    def classify(self, prompt, items, temperature):
+    def ask(self, prompt, items, temperature):
         payload = {"systemInstruction": {"parts": [{"text": prompt}]}, "contents": [{"role": "user", "parts": [{"text": items_message(items)}]}],
                    "generationConfig": {"temperature": temperature, "responseMimeType": "application/json"}}
         body = call(self.post, GEMINI.format(self.model), payload, {"x-goog-api-key": self.key}, sleep=self.sleep)
-        text = "".join(p.get("text", "") for p in _dig(body, "candidates", 0, "content", "parts"))
-        return parse_reply(self.spark, text, [i["id"] for i in items])
+        return "".join(p.get("text", "") for p in _dig(body, "candidates", 0, "content", "parts"))
 
 
 def make_classifier(spark: SparkSession, provider: str, model: str, env=os.environ, **options):

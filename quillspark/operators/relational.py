@@ -20,6 +20,16 @@ def row_numbers(df: DataFrame, order: list, name: str) -> DataFrame:
     return dealt.withColumn(name, inside).join(starts, "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_rows", "_start")
 
 
+def running_sums(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` (not null) up to and with each row in ``order``,
+    which must leave no ties. A range starts after the sums of those before it."""
+    dealt = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    starts = dealt.groupBy("_range").agg(F.sum(value).alias("_sum")).withColumn("_start", F.sum("_sum").over(before) - F.col("_sum"))
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn(name, inside).join(starts, "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_sum", "_start")
+
+
 # ---------------------------------------------------------------- selections
 
 
@@ -207,10 +217,9 @@ def usage(calls: DataFrame, key: str, tokens: Column) -> DataFrame:
 
 
 def spent(batches: DataFrame, budget: int) -> DataFrame:
-    """Running cost over (batch, cost), and whether it is within ``budget``. A row per
-    batch of a run, which is limited; one task adds them up."""
-    total = F.sum("cost").over(Window.partitionBy().orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))
-    return batches.select("batch", total.alias("spent"), (total <= budget).alias("affordable"))
+    """Running cost over (batch, cost), and whether it is within ``budget``."""
+    summed = running_sums(batches.select("batch", "cost"), [F.col("batch")], "cost", "spent")
+    return summed.select("batch", "spent", (F.col("spent") <= budget).alias("affordable"))
 
 
 def accuracy(golden: DataFrame, expected: Column, predicted: Column) -> DataFrame:
