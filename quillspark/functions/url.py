@@ -11,7 +11,8 @@ VERSION = 1
 #: Query parameters that only track.
 TRACKING = ["ref", "ref_src", "ref_url", "fbclid", "gclid", "gclsrc", "dclid", "msclkid", "igshid", "mkt_tok", "_hsenc", "_hsmi", "vero_id", "yclid"]
 TRACKING_PREFIXES = ["utm_", "mc_"]
-_SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+#: Scheme, slashes with authority, authority, path, query and fragment.
+URL_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
 @F.pandas_udf(T.StringType())
@@ -72,7 +73,7 @@ def canonical_url(url, extra=(), idn: bool = True) -> Column:
     outside ASCII then stay as they are.
     """
     u = F.regexp_replace(strip(url), r"[\t\r\n]", "")
-    part = lambda i: F.regexp_extract(u, _SPLIT, i)
+    part = lambda i: F.regexp_extract(u, URL_PARTS, i)
     scheme, authority, path, query, fragment = F.lower(part(1)), part(3), part(4), part(5), part(6)
     netloc = F.regexp_replace(authority, "^.*@", "")
     bracketed = F.startswith(netloc, F.lit("["))
