@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import in_window, week_start
-from ..operators.classify import classifier_version, classify_pending
+from ..operators.admission import classify_table
+from ..operators.classify import classifier_version
 from ..operators.dedupe import find_duplicates
 from ..operators.normalize import normalize, validate
 from ..operators.relational import all_sources, classified_between, dedupe_candidates, failing, health_label, inherit_sources, unclassified, weekly_entities, with_first_source, with_sources
@@ -185,12 +186,14 @@ def post_process(store: Store, config, provider, now: datetime, vault=None, prom
     prompt = system_prompt(config, prompts)
     superseded = store.supersessions().withColumnRenamed("loser", "canonical_hash")
     pending = with_first_source(unclassified(store.items().drop("current_classification_id"), store.active(), superseded, config.max_items_per_run), store.read("item_sources")).orderBy("ingested_at", "canonical_hash")
-    rows, outcome = classify_pending(pending, provider, prompt, config.slugs, batch_size=config.batch_size, token_budget=config.token_budget)
-    if outcome.results:
+    rows = classify_table(pending, provider, prompt, config.slugs, batch_size=config.batch_size, token_budget=config.token_budget)
+    counts = {r["outcome"]: r["count"] for r in rows.groupBy("outcome").count().collect()}  # three rows at most
+    labelled = rows.filter("outcome <> 'skipped'").drop("outcome")
+    if counts.keys() - {"skipped"}:
         version = classifier_version(prompt, config.model)
-        store.classify(rows.withColumns({"classifier_version": F.lit(version), "classifier_model": F.lit(provider.model_id), "classified_at": F.lit(now)}))
+        store.classify(labelled.withColumns({"classifier_version": F.lit(version), "classifier_model": F.lit(provider.model_id), "classified_at": F.lit(now)}))
     lost = deduplicate(store, now, title=config.title_threshold, hours=config.window_hours, entity_title=config.entity_threshold)
-    out = {"classified": len(outcome.results) - len(outcome.fallbacks), "fallbacks": len(outcome.fallbacks), "skipped": len(outcome.skipped), "duplicates": lost}
+    out = {"classified": counts.get("classified", 0), "fallbacks": counts.get("fallback", 0), "skipped": counts.get("skipped", 0), "duplicates": lost}
     if vault:
         path = Path(vault) / "collection" / f"{now:%Y-%m-%d}.md"
         out["report"] = write_atomically(path, collection_report(report_entries(store, now), now.date()))

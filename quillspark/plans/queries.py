@@ -11,8 +11,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, entities, replies, text, url
+from ..functions.sql import register_functions
 from ..operators import dedupe, relational, store
-from ..operators.classify import parse_replies
+from ..operators.admission import batch_queue, classify_table
+from ..operators.classify import KeywordProvider, parse_replies, version_of
 from ..operators.normalize import normalize, validate
 from ..session import materialize, scratch_path
 from ..sources import adapters
@@ -266,9 +268,9 @@ def _(b):
     return b["table"]("events").select("event_id", secs(dates.published_at(first, second)).alias("published"))
 
 
-@query("classifier_version", """SELECT n_nationkey, 'cls-' || substr(sha256(n_name || '|' || n_regionkey), 1, 12) AS version FROM nation""", body=True)
+@query("classifier_version", """SELECT n_nationkey, 'cls-' || substr(sha256(n_name || chr(0) || n_regionkey), 1, 12) AS version FROM nation""", body=True)
 def _(b):
-    return b["table"]("nation").select("n_nationkey", F.concat(F.lit("cls-"), F.left(F.sha2(F.concat_ws("|", "n_name", F.col("n_regionkey").cast("string")), 256), F.lit(12))).alias("version"))
+    return b["table"]("nation").select("n_nationkey", version_of(F.col("n_name"), F.col("n_regionkey").cast("string")).alias("version"))
 
 
 @query("normalize_items")
@@ -535,8 +537,10 @@ def _(b):
 
 @query("winner_rank", "SELECT canonical_hash, row_number() OVER (PARTITION BY topic ORDER BY score DESC, published_at ASC NULLS LAST, canonical_hash)::BIGINT AS k FROM active")
 def _(b):
-    r = dedupe.ranked(b["active"])
-    return r.select("canonical_hash", F.row_number().over(Window.partitionBy("topic").orderBy("rank")).cast("long").alias("k"))
+    """Numbered by ranges over all topics; a topic starts after those before it."""
+    numbered = relational.row_numbers(dedupe.ranked(b["active"]).select("canonical_hash", "topic", "rank"), [F.col("topic"), F.col("rank")], "k")
+    first = numbered.groupBy("topic").agg(F.min("k").alias("first"))
+    return numbered.join(F.broadcast(first), "topic").select("canonical_hash", (F.col("k") - F.col("first") + 1).cast("long").alias("k"))
 
 
 @query("followup_order", "SELECT id, row_number() OVER (PARTITION BY action ORDER BY item)::BIGINT AS k FROM followups WHERE NOT completed")
@@ -560,6 +564,40 @@ def _(b):
     return relational.spent(pending.groupBy("batch").agg((F.floor(F.sum(F.length("title")) / 4) + 16).alias("cost")), 2000)
 
 
+PENDING = """, p AS (
+  SELECT page_id, canonical_hash, title, raw, (row_number() OVER (ORDER BY ingested_at, canonical_hash) - 1) // 10 AS batch,
+    length('{"id": , "title": , "source": , "summary": , "url": }, ') + length(to_json(canonical_hash)::VARCHAR) + length(to_json(title)::VARCHAR)
+      + length(to_json('feed' || page_id % 6)::VARCHAR) + length(to_json(raw)::VARCHAR) + length(to_json(url)::VARCHAR) AS letters FROM live)"""
+
+
+def pending(b):
+    return b["live"].select("page_id", "canonical_hash", "title", F.concat(F.lit("feed"), (F.col("page_id") % 6).cast("string")).alias("source_name"), F.col("raw").alias("summary"), "url", "ingested_at")
+
+
+@query("classify_batches", PENDING + """, c AS (SELECT batch, count(*)::BIGINT AS n, ((length('Pick a topic.') + sum(letters)) // 4 + 16)::BIGINT AS cost FROM p GROUP BY batch)
+SELECT batch, n, cost, sum(cost) OVER (ORDER BY batch)::BIGINT AS spent FROM c""")
+def _(b):
+    """Batches of the items that wait, what a call about each costs, and the running cost."""
+    rows = pending(b).drop("page_id").withColumnsRenamed({"canonical_hash": "id", "source_name": "source"})
+    return batch_queue(rows, ["ingested_at", "id"], 10, "Pick a topic.").select("batch", F.size("items").cast("long").alias("n"), "cost", "spent")
+
+
+KEYWORDS = {"agents": ["the ", "age"], "models": ["er"], "tools": ["in", "on"]}
+COUNTED = {t: " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in words) for t, words in KEYWORDS.items()}
+
+
+@query("classify_table", f""", t AS (SELECT page_id, lower(title || ' ' || raw) AS t FROM live),
+h AS (SELECT page_id, {", ".join(f"{c} AS {t}" for t, c in COUNTED.items())} FROM t),
+best AS (SELECT *, CASE WHEN agents + models + tools = 0 THEN 'other' WHEN agents >= greatest(models, tools) THEN 'agents' WHEN models >= tools THEN 'models' ELSE 'tools' END AS topic, greatest(agents, models, tools) AS hits FROM h)
+SELECT page_id, 'classified' AS outcome, topic, least(10, 3 + 2 * hits)::BIGINT AS score, hits || ' keyword(s)' AS rationale,
+  array_to_string(list_filter([CASE WHEN agents > 0 AND topic <> 'agents' THEN 'agents' END, CASE WHEN models > 0 AND topic <> 'models' THEN 'models' END, CASE WHEN tools > 0 AND topic <> 'tools' THEN 'tools' END], lambda x: x IS NOT NULL), ',') AS secondary FROM best""")
+def _(b):
+    """All waiting items classified on the executors by the keyword provider."""
+    rows = pending(b)
+    found = classify_table(rows, KeywordProvider(KEYWORDS), "Pick a topic.", TOPICS)
+    return found.join(rows.select("canonical_hash", "page_id"), "canonical_hash").select("page_id", "outcome", "topic", F.col("score").cast("long").alias("score"), "rationale", F.array_join("secondary_topics", ",").alias("secondary"))
+
+
 # ------------------------------------------------------------------ sets
 
 
@@ -650,18 +688,36 @@ def _(b):
     return b["texts"].select("o_orderkey", F.array_join(entities.url_repos(F.col("text")), ",").alias("repos"))
 
 
-@query("entity_set", r""", repos AS (
+ENTITY_SET = r""", repos AS (
   SELECT o_orderkey, unnest(regexp_extract_all(text, '(?i)github\.com/[a-z0-9][a-z0-9-]{0,38}/[a-z0-9_][a-z0-9._-]{0,99}')) AS hit FROM texts),
 bare AS (
   SELECT o_orderkey, lower(unnest(regexp_extract_all(text, '(?:^|[^\w/.@:-])([A-Za-z0-9](?:[A-Za-z0-9-]{0,37}[A-Za-z0-9])?/[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*)(?:[^\w/-]|$)', 1))) AS value FROM texts)
 SELECT o_orderkey, 'cve' AS kind, upper(unnest(regexp_extract_all(text, '(?i)\bCVE-\d{4}-\d{4,}\b'))) AS value FROM texts
 UNION SELECT o_orderkey, 'package', lower(unnest(regexp_extract_all(text, '(?i)\b(?:npm|pypi):(?:@[a-z0-9_]+(?:[.-][a-z0-9_]+)*/)?[a-z0-9_]+(?:[.-][a-z0-9_]+)*'))) FROM texts
 UNION SELECT o_orderkey, 'repo', regexp_replace(lower(substr(hit, 12)), '\.git$', '') FROM repos WHERE split_part(lower(hit), '/', 2) <> 'sponsors'
-UNION SELECT o_orderkey, 'repo', value FROM bare""")
+UNION SELECT o_orderkey, 'repo', value FROM bare"""
+
+
+@query("entity_set", ENTITY_SET)
 def _(b):
     return b["texts"].select("o_orderkey", F.explode(entities.extract_entities(F.col("text"))).alias("e")).select("o_orderkey", "e.kind", "e.value")
 
 
+@query("entity_lateral", ENTITY_SET)
+def _(b):
+    """The entities by SQL: a table function beside each row."""
+    spark = b["texts"].sparkSession
+    register_functions(spark)
+    return spark.sql("SELECT o_orderkey, e.kind, e.value FROM {texts}, LATERAL quill_entities(text) e", texts=b["texts"])
+
+
+@query("url_sql", "SELECT page_id, url AS canonical_url, sha256(url) AS canonical_hash FROM urls")
+def _(b):
+    pages = b["table"]("pages").select("page_id", "url")
+    register_functions(pages.sparkSession)
+    return pages.sparkSession.sql("SELECT page_id, u AS canonical_url, sha2(u, 256) AS canonical_hash FROM (SELECT page_id, quill_canonical_url(url) AS u FROM {pages})", pages=pages)
+
+
 @query("html_text")
 def _(b):
     return b["table"]("pages").select("page_id", text.html_to_text("html").alias("text"))
