@@ -285,6 +285,55 @@ def _(b):
     return normalize(raw, at("2024-02-01 00:00:00")).select("external_id", "source_type", "url", "title", "summary", "metadata", secs("published_at").alias("published"), F.to_json("entities").alias("entities"), "error")
 
 
+NORMALIZED = r"""
+, given AS (
+  SELECT page_id, ['rss', 'arxiv', 'hn_search', 'github_releases', 'github_topic', 'usenet'][page_id % 6 + 1] AS source_type,
+    CASE WHEN page_id % 9 = 0 THEN NULL WHEN page_id % 9 = 1 THEN 'ftp://e.com/' || page_id ELSE raw END AS link,
+    CASE WHEN page_id % 9 = 0 THEN NULL WHEN page_id % 9 = 1 THEN 'ftp://e.com/' || page_id ELSE url END AS url,
+    CASE WHEN page_id % 11 = 0 THEN '(untitled)' ELSE trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) END AS title,
+    'Fixes cve-2024-' || (10000 + page_id) || ' in npm:Left-pad' || page_id % 7 || ', try Acme/Tool-' || page_id % 13 || ' rather and/or maybe a/b.py now' AS summary,
+    '<p>uses <b>pypi:Req' || page_id % 5 || '</b></p> at https://github.com/Org' || page_id % 4 || '/App.git' AS content, 'story of github.com/Q' || page_id % 3 || '/r and github.com/sponsors/z' AS story FROM urls),
+shaped AS (
+  SELECT *, CASE WHEN source_type = 'hn_search' THEN story WHEN source_type <> 'usenet' THEN summary END AS told,
+    CASE source_type WHEN 'rss' THEN content WHEN 'hn_search' THEN story WHEN 'usenet' THEN NULL ELSE summary END AS extra FROM given),
+said AS (SELECT page_id, regexp_replace(concat_ws(chr(10), title, told, extra), '<[^>]+>', ' ', 'g') AS t FROM shaped),
+named AS (
+  SELECT page_id, 'cve:' || upper(unnest(regexp_extract_all(t, '(?i)\bCVE-\d{4}-\d{4,}\b'))) AS e FROM said
+  UNION SELECT page_id, 'package:' || lower(unnest(regexp_extract_all(t, '(?i)\b(?:npm|pypi):[a-z0-9_]+(?:[.-][a-z0-9_]+)*'))) FROM said
+  UNION SELECT page_id, 'repo:' || regexp_replace(lower(substr(hit, 12)), '\.git$', '') FROM (SELECT page_id, unnest(regexp_extract_all(t, '(?i)github\.com/[a-z0-9][a-z0-9-]{0,38}/[a-z0-9_][a-z0-9._-]{0,99}')) AS hit FROM said) h WHERE hit NOT LIKE '%sponsors%'
+  UNION SELECT page_id, 'repo:' || v FROM (SELECT page_id, lower(unnest(regexp_extract_all(t, '(?:^|[^\w/.@:-])([A-Za-z0-9](?:[A-Za-z0-9-]{0,37}[A-Za-z0-9])?/[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*)(?:[^\w/-]|$)', 1))) AS v FROM said) b WHERE v NOT IN ('and/or', 'a/b.py')),
+found AS (SELECT page_id, array_to_string(list_sort(list(e)), ',') AS entities FROM named GROUP BY page_id)
+SELECT page_id, source_type, s.url, sha256(s.url) AS canonical_hash, title, told AS summary, coalesce(entities, '') AS entities,
+  CASE page_id % 3 WHEN 0 THEN 1700000000 + page_id WHEN 1 THEN 1600000000 + page_id END::BIGINT AS published,
+  CASE WHEN source_type IN ('rss', 'arxiv') THEN '["me","you"]' END AS authors, CASE WHEN source_type IN ('hn_search', 'github_releases') THEN 'me ' || page_id END AS author,
+  CASE WHEN source_type = 'hn_search' THEN (page_id % 40)::VARCHAR END AS points, CASE WHEN source_type = 'hn_search' THEN 'https://n/' || page_id END AS hn_url,
+  CASE WHEN source_type IN ('github_releases', 'github_topic') THEN 'o/n"' || page_id END AS repo, CASE WHEN source_type = 'github_topic' THEN page_id::VARCHAR END AS stars,
+  CASE WHEN source_type <> 'usenet' AND link <> s.url THEN link END AS original_url,
+  CASE WHEN source_type = 'usenet' THEN 'no normalizer for source_type usenet' WHEN link IS NULL THEN 'no usable url' WHEN link LIKE 'ftp%' THEN 'url is not http(s)' END AS error
+FROM shaped s LEFT JOIN found USING (page_id)"""
+
+
+@query("normalized_fields", NORMALIZED)
+def _(b):
+    """All normalizers over payloads of every page, field by field. Every third page has
+    a usable time, every third one only a usable update, and the rest none."""
+    i, s = F.col("page_id"), lambda n: n.cast("string")
+    epoch = F.when(i % 3 == 0, F.struct((F.lit(1700000000) + i).alias("published_timestamp"))).otherwise(F.struct(F.lit(10**15).alias("published_timestamp")))
+    link = F.when(i % 9 == 0, F.lit(None).cast("string")).when(i % 9 == 1, F.concat(F.lit("ftp://e.com/"), s(i))).otherwise(F.col("url"))
+    payload = F.struct(
+        link.alias("link"), F.when(i % 11 == 0, "  ").otherwise(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"),
+        F.concat(F.lit("Fixes cve-2024-"), s(i + 10000), F.lit(" in npm:Left-pad"), s(i % 7), F.lit(", try Acme/Tool-"), s(i % 13), F.lit(" rather and/or maybe a/b.py now")).alias("summary"),
+        F.concat(F.lit("<p>uses <b>pypi:Req"), s(i % 5), F.lit("</b></p> at https://github.com/Org"), s(i % 4), F.lit("/App.git")).alias("content"),
+        F.concat(F.lit("story of github.com/Q"), s(i % 3), F.lit("/r and github.com/sponsors/z")).alias("story_text"), epoch["published_timestamp"].alias("published_timestamp"),
+        F.when(i % 3 == 1, F.lit(1600000000) + i).alias("updated_timestamp"), F.array(F.lit("me"), F.lit("you")).alias("authors"), F.array().cast("array<string>").alias("tags"),
+        F.concat(F.lit("me "), s(i)).alias("author"), (i % 40).alias("points"), F.concat(F.lit("https://n/"), s(i)).alias("hn_url"), F.concat(F.lit('o/n"'), s(i)).alias("repo"), i.alias("stars"))
+    kinds = F.array(*map(F.lit, ["rss", "arxiv", "hn_search", "github_releases", "github_topic", "usenet"]))
+    raw = b["table"]("pages").select(F.lit("s").alias("source_name"), F.element_at(kinds, (i % 6 + 1).cast("int")).alias("source_type"), s(i).alias("external_id"), at("2024-02-01 00:00:00").alias("fetched_at"), F.parse_json(F.to_json(payload)).alias("payload"))
+    meta = [F.get_json_object("metadata", f"$.{k}").alias(k) for k in ("authors", "author", "points", "hn_url", "repo", "stars", "original_url")]
+    named = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["value"])), ",").alias("entities")
+    return normalize(raw, at("2024-02-01 00:00:00")).select(F.col("external_id").cast("long").alias("page_id"), "source_type", "url", "canonical_hash", "title", "summary", named, secs("published_at").alias("published"), *meta, "error")
+
+
 @query("validation_split", """SELECT CASE WHEN page_id % 9 = 0 THEN 'no usable url' ELSE 'ok' END AS outcome, count(*)::BIGINT AS n FROM pages GROUP BY 1""", body=True)
 def _(b):
     p = b["table"]("pages").select(F.lit("s").alias("source_name"), F.lit("rss").alias("source_type"), F.col("page_id").cast("string").alias("external_id"), at("2024-02-01 00:00:00").alias("fetched_at"),
@@ -718,7 +767,16 @@ def _(b):
     return pages.sparkSession.sql("SELECT page_id, u AS canonical_url, sha2(u, 256) AS canonical_hash FROM (SELECT page_id, quill_canonical_url(url) AS u FROM {pages})", pages=pages)
 
 
-@query("html_text")
+#: White space of Unicode, for a pattern.
+SPACES = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "#39": "''", "apos": "''", "copy": "©", "middot": "·", "nbsp": "\u00a0", "hellip": "…", "mdash": "—", "ndash": "–", "amp": "&"}
+NEED_SEMICOLON = ["apos", "hellip", "mdash", "ndash"]
+DECODED = r"regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+for _name, _letter in REFERENCES.items():
+    DECODED = f"regexp_replace({DECODED}, '&{_name};{'' if _name in NEED_SEMICOLON else '?'}', '{_letter}', 'g')"
+
+
+@query("html_text", f"SELECT page_id, regexp_replace(regexp_replace({DECODED}, '{SPACES}+', ' ', 'g'), '^ | $', '', 'g') AS text FROM pages", body=True)
 def _(b):
     return b["table"]("pages").select("page_id", text.html_to_text("html").alias("text"))
 
