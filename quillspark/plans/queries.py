@@ -4,20 +4,18 @@ The model's tables are derived from the test tables by the same rule on both
 sides: :func:`base` in Spark, ``BASE`` in SQL. Times come out as epoch seconds.
 """
 
-import json
+from functools import cached_property
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, entities, replies, text, url
 from ..functions.sql import register_functions
-from ..operators import dedupe, relational, store
+from ..operators import dedupe, landed, relational, store
 from ..operators.admission import batch_queue, classify_table
 from ..operators.classify import KeywordProvider, parse_replies, version_of
 from ..operators.normalize import normalize, validate
 from ..session import materialize, scratch_path
-from ..sources import adapters
 from .golden import load_golden
 
 QUERIES, SQL = {}, {}
@@ -64,42 +62,93 @@ followups AS (SELECT o_orderkey AS id, ['read-deep', 'implement', 'audit', 'trac
 """
 
 
-def base(spark, sf):
-    """The derived tables by name."""
-    t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
-    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    plus = lambda ts, hours: F.timestamp_seconds(F.unix_seconds(ts) + hours * 3600)
-    urls = t("pages").select("page_id", F.col("url").alias("raw"), "html", url.canonical_url("url", idn=False).alias("url"))
-    first = urls.groupBy("url").agg(F.min(F.struct("page_id", "raw", "html")).alias("p")).select("url", "p.*")
-    items = first.select(
-        "page_id", F.sha2("url", 256).alias("canonical_hash"), "url", "raw", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
-        F.when(F.col("page_id") % 7 != 3, plus(start, F.col("page_id") * 5 % 2000)).alias("published_at"), plus(start, F.col("page_id")).alias("ingested_at"))
-    topic = lambda n: F.element_at(F.array(*map(F.lit, TOPICS)), (n % 4 + 1).cast("int"))
-    cls = items.filter("page_id % 5 <> 4").withColumn("v", F.explode(F.array(F.lit(0), F.lit(1)))).select(
-        (F.col("page_id") * 2 + F.col("v")).alias("id"), "canonical_hash", topic(F.col("page_id") + F.col("v")).alias("topic"),
-        F.array(topic(F.col("page_id") + F.col("v") + 1), F.lit("noise")).alias("secondary_topics"), ((F.col("page_id") * 3 + F.col("v")) % 11).alias("score"))
-    act = cls.groupBy("canonical_hash").agg(F.max("id").alias("classification_id"))
-    sup = items.filter("page_id % 10 = 9").select(F.col("canonical_hash").alias("loser"), (F.col("page_id") - 1).alias("_p")).join(items.select(F.col("page_id").alias("_p"), F.col("canonical_hash").alias("winner")), "_p").drop("_p")
-    lost = sup.select(F.col("loser").alias("canonical_hash"))
-    live = items.join(lost, "canonical_hash", "left_anti")
-    feed = lambda n: F.concat(F.lit("feed"), (n % 6).cast("string"))
-    src = items.select("canonical_hash", feed(F.col("page_id")).alias("source_name"), F.col("ingested_at").alias("first_seen_at")).unionByName(
-        items.filter("page_id % 2 = 0").select("canonical_hash", feed(F.col("page_id") + 3).alias("source_name"), plus(F.col("ingested_at"), F.col("page_id") % 3 - 1).alias("first_seen_at")))
-    active = relational.with_active(live.join(act, "canonical_hash").withColumnRenamed("classification_id", "current_classification_id"), cls.withColumnRenamed("canonical_hash", "_h")).drop("_h", "current_classification_id")
-    runs = t("events").select(F.col("user_id").alias("source_name"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("failed"), (F.col("event_type") == "view").alias("empty"), F.col("ts").cast("timestamp").alias("ts"))
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    s = lambda x: x.cast("string")
-    texts = t("orders").select("o_orderkey", F.concat(
-        F.lit("Patched cve-2024-"), F.lpad(s(k), 6, "0"), F.lit(" and CVE-2024-"), F.lpad(s(k % 9), 4, "0"), F.lit(" see npm:@Scope"), s(c % 50), F.lit("/pkg-"), s(c % 7), F.lit(" or PyPI:Lib"), s(c % 11),
-        F.lit(".x at https://github.com/Org"), s(c % 20), F.lit("/Repo_"), s(k % 13), F.lit(".git and github.com/sponsors/x?a")).alias("text"))
-    followups = t("orders").select(k.alias("id"), F.element_at(F.array(*map(F.lit, store.ACTIONS)), (k % 4 + 1).cast("int")).alias("action"), k.alias("item"), (F.col("o_orderstatus") != "O").alias("completed"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
-    return {"urls": urls, "items": items, "cls": cls, "act": act, "sup": sup, "lost": lost, "live": live, "src": src, "active": active, "runs": runs, "texts": texts, "followups": followups, "table": t}
+def plus(ts, hours):
+    return F.timestamp_seconds(F.unix_seconds(ts) + hours * 3600)
+
+
+class Base:
+    """The derived tables by name; each is built when a query first asks for it."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
+
+    def __getitem__(self, name):
+        return getattr(self, name)
+
+    def table(self, name):
+        return self.spark.read.parquet(f"{self.sf}/{name}.parquet")
+
+    @cached_property
+    def urls(self):
+        return self.table("pages").select("page_id", F.col("url").alias("raw"), "html", url.canonical_url("url", idn=False).alias("url"))
+
+    @cached_property
+    def items(self):
+        start, i = F.lit("2024-01-01 00:00:00").cast("timestamp"), F.col("page_id")
+        first = self.urls.groupBy("url").agg(F.min(F.struct("page_id", "raw", "html")).alias("p")).select("url", "p.*")
+        return first.select(
+            "page_id", F.sha2("url", 256).alias("canonical_hash"), "url", "raw", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+            F.when(i % 7 != 3, plus(start, i * 5 % 2000)).alias("published_at"), plus(start, i).alias("ingested_at"))
+
+    @cached_property
+    def cls(self):
+        i, v = F.col("page_id"), F.col("v")
+        topic = lambda n: F.element_at(F.array(*map(F.lit, TOPICS)), (n % 4 + 1).cast("int"))
+        return self.items.filter("page_id % 5 <> 4").withColumn("v", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+            (i * 2 + v).alias("id"), "canonical_hash", topic(i + v).alias("topic"), F.array(topic(i + v + 1), F.lit("noise")).alias("secondary_topics"), ((i * 3 + v) % 11).alias("score"))
+
+    @cached_property
+    def act(self):
+        return self.cls.groupBy("canonical_hash").agg(F.max("id").alias("classification_id"))
+
+    @cached_property
+    def sup(self):
+        losers = self.items.filter("page_id % 10 = 9").select(F.col("canonical_hash").alias("loser"), (F.col("page_id") - 1).alias("_p"))
+        return losers.join(self.items.select(F.col("page_id").alias("_p"), F.col("canonical_hash").alias("winner")), "_p").drop("_p")
+
+    @cached_property
+    def lost(self):
+        return self.sup.select(F.col("loser").alias("canonical_hash"))
+
+    @cached_property
+    def live(self):
+        return self.items.join(self.lost, "canonical_hash", "left_anti")
+
+    @cached_property
+    def src(self):
+        i = F.col("page_id")
+        feed = lambda n: F.concat(F.lit("feed"), (n % 6).cast("string"))
+        also = self.items.filter("page_id % 2 = 0").select("canonical_hash", feed(i + 3).alias("source_name"), plus(F.col("ingested_at"), i % 3 - 1).alias("first_seen_at"))
+        return self.items.select("canonical_hash", feed(i).alias("source_name"), F.col("ingested_at").alias("first_seen_at")).unionByName(also)
+
+    @cached_property
+    def active(self):
+        current = self.live.join(self.act, "canonical_hash").withColumnRenamed("classification_id", "current_classification_id")
+        return relational.with_active(current, self.cls.withColumnRenamed("canonical_hash", "_h")).drop("_h", "current_classification_id")
+
+    @cached_property
+    def runs(self):
+        kind = F.col("event_type")
+        return self.table("events").select(F.col("user_id").alias("source_name"), F.col("event_id").alias("seq"), (kind == "error").alias("failed"), (kind == "view").alias("empty"), F.col("ts").cast("timestamp").alias("ts"))
+
+    @cached_property
+    def texts(self):
+        k, c, s = F.col("o_orderkey"), F.col("o_custkey"), lambda x: x.cast("string")
+        return self.table("orders").select("o_orderkey", F.concat(
+            F.lit("Patched cve-2024-"), F.lpad(s(k), 6, "0"), F.lit(" and CVE-2024-"), F.lpad(s(k % 9), 4, "0"), F.lit(" see npm:@Scope"), s(c % 50), F.lit("/pkg-"), s(c % 7), F.lit(" or PyPI:Lib"), s(c % 11),
+            F.lit(".x at https://github.com/Org"), s(c % 20), F.lit("/Repo_"), s(k % 13), F.lit(".git and github.com/sponsors/x?a")).alias("text"))
+
+    @cached_property
+    def followups(self):
+        k = F.col("o_orderkey")
+        action = F.element_at(F.array(*map(F.lit, store.ACTIONS)), (k % 4 + 1).cast("int"))
+        return self.table("orders").select(k.alias("id"), action.alias("action"), k.alias("item"), (F.col("o_orderstatus") != "O").alias("completed"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
 
 
 def query(name, sql=None, body=False):
     """Register ``f(base)``; ``sql`` is put after the common tables unless ``body``."""
     def add(f):
-        QUERIES[name] = lambda spark, sf: f(base(spark, sf))
+        QUERIES[name] = lambda spark, sf: f(Base(spark, sf))
         if sql is not None:
             SQL[name] = sql if body else f"WITH {BASE}\n{sql}"
         return f
@@ -170,35 +219,26 @@ def _(b):
     d = F.col("doc_id")
     a = F.when(d % 3 == 0, F.concat(F.lit("id"), d.cast("string"))).otherwise("")
     l = F.when(d % 3 == 1, F.concat(F.lit("https://e.com/"), d.cast("string"))).otherwise("")  # noqa: E741
-    key = F.pandas_udf(lambda i, k, t, p: pd.Series([adapters.external_id(*v) for v in zip(i, k, t, p)]), "string")
-    return b["table"]("documents").select("doc_id", key(a, l, F.col("text"), F.col("lang")).alias("external_id"))
+    return b["table"]("documents").select("doc_id", landed.entry_key(a, l, F.col("text"), F.col("lang")).alias("external_id"))
 
 
 @query("cursor_strict", """SELECT event_id, floor(epoch(ts))::BIGINT AS created, (SELECT greatest(1704800000, max(floor(epoch(ts))::BIGINT)) FROM events) AS new_cursor FROM events WHERE floor(epoch(ts))::BIGINT > 1704800000""", body=True)
 def _(b):
-    """Every reply of the search holds a batch of hits later than the mark; the new
+    """Every reply of the search holds up to a hundred hits later than the mark; the new
     cursor is the latest of all replies."""
     mark = 1704800000
-
-    def read(batches):
-        for batch in batches:
-            hits = [{"objectID": str(i), "title": "t", "created_at_i": int(c)} for i, c in zip(batch["event_id"], batch["created"])]
-            rows, top = adapters.hit_rows({"hits": hits}, mark)
-            yield pd.DataFrame([(int(key), json.loads(payload)["published_timestamp"], top) for key, payload in rows], columns=["event_id", "created", "top"])
-
     e = b["table"]("events").select("event_id", secs(F.col("ts").cast("timestamp")).alias("created")).filter(F.col("created") > mark)
-    rows = materialize(e.mapInPandas(read, "event_id long, created long, top long"), "hits")
-    return rows.select("event_id", "created").join(F.broadcast(rows.agg(F.coalesce(F.max("top"), F.lit(mark)).cast("long").alias("new_cursor"))))
+    hit = F.struct(F.col("event_id").cast("string").alias("objectID"), F.lit("t").alias("title"), F.col("created").alias("created_at_i"))
+    replies = e.groupBy(F.floor(F.col("event_id") / 100).alias("page")).agg(F.to_json(F.struct(F.collect_list(hit).alias("hits"))).alias("body"))
+    rows = materialize(landed.search_hits(replies), "hits")
+    return rows.select(F.col("external_id").cast("long").alias("event_id"), "created").join(F.broadcast(landed.advanced(rows, mark)))
 
 
 @query("release_drafts", "SELECT event_id, 'r' || event_id AS external_id FROM events WHERE event_type <> 'signup'", body=True)
 def _(b):
-    def read(batches):
-        for batch in batches:
-            body = [{"id": f"r{i}", "tag_name": "v1", "draft": kind == "signup"} for i, kind in zip(batch["event_id"], batch["event_type"])]
-            yield pd.DataFrame([(int(key[1:]), key) for key, _ in adapters.release_rows("o/n", body)], columns=["event_id", "external_id"])
-
-    return b["table"]("events").select("event_id", "event_type").mapInPandas(read, "event_id long, external_id string")
+    release = F.struct(F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("id"), F.lit("v1").alias("tag_name"), (F.col("event_type") == "signup").alias("draft"))
+    replies = b["table"]("events").groupBy(F.floor(F.col("event_id") / 100).alias("page")).agg(F.to_json(F.collect_list(release)).alias("body")).withColumn("repo", F.lit("o/n"))
+    return landed.releases(replies).select(F.substring("external_id", 2, 20).cast("long").alias("event_id"), "external_id")
 
 
 @query("watermark_boundary", """WITH e AS (SELECT event_id, user_id, epoch(date_trunc('day', ts))::BIGINT AS day FROM events)
@@ -218,17 +258,13 @@ def _(b):
 @query("payload_mapping", """SELECT p_partkey, trim(p_brand || ' ' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END) AS title,
  CASE WHEN p_size % 3 = 0 THEN 'https://e.com/' || p_partkey ELSE 'https://news.ycombinator.com/item?id=' || p_partkey END AS link FROM part""", body=True)
 def _(b):
-    """Release titles and story links by the adapters that make them."""
-    def read(batches):
-        for batch in batches:
-            out = []
-            for key, brand, kind, size in zip(batch["p_partkey"], batch["p_brand"], batch["p_type"], batch["p_size"]):
-                [(_, release)] = adapters.release_rows(brand, [{"id": f"r{key}", "tag_name": kind if size % 2 == 0 else None}])
-                [(_, hit)] = adapters.hit_rows({"hits": [{"objectID": str(key), "url": f"https://e.com/{key}" if size % 3 == 0 else None}]}, 0)[0]
-                out.append((int(key), json.loads(release)["title"], json.loads(hit)["link"]))
-            yield pd.DataFrame(out, columns=["p_partkey", "title", "link"])
-
-    return b["table"]("part").select("p_partkey", "p_brand", "p_type", "p_size").mapInPandas(read, "p_partkey long, title string, link string")
+    """Release titles and story links; every part is a reply of each kind."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    part = b["table"]("part").select("p_partkey", F.col("p_brand").alias("repo"), F.to_json(F.array(F.struct(F.concat(F.lit("r"), key.cast("string")).alias("id"), F.when(size % 2 == 0, F.col("p_type")).alias("tag_name")))).alias("body"))
+    hit = F.struct(key.cast("string").alias("objectID"), F.when(size % 3 == 0, F.concat(F.lit("https://e.com/"), key.cast("string"))).alias("url"))
+    found = b["table"]("part").select("p_partkey", F.to_json(F.struct(F.array(hit).alias("hits"))).alias("body"))
+    titles = landed.releases(part).select("p_partkey", F.get_json_object("payload", "$.title").alias("title"))
+    return titles.join(landed.search_hits(found).select("p_partkey", F.get_json_object("payload", "$.link").alias("link")), "p_partkey")
 
 
 @query("iso_epochs", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE epoch(date_trunc('second', o_orderdate))::BIGINT END AS epoch FROM orders""", body=True)
@@ -240,14 +276,10 @@ def _(b):
 
 @query("arxiv_error_entries", """SELECT page_id FROM pages WHERE page_id % 13 <> 0""", body=True)
 def _(b):
-    """Every batch of pages is an Atom document; the entries that tell of an error go."""
-    def read(batches):
-        for batch in batches:
-            ids = [f"http://arxiv.org/api/errors#x{i}" if i % 13 == 0 else f"http://e.com/{i}" for i in batch["page_id"]]
-            document = "<feed>" + "".join(f"<entry><id>{i}</id><title>{k}</title></entry>" for i, k in zip(ids, batch["page_id"])) + "</feed>"
-            yield pd.DataFrame({"page_id": [int(e["title"]) for e in adapters.paper_entries(adapters.parse_feed(document.encode()))]})
-
-    return b["table"]("pages").select("page_id").mapInPandas(read, "page_id long")
+    """Entries of a paper search; those that tell of an error go."""
+    i = F.col("page_id")
+    entry = F.when(i % 13 == 0, F.concat(F.lit("http://arxiv.org/api/errors#x"), i.cast("string"))).otherwise(F.concat(F.lit("http://e.com/"), i.cast("string")))
+    return b["table"]("pages").filter(~landed.tells_of_an_error(entry, F.lit(None).cast("string"))).select("page_id")
 
 
 # ------------------------------------------------------------------ projections
