@@ -19,6 +19,7 @@ from ..operators.store import Store
 from ..session import materialize
 from ..sources.adapters import error_text, fetch
 from .agent import Tools, run_agent
+from .report_sink import collection_reports, write_reports
 from .reports import Span, collection_report, synthesis_report, write_atomically
 
 RAW = "source_name string, source_type string, external_id string, payload string, fetched_at timestamp"
@@ -179,6 +180,13 @@ def report_entries(store: Store, day: datetime) -> DataFrame:
     return with_sources(classified_between(store.classified(start, start + timedelta(days=1)), F.lit(start), F.lit(start + timedelta(days=1))), store.children("item_sources"))
 
 
+def rebuild_reports(store: Store, vault: str) -> None:
+    """The collection reports of all days that have classified items, each day a file
+    that one task writes; all of them appear, or none."""
+    entries = with_sources(store.classified(), store.children("item_sources"))
+    write_reports(collection_reports(entries.withColumn("day", F.date_format("ingested_at", "yyyy-MM-dd"))), f"{vault}/collection")
+
+
 def post_process(store: Store, config, provider, now: datetime, vault=None, prompts=None) -> dict:
     """Classify, deduplicate, render. Without a provider nothing of it runs."""
     if provider is None:

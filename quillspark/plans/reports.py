@@ -68,12 +68,15 @@ def collection_lines(entries: DataFrame) -> DataFrame:
     ``entries``: canonical_hash, title, url, score, topic, secondary_topics,
     rationale, published_at, sources (array of names).
     """
+    return topic_groups(entries).select("topic", "n", "topic_place", "place", entry_block().alias("block"))
+
+
+def entry_block():
     names = F.array_join(F.array_sort(F.array_distinct("sources")), ", ")
-    block = F.concat(
+    return F.concat(
         F.lit("### ["), "title", F.lit("]("), "url", F.lit(") — score "), F.col("score").cast("string"), secondary_suffix("secondary_topics"),
         F.lit("\n> "), "rationale", F.when(names != "", F.concat(F.lit("\n- **Sources:** "), names)).otherwise(""),
         F.when(F.col("published_at").isNotNull(), F.concat(F.lit("\n- **Published:** "), F.date_format("published_at", "yyyy-MM-dd"))).otherwise(""))
-    return topic_groups(entries).select("topic", "n", "topic_place", "place", block.alias("block"))
 
 
 def collection_report(entries: DataFrame, day: date) -> str:
@@ -85,10 +88,13 @@ def collection_report(entries: DataFrame, day: date) -> str:
             counts[at] = r["n"]
             body.append(f"\n## {at} ({r['n']})\n")
         body.append(f"\n{r['block']}\n")
-    head = front_matter({"date": day.isoformat(), "type": "collection-report", "schema_version": SCHEMA_VERSION, "renderer_version": RENDERER_VERSION,
+    return collection_head(day.isoformat(), counts) + ("".join(body) if body else "\n_No items collected._\n")
+
+
+def collection_head(day: str, counts: dict[str, int]) -> str:
+    head = front_matter({"date": day, "type": "collection-report", "schema_version": SCHEMA_VERSION, "renderer_version": RENDERER_VERSION,
                          "counts": {"by_topic": counts, "total": sum(counts.values())}})
-    out = f"{head}\n\n# Collection — {day.isoformat()}\n"
-    return out + ("".join(body) if body else "\n_No items collected._\n")
+    return f"{head}\n\n# Collection — {day}\n"
 
 
 def synthesis_report(span: Span, body: str, entities: DataFrame, followups: DataFrame) -> str:
