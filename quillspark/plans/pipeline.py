@@ -3,7 +3,7 @@
 import json
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
-from functools import reduce
+from functools import reduce, wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from ..operators.dedupe import find_duplicates
 from ..operators.normalize import normalize, validate
 from ..operators.relational import all_sources, classified_between, dedupe_candidates, failing, health_label, inherit_sources, unclassified, weekly_entities, with_first_source, with_sources
 from ..operators.store import Store
-from ..session import materialize
+from ..session import materialize, scratch
 from ..sources.adapters import error_text, fetch
 from .agent import Tools, run_agent
 from .report_sink import collection_reports, write_reports
@@ -112,6 +112,18 @@ def _fetched_on_executors(spark: SparkSession, configs: list[dict], cursors: dic
     return read.filter(F.col("source_type") != STATE).withColumn("fetched_at", F.lit(now)), state
 
 
+def scratched(job):
+    """A job on a store whose intermediate tables go when it ends (it returns no DataFrame)."""
+
+    @wraps(job)
+    def run(store: Store, *args, **kwargs):
+        with scratch(store.spark):
+            return job(store, *args, **kwargs)
+
+    return run
+
+
+@scratched
 def collect(store: Store, configs: list[dict], client, now: datetime, since=None, until=None, tracking=(), only=(), production: bool = False) -> CollectResult:
     """Fetch every source, store what is new, then move the cursors.
 
@@ -159,6 +171,7 @@ def _store_run(store: Store, configs, raw, state: dict, before: dict, now, since
         store.append("source_runs", store.spark.createDataFrame(runs, store._schema("source_runs")))
 
 
+@scratched
 def deduplicate(store: Store, now: datetime, days: int = 7, title=0.92, hours=48, entity_title=0.85, max_pool=None) -> int:
     """Supersede duplicates among the recent items; returns how many lost."""
     items = store.items(since=now - timedelta(days=days))
@@ -180,6 +193,7 @@ def report_entries(store: Store, day: datetime) -> DataFrame:
     return with_sources(classified_between(store.classified(start, start + timedelta(days=1)), F.lit(start), F.lit(start + timedelta(days=1))), store.children("item_sources"))
 
 
+@scratched
 def rebuild_reports(store: Store, vault: str) -> None:
     """The collection reports of all days that have classified items, each day a file
     that one task writes; all of them appear, or none."""
@@ -187,6 +201,7 @@ def rebuild_reports(store: Store, vault: str) -> None:
     write_reports(collection_reports(entries.withColumn("day", F.date_format("ingested_at", "yyyy-MM-dd"))), f"{vault}/collection")
 
 
+@scratched
 def post_process(store: Store, config, provider, now: datetime, vault=None, prompts=None) -> dict:
     """Classify, deduplicate, render. Without a provider nothing of it runs."""
     if provider is None:

@@ -2,10 +2,16 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths handed out in the open :func:`scratch` blocks of this thread, outermost first.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open scratch blocks", default=())
+
+
 def build_session(app: str = "quillspark", master: str | None = None, **conf) -> SparkSession:
     """A UTC, AQE-enabled session; keyword names use ``_`` for ``.``."""
     builder = SparkSession.builder.appName(app)
@@ -39,14 +45,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below :func:`shared_dir`."""
-    return f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    """A fresh path below :func:`shared_dir`; inside a :func:`scratch` block it is the block's."""
+    path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    for block in _OPEN.get()[-1:]:
+        block.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, the
-    copy survives lost executors, and every later use costs one scan."""
+    copy survives lost executors, and every later use costs one scan. It stays until
+    the :func:`scratch` block ends in which it is written, if there is one."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes the tables that are written inside when the block ends, however it ends.
+
+    Write the result inside the block, to a path of your own or with the ``keep(df,
+    name)`` that the block gives: that is :func:`materialize` for the block around this
+    one. A DataFrame that still reads the block's tables is of no use after it.
+    Blocks nest; those of other threads are apart.
+    """
+    outer, mine = _OPEN.get(), []
+    opened = _OPEN.set((*outer, mine))
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inside = _OPEN.set(outer)
+        try:
+            return materialize(df, name)
+        finally:
+            _OPEN.reset(inside)
+
+    try:
+        yield keep
+    finally:
+        _OPEN.reset(opened)
+        for path in mine:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.similarity import indel
 from quillspark.operators import dedupe, relational
 from quillspark.operators.classify import KeywordProvider, ProviderError, classify_items, classifier_version, token_estimate
+from quillspark.operators.components import components
 from quillspark.operators.store import Store, resolve_roots
 from quillspark.session import shared_dir
 
@@ -244,3 +245,18 @@ def test_row_numbers_over_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     order = sorted(rows, key=lambda r: (-r[1], r[0]))
     assert {r["id"]: r["n"] for r in got} == {i: n for n, (i, _) in enumerate(order, 1)}
+
+
+def test_components_by_one_task_and_by_joins(spark):
+    rnd = random.Random(5)
+    for kind, name in (("long", lambda i: i), ("string", lambda i: f"n{i}")):
+        links = [(name(rnd.randrange(300)), name(rnd.randrange(300))) for _ in range(180)] + [(name(400), name(i)) for i in range(401, 460)] + [(name(500 + i), name(501 + i)) for i in range(60)] + [(None, name(1)), (name(7), name(7))]
+        df = spark.createDataFrame(links, f"a {kind}, b {kind}")
+        least = {x: x for ab in links if None not in ab and ab[0] != ab[1] for x in ab}
+        for _ in range(100):
+            for a, b in links:
+                if a in least and b in least and a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+        for local in (0, 100, 1 << 18):
+            assert {r["node"]: r["root"] for r in components(df, local).collect()} == least
+        assert components(df.limit(0)).count() == components(df.limit(0), 0).count() == 0
