@@ -15,7 +15,7 @@ from quillspark.llm.mixing import mixed_documents
 from quillspark.llm.neardup import jaccard_components
 from quillspark.llm.quality import fit, score_quality
 from quillspark.llm.sharding import SHARD_BYTES, shard
-from quillspark.session import materialize
+from quillspark.session import materialize, scratch
 
 #: Score from which a document passes the quality classifier.
 QUALITY = 0.5
@@ -88,8 +88,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    """All stages over ``documents``, each written and read again. A stage's own tables
+    are removed once its rows are written, the stages' rows once the last is."""
+    with scratch(spark) as keep:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            docs = _written(spark, stage, docs, sf_dir, name)
+        name, stage = STAGES[-1]
+        return keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+
+
+def _written(spark: SparkSession, stage, docs: DataFrame, sf_dir: str, name: str) -> DataFrame:
+    with scratch(spark) as keep:
+        return keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
