@@ -13,6 +13,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,10 @@ UNOPENED = 0.35
 BLOCK_ITEMS = 16
 #: Bytes of item texts in one shard, on average: its index is broadcast.
 SHARD_BYTES = 8 << 20
+#: Shards that one scan of the documents searches, one after the other.
+SCAN_SHARDS = 64
+#: Bytes of text whose words a task holds while it goes through several shards.
+HELD_BYTES = 16 << 20
 #: Least words from one passage to the next.
 STRIDE = 64
 #: Words are runs of letters and digits, so punctuation does not hide a leak.
@@ -168,10 +173,10 @@ class Index:
         key, at = np.unique(query * width + target, return_inverse=True)
         return key // width, key % width, np.bincount(at, weights=weight)
 
-    def search(self, texts: list[bytes], hashed=None):
+    def search(self, texts, hashed=None):
         """(text, item, score, question overlap, answer overlap, first word of the
-        window) of every leak; the best window of each pair. ``hashed`` are the
-        texts' words, where they are known."""
+        window) of every leak; the best window of each pair. Where ``hashed``, the
+        texts' words, are given, of ``texts`` only the number counts."""
         best = {}
         if not self.ids:
             return best
@@ -273,7 +278,7 @@ class ShortItems:
                 self.lists.setdefault(len(words), []).append((int(shingles(words, np.zeros(len(words), dtype=np.int64), len(words))[0][0]), item))
         self.lists = {k: (np.array([h for h, _ in sorted(v)], dtype=np.uint64), [i for _, i in sorted(v)]) for k, v in self.lists.items()}
 
-    def search(self, texts: list[bytes], hashed=None):
+    def search(self, texts, hashed=None):
         """(text, item id) -> (words, 1, 1, first word of the first match)."""
         found = {}
         if not self.lists:
@@ -311,67 +316,102 @@ def _item_terms(batches):
 LEAKS = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double, first_word long"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, shard_items: int | None = None, short_items: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, shard_items: int | None = None, short_items: bool = False, shard_bytes: int = SHARD_BYTES, scan_shards: int = SCAN_SHARDS) -> DataFrame:
     """(doc_id, item_id, bm25, question_overlap, answer_overlap, first_word) of
     every document that leaks a test item; one row per row of ``docs`` and item.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns
     are ignored. All passages of all texts are searched, whatever their length.
     Null and empty texts leak nothing, null and wordless items match nothing;
-    repeated items count once, repeated documents are each searched. With
-    ``short_items``, as in the query and the pipeline, items of fewer than
-    MIN_ITEM_WORDS words leak where all their words stand in a row; without it
-    they match nothing.
-
-    The index of items with at most ``shard_bytes`` of text (or ``shard_items``
-    items) is broadcast; a larger benchmark is searched shard by shard, one shard
-    at a time on the driver, with the term frequencies and mean length of all its
-    items: the rows are the same. An item is confirmed in a window of twice its own
-    words, or of STRIDE + 1 where that is more.
+    repeated items count once, repeated documents are each searched; without
+    documents or items there is no row. With ``short_items``, as in the query and the
+    pipeline, items of fewer than MIN_ITEM_WORDS words leak where all their words
+    stand in a row; without it they match nothing.
+
+    An index holds items of at most ``shard_bytes`` of text (or ``shard_items``
+    items) on average. A larger benchmark has several, built by a task each with the
+    term frequencies and mean length of all items and written to the shared folder:
+    the rows are the same. One scan of ``docs`` hashes its words once and visits the
+    broadcast indexes in turn, one in memory at a time; beyond ``scan_shards`` of
+    them there are further scans, as every executor keeps a scan's indexes on disk. An
+    item is confirmed in a window of twice its own words, or of STRIDE + 1 where that
+    is more.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     items = benchmark.filter("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").distinct()
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     shards = max(1, -(-size // shard_bytes), -(-n // shard_items) if shard_items else 1)
     texts = docs.select("doc_id", text_or_empty("text").alias("text"))
     if shards == 1:
-        return _search(texts, items, None, short_items)[0]
+        return _search(texts, [context.broadcast(_index([(r["item_id"], r["text"]) for r in items.collect()], short_items))])
+    built, out = _built(items, shards, short_items), None
+    for first in range(0, shards, scan_shards):
+        mine = built.filter(F.col("shard").between(first, first + scan_shards - 1))
+        indexes_ = [context.broadcast(cloudpickle.loads(r["index"])) for r in mine.toLocalIterator()]
+        found = _search(texts, indexes_)
+        if shards > scan_shards:
+            found = materialize(found, "leaks")
+            for index in indexes_:
+                index.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _index(items: list, short_items: bool, stats=None):
+    return indexes(items, stats), ShortItems(items if short_items else [])
+
+
+def _built(items: DataFrame, shards: int, short_items: bool) -> DataFrame:
+    """(shard, index) of ``items`` dealt over ``shards``; every index weighs by all items."""
     items = materialize(items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards))), "leak-items")
     counted = materialize(items.mapInPandas(_item_terms, "shard long, n_words long, terms array<long>"), "leak-terms")
     total, mean = counted.agg(F.count("*"), F.avg("n_words")).first()
     terms = counted.select("shard", F.explode("terms").alias("term"))
     frequency = terms.groupBy("term").agg(F.count("*").alias("df"))
-    known_by = materialize(terms.distinct().join(frequency, "term"), "leak-frequencies")
-    out = None
-    for k in range(shards):
-        known = known_by.filter(F.col("shard") == k).select("term", "df").toPandas()
+    known = terms.distinct().join(frequency, "term")
+
+    def build(key, mine, known):
         term = known["term"].to_numpy(dtype=np.int64).view(np.uint64)
         order = np.argsort(term)
         stats = total, mean or 0.0, term[order], known["df"].to_numpy(dtype=np.int64)[order]
-        found, index = _search(texts, items.filter(F.col("shard") == k), stats, short_items)
-        found = materialize(found, f"leaks-{k}")
-        index.destroy()
-        out = found if out is None else out.unionByName(found)
-    return out
+        index = _index(list(zip(mine["item_id"].tolist(), mine["text"])), short_items, stats)
+        return pd.DataFrame({"shard": [int(key[0])], "index": [cloudpickle.dumps(index)]})
+
+    return materialize(items.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(build, "shard long, index binary"), "leak-indexes")
+
+
+def _held(batches, limit: int):
+    """Lists of (ids, number of texts, their hashed words) of about ``limit`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        ids, texts = batch["doc_id"].astype("Int64").tolist(), batch["text"].tolist()
+        for lo, hi in chunks([len(t) + 1 for t in texts]):
+            raw = [_encoded(t) for t in texts[lo:hi]]
+            held.append((ids[lo:hi], range(hi - lo), hashed_words(raw, MARKS)))
+            size += sum(map(len, raw))
+            if size >= limit:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
-def _search(docs: DataFrame, items: DataFrame, stats, short_items: bool):
-    """(leaks of ``items``, the broadcast index)."""
-    mine = [(r["item_id"], r["text"]) for r in items.collect()]
-    index = docs.sparkSession.sparkContext.broadcast((indexes(mine, stats), ShortItems(mine if short_items else [])))
+def _search(docs: DataFrame, shards: list) -> DataFrame:
+    """Leaks of the items in the broadcast indexes."""
 
     def search(batches):
-        scored, short = index.value
-        for batch in batches:
-            ids, texts = batch["doc_id"].astype("Int64").tolist(), batch["text"].tolist()
-            for lo, hi in chunks([len(t) + 1 for t in texts]):
-                raw = [_encoded(t) for t in texts[lo:hi]]
-                hashed = hashed_words(raw, MARKS)
-                rows = [(ids[lo + t], one.ids[i], *v) for one in scored for (t, i), v in one.search(raw, hashed).items()]
-                rows += [(ids[lo + t], item, *v) for (t, item), v in short.search(raw, hashed).items()]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEAKS.split(", ")])
-
-    return docs.mapInPandas(search, LEAKS), index
+        for held in _held(batches, HELD_BYTES if len(shards) > 1 else 1):
+            for shard in shards:
+                scored, short = shard.value
+                for ids, texts, hashed in held:
+                    rows = [(ids[t], one.ids[i], *v) for one in scored for (t, i), v in one.search(texts, hashed).items()]
+                    rows += [(ids[t], item, *v) for (t, item), v in short.search(texts, hashed).items()]
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEAKS.split(", ")])
+                if len(shards) > 1:  # the worker reads it from its disk again
+                    del scored, short
+                    vars(shard).pop("_value", None)
+
+    return docs.mapInPandas(search, LEAKS)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

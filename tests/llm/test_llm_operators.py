@@ -123,6 +123,23 @@ def test_leaks_depend_on_no_other_item(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(2, 1), (3, 2), (4, items[9][0])}
     show = lambda rows: sorted((*r[:2], *(round(x, 9) for x in r[2:])) for r in rows)
     assert show(decontaminate.find_leaks(df, bench, shard_items=4).collect()) == show(got)
+    assert show(decontaminate.find_leaks(df, bench, shard_items=4, scan_shards=2).collect()) == show(got)
+
+
+def test_shards_are_searched_in_one_scan_of_the_documents(spark):
+    rnd = random.Random(21)
+    bench = spark.createDataFrame([(i, words(rnd, 20)) for i in range(60)] + [(70, "quagga")], "item_id long, text string")
+    df = spark.createDataFrame([(r["item_id"], f"{words(rnd, 40)} {r['text']} {words(rnd, 40)}") for r in bench.collect()], "doc_id long, text string")
+    scanned = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            scanned.add(len(batch))
+            yield batch
+
+    got = decontaminate.find_leaks(df.mapInPandas(count, df.schema), bench, shard_items=5, short_items=True)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i) for i in [*range(60), 70]}
+    assert scanned.value == 61
 
 
 def test_bounds_lose_nothing():
