@@ -83,6 +83,17 @@ def test_dedupe_of_nothing(spark):
     assert dedupe.find_duplicates(spark.createDataFrame([], CAND)).count() == 0
 
 
+@pytest.mark.parametrize("cell", [3, 512])
+def test_entity_pairs_are_made_once_and_not_gathered(spark, cell):
+    shared_dir(spark)
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice(["cve", "cve", "package"]), f"v{rnd.randrange(3)}") for i in range(60) for _ in range(3)] + [(7, "cve", None), (8, "cve", None), (None, "cve", "v1")]
+    pairs = relational.entity_pairs(spark.createDataFrame(rows, "k long, kind string, value string"), "k", cell=cell)
+    sets = {i: {v for k, kind, v in rows if k == i and kind == "cve" and v} for i in range(60)}
+    assert sorted(map(tuple, pairs.collect())) == [(a, b) for a in range(60) for b in range(a + 1, 60) if sets[a] & sets[b]]
+    assert "Aggregate" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_roots(spark):
     shared_dir(spark)
     edges = [("a", "b", 1), ("b", "c", 1), ("c", "d", 1), ("x", "y", 1), ("x", "z", 2)]
