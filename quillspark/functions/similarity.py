@@ -1,5 +1,6 @@
 """Normalized Indel similarity, 2 * LCS / (len + len)."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,16 +40,43 @@ def lcs_bound(a: str, b: str) -> int:
     return common
 
 
+def _lcs_lengths(xs: list[str], ys: list[str]) -> np.ndarray:
+    """:func:`lcs_length` of many pairs, a letter of all of them at a time; of at most 64 letters each."""
+    n, m = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
+    codes = lambda texts: np.array(texts, dtype="U64").view(np.uint32).reshape(len(texts), 64)
+    a, b = codes(xs), codes(ys)
+    there = np.arange(64) < n[:, None]
+    bits = lambda flags: np.packbits(flags, axis=1, bitorder="little").view("<u8")[:, 0]
+    row = full = bits(there)
+    for k in range(m.max()):
+        match = row & np.where(k < m, bits((a == b[:, k : k + 1]) & there), np.uint64(0))
+        row = ((row + match) | (row - match)) & full
+    return n - np.bitwise_count(row)
+
+
+def indels(xs: list[str], ys: list[str]) -> np.ndarray:
+    """:func:`indel` of many pairs."""
+    out = np.empty(len(xs))
+    narrow = np.array([0 < len(x) <= 64 and 0 < len(y) <= 64 for x, y in zip(xs, ys)], dtype=bool)
+    for k in np.flatnonzero(~narrow):
+        out[k] = indel(xs[k], ys[k])
+    at = np.flatnonzero(narrow)
+    if len(at):
+        x, y = [xs[k] for k in at], [ys[k] for k in at]
+        total = np.array([len(a) + len(b) for a, b in zip(x, y)])
+        out[at] = (1 - (total - 2 * _lcs_lengths(x, y)) / total) * 100 / 100.0
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else indel(x, y) for x, y in zip(a, b)], dtype="float64")
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[known] = indels(list(a[known]), list(b[known]))
+    return pd.Series(out).astype(object).where(known, None)
 
 
 @F.pandas_udf(T.BooleanType())
 def indel_at_least(a: pd.Series, b: pd.Series, threshold: pd.Series) -> pd.Series:
-    """Is the similarity at least ``threshold``? Hopeless pairs end at the letter counts."""
-    out = []
-    for x, y, t in zip(a, b, threshold):
-        total = len(x) + len(y)
-        out.append(not total or (2 * lcs_bound(x, y) >= t * total - 1e-6 and indel(x, y) >= t))
-    return pd.Series(out, dtype=bool)
+    """Is the similarity at least ``threshold``?"""
+    return pd.Series(indels(list(a), list(b)) >= threshold.to_numpy())

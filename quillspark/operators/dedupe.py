@@ -3,13 +3,12 @@
 Two items are duplicates if they were published close enough together and their
 titles are similar enough; sharing a strong entity lowers the bar. Winners are
 chosen greedily in rank order and claim their direct duplicates (stars, not
-chains). Similar titles meet on their rarest letter grams, by a prefix bound that
-loses no pair, and are compared once each. Winners claim on the time line of their
-title and of similar ones (:mod:`.claims`); pairs of rows are listed on request only.
+chains). Similar titles meet on pieces of the longer one of which one must be whole in
+the other, so no pair is lost, and are compared once each. Winners claim on the time
+line of their title and of similar ones (:mod:`.claims`); pairs of rows are listed on
+request only.
 """
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +19,15 @@ from ..functions.text import strip
 from ..session import materialize
 from .claims import LOCAL_ROWS, claim
 from .components import components
-from .relational import row_numbers, strong_overlap
+from .relational import pairs_within, row_numbers, strong_overlap
 
-#: Letters of a gram; pairs of a group of linked items that one task decides.
-GRAM, LOCAL_PAIRS = 3, 50_000
-#: Letters that are counted, by the names of their counts.
-COUNTED = {"space": " "} | {letter: letter for letter in "abcdefghijklmnopqrstuvwxyz"} | {"others": ""}
+#: Pairs of a group of linked items that one task decides.
+LOCAL_PAIRS = 50_000
+#: Letters of the pieces of titles below which the titles of a group are all compared;
+#: places of a title that are one key of the join on pieces.
+SHORT, PLACES = 4, 16
+#: Letters and how many of each are counted, in two longs; none named: all others.
+LETTERS = [[(" eationshr", 6)], [("bcdfgjklmpquvwxyz", 3), ("", 6)]]
 
 
 def ranked(candidates: DataFrame) -> DataFrame:
@@ -34,68 +36,64 @@ def ranked(candidates: DataFrame) -> DataFrame:
         (-F.col("score")).alias("s"), F.coalesce(F.unix_micros("published_at"), F.lit((1 << 63) - 1)).alias("p"), F.col("canonical_hash").alias("h")))
 
 
-def length_bucket(n: Column, low: float) -> Column:
-    """Lengths in a ratio of at least ``low`` have equal or neighbouring buckets."""
-    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / -math.log(low))
-
-
-def _counts(t: Column) -> Column:
-    """How often each letter of COUNTED stands in a title, and all others together."""
-    each = {k: F.length(t) - F.length(F.replace(t, F.lit(letter))) for k, letter in COUNTED.items() if letter}
-    return F.struct(*[c.alias(k) for k, c in each.items()], (F.length(t) - sum(each.values())).alias("others"))
-
-
-def _grams(t: Column) -> Column:
-    n = F.length(t)
-    return F.array_distinct(F.when(n >= GRAM, F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(t, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>")))
-
-
-def _lost(n: Column, bar: float) -> Column:
-    """Grams of a title of ``n`` letters that a partner can lack: a letter taken out
-    breaks GRAM of them, one put in GRAM - 1, and x of the former with y of the
-    latter keep the similarity only if x (2 - bar) + y bar <= 2 (1 - bar) n."""
-    each = max(GRAM / (2 - bar), (GRAM - 1) / bar)
-    return F.floor(2 * (1 - bar) * each * n + 1e-9)
-
-
-def _prefixes(titles: DataFrame, bar: float, keys: list[str]) -> DataFrame:
-    """(keys, t, n, c, token): the rarest grams of every title, enough that two similar
-    titles share one if one of them must; of a title that may share none, all."""
-    grams = titles.select("t", _grams(F.col("t")).alias("grams")).distinct()
-    frequency = materialize(grams.select(F.explode("grams").alias("token")).groupBy("token").agg(F.count("*").alias("df")), "title-grams")
-    ordered = grams.select("t", F.size("grams").alias("size"), F.explode("grams").alias("token")).join(frequency, "token").groupBy("t", "size").agg(
-        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("grams"))
-    kept = (_lost(F.length("t"), bar) + 1).cast("int")
-    rare = ordered.select("t", F.explode(F.transform(F.slice("grams", F.lit(1), F.least("size", kept)), lambda g: g["token"])).alias("token"))
-    return titles.select(*keys, "t", F.length("t").alias("n")).distinct().withColumn("c", _counts(F.col("t"))).join(rare, "t")
-
-
-def _similar(titles: DataFrame, bar: float, keys: list[str]) -> DataFrame:
-    """Candidates (x, y), x < y, among titles that agree in ``keys``: every pair of
-    different titles that reach ``bar``, and some that do not."""
-    fits = lambda a, z: F.greatest(a, z) * (bar / (2 - bar)) <= F.least(a, z) + 1e-9
-    tokens = materialize(_prefixes(titles, bar, keys), "title-prefixes")
-    on = lambda more: [F.col(f"a.{k}") == F.col(f"z.{k}") for k in [*keys, *more]]
-    # letters in common, whatever their order, are no fewer than those of a common subsequence
-    common = sum(F.least(f"a.c.{k}", f"z.c.{k}") for k in COUNTED)
-    met = tokens.alias("a").join(tokens.alias("z"), on(["token"])).filter(
-        (F.col("a.t") < F.col("z.t")) & fits(F.col("a.n"), F.col("z.n")) & (2 * common >= bar * (F.col("a.n") + F.col("z.n")) - 1e-6))
-    # titles that may share no gram: very short, or of few different letters
-    plain = titles.select(*keys, "t", F.length("t").alias("n"), (F.size(_grams(F.col("t"))) <= _lost(F.length("t"), bar)).alias("loose")).distinct().filter("loose")
-    ratio = max(bar / (2 - bar), 1e-6)
-    left = plain.withColumn("lb", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: length_bucket(F.col("n"), ratio) + k)))
-    right = plain.withColumn("lb", length_bucket(F.col("n"), ratio))
-    loose = left.alias("a").join(right.alias("z"), on(["lb"])).filter((F.col("a.t") < F.col("z.t")) & fits(F.col("a.n"), F.col("z.n")))
-    pick = lambda df: df.select(F.col("a.t").alias("x"), F.col("z.t").alias("y"))
-    return pick(met).unionByName(pick(loose)).distinct()
+def _letters(t: Column) -> list[Column]:
+    """Two longs with a bit per letter and count, up to the count that LETTERS has for it:
+    two titles differ in no more bits than letters must be put in or taken out."""
+    left, out = F.length(t), []
+    for kinds in LETTERS:
+        word, at = F.lit(0).cast("long"), 0
+        for letters, most in kinds:
+            for letter in letters or [""]:
+                n = F.length(t) - F.length(F.replace(t, F.lit(letter))) if letter else left
+                left = left - n if letter else left
+                ones = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(n, F.lit(most))) - F.lit(1)
+                word, at = word + F.call_function("shiftleft", ones, F.lit(at)), at + most
+        out.append(word)
+    return out
+
+
+def _may_reach(x: Column, y: Column, bar: float) -> Column:
+    """Whether lengths and letters leave it open that two titles reach ``bar``."""
+    least = F.bit_count(x["s1"].bitwiseXOR(y["s1"])) + F.bit_count(x["s2"].bitwiseXOR(y["s2"]))
+    return F.greatest(least, F.abs(x["n"] - y["n"])) <= (1 - bar) * (x["n"] + y["n"]) + 1e-6
+
+
+def _similar(titles: DataFrame, bar: float, group: str | None = None) -> DataFrame:
+    """Candidates (x, y), x < y, among all titles, or those that agree in ``group``: every
+    pair of different titles that reach ``bar``, and some that do not."""
+    keys = [group] if group else []
+    s1, s2 = _letters(F.col("t"))
+    stored = materialize(titles.select(*keys, "t").distinct().select(*keys, "t", F.length("t").alias("n"), s1.alias("s1"), s2.alias("s2")), "title-letters")
+    reach = 2 * (1 - bar)
+    if reach >= 1 or group and reach > 1 / SHORT:
+        # pieces as short as these are in most titles
+        named = stored if group else stored.withColumn("_all", F.lit(0))
+        met = pairs_within(named, group or "_all", "t").filter(_may_reach(F.col("l"), F.col("r"), bar))
+        return met.select(F.least("l.t", "r.t").alias("x"), F.greatest("l.t", "r.t").alias("y")).distinct()
+    edits = lambda n: F.floor(n * reach + 1e-9)
+    size = lambda n: F.floor(n / (edits(n) + 1)).cast("int")
+    n, p = F.col("n"), F.col("p")
+    # the longer title is cut into one piece more than letters can change: one is whole in the other
+    cut = stored.filter(edits(n) >= 1).withColumn("p", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), edits(n)), lambda i: (F.floor(i * n / (edits(n) + 1)) + 1).cast("int"))))
+    cut = cut.withColumn("token", F.xxhash64(F.substring("t", p, size(n))))
+    places = F.sequence(F.floor((p - edits(n)) / PLACES), F.floor((p + F.floor(n * (1 - bar) + 1e-9)) / PLACES))
+    long = cut.select(*keys, "token", F.explode(places).alias("place"), F.struct("t", "n", "s1", "s2", "p").alias("l"))
+    sizes = F.array_distinct(F.transform(F.sequence(n, F.floor(n * ((2 - bar) / bar) + 1e-9).cast("int")), size))
+    probes = stored.withColumn("q", F.explode(sizes)).filter("q BETWEEN 1 AND n").withColumn("p", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1)))
+    short = probes.select(*keys, F.xxhash64(F.substring("t", p, F.col("q"))).alias("token"), F.floor(p / PLACES).alias("place"), F.struct("t", "n", "s1", "s2", "p").alias("r"))
+    x, y = F.col("l"), F.col("r")
+    most, shift, by = F.floor((1 - bar) * (x["n"] + y["n"]) + 1e-6), y["p"] - x["p"], x["n"] - y["n"]
+    met = long.join(short.hint("merge"), [*keys, "token", "place"]).filter(
+        ((by > 0) | (by == 0) & (x["t"] > y["t"])) & (2 * shift >= -(most + by)) & (2 * shift <= most - by) & _may_reach(x, y, bar))
+    return met.select(F.least("l.t", "r.t").alias("x"), F.greatest("l.t", "r.t").alias("y")).distinct()
 
 
 def similar_titles(titles: DataFrame, strong: DataFrame, title: float, low: float) -> DataFrame:
     """Stored (x, y, likeness), x < y, of different titles that reach ``title``, or
     ``low`` where they stand with one entity (``strong``: t, entity)."""
-    found = _similar(titles, title, [])
+    found = _similar(titles, title)
     if low < title:
-        found = found.unionByName(_similar(strong, low, ["entity"])).distinct()
+        found = found.unionByName(_similar(strong, low, "entity")).distinct()
     alike = found.withColumn("bar", F.lit(float(low))).filter(indel_at_least("x", "y", "bar"))
     return materialize(alike.select("x", "y", indel_ratio("x", "y").alias("likeness")), "title-likeness")
 

@@ -110,27 +110,32 @@ def strong_overlap(a: Column, b: Column, kinds=("cve",)) -> Column:
     return F.arrays_overlap(strong(a), strong(b))
 
 
-def entity_pairs(entities: DataFrame, key: str, kinds=("cve",), cell: int = CELL) -> DataFrame:
-    """(a, b), a < b, of all ``key`` that share an entity of a strong kind, each once.
+def pairs_within(rows: DataFrame, group: str, ident: str, cell: int = CELL) -> DataFrame:
+    """(group, l, r): every two rows of a group once, as structs; ``ident`` is unique in it.
 
-    A pair is made at the least entity that both have, so pairs are neither gathered nor
-    compared. The rows of an entity are cut into runs of about ``cell``, every two runs
-    meet in a cell of their own, and a task writes the pairs of its cells as it makes
-    them: it holds a few runs, however frequent an entity is.
+    The rows of a group are cut into runs of about ``cell``, every two runs meet in a
+    cell of their own, and a task makes the pairs of its cells one after the other: it
+    holds a few runs, however large a group is. ``rows`` should be stored.
     """
+    counts = materialize(rows.groupBy(group).agg(F.count("*").alias("n")).filter("n > 1"), "pair-groups")
+    tasks = min(counts.agg(F.ceil(F.sum(F.col("n").cast("double") ** 2) / (8 * cell * cell))).first()[0] or 1, 10_000)
+    frequent = counts.filter(F.col("n") > cell).select(group, F.ceil(F.col("n") / cell).cast("int").alias("_runs"))
+    dealt = rows.join(F.broadcast(frequent), group, "left").withColumn("_runs", F.coalesce("_runs", F.lit(1))).withColumn("_run", F.pmod(F.xxhash64(ident), "_runs").cast("int"))
+    row = F.struct(*[c for c in rows.columns if c != group])
+    left = dealt.select(group, F.col("_run").alias("i"), F.explode(F.sequence(F.col("_run"), F.col("_runs") - 1)).alias("j"), row.alias("l"))
+    right = dealt.select(group, F.explode(F.sequence(F.lit(0), F.col("_run"))).alias("i"), F.col("_run").alias("j"), row.alias("r"))
+    met = left.repartition(tasks, group, "i", "j").join(right.repartition(tasks, group, "i", "j"), [group, "i", "j"])
+    return met.filter((F.col("i") < F.col("j")) | (F.col(f"l.{ident}") < F.col(f"r.{ident}"))).select(group, "l", "r")
+
+
+def entity_pairs(entities: DataFrame, key: str, kinds=("cve",), cell: int = CELL) -> DataFrame:
+    """(a, b), a < b, of all ``key`` that share an entity of a strong kind, each once:
+    a pair is made at the least entity that both have, so pairs are not gathered."""
     strong = entities.filter(F.col("kind").isin(*kinds)).select(F.col(key).alias("k"), F.struct("kind", "value").alias("e"))
     sets = strong.filter("k IS NOT NULL AND e.value IS NOT NULL").groupBy("k").agg(F.collect_set("e").alias("es"))
     rows = materialize(sets.select("k", F.explode("es").alias("e"), F.when(F.size("es") > 1, F.col("es")).alias("es")), "strong-entities")
-    counts = materialize(rows.groupBy("e").agg(F.count("*").alias("n")).filter("n > 1"), "strong-counts")
-    tasks = min(counts.agg(F.ceil(F.sum(F.col("n").cast("double") ** 2) / (8 * cell * cell))).first()[0] or 1, 10_000)
-    frequent = counts.filter(F.col("n") > cell).select("e", F.ceil(F.col("n") / cell).cast("int").alias("runs"))
-    dealt = rows.join(F.broadcast(frequent), "e", "left").withColumn("runs", F.coalesce("runs", F.lit(1))).withColumn("run", F.pmod(F.xxhash64("k"), "runs").cast("int"))
-    meet = [F.col("e"), F.col("i"), F.col("j")]
-    left = dealt.select("e", F.col("run").alias("i"), F.explode(F.sequence(F.col("run"), F.col("runs") - 1)).alias("j"), F.col("k").alias("x"), F.col("es").alias("xs"))
-    right = dealt.select("e", F.explode(F.sequence(F.lit(0), F.col("run"))).alias("i"), F.col("run").alias("j"), F.col("k").alias("y"), F.col("es").alias("ys"))
-    met = left.repartition(tasks, *meet).join(right.repartition(tasks, *meet), ["e", "i", "j"])
-    once = F.col("xs").isNull() | F.col("ys").isNull() | (F.col("e") == F.array_min(F.array_intersect("xs", "ys")))
-    return met.filter(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    once = F.col("l.es").isNull() | F.col("r.es").isNull() | (F.col("e") == F.array_min(F.array_intersect("l.es", "r.es")))
+    return pairs_within(rows, "e", "k", cell).filter(once).select(F.least("l.k", "r.k").alias("a"), F.greatest("l.k", "r.k").alias("b"))
 
 
 def with_sources(items: DataFrame, sources: DataFrame) -> DataFrame:

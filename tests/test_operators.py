@@ -6,7 +6,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions.similarity import indel
+from quillspark.functions.similarity import indel, indels
 from quillspark.operators import dedupe, relational
 from quillspark.operators.classify import KeywordProvider, ProviderError, classify_items, classifier_version, token_estimate
 from quillspark.operators.components import components
@@ -79,6 +79,38 @@ def test_hundred_thousand_rows_of_one_title(spark):
     assert got.count() == n - 1 and {r[0] for r in got.select("winner").distinct().collect()} == {"000000"}
 
 
+@pytest.mark.parametrize("bar,group", [(0.92, None), (0.92, "g"), (0.85, "g"), (0.85, None), (0.5, None), (0.3, "g")])
+def test_similar_titles_lose_no_pair(spark, bar, group):
+    shared_dir(spark)
+    rnd = random.Random(9)
+    titles = {""}
+    for _ in range(25):
+        t = "".join(rnd.choice("abcdeé \N{GRINNING FACE}") for _ in range(rnd.choice([1, 2, 5, 12, 30, 70])))
+        for _ in range(4):
+            k = rnd.randrange(len(t) + 1)
+            t = t[:k] + rnd.choice(["", "x", "yz"]) + t[k + rnd.randrange(3):]
+            titles.add(t)
+    at = {t: k % 3 for k, t in enumerate(sorted(titles))}
+    found = {tuple(r) for r in dedupe._similar(spark.createDataFrame([(t, g) for t, g in at.items()], "t string, g long"), bar, group).collect()}
+    want = {(a, b) for a in at for b in at if a < b and indel(a, b) >= bar and (not group or at[a] == at[b])}
+    assert want and want <= found and all(a < b for a, b in found)
+
+
+def test_titles_of_the_same_words_elsewhere_do_not_meet(spark):
+    """They have the same letters and, but for the seams, the same short grams."""
+    shared_dir(spark)
+    words = "agents patches sandbox escapes kernels drivers modules release notices archive plugins tenants".split()
+    titles = [(" ".join(words[k:] + words[:k]),) for k in range(0, 12, 3)]
+    assert dedupe._similar(spark.createDataFrame(titles, "t string"), 0.92).count() == 0
+
+
+def test_likeness_of_many_pairs_is_that_of_each():
+    rnd = random.Random(4)
+    some = lambda: "".join(rnd.choice("abc é\0") for _ in range(rnd.choice([0, 1, 5, 30, 63, 64, 65, 90])))
+    xs, ys = [some() for _ in range(2000)], [some() for _ in range(2000)]
+    assert list(indels(xs, ys)) == [indel(x, y) for x, y in zip(xs, ys)] and len(indels([], [])) == 0
+
+
 def test_dedupe_of_nothing(spark):
     assert dedupe.find_duplicates(spark.createDataFrame([], CAND)).count() == 0
 
