@@ -35,6 +35,8 @@ SCHEMAS = {
 KEYS = {"items": ["canonical_hash"], "item_sources": ["canonical_hash", "source_name"], "item_entities": ["canonical_hash", "kind", "value"]}
 #: Logs of which a view reads the latest entry per key.
 LOGS = {"item_bodies": ["canonical_hash"], "activations": ["canonical_hash"], "supersessions": ["loser"], "source_runs": ["source_name"]}
+#: Rows that are looked up by a plain join, however many of them have one key.
+MANY = 1_000_000
 ACTIONS = ["read-deep", "implement", "audit", "track"]
 
 
@@ -66,25 +68,53 @@ def cascade(children: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     return children.join(deleted.select(key), key, "left_anti")
 
 
-def resolve_roots(edges: DataFrame) -> DataFrame:
+def _looked_up(rows: DataFrame, key: str, answers: DataFrame, n: int, many: int) -> DataFrame:
+    """``n`` stored rows with the answer (_key and more) to their ``key``, if there is one.
+
+    Of more than ``many`` rows a sample tells the keys that many have: their answers go
+    to the rows, so that no task gets all rows of a key. The rows are the same either way.
+    """
+    match = F.col(key) == F.col("_key")
+    if n <= many:
+        return rows.join(answers, match, "left")
+    drawn = rows.sample(min(1.0, 200_000 / n), seed=7).groupBy(key).agg(F.count("*").alias("_n"))
+    often = materialize(drawn.filter("_n >= 50").select(F.col(key).alias("_often")), "frequent-keys")
+    known = materialize(answers.join(F.broadcast(often), F.col("_key") == F.col("_often"), "left_semi"), "frequent-answers")
+    frequent = often.join(F.broadcast(known), F.col("_often") == F.col("_key"), "left")
+    direct = rows.join(F.broadcast(frequent), F.col(key) == F.col("_often")).drop("_often")
+    return direct.unionByName(rows.join(F.broadcast(often), F.col(key) == F.col("_often"), "left_anti").join(answers, match, "left"))
+
+
+def resolve_roots(edges: DataFrame, many: int = MANY) -> DataFrame:
     """(loser, root) of a supersession log (loser, winner, seq): latest entry per
     loser, chains followed by pointer doubling. A cycle, and whatever leads into it,
     ends at its least member.
 
-    After as many doublings as the table's size has bits every path has left its
-    chain. Whoever still has a next one then stands on a cycle, has gone all around
-    it, and knows its least member.
+    Rows whose root is final are set aside and only looked up. ``least`` is the least
+    row that the path behind a row has met so far: where that is the row itself, it has
+    gone all around a cycle and is its least member, so every path that met it ends there.
     """
-    now = materialize(edges.groupBy("loser").agg(F.max_by("winner", "seq").alias("root")).filter("loser <> root").select("loser", "root", F.least("loser", "root").alias("least")), "roots")
-    for _ in range(now.count().bit_length()):
-        nxt = now.select(F.col("loser").alias("_l"), F.col("root").alias("_r"), F.col("least").alias("_m"))
-        jumped = materialize(now.join(nxt, F.col("root") == F.col("_l"), "left").select(
-            "loser", F.coalesce("_r", "root").alias("root"), F.least("least", "_m").alias("least"), F.col("_r").isNotNull().alias("moved")), "roots")
-        now = jumped.drop("moved")
-        if jumped.filter("moved").isEmpty():
-            return now.select("loser", "root")
-    around = now.select(F.col("loser").alias("_l"), F.col("least").alias("_m"))
-    return now.join(around, F.col("root") == F.col("_l"), "left").select("loser", F.coalesce("_m", "root").alias("root")).filter("loser <> root")
+    now = materialize(edges.groupBy("loser").agg(F.max_by("winner", "seq").alias("root")).filter("loser <> root").select("loser", "root", F.col("root").alias("least")), "roots")
+    final, left = None, now.count()
+    while left:
+        nxt = now.select(F.col("loser").alias("_key"), F.col("root").alias("_r"), F.col("least").alias("_m"))
+        if final is not None:
+            nxt = nxt.unionByName(final.select(F.col("loser").alias("_key"), F.col("root").alias("_r"), F.lit(None).cast(now.schema["least"].dataType).alias("_m")))
+        jumped = materialize(_looked_up(now, "root", nxt, left, many).select(
+            "loser", F.coalesce("_r", "root").alias("root"), F.least("least", "_m").alias("least"), F.col("_m").isNull().alias("done")), "roots")
+        left, around = jumped.agg(F.count_if(~F.col("done")), F.count_if(~F.col("done") & (F.col("loser") == F.col("least")))).first()
+        parts = [jumped.filter("done")]
+        if around:
+            going = jumped.filter("NOT done").drop("done")
+            ends = going.filter("loser = least").select(F.col("loser").alias("_key"))
+            jumped = materialize(_looked_up(going, "least", ends, left, many).select(
+                "loser", F.coalesce("_key", "root").alias("root"), "least", F.col("_key").isNotNull().alias("done")), "roots")
+            left = jumped.filter("NOT done").count()
+            parts.append(jumped.filter("done"))
+        now = jumped.filter("NOT done").drop("done")
+        for part in parts:
+            final = part.select("loser", "root") if final is None else final.unionByName(part.select("loser", "root"))
+    return (now.select("loser", "root") if final is None else final).filter("loser <> root")
 
 
 def repointed(current: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.similarity import indel, indels
-from quillspark.operators import dedupe, relational
+from quillspark.operators import dedupe, relational, store
 from quillspark.operators.classify import KeywordProvider, ProviderError, classify_items, classifier_version, token_estimate
 from quillspark.operators.components import components
 from quillspark.operators.store import Store, resolve_roots
-from quillspark.session import shared_dir
+from quillspark.session import materialize, shared_dir
 
 T0 = datetime(2026, 5, 27, 12, tzinfo=UTC)
 CAND = "canonical_hash string, title string, published_at timestamp, score int, entities array<struct<kind:string,value:string>>"
@@ -133,6 +133,26 @@ def test_roots(spark):
     assert sorted(map(tuple, got)) == [("a", "d"), ("b", "d"), ("c", "d"), ("x", "z")]
 
 
+@pytest.mark.parametrize("many", [10, 1_000_000])
+def test_roots_of_any_log(spark, many):
+    """Hubs, long chains, cycles of many lengths and tails into them, by every way of looking up."""
+    shared_dir(spark)
+    rnd = random.Random(11)
+    to = {k: rnd.randrange(400) for k in range(300)} | {400 + k: 399 + k for k in range(1, 100)} | {500 + k: 450 for k in range(300)}
+    to |= {900 + k: 900 + (k + 1) % 33 for k in range(33)} | {1000 + k: 920 for k in range(100)}
+
+    def root(k):
+        path = [k]
+        while path[-1] in to and to[path[-1]] not in path and to[path[-1]] != path[-1]:
+            path.append(to[path[-1]])
+        last = to.get(path[-1], path[-1])
+        return min(path[path.index(last):]) if last in path else last
+
+    got = resolve_roots(spark.createDataFrame([(k, w, 1) for k, w in to.items()], "loser long, winner long, seq int"), many).collect()
+    assert len(got) == len({r["loser"] for r in got})
+    assert {r["loser"]: r["root"] for r in got} == {k: root(k) for k in to if root(k) != k}
+
+
 @pytest.mark.parametrize("size", [2, 3, 50])
 def test_roots_of_cycles(spark, size):
     ring = [(f"n{i:03d}", f"n{(i + 1) % size:03d}", 1) for i in range(size)]
