@@ -153,6 +153,16 @@ def test_roots_of_any_log(spark, many):
     assert {r["loser"]: r["root"] for r in got} == {k: root(k) for k in to if root(k) != k}
 
 
+def test_rings_are_left_once_they_are_known(spark, monkeypatch):
+    shared_dir(spark)
+    written = []
+    monkeypatch.setattr(store, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    rings = [(10 * k + i, 10 * k + (i + 1) % 10, 1) for k in range(50) for i in range(10)]
+    got = resolve_roots(spark.createDataFrame(rings, "loser long, winner long, seq int"))
+    assert {tuple(r) for r in got.collect()} == {(10 * k + i, 10 * k) for k in range(50) for i in range(1, 10)}
+    assert len(written) <= 6  # the links, four doublings, the rings' ends
+
+
 @pytest.mark.parametrize("size", [2, 3, 50])
 def test_roots_of_cycles(spark, size):
     ring = [(f"n{i:03d}", f"n{(i + 1) % size:03d}", 1) for i in range(size)]
