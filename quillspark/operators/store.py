@@ -10,6 +10,9 @@ import uuid
 from contextlib import contextmanager
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +40,10 @@ KEYS = {"items": ["canonical_hash"], "item_sources": ["canonical_hash", "source_
 LOGS = {"item_bodies": ["canonical_hash"], "activations": ["canonical_hash"], "supersessions": ["loser"], "source_runs": ["source_name"]}
 #: Rows that are looked up by a plain join, however many of them have one key.
 MANY = 1_000_000
+#: Rows of a supersession log that a worker holds at once.
+SPAN = 1 << 18
+#: Rows that are broadcast.
+FEW = 1 << 17
 ACTIONS = ["read-deep", "implement", "audit", "track"]
 
 
@@ -85,36 +92,104 @@ def _looked_up(rows: DataFrame, key: str, answers: DataFrame, n: int, many: int)
     return direct.unionByName(rows.join(F.broadcast(often), F.col(key) == F.col("_often"), "left_anti").join(answers, match, "left"))
 
 
-def resolve_roots(edges: DataFrame, many: int = MANY) -> DataFrame:
-    """(loser, root) of a supersession log (loser, winner, seq): latest entry per
-    loser, chains followed by pointer doubling. A cycle, and whatever leads into it,
-    ends at its least member.
+def _followed_nearby(links: DataFrame, span: int) -> DataFrame:
+    """Links (loser, root), one per loser, followed as far as they stay among ``span``
+    neighbours in the order of losers. ``done`` rows have come to a cycle's least member;
+    the others stand at a row of other neighbours, or at the end: ``low`` is the least that
+    their path has met on the way there, if anything.
+    """
+    kind = links.select(F.coalesce("root", "loser").alias("k")).schema["k"].dataType
+
+    def parts(batches):
+        held, n = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                held.append(batch.slice(0, span - n))
+                n, batch = n + held[-1].num_rows, batch.slice(held[-1].num_rows)
+                if n == span:
+                    yield pa.Table.from_batches(held)
+                    held, n = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def follow(batches):
+        for part in parts(batches):
+            loser, root = (part[c].combine_chunks() for c in ("loser", "root"))
+            n = len(part)
+            to = pc.fill_null(pc.index_in(root, value_set=loser), -1).to_numpy(zero_copy_only=False)
+            out = to < 0
+            at, met = np.where(out, np.arange(n), to), np.where(out, n, to)
+            for _ in range(n.bit_length()):
+                met, at = np.minimum(met, met[at]), at[at]
+            ring = ~out[at]
+            end = np.where(ring, n + met[at], at)
+            yield from pa.table({
+                "loser": loser, "root": pa.concat_arrays([root, loser]).take(pa.array(end)),
+                "low": loser.take(pa.array(met, mask=met == n)), "done": pa.array(ring)}).to_batches()
+
+    near = links.select(F.col("loser").cast(kind), F.col("root").cast(kind)).repartitionByRange("loser").sortWithinPartitions("loser")
+    fields = T.StructType([T.StructField(c, kind) for c in ("loser", "root", "low")]).add("done", "boolean")
+    return near.mapInArrow(follow, fields)
+
+
+def _doubled(near: DataFrame, many: int) -> DataFrame:
+    """(loser, root) of rows (loser, root, least, done, maybe low) by pointer doubling.
 
     Rows whose root is final are set aside and only looked up. ``least`` is the least
     row that the path behind a row has met so far: where that is the row itself, it has
-    gone all around a cycle and is its least member, so every path that met it ends there.
+    gone all around a cycle, and every path that met it ends at the cycle's least member.
+    That is the row itself, or its ``low`` where paths have been followed past rows that
+    are not among these.
     """
-    now = materialize(edges.groupBy("loser").agg(F.max_by("winner", "seq").alias("root")).filter("loser <> root").select("loser", "root", F.col("root").alias("least")), "roots")
-    final, left = None, now.count()
+    marks = [c for c in ("least", "low") if c in near.columns]
+    final = near.filter("done").select("loser", "root")
+    now = near.filter("NOT done").select("loser", "root", *marks)
+    left, kind = now.count(), now.schema["root"].dataType
     while left:
-        nxt = now.select(F.col("loser").alias("_key"), F.col("root").alias("_r"), F.col("least").alias("_m"))
-        if final is not None:
-            nxt = nxt.unionByName(final.select(F.col("loser").alias("_key"), F.col("root").alias("_r"), F.lit(None).cast(now.schema["least"].dataType).alias("_m")))
+        nxt = now.select(F.col("loser").alias("_key"), F.col("root").alias("_r"), *[F.col(c).alias(f"_{c}") for c in marks])
+        nxt = nxt.unionByName(final.select(F.col("loser").alias("_key"), F.col("root").alias("_r"), *[F.lit(None).cast(kind).alias(f"_{c}") for c in marks]))
         jumped = materialize(_looked_up(now, "root", nxt, left, many).select(
-            "loser", F.coalesce("_r", "root").alias("root"), F.least("least", "_m").alias("least"), F.col("_m").isNull().alias("done")), "roots")
+            "loser", F.coalesce("_r", "root").alias("root"), *[F.least(c, f"_{c}").alias(c) for c in marks], F.col("_least").isNull().alias("done")), "roots")
         left, around = jumped.agg(F.count_if(~F.col("done")), F.count_if(~F.col("done") & (F.col("loser") == F.col("least")))).first()
         parts = [jumped.filter("done")]
         if around:
             going = jumped.filter("NOT done").drop("done")
-            ends = going.filter("loser = least").select(F.col("loser").alias("_key"))
+            ends = going.filter("loser = least").select(F.col("loser").alias("_key"), F.col(marks[-1]).alias("_r"))
             jumped = materialize(_looked_up(going, "least", ends, left, many).select(
-                "loser", F.coalesce("_key", "root").alias("root"), "least", F.col("_key").isNotNull().alias("done")), "roots")
+                "loser", F.coalesce("_r", "root").alias("root"), *marks, F.col("_key").isNotNull().alias("done")), "roots")
             left = jumped.filter("NOT done").count()
             parts.append(jumped.filter("done"))
         now = jumped.filter("NOT done").drop("done")
         for part in parts:
-            final = part.select("loser", "root") if final is None else final.unionByName(part.select("loser", "root"))
-    return (now.select("loser", "root") if final is None else final).filter("loser <> root")
+            final = final.unionByName(part.select("loser", "root"))
+    return final
+
+
+def resolve_roots(edges: DataFrame, many: int = MANY, span: int = SPAN) -> DataFrame:
+    """(loser, root) of a supersession log (loser, winner, seq): latest entry per
+    loser, chains followed to their ends. A cycle, and whatever leads into it, ends at
+    its least member.
+
+    Rows are dealt by ranges of losers, and each task follows the paths that stay among
+    neighbours. The rows that paths go on to elsewhere are then solved by pointer doubling
+    and looked up; where those are most of all rows, as with random keys, all are doubled.
+    """
+    latest = edges.groupBy("loser").agg(F.max_by("winner", "seq").alias("root")).filter("loser <> root")
+    near = materialize(_followed_nearby(latest, span), "roots")
+    going = near.filter("NOT done")
+    n, left, exits = near.agg(F.count("*"), F.count_if(~F.col("done")), F.approx_count_distinct(F.when(~F.col("done"), F.col("root")))).first()
+    if 4 * exits > n:
+        return _doubled(near.select("loser", "root", F.least("root", "low").alias("least"), "done"), many).filter("loser <> root")
+    roots = near.filter("done").select("loser", "root")
+    if left:
+        small = F.broadcast if exits <= FEW else lambda df: df
+        entered = going.select(F.col("root").alias("_key")).distinct()
+        met = near.select("loser", "root", F.col("root").alias("least"), F.least("root", "low").alias("low"), "done")
+        between = materialize(met.join(small(entered), F.col("loser") == F.col("_key"), "left_semi"), "roots")
+        ends = _doubled(between, many).select(F.col("loser").alias("_key"), F.col("root").alias("_r"))
+        found = going.join(F.broadcast(ends), F.col("root") == F.col("_key"), "left") if exits <= FEW else _looked_up(going, "root", ends, left, many)
+        roots = roots.unionByName(found.select("loser", F.coalesce("_r", "root").alias("root")))
+    return roots.filter("loser <> root")
 
 
 def repointed(current: DataFrame) -> DataFrame:

@@ -163,6 +163,52 @@ def test_rings_are_left_once_they_are_known(spark, monkeypatch):
     assert len(written) <= 6  # the links, four doublings, the rings' ends
 
 
+def test_rings_of_neighbours_are_not_doubled(spark, monkeypatch):
+    """Only the rows by which neighbours are entered from elsewhere are written again."""
+    shared_dir(spark)
+    written = []
+
+    def counted(df, name):
+        written.append((out := materialize(df, name)).count())
+        return out
+
+    monkeypatch.setattr(store, "materialize", counted)
+    rings = [(10 * k + i, 10 * k + (i + 1) % 10, 1) for k in range(60) for i in range(10)]
+    edges, want = spark.createDataFrame(rings, "loser long, winner long, seq int"), {(10 * k + i, 10 * k) for k in range(60) for i in range(1, 10)}
+    assert {tuple(r) for r in resolve_roots(edges).collect()} == want and 600 <= sum(written) <= 1000
+    written.clear()
+    assert {tuple(r) for r in resolve_roots(edges, span=64).collect()} == want and 600 < sum(written) <= 1000
+
+
+@pytest.mark.parametrize(("span", "many", "few"), [(1, 10, 0), (7, 1_000_000, 1000), (40, 10, 0), (40, 1_000_000, 1000)])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_roots_of_neighbours(spark, monkeypatch, span, many, few, kind):
+    """Paths and rings that leave their neighbours and come back, the least of a ring anywhere."""
+    shared_dir(spark)
+    monkeypatch.setattr(store, "FEW", few)
+    rnd = random.Random(span)
+    to = {k: k + 1 for k in range(300) if k % 97} | {k: k - 1 for k in range(400, 700) if k % 90}  # up and down, with ends
+    to |= {k: k + 1 for k in range(700, 900)} | {900: 700, 1000: 903, 1001: 1000}  # a ring over many neighbours
+    to |= {k: k - 1 for k in range(1101, 1200)} | {1100: 1199} | {90: 1150, 180: 450, 399: 880}
+    ring = rnd.sample(range(1300, 1450), 60)
+    to |= dict(zip(ring, ring[1:] + ring[:1], strict=True))
+    to |= {k: 1300 + rnd.randrange(150) for k in range(1500, 1560)} | {k: 2000 - rnd.randrange(1900) for k in range(1600, 1640)} | {1700: 1700}
+    name = (lambda k: k) if kind == "long" else (lambda k: f"{k:05d}\u00e9")
+
+    def root(k):
+        seen = {}
+        while k in to and k not in seen:
+            seen[k] = len(seen)
+            k = to[k]
+        return min(x for x in seen if seen[x] >= seen[k]) if k in seen else k
+
+    rows = [(name(k), name(w), 1) for k, w in to.items()] + [(name(k), name(5), 0) for k in range(0, 900, 50) if k in to]
+    rnd.shuffle(rows)
+    got = resolve_roots(spark.createDataFrame(rows, f"loser {kind}, winner {kind}, seq int"), many, span).collect()
+    assert len(got) == len({r["loser"] for r in got})
+    assert {r["loser"]: r["root"] for r in got} == {name(k): name(root(k)) for k in to if root(k) != k}
+
+
 @pytest.mark.parametrize("size", [2, 3, 50])
 def test_roots_of_cycles(spark, size):
     ring = [(f"n{i:03d}", f"n{(i + 1) % size:03d}", 1) for i in range(size)]
